@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, urls
+from . import mixing, neardup, quality, sharding, urls
 from .common import words, written
 
 
@@ -19,6 +19,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(narrow, sizes="size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
