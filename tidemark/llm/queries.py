@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, language, mixing, neardup, quality, sharding, tokens, urls
+from . import chat, contamination, html, language, mixing, neardup, quality, sharding, tokens, urls
 from .common import words, written
 
 
@@ -23,6 +23,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
