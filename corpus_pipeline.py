@@ -1,10 +1,75 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's docs. All but the last return the
+columns of ``documents``; the last returns the shard manifest: doc_id, size,
+text_crc32, shard and slot of every row of the mix.
+
+Defined cases are those of the operators. Rows with a null doc_id pass the
+near-duplicate stage, since nothing is linked to them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm.common import shared_dir, written
+from tidemark.llm.contamination import decontaminated
+from tidemark.llm.mixing import mixed_rows
+from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.quality import clean_documents
+from tidemark.llm.sharding import document_keys, shard
+
+SHARDS = 24
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that recur across their host's documents."""
+    return clean_documents(docs)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near-duplicates."""
+    dropped = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it."""
+    return mixed_rows(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot."""
+    keys = written(document_keys(docs), "doc-keys")
+    return shard(keys, SHARDS, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("source_mixing", source_mixing),
+    ("sharding", sharding),
+]
+
+#: SQL lacks the checksum and the confirmed min-hash groups; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
