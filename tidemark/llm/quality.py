@@ -52,7 +52,7 @@ def text_statistics(df: DataFrame) -> DataFrame:
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
         "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]", -1)) - 1).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_words")),
+        "n_repeat_words": let(F.col("_words"), _repeat_words),  # let: a filter that is pushed down may inline the words
     }).drop("_words")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
@@ -115,7 +115,9 @@ def cross_document_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: flo
 
 def _verdict(df: DataFrame, max_removed: float) -> DataFrame:
     removed = F.coalesce(F.col("_removed"), F.lit(0).cast("long"))
-    return df.withColumn("n_removed_words", removed).withColumn("kept", ~F.col("base_failed") & ~(removed > max_removed * F.col("n_words"))).drop("_removed")
+    # one comparison over both sides of the join: a condition on the statistics alone would be pushed below it and computed twice
+    lost = removed + F.when(F.col("base_failed"), F.col("n_words") + 1).otherwise(0)
+    return df.withColumn("n_removed_words", removed).withColumn("kept", ~(lost > max_removed * F.col("n_words"))).drop("_removed")
 
 
 def clean_documents(df: DataFrame, **limits: float) -> DataFrame:
