@@ -1,0 +1,6 @@
+"""Registered queries."""
+
+from . import ticks, trades
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "ticks", "trades"]
