@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import ticks, trades
+from . import learning, signals, streams, ticks, trades
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "ticks", "trades"]
+__all__ = ["ORACLES", "QUERIES", "learning", "signals", "streams", "ticks", "trades"]
