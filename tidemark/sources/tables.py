@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 ASSETS = ("btc", "eth", "sol", "xrp")
 #: The columns of an asset in the wide table.
 ASSET_COLUMNS = {
-    "ticker": "string", "mid": "double", "spread": "double", "yes_bid": "int", "yes_ask": "int", "volume": "long", "oi": "long", "floor_strike": "double", "time_to_expiry": "double",
+    "ticker": "string", "mid": "double", "spread": "double", "yes_bid": "integer", "yes_ask": "integer", "volume": "long", "oi": "long", "floor_strike": "double", "time_to_expiry": "double",
     "ob_imbalance": "double", "real_price": "double", "price_vs_strike_pct": "double", "mom_5s": "double", "mom_15s": "double", "mom_30s": "double", "error": "string",
 }
 TRADES = "id long, ts_unix double, ts_iso string, asset string, side string, contracts int, entry_price double, fee double, ticker string, edge double, z_score double, model_p double, confidence double, order_id string, order_status string, settled string, pnl double, bankroll_after double, consensus string, avg_z double, agreement double, tte_at_entry double, edge_mode string, bankroll_before double"
@@ -23,7 +23,7 @@ def wide_schema(assets: tuple[str, ...] = ASSETS) -> T.StructType:
     for asset in assets:
         for name, kind in ASSET_COLUMNS.items():
             schema.add(f"{asset}_{name}", kind)
-    return schema.add("n_valid", "int")
+    return schema.add("n_valid", "integer")
 
 
 def no_nan(df: DataFrame) -> DataFrame:
