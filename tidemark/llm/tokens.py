@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE = 600_000  # entries that each of a worker's caches holds; a full one begins anew
@@ -205,7 +206,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 def prefix_counts(df: DataFrame, path: str) -> DataFrame:
     """df's columns but text, with piece_ends (code points) and piece_tokens (cumulative token counts)."""
     at = df.columns.index("text")
-    schema = df.drop("text").schema.add("piece_ends", "array<int>").add("piece_tokens", "array<int>")
+    schema = df.drop("text").schema.add("piece_ends", ArrayType(IntegerType())).add("piece_tokens", ArrayType(IntegerType()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
