@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of characters outside these six ASCII spaces.
@@ -56,8 +56,8 @@ def row_numbers(df: DataFrame, order: list[Column | str], name: str = "row_numbe
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
     )
     ordered = written(ordered, "ordered")
-    parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    below = parts.alias("p").join(parts.select(F.col("_part").alias("_other"), F.col("_n").alias("_m")), F.col("_other") < F.col("_part"), "left")
-    starts = below.groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_start"))
     # a row for each partition: its number is bounded by the shuffle's partitions
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
