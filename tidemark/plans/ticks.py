@@ -403,3 +403,19 @@ def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = t.groupBy("asset").agg(F.min("mid").alias("low"), F.max("mid").alias("high"))
     level = F.floor((F.col("last_mid") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * 7.999).cast("int")
     return last.join(span, "asset").select("asset", "day", F.least(F.lit(7), level).alias("level"))
+
+
+@query(ticks_sql() + ", now AS (SELECT seq, asset, us, " + _NOW.format(c="mid") + " AS cur FROM ticks) SELECT t.seq, t.asset, t.mid, t.spread, t.pvs, t.ob_imbalance, t.tte AS time_to_expiry, round(n.cur - m.v, 6) AS mom_900 FROM ticks t JOIN now n USING (seq) LEFT JOIN " + nearest_sql("mid", 900) + " m ON m.asset = t.asset AND m.us = t.us")
+def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON replies built from events, read, joined by cycle and turned into feature rows; every third reply lacks its strike."""
+    from ..sources.features import feature_rows
+
+    t = ticks(spark, sf_dir).withColumn("cycle", F.col("seq"))
+    closes = F.date_format(F.timestamp_micros((F.col("period_id") + 1) * LONG * _MICRO), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    market = F.struct("ticker", F.lit("active").alias("status"), "yes_bid", "yes_ask", F.when(F.col("k") % 3 != 0, F.col("floor_strike")).alias("floor_strike"), closes.alias("close_time"))
+    markets = t.select("cycle", "asset", "seq", "us", F.to_json(F.struct(F.array(market).alias("markets"))).alias("payload"))
+    k = F.col("k").cast("double")
+    book = F.struct(F.array(F.array(F.lit(1.0), k)).alias("yes"), F.array(F.array(F.lit(1.0), 99 - k)).alias("no"))
+    books = t.select("cycle", "asset", F.to_json(F.struct(book.alias("orderbook"))).alias("payload"))
+    rows = feature_rows(markets, books, t.select("cycle", "asset", F.col("real_price").alias("price")), [900 * _MICRO])
+    return rows.select("seq", "asset", "mid", "spread", "pvs", "ob_imbalance", "time_to_expiry", "mom_900")

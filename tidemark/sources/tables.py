@@ -96,3 +96,12 @@ def export_csv(df: DataFrame, path: str, order: str) -> int:
     """Ordered CSV parts with a header; returns the number of rows."""
     df.orderBy(order).write.mode("overwrite").option("header", True).csv(path)
     return df.count()
+
+
+def write_predictions(scores: DataFrame, path: str) -> None:
+    """(model_p, actual) as CSV parts with a header."""
+    scores.select(F.col("prob").alias("model_p"), F.col("y").alias("actual")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_transitions(transitions: DataFrame, path: str) -> None:
+    append(transitions, path, "asset")
