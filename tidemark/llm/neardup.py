@@ -6,12 +6,19 @@ both values of two permutations each. At a similarity of 0.75 a band agrees with
 probability 0.75**4, and no band does with probability 5e-6.
 
 1. Documents with equal shingle sets are one class; only classes go on.
-2. Classes that share a band form a bucket. Pairs are not formed within it:
-   every member is compared with the bucket's pivots, on whole shingle sets.
-3. Links join components. Buckets whose members are in one component are done;
-   in the others the pivots, now compared with all, leave, and twice as many
-   take their place. This ends when no bucket spans two components, so that no
-   candidate link between components goes unchecked, whatever a bucket's size.
+2. Classes that share a band form a bucket. Pairs are not formed within it: its
+   most shared member, the pivot, is compared with every other on whole sets.
+3. Links join components. Two members x, y that are still apart were compared
+   with a pivot p. If x is not linked to p, a y that is linked to x shares with it
+   a shingle that p lacks, or is smaller than p and within narrow bounds on what
+   all three share. So the members that share a shingle beyond p (of those that
+   a prefix filter leaves) are the next round's buckets, and the pairs within the
+   bounds are compared as well. A pivot's group with few pairs across its
+   components for each member (``PAIRS_PER_MEMBER``, ``MORE`` times as many each
+   round) is compared pair by pair instead; in the others the ``CENTRAL`` members
+   nearest to the pivot are compared with those of other components, which
+   settles most. This ends when no group spans two components: no candidate link
+   between components goes unchecked.
 
 Defined cases: null or blank text has no shingles and links with nothing; rows
 with the same doc_id are one node; a null doc_id is never linked (its own
@@ -25,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -34,6 +41,10 @@ from .shingles import mix, shingles, texts, words
 
 SHINGLE = 5
 SIMILAR_PERCENT = 75
+PAIRS_PER_MEMBER, MORE = 16, 8
+CENTRAL = 8
+#: x and y share at most what they share with their pivot and as much beyond it as both have.
+POSSIBLE = "7 * (least(common, common_y) + least(n_x - common, n_y - common_y)) >= 3 * (n_x + n_y)"
 PERMUTATIONS = 64
 BANDS = 32
 
@@ -91,71 +102,131 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
+def _set_pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingle sets of text_p and text_x, row by row; equal texts are read once."""
+    sides = []
+    for side in ("text_p", "text_x"):
+        column, found = batch[side].dictionary_encode(), {}
+        for at, data, offsets in texts(column.dictionary):
+            values, bounds = words(data, offsets)
+            for k in range(len(offsets) - 1):
+                found[at + k] = np.unique(shingles(values[bounds[k] : bounds[k + 1]], SHINGLE))
+        sides.append([found.get(i, np.empty(0, np.uint64)) for i in column.indices.to_pylist()])
+    return zip(*sides, strict=True)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = []
-        for side in ("text_u", "text_v"):
-            column, found, last = batch[side], {}, (None, None)
-            distinct = column.dictionary_encode()
-            for at, data, offsets in texts(distinct.dictionary):
-                values, bounds = words(data, offsets)
-                for k in range(len(offsets) - 1):
-                    found[at + k] = np.unique(shingles(values[bounds[k] : bounds[k + 1]], SHINGLE))
-            sets.append([found.get(i) for i in distinct.indices.to_pylist()])
-        linked = []
-        for a, b in zip(*sets, strict=True):
-            if a is None or b is None or not len(a) or not len(b):
-                linked.append(False)
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            linked.append(100 * both >= SIMILAR_PERCENT * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(linked, pa.bool_())], names=["u", "v", "linked"])
+        counts = [(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))) for a, b in _set_pairs(batch)]
+        n_p, n_x, common = ([c[k] for c in counts] for k in range(3))
+        linked = [100 * c >= SIMILAR_PERCENT * (a + b - c) and c > 0 for a, b, c in counts]
+        yield pa.RecordBatch.from_arrays([batch["p"], batch["x"], *[pa.array(v, pa.int64()) for v in (n_p, n_x, common)], pa.array(linked, pa.bool_())], names=["p", "x", "n_p", "n_x", "common", "linked"])
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rest = [np.setdiff1d(b, a, assume_unique=True).view(np.int64) for a, b in _set_pairs(batch)]
+        yield pa.RecordBatch.from_arrays([batch["p"], batch["x"], pa.array(rest, pa.list_(pa.int64()))], names=["p", "x", "rest"])
+
+
+def _with_texts(pairs: DataFrame, kept_texts: DataFrame) -> DataFrame:
+    x, p = (kept_texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "xp")
+    return pairs.select("p", "x").join(x, "x").join(p, "p").select("p", "x", "text_p", "text_x")
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """The buckets (key, rep, component) whose members are in two components or more."""
+    spans = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
+    return members.join(spans.select("key"), "key")
+
+
+def _pivot_pairs(members: DataFrame) -> DataFrame:
+    """(p, x): each bucket's most shared member with each other member."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weights = members.join(sizes, "key").groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = members.select("key", "rep").join(weights, "rep")
+    pivots = weighed.groupBy("key").agg(F.max_by("rep", F.struct("weight", "rep")).alias("p"))
+    return members.join(pivots, "key").filter("rep <> p").select("p", F.col("rep").alias("x")).distinct()
+
+
+def _tight_pairs(rows: DataFrame) -> DataFrame:
+    """Members x, y of a pivot's group that can be similar without sharing a shingle outside the pivot.
+
+    Both then share with the pivot what they share with each other. As x is not
+    linked to the pivot, y must be smaller than it; few pairs meet the bounds.
+    """
+    y = rows.filter("n_x < n_p and 7 * common >= 3 * n_x").drop("least").select("p", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("common").alias("common_y"), F.col("component").alias("c"))
+    least = y.groupBy("p").agg(F.min("n_y").alias("least"))
+    x = rows.filter("not linked").drop("least").join(least, "p").filter("7 * common >= 3 * (n_x + least)").drop("least")
+    both = x.join(y, "p").filter("component <> c and 7 * least(common, common_y) >= 3 * (n_x + n_y)")
+    return both.select(F.greatest("x", "y").alias("p"), F.least("x", "y").alias("x")).distinct()
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """A group's rows as those that its members meet."""
+    return rows.select("p", F.col("x").alias("y"), F.col("component").alias("c"), F.col("n_x").alias("n_y"), F.col("common").alias("common_y"))
+
+
+def _central_pairs(rows: DataFrame) -> DataFrame:
+    """A group's members nearest to its pivot with the members of other components: what links at all mostly links to these."""
+    near = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("common"), "x"))
+    central = _others(rows.withColumn("r", near).filter(F.col("r") <= CENTRAL))
+    both = rows.join(central, "p").filter(f"component <> c and {POSSIBLE}")
+    return both.select(F.greatest("x", "y").alias("p"), F.least("x", "y").alias("x")).distinct()
+
 
+def _shared_beyond(rest: DataFrame, rows: DataFrame) -> DataFrame:
+    """(key, rep, component): members by the shingles beyond their pivot that can reveal a link.
 
-def confirmed(pairs: DataFrame, kept_texts: DataFrame) -> DataFrame:
-    """pairs (u, v) whose whole shingle sets are similar."""
-    a, b = (kept_texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-    joined = pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
-    return joined.mapInArrow(_compare, "u long, v long, linked boolean").filter("linked").select("u", "v").distinct()
+    A y linked to x shares with it a = 3/7 (n_x + n_y) shingles or more, where n_y
+    is at least 0.75 n_x and the group's least size; at most ``common`` of them lie
+    within the pivot, so t = a - common lie beyond it (one at least, other pairs
+    being tight). Of x's shingles beyond the pivot, in one order for the whole
+    group, the last t - 1 may therefore be left out: those that most of the group
+    holds. Shingles that one member holds alone come first and reveal nothing.
+    """
+    single = rest.select("p", "x", F.explode("rest").alias("s"))
+    often = single.groupBy("p", "s").agg(F.count("*").alias("f")).filter("f > 1")
+    shared = single.join(often, ["p", "s"]).join(rows.select("p", "x", "n_x", "common", "component", "least"), ["p", "x"])
+    member = Window.partitionBy("p", "x")
+    ranked = shared.withColumn("r", F.row_number().over(member.orderBy("f", "s"))).withColumn("m", F.count("*").over(member))
+    least = F.greatest(F.ceil(F.col("n_x") * 3 / 4), F.col("least"))
+    needed = F.greatest(F.lit(1), F.ceil((F.col("n_x") + least) * 3 / 7) - F.col("common"))
+    return ranked.filter(F.col("r") <= F.col("m") - needed + 1).select(F.xxhash64("p", "s").alias("key"), F.col("x").alias("rep"), "component")
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) over classes (rep, bands)."""
-    placed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(placed.join(shared, "key"), "bucket-members")
+    placed = classes.select("rep", F.explode("bands").alias("key"), F.col("rep").alias("component"))
+    members = written(_open_buckets(placed), "bucket-members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     kept_texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").dropDuplicates(["doc_id"]), "bucket-texts")
-    components = links = tested = None
-    pivots = 1
+    pairs = _pivot_pairs(members).withColumn("last", F.lit(False))
+    links = classes.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
+    allowed = PAIRS_PER_MEMBER
     while True:
-        placed = members.withColumn("component", F.col("rep"))
-        if components is not None:
-            known = components.withColumnRenamed("node", "rep")
-            placed = members.join(known, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-            placed = written(placed.join(open_keys, "key"), "bucket-members")
-            if placed.isEmpty():
-                return components
-        # the order of pivots is the same in all buckets, so that similar documents mostly meet the same ones
-        order = F.struct(F.xxhash64("rep"), "rep")
-        if pivots == 1:
-            chosen = placed.groupBy("key").agg(F.min_by(F.struct("rep", "component"), order).alias("p")).select("key", "p.rep", "p.component")
-        else:
-            chosen = placed.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("rep").alias("h"), "rep", "component"))), 1, pivots).alias("p")).select("key", F.explode("p").alias("p")).select("key", "p.rep", "p.component")
-        chosen = written(chosen, "pivots")
-        other = chosen.select("key", F.col("rep").alias("p"), F.col("component").alias("c"))
-        pairs = placed.join(other, "key").filter("component <> c").select(F.greatest("rep", "p").alias("u"), F.least("rep", "p").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        compared = _with_texts(pairs, kept_texts).mapInArrow(_compare, "p long, x long, n_p long, n_x long, common long, linked boolean")
+        compared = written(compared, "compared")
+        components = connected_components(links.union(compared.filter("linked").select("p", "x")))
+        links = components.toDF("u", "v")
+        groups = compared.join(pairs.filter("not last").select("p", "x"), ["p", "x"])
+        named = groups.join(components.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+        rows = _open_buckets(named.withColumn("key", F.col("p"))).drop("key")
+        parts = rows.groupBy("p", "component").agg(F.count("*").alias("n"), F.min("n_x").alias("least"))
+        sizes = parts.groupBy("p").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("cross"), F.min("least").alias("least"))
+        rows = written(rows.join(sizes, "p"), "open-groups")
+        if rows.isEmpty():
+            return components
+        few = F.col("cross") <= allowed * F.col("members")
+        allowed *= MORE
+        small, large = rows.filter(few), rows.filter(~few)
+        last = small.join(_others(small), "p").filter(f"x < y and component <> c and {POSSIBLE}").select(F.col("y").alias("p"), "x")
+        pairs = last.union(_tight_pairs(large)).union(_central_pairs(large)).distinct().withColumn("last", F.lit(True))
+        if not large.isEmpty():
+            rest = _with_texts(large, kept_texts).mapInArrow(_beyond, "p long, x long, rest array<long>")
+            members = written(_open_buckets(_shared_beyond(rest, large)), "bucket-members")
+            pairs = _pivot_pairs(members).withColumn("last", F.lit(False)).union(pairs).groupBy("p", "x").agg(F.min("last").alias("last"))
         pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = confirmed(pairs, kept_texts)
-        if components is not None:
-            found = found.union(components.toDF("u", "v"))
-        components = connected_components(found)
-        members = written(placed.select("key", "rep").join(chosen.select("key", "rep"), ["key", "rep"], "left_anti"), "bucket-members")
-        pivots *= 2
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
