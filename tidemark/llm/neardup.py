@@ -185,7 +185,7 @@ def _shared_beyond(rest: DataFrame, rows: DataFrame) -> DataFrame:
     group, the last t - 1 may therefore be left out: those that most of the group
     holds. Shingles that one member holds alone come first and reveal nothing.
     """
-    single = rest.select("p", "x", F.explode("rest").alias("s"))
+    single = written(rest.select("p", "x", F.explode("rest").alias("s")), "beyond-pivots")
     often = single.groupBy("p", "s").agg(F.count("*").alias("f")).filter("f > 1")
     shared = single.join(often, ["p", "s"]).join(rows.select("p", "x", "n_x", "common", "component", "least"), ["p", "x"])
     member = Window.partitionBy("p", "x")
