@@ -43,6 +43,22 @@ def test_quality_removes_shared_lines_and_spares_copies(spark):
     assert clean[0].text == body(0) and clean[0].n_chars == len(body(0)) and 200 not in clean
 
 
+def test_quality_removes_boilerplate_of_many_lines(spark):
+    """Lines that sort low or protect one another, on some documents of a host and on all; near copies stay."""
+    body = lambda k: "\n".join(" ".join(f"w{k}x{j}x{i}" for i in range(20)) for j in range(6))
+    low = ["1 about us", "accept cookies", "all rights reserved"]
+    rows = [(k, "\n".join([*low, body(k)]), "h") for k in range(40)]
+    edited = lambda k: "\n".join(x + (f" e{k}" if j == k % 6 else "") for j, x in enumerate(body(500).split("\n")))
+    rows += [(100 + k, edited(k), "h") for k in range(30)]
+    rows += [(200 + k, "\n".join([f"{n} menu entry of this host" for n in range(20)] + [" ".join(f"v{k}x{i}" for i in range(50))]), "all") for k in range(30)]
+    rows += [(300 + k, "\n".join(["0 shared line", *body(300 + k % 12).split("\n")]), "copies") for k in range(2400)]
+    got = {r.doc_id: r for r in quality.cross_document_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {got[k].n_removed_words for k in range(40)} == {8} and all(got[k].kept for k in range(40))
+    assert {got[100 + k].n_removed_words for k in range(30)} == {0} and all(got[100 + k].kept for k in range(30))
+    assert {got[200 + k].n_removed_words for k in range(30)} == {120} and not any(got[200 + k].kept for k in range(30))
+    assert {got[300 + k].n_removed_words for k in range(2400)} == {3}
+
+
 def test_repeated_words_by_brute_force(spark):
     texts = ["a a a a", "a b c d a b c", "x y z", "x y", "a b a b a b q r s t q r s", "p q r p q r p q"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s"))

@@ -1,13 +1,16 @@
 """Quality rules: text statistics and lines that recur across a host's documents (DataFrame functions only).
 
 ``cross_document_lines`` hashes normalised lines (lower case, white space runs
-as one space, trimmed), counts the distinct documents of each host (``source``)
-that hold them, and calls a line frequent if that count is at least
-``min_docs`` and ``max_share`` of the host's rows. Equal texts count once. A
-line most of whose documents (over half) share their first other line in string
-order is the body of one family of near copies, not a line of the host, and is
-left alone. Frequent lines are removed; a document is rejected when over
-``max_removed`` of its words went with them, or when a base rule fails.
+as one space, trimmed), counts the distinct texts of each host (``source``)
+that hold them, and calls a line recurring if that count is at least
+``min_docs`` and ``max_share`` of the host's distinct texts. A recurring line is
+frequent unless over half of its texts are near copies of one another: the body
+of a document that was copied often is not a line of the host. Texts are of one
+family if they share their least line that does not recur. Only a text that is
+a near copy as a whole (recurring lines hold over half of its words, or over six
+sevenths for a line on over half of the host's texts) is of the family of its
+least other recurring line. Frequent lines are removed; a document is rejected
+when over ``max_removed`` of its words went with them, or when a base rule fails.
 
 Defined cases: null text counts as empty and fails the base rule; a null source
 is the host of that name ''; repeated rows get equal verdicts; other columns
@@ -26,6 +29,7 @@ MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
 MAX_SHARE = 0.005
 MAX_REMOVED = 0.5
+COPY_PARTS = 7  # near copies that share three quarters of their words in all have under a seventh of their own
 WINDOW = 3
 
 
@@ -66,38 +70,47 @@ def _row_keys() -> list[Column]:
     return [F.xxhash64("doc_id", "source", "text").alias("_k1"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("_k2")]
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """A row for each line of each text that is not empty, with its host and words."""
+    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), _normal), lambda x: x != "")
+    cells = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("_line"), F.size(F.split(x, " ")).cast("long").alias("_words")))
+    # the row's number is taken before the lines are exploded
+    held = df.filter(F.col("text").isNotNull()).select(_host(), *_row_keys(), F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_text"), cells.alias("_cells"))
+    return held.select("_host", "_k1", "_k2", "_row", "_text", F.explode("_cells").alias("_x")).select("_host", "_k1", "_k2", "_row", "_text", "_x.*")
+
+
+def _host() -> Column:
+    return F.coalesce(F.col("source"), F.lit("")).alias("_host")
+
+
 def frequent_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(_k1, _k2, line hashes, words removed) of the documents that hold frequent lines of their host."""
-    host = F.coalesce(F.col("source"), F.lit(""))
-    lines = F.filter(F.transform(F.split(F.col("text"), "\n"), _normal), lambda x: x != "")
-    held = df.filter(F.col("text").isNotNull()).select(host.alias("_host"), "doc_id", "source", "text", lines.alias("_lines"))
-    counted = (
-        held.select("_host", F.explode(F.transform("_lines", lambda x: F.xxhash64(x))).alias("_line"))
-        .groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    )
-    rows = df.groupBy(host.alias("_host")).agg(F.count("*").alias("_rows"))
-    # a line's number of documents is at most its number of places: this only narrows the exact count below
-    candidates = written(counted.filter(F.col("_n") >= min_docs).join(rows, "_host").filter(F.col("_n") >= max_share * F.col("_rows")).select("_host", "_line", "_rows"), "line-candidates")
-
-    distinct = F.array_distinct("_lines")
-    first = held.select("_host", *_row_keys(), F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_text"), "_lines", F.array_min(distinct).alias("_min"), F.array_min(F.array_remove(distinct, F.array_min(distinct))).alias("_next"))
-    placed = first.select(
-        "_host", "_k1", "_k2", "_row", "_text",
-        F.explode(F.transform("_lines", lambda x: F.struct(
-            F.xxhash64(x).alias("line"),
-            F.xxhash64(F.when(x == F.col("_min"), F.col("_next")).otherwise(F.col("_min"))).alias("family"),
-            F.size(F.split(x, " ")).cast("long").alias("words"),
-        ))).alias("_x"),
-    )
-    placed = placed.select("_host", "_k1", "_k2", "_row", "_text", F.col("_x.line").alias("_line"), F.col("_x.family").alias("_family"), F.col("_x.words").alias("_words"))
+    placed = _placed(df)
+    counted = placed.groupBy("_host", "_line").agg(F.count("*").alias("_n"))
+    sizes = df.filter(F.col("text").isNotNull()).select(_host(), F.xxhash64("text").alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    # a line's number of texts is at most its number of places: this only narrows the exact count below
+    candidates = written(counted.filter(F.col("_n") >= min_docs).join(sizes, "_host").filter(F.col("_n") >= max_share * F.col("_texts")).select("_host", "_line", "_texts"), "line-candidates")
     hits = written(placed.join(candidates, ["_host", "_line"]), "line-hits")
-
+    exact = hits.select("_host", "_line", "_texts", "_text").distinct().groupBy("_host", "_line", "_texts").agg(F.count("*").alias("_docs"))
+    recurring = written(exact.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= max_share * F.col("_texts"))), "recurring-lines")
+
+    known = recurring.select("_host", "_line", F.lit(True).alias("_known"))
+    own = F.col("_known").isNull()
+    texts = (
+        placed.join(known, ["_host", "_line"], "left").groupBy("_host", "_text")
+        .agg(F.min(F.when(own, F.col("_line"))).alias("_own"), F.sum(F.when(own, F.col("_words")).otherwise(0)).alias("_own_words"), F.sum("_words").alias("_all_words"))
+        .filter(F.col("_own_words") < F.col("_all_words"))
+    )
+    shared = hits.select("_host", "_line", "_text").distinct().join(recurring, ["_host", "_line"])
+    least = shared.groupBy("_host", "_text").agg(F.array_sort(F.collect_set("_line")).alias("_s")).select("_host", "_text", F.get("_s", F.lit(0)).alias("_first"), F.get("_s", F.lit(1)).alias("_second"))
+    parts = F.when(2 * F.col("_docs") > F.col("_texts"), COPY_PARTS).otherwise(2)
+    other = F.when(parts * F.col("_own_words") < F.col("_all_words"), F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
     families = (
-        hits.select("_host", "_line", "_rows", "_family", "_text").distinct()
-        .groupBy("_host", "_line", "_rows", "_family").agg(F.count("*").alias("_n"))
-        .groupBy("_host", "_line", "_rows").agg(F.sum("_n").alias("_docs"), F.max("_n").alias("_largest"))
+        shared.join(least, ["_host", "_text"]).join(texts, ["_host", "_text"]).withColumn("_family", F.coalesce(other, F.col("_own")))
+        .groupBy("_host", "_line", "_docs", "_family").agg(F.count("*").alias("_n"))
+        .groupBy("_host", "_line", "_docs").agg(F.max("_n").alias("_largest"))
     )
-    frequent = families.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= max_share * F.col("_rows")) & (2 * F.col("_largest") <= F.col("_docs")))
+    frequent = families.filter(2 * F.col("_largest") <= F.col("_docs"))
     one = hits.join(frequent.select("_host", "_line"), ["_host", "_line"]).groupBy("_k1", "_k2", "_row").agg(F.collect_set("_line").alias("_hits"), F.sum("_words").alias("_removed"))
     # equal rows have equal entries
     return one.groupBy("_k1", "_k2").agg(F.first("_hits").alias("_hits"), F.first("_removed").alias("_removed"))
