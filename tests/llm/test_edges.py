@@ -196,6 +196,24 @@ def test_templates_go_and_copied_articles_stay(spark):
         assert got[3] == "text 3 of its own" and got[100] == "copied article\nits second part"
 
 
+def test_templates_of_many_blocks_go(spark):
+    """Template blocks that outnumber a page's own; near copies, and a host of mostly equal pages, as well."""
+    menu = lambda h: "".join(f"<div>menu entry {n} of {h}</div>" for n in range(20))
+    own = lambda k: "".join(f"<div>own text {j} of page {k}</div>" for j in range(5))
+    text = lambda k: "\n".join(f"own text {j} of page {k}" for j in range(5))
+    edited = lambda k: "".join(f"<div>copied part {j}{f' edit {k}' if j == k % 5 else ''}</div>" for j in range(5))
+    rows = [(h * 100 + k, f"http://h{h}.x/", f"<body>{menu(h)}{own(k)}</body>") for h in range(6) for k in range(30)]
+    rows += [(1000 + k, "http://h0.x/", f"<body>{menu(0)}{edited(k)}</body>") for k in range(15)]
+    rows += [(2000 + k, "http://e.x/", f"<body>{menu('e')}{own(k % 12)}</body>") for k in range(300)]
+    rows += [(3000 + k, "http://e.x/", "<body><div>one page</div></body>") for k in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (html.BROADCAST_ROWS, 0):
+        got = {r.page_id: r.text for r in html.main_texts(pages, broadcast_rows=limit).collect()}
+        assert all(got[h * 100 + k] == text(k) for h in range(6) for k in range(30))
+        assert all(got[1000 + k].count("copied part") == 5 and "menu" not in got[1000 + k] for k in range(15))
+        assert all(got[2000 + k] == text(k % 12) for k in range(300)) and got[3000] == "one page"
+
+
 def test_tokens(docs):
     from tokenizers import Tokenizer
 

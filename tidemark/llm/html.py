@@ -3,9 +3,12 @@
 1. A page is parsed to a tree (lenient: missing and stray end tags, truncated
    pages). Every element's subtree gets a hash of its tags and text.
 2. Spark counts, for each host, on how many pages with different text a subtree
-   occurs. One on at least ``MIN_PAGES`` and ``MIN_SHARE`` of the host's pages is
-   template, unless over half of these pages are copies of one another (they
-   share their least other block): then it is content that was published twice.
+   and a text block occur. One on at least ``MIN_PAGES`` and ``MIN_SHARE`` of the
+   host's different pages recurs. A recurring subtree is template, unless over half
+   of its pages are copies of one another: then it is content that was published
+   twice. Pages are copies if they share their least block that does not recur. Only
+   a page with little text in such blocks (under half; under a seventh for a subtree
+   on over half of the host's pages) goes by its least recurring block elsewhere.
 3. Template subtrees are deleted. Elements that carry a boilerplate role by tag,
    ``role`` or class (menus, headers, footers, sidebars, notices, adverts, forms,
    scripts, styles, comments) go too: a host may have too few pages to count.
@@ -37,6 +40,7 @@ from .urls import url_parts
 
 MIN_PAGES = 5
 MIN_SHARE = 0.1
+COPY_PARTS = 7  # near copies that share three quarters of their text in all have under a seventh of their own
 BROADCAST_ROWS = 1_000_000
 
 #: Fixed values of HTML: elements without content, with raw content, that break text, that end an open element of their kind.
@@ -193,68 +197,107 @@ def _block_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, item, page) of each subtree and block, and one row without an item for the page itself."""
     for batch in batches:
-        hosts, trees, families, prints = [], [], [], []
+        hosts, items, prints = [], [], []
         for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             page = Page(html or "")
-            hashes = page.subtrees()
-            ends = list(range(len(page.tags)))
-            for k in range(len(ends) - 1, 0, -1):
-                ends[page.parents[k]] = max(ends[page.parents[k]], ends[k])
-            blocks = sorted((_block_hash(b), o) for o, b in page.blocks)
-            whole = _block_hash("\n".join(b for _, b in page.blocks))
-            for subtree, k in {h: k for k, h in hashes.items()}.items():
-                hosts.append(host)
-                trees.append(subtree)
-                families.append(next((b for b, o in blocks if not k <= o <= ends[k]), 0))
-                prints.append(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (trees, families, prints)]], names=["host", "subtree", "family", "page"])
-
-
-def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) of the template elements; pages: host, html."""
-    rows = pages.mapInArrow(_subtree_rows, "host string, subtree long, family long, page long")
-    counted = (
-        rows.distinct().groupBy("host", "subtree", "family").agg(F.count("*").alias("n"))
-        .groupBy("host", "subtree").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
-    )
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counted.filter((F.col("n") >= min_pages) & (2 * F.col("largest") <= F.col("n")))
-    return often.join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+            found = [None, *({*page.subtrees().values()} | {_block_hash(b) for _, b in page.blocks})]
+            hosts += [host] * len(found)
+            items += found
+            prints += [_block_hash("\n".join(b for _, b in page.blocks))] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(items, pa.int64()), pa.array(prints, pa.int64())], names=["host", "item", "page"])
+
+
+def _family_rows(html: str, recurs: Callable[[int], bool]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(subtree, least own block, least recurring block elsewhere, parts, page) of each recurring subtree.
+
+    parts is 2 if under half of the page's text is in own blocks, 7 if under a seventh is, else 0.
+    """
+    page = Page(html)
+    hashes = {h: k for k, h in page.subtrees().items() if recurs(h)}
+    if not hashes:
+        return
+    ends = list(range(len(page.tags)))
+    for k in range(len(ends) - 1, 0, -1):
+        ends[page.parents[k]] = max(ends[page.parents[k]], ends[k])
+    blocks = sorted((_block_hash(b), o, len(b)) for o, b in page.blocks)
+    own = [(b, n) for b, _, n in blocks if not recurs(b)]
+    shared = [(b, o) for b, o, _ in blocks if recurs(b)]
+    mine, whole = sum(n for _, n in own), sum(n for _, _, n in blocks)
+    parts = COPY_PARTS if COPY_PARTS * mine < whole else 2 if 2 * mine < whole else 0
+    print_ = _block_hash("\n".join(b for _, b in page.blocks))
+    for subtree, k in hashes.items():
+        yield subtree, own[0][0] if own else 0, next((b for b, o in shared if not k <= o <= ends[k]), 0), parts, print_
 
 
 def _key(host: str, subtree: int) -> int:
     return _block_hash(f"{host}\x00{subtree}")
 
 
+def _given(hosted: DataFrame, table: DataFrame, broadcast_rows: int) -> tuple[DataFrame, Callable[[str, list[int] | None], Callable[[int], bool]]]:
+    """hosted with _template, and the test of a page's hashes against the (host, subtree) rows of table."""
+    context = hosted.sparkSession.sparkContext
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = table.toArrow()
+        keys = np.unique(np.array([_key(h, s) for h, s in zip(found["host"].to_pylist(), found["subtree"].to_pylist(), strict=True)], np.int64))
+        sent = context.broadcast(frozenset(keys.tolist()))
+        given = hosted.withColumn("_template", F.lit(None).cast("array<long>"))
+    else:  # too many for every task: each page gets its host's by a join
+        sent = context.broadcast(frozenset())
+        by_host = table.groupBy("host").agg(F.collect_list("subtree").alias("_template"))
+        given = hosted.join(by_host, "host", "left")
+
+    def test(host: str, own: list[int] | None) -> Callable[[int], bool]:
+        known, chosen = sent.value, frozenset(own or ())
+        return lambda h: h in chosen or bool(known) and _key(host, h) in known
+
+    return given, test
+
+
+def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(host, subtree) of the template elements; pages: host, html."""
+    rows = pages.mapInArrow(_counted_rows, "host string, item long, page long")
+    counted = rows.distinct().groupBy("host", "item").agg(F.count("*").alias("n"))
+    counted = written(counted.filter(F.col("item").isNull() | (F.col("n") >= min_pages)), "counted-items")
+    sizes = counted.filter("item is null").select("host", F.col("n").alias("pages"))
+    recurring = written(counted.filter("item is not null").join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages")).select("host", F.col("item").alias("subtree"), "n", "pages"), "recurring-items")
+    given, test = _given(pages, recurring.select("host", "subtree"), broadcast_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for host, html, own in zip(*(batch[c].to_pylist() for c in ("host", "html", "_template")), strict=True):
+                out += [(host, *x) for x in _family_rows(html or "", test(host, own))]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(x, pa.int64()) for x in columns[1:]]], names=["host", "subtree", "own", "shared", "parts", "page"])
+
+    families = given.select("host", "html", "_template").mapInArrow(run, "host string, subtree long, own long, shared long, parts long, page long").distinct().join(recurring, ["host", "subtree"])
+    copy = F.col("parts") >= F.when(2 * F.col("n") > F.col("pages"), COPY_PARTS).otherwise(2)
+    counted = (
+        families.groupBy("host", "subtree", F.when(copy, F.col("shared")).otherwise(F.col("own")).alias("family")).agg(F.count("*").alias("n"))
+        .groupBy("host", "subtree").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
+    )
+    return counted.filter(2 * F.col("largest") <= F.col("n")).select("host", "subtree")
+
+
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """pages' columns but html, with text and n_chars (code points)."""
     taken = {"text", "n_chars", "host", "path", "_template"} & {c.lower() for c in pages.columns}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are this operator's own")
     hosted = url_parts(pages).drop("path")
-    template = written(template_subtrees(hosted.select("host", "html"), min_pages, min_share), "template-subtrees")
+    template = written(template_subtrees(hosted.select("host", "html"), min_pages, min_share, broadcast_rows), "template-subtrees")
     schema = pages.drop("html").schema.add("text", "string").add("n_chars", "long")
     names = [c for c in pages.columns if c != "html"]
-
-    if template.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        found = template.toArrow()
-        keys = np.unique(np.array([_key(h, s) for h, s in zip(found["host"].to_pylist(), found["subtree"].to_pylist(), strict=True)], np.int64))
-        sent = pages.sparkSession.sparkContext.broadcast(frozenset(keys.tolist()))
-        given = hosted.withColumn("_template", F.lit(None).cast("array<long>"))
-    else:  # too many for every task: each page gets its host's by a join
-        sent = pages.sparkSession.sparkContext.broadcast(frozenset())
-        by_host = template.groupBy("host").agg(F.collect_list("subtree").alias("_template"))
-        given = hosted.join(by_host, "host", "left")
+    given, test = _given(hosted, template, broadcast_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in batches:
             texts = []
             for host, html, own in zip(*(batch[c].to_pylist() for c in ("host", "html", "_template")), strict=True):
-                chosen = frozenset(own or ())
-                texts.append(Page(html or "").text(lambda h, host=host, chosen=chosen: h in chosen or _key(host, h) in known))
+                texts.append(Page(html or "").text(test(host, own)))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return given.select(*names, *[c for c in ("host", "html", "_template")]).mapInArrow(run, schema)
