@@ -16,6 +16,8 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _run(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    # state on disk: one batch may hold all of the table's keys
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return market.run_available(make(market.events_stream(spark, f"{sf_dir}/events.parquet")), _folder(spark))
 
 
@@ -56,5 +58,4 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS asset, event_id AS seq, epoch_us(ts) // 21600000000 AS period, coalesce(epoch_us(ts) // 21600000000 <> lag(epoch_us(ts) // 21600000000) OVER (PARTITION BY event_type ORDER BY ts, event_id), false) AS rolled FROM events")
 def stream_stateful_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: roll-overs from state by asset."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return _run(spark, sf_dir, market.stateful_ticks).drop("stale_seconds")
