@@ -79,12 +79,8 @@ def test_volatility(frame, series):
             if len(rets) >= 3:
                 mean = sum(rets) / len(rets)
                 want[r[0]] = pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in rets) / len(rets)) * math.sqrt(len(rets) * period / window), rel=1e-6)
-    unique = len({(r[1], r[2]) for r in series if r[3] is not None}) == len([r for r in series if r[3] is not None])
     got = {r.seq: r.vol for r in asof.realized_volatility(frame, ["asset"], "v", window, period, "vol").collect() if r.vol is not None}
-    if unique:
-        assert got == want
-    else:  # rows of one time see each other in a range frame
-        assert set(got) >= set(want)
+    assert got == want
 
 
 def test_asof_and_interval(spark):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Fee rates, the period's length in seconds, volatility defaults and floors.
 TAKER_RATE, MAKER_RATE = 0.07, 0.0175
 PERIOD_SECONDS = 900
-DEFAULT_VOLATILITY = {"btc": 0.20}
+DEFAULT_VOLATILITY = {"btc": 0.15, "eth": 0.20, "sol": 0.35, "xrp": 0.30}
 OTHER_VOLATILITY, LEAST_VOLATILITY = 0.20, 0.03
 
 
@@ -212,24 +212,39 @@ def consensus(osc: Column, n_settled: Column, n_valid: Column, agreement: Column
 
 #: The gates of the three risk configurations (ranges inclusive).
 RISK_CONFIGS: dict[str, dict] = {
-    "backtest": {"mid": (0.25, 0.75), "tte": (180, 700), "spread": 0.04, "min_edge": 0.04, "kelly_fraction": 0.15, "max_per_trade": 0.05, "max_exposure": 0.15, "max_same_direction": 2, "fee_rate": MAKER_RATE, "net_edge_floor": 0.02, "bankroll": 100.0},
-    "paper": {"mid": (0.20, 0.80), "tte": (120, 420), "spread": 0.05, "max_price": 0.60, "min_edge": 0.015, "kelly_fraction": 0.50, "max_per_trade": 0.06, "max_exposure": 0.25, "max_same_direction": 4, "fee_rate": MAKER_RATE, "net_edge_floor": 0.01, "bankroll": 100.0},
-    "live": {"mid": (0.20, 0.80), "tte": (480, 780), "blackout": (600, 660), "spread": 0.05, "min_edge": 0.015, "kelly_fraction": 0.50, "max_per_trade": 0.06, "max_exposure": 0.35, "max_same_direction": 4, "fee_rate": TAKER_RATE, "net_edge_floor": 0.01, "bankroll": 100.0},
+    "backtest": {"mid": (0.25, 0.75), "tte": (180, 700), "spread": 0.04, "min_edge": 0.04, "kelly_fraction": 0.15, "max_per_trade": 0.05, "max_exposure": 0.15, "max_same_direction": 2, "fee_rate": MAKER_RATE, "net_edge_floor": 0.02, "bankroll": 100.0, "stop_share": 0.85},
+    "paper": {"mid": (0.20, 0.80), "tte": (120, 420), "spread": 0.05, "max_price": 0.60, "min_edge": 0.015, "kelly_fraction": 0.50, "max_per_trade": 0.06, "max_exposure": 0.25, "max_same_direction": 4, "fee_rate": MAKER_RATE, "net_edge_floor": 0.01, "bankroll": 100.0, "stop_share": 0.85},
+    "live": {"mid": (0.20, 0.80), "tte": (480, 780), "blackout": (600, 660), "spread": 0.05, "min_edge": 0.015, "kelly_fraction": 0.50, "max_per_trade": 0.06, "max_exposure": 0.35, "max_same_direction": 4, "fee_rate": TAKER_RATE, "net_edge_floor": 0.01, "bankroll": 100.0, "trail": 5.0, "take": 5.0},
 }
 
 
-def gate_reason(config: Mapping, mid: Column, tte: Column, width: Column, side: Column | None = None, tte_scale: float = 1.0) -> Column:
-    """The first reason against an entry, or ok; tte_scale stretches the windows for longer periods."""
+def gate_reason(config: Mapping, mid: Column, tte: Column, width: Column, side: Column | None = None, tte_scale: float = 1.0, held: Column | None = None, exposure: Column | None = None, same_direction: Column | None = None) -> Column:
+    """The first reason against an entry, or ok; tte_scale stretches the windows for longer periods.
+
+    held: whether the contract is in position; exposure: open cost as a share of
+    the bankroll; same_direction: open positions of that side. Left out, they give
+    no reason.
+    """
     low, high = (x * tte_scale for x in config["tte"])
-    reason = F.when(mid.isNull() | tte.isNull(), "missing_data").when(~mid.between(*config["mid"]), "mid_outside_range").when(~tte.between(low, high), "tte_outside_window")
+    reason = F.when(F.lit(False) if held is None else held, "in_position").when(mid.isNull() | tte.isNull(), "missing_data").when(~mid.between(*config["mid"]), "mid_outside_range").when(~tte.between(low, high), "tte_outside_window")
     if "blackout" in config:
         reason = reason.when(tte.between(*(x * tte_scale for x in config["blackout"])), "tte_blackout")
     reason = reason.when(width > config["spread"], "spread_too_wide")
     if "max_price" in config and side is not None:
         reason = reason.when(contract_price(side, mid) > config["max_price"], "price_too_high")
+    if exposure is not None:
+        reason = reason.when(exposure >= config["max_exposure"], "exposure_limit")
+    if same_direction is not None:
+        reason = reason.when(same_direction >= config["max_same_direction"], "max_same_direction")
     return reason.otherwise("ok")
 
 
+def default_volatility(asset: Column) -> Column:
+    """An asset's volatility where none was measured."""
+    known = F.create_map(*[F.lit(x) for pair in DEFAULT_VOLATILITY.items() for x in pair])
+    return F.coalesce(known[asset], F.lit(OTHER_VOLATILITY))
+
+
 # --- labels ---------------------------------------------------------------
 
 

@@ -1,95 +1,146 @@
-"""Nearest-in-time, as-of and interval operators."""
+"""Nearest-in-time, as-of and interval operators.
+
+What looks back in time is a step of ``over_time``: however many horizons a query
+asks for, the rows are shuffled once by key and time bucket, and a table with a
+row for each bucket carries the last known values across the borders.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .ordered import previous_value, with_lookback
+from .ordered import DAY_US, carried_values, time_bucket, with_lookback
 
+#: Rows of a key and bucket, and the window of those, to the rows with more columns.
+Step = Callable[[DataFrame, WindowSpec], DataFrame]
+
+
+def over_time(df: DataFrame, keys: list[str], lookback_us: int, steps: list[Step], known: dict[str, str] | None = None, width_us: int | None = None) -> DataFrame:
+    """df (us, seq, ...) with the columns of the steps, each of which sees a row's key for the lookback before the row.
+
+    known: name -> value adds the last non-null value at or before the row by (us,
+    seq), however old. width_us: a bucket's width; a day, or four lookbacks if
+    that is more.
+    """
+    width = width_us or max(DAY_US, 4 * lookback_us)
+    rows, by = with_lookback(df, lookback_us, width=width), Window.partitionBy(*keys, "_b")
+    for step in steps:
+        rows = step(rows, by)
+    upto = by.orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_seen_{n}": F.last(v, ignorenulls=True).over(upto) for n, v in (known or {}).items()}).filter("not _copy").drop("_copy")
+    if known:
+        ends = df.withColumn("_b", time_bucket(width=width))
+        carried = carried_values(ends, keys, ["us", "seq"], {f"_end_{n}": F.col(v) for n, v in known.items()})
+        rows = rows.join(carried, [*keys, "_b"]).withColumns({n: F.coalesce(f"_seen_{n}", f"_end_{n}") for n in known})
+        rows = rows.drop(*[f"_{k}_{n}" for k in ("seen", "end") for n in known])
+    return rows.drop("_b")
 
-def nearest_before(df: DataFrame, keys: list[str], value: str, horizon_us: int, name: str, inclusive: bool = True) -> DataFrame:
-    """df (us, seq, ...) with the value whose time is nearest to us - horizon, within half a horizon; ties go to the earlier.
+
+def lookback(horizon_us: int) -> int:
+    """How far back the value nearest to a horizon ago may lie."""
+    return horizon_us + horizon_us // 2
+
+
+def nearest(value: str, horizon_us: int, name: str, inclusive: bool = True) -> Step:
+    """The value whose time is nearest to us - horizon, within half a horizon; ties go to the earlier.
 
     The tolerance's edge counts if inclusive. Of rows at one time the first by
-    seq is looked up.
+    seq that has a value is looked up.
     """
     tolerance = horizon_us // 2 if inclusive else (horizon_us - 1) // 2
-    points = df.groupBy(*keys, "us").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("seq"))).alias("_v"))
-    spread = with_lookback(points, horizon_us + tolerance)
-    found = F.when(F.col("_v").isNotNull(), F.struct("us", "_v"))
-    by = Window.partitionBy(*keys, "_b").orderBy("us")
-    earlier = F.last(found, ignorenulls=True).over(by.rangeBetween(-(horizon_us + tolerance), -horizon_us))
-    later = F.first(found, ignorenulls=True).over(by.rangeBetween(-horizon_us, -(horizon_us - tolerance)))
-    looked = spread.select(*keys, "us", "_copy", earlier.alias("_e"), later.alias("_l")).filter("not _copy")
-    target = F.col("us") - horizon_us
-    pick_earlier = F.col("_l").isNull() | (target - F.col("_e.us") <= F.col("_l.us") - target)
-    picked = looked.select(*keys, "us", F.when(F.col("_e").isNotNull() & pick_earlier, F.col("_e._v")).otherwise(F.col("_l._v")).alias(name))
-    return df.join(picked, [*keys, "us"], "left")
-
-
-def momentum(df: DataFrame, keys: list[str], value: str, horizon_us: int, name: str, inclusive: bool = True) -> DataFrame:
-    """Last known value minus the one a horizon ago, rounded to 6."""
-    looked = nearest_before(df, keys, value, horizon_us, "_then", inclusive)
-    looked = previous_value(looked, keys, ["us", "seq"], F.col(value), "_before")
-    return looked.withColumn(name, F.round(F.coalesce(F.col(value), F.col("_before")) - F.col("_then"), 6)).drop("_then", "_before")
-
-
-def trend(df: DataFrame, keys: list[str], value: str, horizon_us: int, name: str) -> DataFrame:
+
+    def step(rows: DataFrame, by: WindowSpec) -> DataFrame:
+        at, known = by.orderBy("us"), F.col(value).isNotNull()
+        point = F.struct("us", F.col(value).alias("v"))
+        earlier = F.max_by(point, F.when(known, F.struct(F.col("us"), -F.col("seq")))).over(at.rangeBetween(-(horizon_us + tolerance), -horizon_us))
+        later = F.min_by(point, F.when(known, F.struct("us", "seq"))).over(at.rangeBetween(-horizon_us + 1, -(horizon_us - tolerance)))
+        target = F.col("us") - horizon_us
+        first = F.col("_l").isNull() | (target - F.col("_e.us") <= F.col("_l.us") - target)
+        looked = rows.withColumns({"_e": earlier, "_l": later})
+        return looked.withColumn(name, F.when(F.col("_e").isNotNull() & first, F.col("_e.v")).otherwise(F.col("_l.v"))).drop("_e", "_l")
+
+    return step
+
+
+def nearest_before(df: DataFrame, keys: list[str], value: str, horizon_us: int, name: str, inclusive: bool = True) -> DataFrame:
+    """df with the value nearest to a horizon ago."""
+    return over_time(df, keys, lookback(horizon_us), [nearest(value, horizon_us, name, inclusive)])
+
+
+def momentum(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int], inclusive: bool = True) -> DataFrame:
+    """For each name and horizon: last known value minus the one a horizon ago, rounded to 6."""
+    steps = [nearest(value, h, f"_then_{n}", inclusive) for n, h in horizons_us.items()]
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), steps, {"_now": value})
+    moved = looked.withColumns({n: F.round(F.col("_now") - F.col(f"_then_{n}"), 6) for n in horizons_us})
+    return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
+
+
+def percent_change(now: str, then: str) -> Column:
+    return F.when(F.col(then) > 0, (F.col(now) - F.col(then)) / F.col(then) * 100)
+
+
+def trend(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int]) -> DataFrame:
     """Change in percent against the value a horizon ago (strict tolerance), as of the last known value."""
-    looked = nearest_before(df, keys, value, horizon_us, "_then", inclusive=False)
-    looked = previous_value(looked, keys, ["us", "seq"], F.col(value), "_before")
-    now = F.coalesce(F.col(value), F.col("_before"))
-    return looked.withColumn(name, F.when(F.col("_then") > 0, (now - F.col("_then")) / F.col("_then") * 100)).drop("_then", "_before")
+    steps = [nearest(value, h, f"_then_{n}", inclusive=False) for n, h in horizons_us.items()]
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), steps, {"_now": value})
+    moved = looked.withColumns({n: percent_change("_now", f"_then_{n}") for n in horizons_us})
+    return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
 
 
-def realized_volatility(df: DataFrame, keys: list[str], value: str, window_us: int, period_us: int, name: str, least: int = 3) -> DataFrame:
-    """Population deviation of the percent returns within the window, scaled to a period; null below ``least`` returns.
+def volatility(value: str, window_us: int, period_us: int, name: str, least: tuple[int, int, int] = (0, 0, 3), history_us: int | None = None) -> Step:
+    """Population deviation of the percent returns within the window, scaled to a period.
 
     Both ends of a return lie in (now - window, now]: the frame's sums less its
-    first row's return.
+    first row's return. Null below the least values in (now - history, now], values
+    in the window, and returns; null as well where the row has no value.
     """
-    rows = previous_value(df, keys, ["us", "seq"], F.col(value), "_before")
-    rows = rows.withColumn("_r", F.when((F.col(value).isNotNull()) & (F.col("_before") > 0), (F.col(value) - F.col("_before")) / F.col("_before") * 100))
-    points = rows.filter(F.col(value).isNotNull()).select(*keys, "us", "seq", "_r")
-    spread = with_lookback(points, window_us)
-    frame = Window.partitionBy(*keys, "_b").orderBy("us").rangeBetween(-(window_us - 1), 0)
-    first = F.first(F.struct("_r")).over(frame)["_r"]
-    n, total, square = F.count("_r").over(frame), F.sum("_r").over(frame), F.sum(F.col("_r") * F.col("_r")).over(frame)
-    sums = spread.select(*keys, "us", "seq", "_copy", n.alias("_n"), total.alias("_s"), square.alias("_q"), first.alias("_f")).filter("not _copy")
-    has = F.col("_f").isNotNull().cast("int")
-    count, s, q = F.col("_n") - has, F.col("_s") - F.coalesce("_f", F.lit(0.0)), F.col("_q") - F.coalesce(F.col("_f") * F.col("_f"), F.lit(0.0))
-    variance = F.greatest(q / F.nullif(count, F.lit(0)) - F.pow(s / F.nullif(count, F.lit(0)), 2), F.lit(0.0))
-    scaled = F.when(count >= least, F.sqrt(variance) * F.sqrt(count * (period_us / window_us)))
-    return df.join(sums.select(*keys, "us", "seq", scaled.alias(name)), [*keys, "us", "seq"], "left")
-
-
-def asof_intervals(states: DataFrame, at: str, keys: list[str]) -> DataFrame:
-    """states with from_us and to_us: valid until the next state of the key."""
-    by = Window.partitionBy(*keys).orderBy(at)
-    return states.withColumn("from_us", F.col(at)).withColumn("to_us", F.lead(at).over(by))
+
+    def step(rows: DataFrame, by: WindowSpec) -> DataFrame:
+        v, ordered, at = F.col(value), by.orderBy("us", "seq"), by.orderBy("us")
+        before = F.last(value, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_before", before).withColumn("_r", F.when(v.isNotNull() & (F.col("_before") > 0), (v - F.col("_before")) / F.col("_before") * 100))
+        frame = at.rangeBetween(-(window_us - 1), 0)
+        first = F.min_by(F.struct("_r"), F.when(v.isNotNull(), F.struct("us", "seq"))).over(frame)["_r"]
+        r = F.col("_r")
+        sums = {"_n": F.count(r).over(frame), "_s": F.sum(r).over(frame), "_q": F.sum(r * r).over(frame), "_f": first, "_values": F.count(v).over(frame), "_held": F.count(v).over(at.rangeBetween(-((history_us or window_us) - 1), 0))}
+        rows = rows.withColumns(sums)
+        count, f = F.col("_n") - F.col("_f").isNotNull().cast("int"), F.coalesce("_f", F.lit(0.0))
+        some = F.nullif(count, F.lit(0))
+        variance = F.greatest((F.col("_q") - f * f) / some - F.pow((F.col("_s") - f) / some, 2), F.lit(0.0))
+        enough = v.isNotNull() & (F.col("_held") >= least[0]) & (F.col("_values") >= least[1]) & (count >= least[2])
+        return rows.withColumn(name, F.when(enough, F.sqrt(variance) * F.sqrt(count * (period_us / window_us)))).drop(*sums, "_before", "_r")
+
+    return step
+
+
+def realized_volatility(df: DataFrame, keys: list[str], value: str, window_us: int, period_us: int, name: str, least: tuple[int, int, int] = (0, 0, 3), history_us: int | None = None) -> DataFrame:
+    """df with the volatility; what lies outside the window and the history isn't read."""
+    return over_time(df, keys, max(window_us, history_us or 0), [volatility(value, window_us, period_us, name, least, history_us)])
 
 
 def asof_join(df: DataFrame, states: DataFrame, at: str, keys: list[str], columns: list[str], width_us: int, us: str = "us") -> DataFrame:
     """df with the columns of the latest state at or before us, by an equi-join on time buckets.
 
-    A state stands in the bucket of its own time; each bucket also gets the last
-    state before it, so that one bucket's states answer for its rows.
+    A state is valid until the key's next one and stands in each bucket it
+    reaches; later rows meet the key's last bucket. states has one row for each
+    key and time, and far fewer rows than df, which is read once.
     """
+    by = Window.partitionBy(*keys).orderBy("_at")
+    own = states.select(*keys, F.col(at).alias("_at"), F.struct(*columns).alias("_state")).withColumn("_next", F.lead("_at").over(by))
     div = lambda c: F.call_function("div", c, F.lit(width_us))
-    own = states.select(*keys, F.col(at).alias("_at"), F.struct(*columns).alias("_state")).withColumn("_b", div(F.col("_at")))
-    buckets = df.select(*keys, div(F.col(us)).alias("_b")).distinct()
-    last = own.groupBy(*keys, "_b").agg(F.max_by(F.struct("_at", "_state"), "_at").alias("_last"))
-    steps = buckets.join(last, [*keys, "_b"], "full")
-    carry = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    carried = steps.select(*keys, "_b", carry.alias("_carry"))
-    side = own.select(*keys, "_b", F.col("_at").alias("_t"), F.lit(0).alias("_kind"), F.struct("_at", "_state").alias("_s"))
-    rows = df.withColumn("_b", div(F.col(us))).withColumn("_t", F.col(us)).withColumn("_kind", F.lit(1))
-    both = rows.unionByName(side, allowMissingColumns=True)
-    seen = F.last("_s", ignorenulls=True).over(Window.partitionBy(*keys, "_b").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0))
-    out = both.withColumn("_seen", seen).filter("_kind = 1").join(carried, [*keys, "_b"], "left")
-    state = F.coalesce("_seen", "_carry")["_state"]
-    return out.select(*df.columns, *[state[c].alias(c) for c in columns])
+    reach = own.withColumn("_b", F.explode(F.sequence(div(F.col("_at")), div(F.coalesce(F.col("_next") - 1, F.col("_at"))))))
+    rows = df.withColumn("_one", F.lit(0)).withColumn("_b", div(F.col(us)))
+    ends = states.groupBy(*keys).agg(div(F.max(at)).alias("_last")).withColumn("_one", F.lit(0))
+    rows = rows.join(ends, [*keys, "_one"], "left").withColumn("_b", F.least("_b", "_last"))
+    reach = reach.select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, "_b"]], "_at", "_next", "_state")
+    near = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) if c in keys else F.col(c) == F.col(f"_of_{c}") for c in [*keys, "_b"]]
+    fits = (F.col("_at") <= F.col(us)) & (F.col("_next").isNull() | (F.col(us) < F.col("_next")))
+    for condition in near:
+        fits = fits & condition
+    return rows.join(reach, fits, "left").select(*df.columns, *[F.col("_state")[c].alias(c) for c in columns])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], left_us: str, right_us: str, within_us: int, columns: list[str]) -> DataFrame:

@@ -18,20 +18,27 @@ def time_bucket(us: str = "us", width: int = DAY_US) -> Column:
     return F.call_function("div", F.col(us), F.lit(width))
 
 
+def carried_values(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """(keys, _b, names): for each bucket of rows the last non-null values of the buckets before; one row for each bucket."""
+    ends = rows.groupBy(*keys, "_b").agg(*[F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(n) for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*keys, "_b", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in values])
+
+
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: Column | None = None) -> DataFrame:
-    """df with the last non-null value strictly before each row, over all of the key's rows."""
+    """df with the last non-null value strictly before each row, over all of the key's rows; df is read twice."""
     rows = df.withColumn("_b", time_bucket() if bucket is None else bucket).withColumn("_v", value)
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.filter(F.col("_v").isNotNull()).groupBy(*keys, "_b").agg(F.max_by("_v", F.struct(*order)).alias("_end"))
-    buckets = rows.select(*keys, "_b").distinct().join(ends, [*keys, "_b"], "left")
-    carry = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    carried = buckets.select(*keys, "_b", carry.alias("_carry"))
+    carried = carried_values(rows, keys, order, {"_carry": F.col("_v")})
     seen = rows.withColumn("_prev", F.last("_v", ignorenulls=True).over(local))
-    return seen.join(carried, [*keys, "_b"]).withColumn(name, F.coalesce("_prev", "_carry")).drop("_b", "_v", "_prev", "_carry", "_end")
+    return seen.join(carried, [*keys, "_b"]).withColumn(name, F.coalesce("_prev", "_carry")).drop("_b", "_v", "_prev", "_carry")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, total: str, peak: str | None = None, bucket: Column | None = None) -> DataFrame:
-    """df with the running sum of value and, if named, that sum's running maximum (at least 0)."""
+    """df with the running sum of value and, if named, that sum's running maximum (at least 0); df is read twice.
+
+    order must be total: rows that tie in it may be summed in either order.
+    """
     rows = df.withColumn("_b", time_bucket() if bucket is None else bucket).withColumn("_v", value)
     local = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_sum", F.sum("_v").over(local))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.staging import staged
 
 #: Seconds of a period: the short one for structure, the long one for whatever is labelled.
 SHORT, LONG = 900, 21_600
 
+#: The traded assets that the event types stand for; the last one has none.
+STANDS_FOR = {"click": "btc", "error": "eth", "purchase": "sol", "signup": "xrp"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,8 +30,8 @@ def ticks(spark: SparkSession, sf_dir: str, period: int = LONG) -> DataFrame:
     )
     base = base.withColumn("period_id", F.call_function("div", F.col("us"), F.lit(micros)))
     base = base.withColumn("ticker", F.concat(F.lit("KX"), F.upper("asset"), F.lit("15M-"), F.col("period_id").cast("string"), F.lit("-00")))
-    strikes = base.groupBy("asset", "period_id").agg(F.min_by("real_price", F.struct("us", "seq")).alias("floor_strike"))
-    out = base.join(strikes, ["asset", "period_id"]).withColumn("tte", ((F.col("period_id") + 1) * micros - F.col("us")) / 1e6)
+    opening = Window.partitionBy("asset", "period_id").orderBy("us", "seq")
+    out = base.withColumn("floor_strike", F.first("real_price").over(opening)).withColumn("tte", ((F.col("period_id") + 1) * micros - F.col("us")) / 1e6)
     bid, ask = F.col("yes_bid"), F.col("yes_ask")
     return out.withColumns({
         "mid": S.mid_price(bid, ask), "spread": S.spread(bid, ask), "pvs": S.price_vs_strike(F.col("real_price"), F.col("floor_strike")),
@@ -37,8 +41,14 @@ def ticks(spark: SparkSession, sf_dir: str, period: int = LONG) -> DataFrame:
 
 def settlements(t: DataFrame, period: int = LONG) -> DataFrame:
     """asset, ticker, period_id, settle_us, result: YES if a period's last price is at least its first."""
-    last = t.groupBy("asset", "ticker", "period_id").agg(F.max_by("real_price", F.struct("us", "seq")).alias("last"), F.first("floor_strike").alias("floor_strike"))
-    return last.select("asset", "ticker", "period_id", ((F.col("period_id") + 1) * period * 1_000_000).alias("settle_us"), F.when(F.col("last") >= F.col("floor_strike"), "YES").otherwise("NO").alias("result"))
+    order = F.struct("us", "seq")
+    last = t.groupBy("asset", "ticker", "period_id").agg(F.max_by("real_price", order).alias("last"), F.min_by("real_price", order).alias("strike"))
+    return last.select("asset", "ticker", "period_id", ((F.col("period_id") + 1) * period * 1_000_000).alias("settle_us"), F.when(F.col("last") >= F.col("strike"), "YES").otherwise("NO").alias("result"))
+
+
+def settled(spark: SparkSession, sf_dir: str, period: int = LONG) -> DataFrame:
+    """The settlements as a staged table: a row for each contract, from one pass over the ticks."""
+    return staged(settlements(ticks(spark, sf_dir, period), period), "settlements")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +56,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     status = F.col("o_orderstatus")
     out = lines.join(orders.select("o_orderkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("asset"),
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("asset"),
         F.when(F.col("l_linestatus") == "O", "YES").otherwise("NO").alias("side"), F.col("l_quantity").alias("contracts"), (F.col("l_discount") * 10).alias("price"),
         F.when(status == "F", F.lit(False)).when(status == "O", F.lit(True)).alias("won_yes"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.date_format("l_shipdate", "yyyy-MM").alias("period"),
     )
@@ -76,7 +86,7 @@ def fee_sql(contracts: str, price: str, rate: float) -> str:
 
 
 def ledger_sql() -> str:
-    return f"""WITH joined AS (SELECT l_orderkey AS id, l_linenumber AS line, l_returnflag AS asset, CASE WHEN l_linestatus = 'O' THEN 'YES' ELSE 'NO' END AS side, l_quantity AS contracts, l_discount * 10 AS price,
+    return f"""WITH joined AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_returnflag AS asset, CASE WHEN l_linestatus = 'O' THEN 'YES' ELSE 'NO' END AS side, l_quantity AS contracts, l_discount * 10 AS price,
  CASE o_orderstatus WHEN 'F' THEN false WHEN 'O' THEN true END AS won_yes, epoch_us(l_shipdate) AS us, strftime(l_shipdate, '%Y-%m') AS period FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 charged AS (SELECT *, {fee_sql('contracts', 'price', 0.07)} AS fee FROM joined),
 ledger AS (SELECT *, CASE WHEN won_yes IS NOT NULL THEN round((CASE WHEN side = 'YES' THEN 1 ELSE -1 END) * (CASE WHEN won_yes THEN contracts * (1 - price) ELSE -contracts * price END) - fee, 4) + 0.0 END AS pnl FROM charged)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof
 from ..operators.ordered import DAY_US, running
-from .bindings import LONG, SHORT, fee_sql, settled_sql, settlements, ticks
+from ..sources.staging import staged
+from .bindings import LONG, SHORT, STANDS_FOR, fee_sql, settled, settled_sql, ticks
 from .registry import query
-from .ticks import _HISTORY, _MICRO, _NOW, VOL_WINDOW, nearest_sql, settlement_states
+from .ticks import _HISTORY, _MICRO, _NOW, _VOL, VOL_HISTORY, VOL_SQL, latest_states, nearest_sql, tick_volatility
 
 SLOT_US = 3600 * _MICRO
 SCALE = LONG / SHORT  # the gates' windows are for short periods
@@ -32,27 +33,28 @@ def norm_cdf_sql(z: str) -> str:
 
 _FEATURES = settled_sql() + _HISTORY + f""", now AS (SELECT *, {_NOW.format(c='real_price')} AS cur FROM ticks),
 trends AS (SELECT now.*, CASE WHEN a.v > 0 THEN (cur - a.v) / a.v * 100 END AS trend15, CASE WHEN b.v > 0 THEN (cur - b.v) / b.v * 100 END AS trend30 FROM now LEFT JOIN {nearest_sql('real_price', 900, False)} a USING (asset, us) LEFT JOIN {nearest_sql('real_price', 1800, False)} b USING (asset, us)),
-r AS (SELECT seq, asset, us, CASE WHEN lag(real_price) OVER w > 0 THEN (real_price - lag(real_price) OVER w) / lag(real_price) OVER w * 100 END AS r, lag(us) OVER w AS before_us FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY us, seq)),
-v AS (SELECT a.seq, count(b.r) AS n, stddev_pop(b.r) AS sd FROM r a LEFT JOIN r b ON a.asset = b.asset AND b.us <= a.us AND b.us > a.us - {VOL_WINDOW * _MICRO} AND b.before_us > a.us - {VOL_WINDOW * _MICRO} GROUP BY a.seq),
+{_VOL},
 st AS (SELECT t.seq, arg_max(s.rate4, s.r) AS rate4, arg_max(s.osc, s.r) AS osc, max(s.r) AS n_settled FROM ticks t LEFT JOIN states s ON s.settle_us <= t.us GROUP BY t.seq),
-feats AS (SELECT t.*, CASE WHEN n >= 3 THEN sd * sqrt(n * ({SHORT} / {VOL_WINDOW}::DOUBLE)) END AS vol, rate4, osc, coalesce(n_settled, 0) AS n_settled FROM trends t JOIN v USING (seq) JOIN st USING (seq))
+feats AS (SELECT t.*, {VOL_SQL} AS vol, rate4, osc, coalesce(n_settled, 0) AS n_settled FROM trends t JOIN v USING (seq) JOIN st USING (seq))
 """
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks with trend15, trend30, vol, and the settlement state known at the time (rate4, osc, n_settled)."""
-    t = ticks(spark, sf_dir)
-    for name, h in (("trend15", 900), ("trend30", 1800)):
-        t = asof.trend(t, ["asset"], "real_price", h * _MICRO, name)
-    t = asof.realized_volatility(t, ["asset"], "real_price", VOL_WINDOW * _MICRO, SHORT * _MICRO, "vol")
-    states = settlement_states(settlements(ticks(spark, sf_dir))).withColumn("_one", F.lit(0))
-    states = running(states, ["_one"], ["settle_us", "asset", "ticker"], F.lit(1), "n_settled", bucket=F.call_function("div", F.col("settle_us"), F.lit(DAY_US)))
-    latest = states.groupBy("settle_us").agg(F.max_by(F.struct("rate4", "osc", "n_settled"), F.struct("asset", "ticker")).alias("s")).select("settle_us", "s.*")
-    t = asof.asof_join(t, latest, "settle_us", [], ["rate4", "osc", "n_settled"], LONG * _MICRO)
+def features(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+    """Ticks with trend15, trend30, vol, and the settlement state known at the time (rate4, osc, n_settled).
+
+    The ticks are read twice: once for all that looks back, once for the last
+    prices that cross buckets. results: staged settlements.
+    """
+    steps = [asof.nearest("real_price", h * _MICRO, f"_then{m}", inclusive=False) for m, h in ((15, 900), (30, 1800))]
+    t = asof.over_time(ticks(spark, sf_dir), ["asset"], VOL_HISTORY * _MICRO, [*steps, tick_volatility()], {"_now": "real_price"})
+    t = t.withColumns({f"trend{m}": asof.percent_change("_now", f"_then{m}") for m in (15, 30)}).drop("_now", "_then15", "_then30")
+    states = latest_states(settled(spark, sf_dir) if results is None else results)
+    t = asof.asof_join(t, states, "settle_us", [], ["rate4", "osc", "n_settled"], LONG * _MICRO)
     return t.withColumn("n_settled", F.coalesce(F.col("n_settled").cast("long"), F.lit(0).cast("long")))
 
 
-_Z = f"(pvs / (greatest(coalesce(vol, 0.2::DOUBLE), 0.03::DOUBLE) / sqrt(900.0::DOUBLE) * sqrt(greatest(tte, 1.0::DOUBLE))))"
+_DEFAULT = "CASE asset " + " ".join(f"WHEN '{a}' THEN {S.DEFAULT_VOLATILITY[x]}::DOUBLE" for a, x in STANDS_FOR.items()) + f" ELSE {S.OTHER_VOLATILITY}::DOUBLE END"
+_Z = f"(pvs / (greatest(coalesce(vol, {_DEFAULT}), 0.03::DOUBLE) / sqrt(900.0::DOUBLE) * sqrt(greatest(tte, 1.0::DOUBLE))))"
 _P1 = clamp_sql(f"({norm_cdf_sql('z')} + {clamp_sql('(coalesce(trend15, 0.0) * 0.05::DOUBLE)', -0.02, 0.02)})", 0.02, 0.98)
 _P = clamp_sql(f"({_P1} + {clamp_sql('(coalesce(ob_imbalance, 0.0) * 0.015::DOUBLE)', -0.01, 0.01)})", 0.02, 0.98)
 _SIGNALS = _FEATURES + f""", zs AS (SELECT *, {_Z} AS z FROM feats), ps AS (SELECT *, {_P} AS p FROM zs),
@@ -62,7 +64,8 @@ signals AS (SELECT *, coalesce(pvs IS NOT NULL AND tte >= 60 AND mid BETWEEN 0.1
 
 def asset_signals(t: DataFrame) -> DataFrame:
     """Features with z, p, valid, conflict and side. Stale time is 0 here: each tick of the binding has a price of its own."""
-    vol = F.coalesce("vol", F.lit(S.OTHER_VOLATILITY))
+    traded = F.create_map(*[F.lit(x) for pair in STANDS_FOR.items() for x in pair])[F.col("asset")]
+    vol = F.coalesce(F.col("vol"), S.default_volatility(traded))
     t = t.withColumn("z", S.zscore(F.col("pvs"), F.col("tte"), vol))
     t = t.withColumn("p", S.model_probability(F.col("z"), F.col("trend15"), F.col("ob_imbalance")))
     return t.withColumns({"valid": S.signal_valid(F.col("mid"), F.col("pvs"), F.col("tte"), F.lit(0.0)), "conflict": S.conflict(F.col("p"), F.col("mid")), "side": S.side_of(F.col("p"), F.lit(0.5))})
@@ -80,12 +83,17 @@ cons AS (SELECT *, CASE WHEN n_valid >= 3 THEN greatest(n_yes, n_no) / n_valid::
 """
 
 
-def consensus_of(moments: DataFrame) -> DataFrame:
-    """What the valid signals of one moment say together."""
+def consensus_stats_of(agg) -> dict[str, Column]:
+    """What the valid signals of one moment say together; agg turns an aggregate into a column."""
     valid = F.col("valid")
-    s = moments.groupBy("slot").agg(F.count_if(valid).alias("n_valid"), F.count_if(valid & (F.col("p") > 0.5)).alias("n_yes"), F.count_if(valid & (F.col("p") < 0.5)).alias("n_no"), F.avg(F.when(valid, F.col("z"))).alias("avg_z"))
-    agreement = F.when(F.col("n_valid") >= 3, F.greatest("n_yes", "n_no") / F.col("n_valid")).otherwise(0.5)
-    return s.withColumn("agreement", agreement).withColumn("cside", F.when(F.col("n_yes") > F.col("n_no"), "YES").when(F.col("n_no") > F.col("n_yes"), "NO"))
+    yes, no, n = (agg(F.count_if(c)) for c in (valid & (F.col("p") > 0.5), valid & (F.col("p") < 0.5), valid))
+    return {"n_valid": n, "n_yes": yes, "n_no": no, "avg_z": agg(F.avg(F.when(valid, F.col("z")))), "agreement": F.when(n >= 3, F.greatest(yes, no) / n).otherwise(0.5), "cside": F.when(yes > no, "YES").when(no > yes, "NO")}
+
+
+def with_consensus(moments: DataFrame) -> DataFrame:
+    """Each asset's signal beside its moment's consensus; a moment has one row for each asset."""
+    by = Window.partitionBy("slot")
+    return moments.withColumns(consensus_stats_of(lambda c: c.over(by)))
 
 
 def moments_of(signals: DataFrame) -> DataFrame:
@@ -98,7 +106,8 @@ def moments_of(signals: DataFrame) -> DataFrame:
 @query(_MOMENTS + "SELECT slot, n_valid, n_yes, n_no, round(avg_z, 6) AS avg_z, round(agreement, 6) AS agreement, cside, n_yes || 'Y' || n_no || 'N' AS label FROM cons")
 def consensus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12."""
-    c = consensus_of(moments_of(asset_signals(features(spark, sf_dir))))
+    made = consensus_stats_of(lambda c: c)
+    c = moments_of(asset_signals(features(spark, sf_dir))).groupBy("slot").agg(*[c.alias(n) for n, c in made.items()])
     return c.select("slot", "n_valid", "n_yes", "n_no", F.round("avg_z", 6).alias("avg_z"), F.round("agreement", 6).alias("agreement"), "cside", F.concat(F.col("n_yes").cast("string"), F.lit("Y"), F.col("n_no").cast("string"), F.lit("N")).alias("label"))
 
 
@@ -113,8 +122,7 @@ SELECT seq, mode, round(conf, 6) AS confidence, CASE WHEN mode = 'consensus' THE
 round(CASE WHEN mode = 'consensus' THEN CASE WHEN agreement >= 0.99 THEN 0.025 + least(0.03, 0.015 * abs(z)) ELSE 0.015 + least(0.02, 0.01 * abs(z)) END WHEN mode = 'blend' THEN abs(blended - mid) ELSE 0 END, 6) AS edge FROM modes""")
 def consensus_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid signals of each moment under its consensus."""
-    moments = moments_of(asset_signals(features(spark, sf_dir)))
-    j = moments.filter("valid").join(consensus_of(moments), "slot")
+    j = with_consensus(moments_of(asset_signals(features(spark, sf_dir)))).filter("valid")
     names = ("osc", "n_settled", "n_valid", "agreement", "side", "cside", "p", "z", "mid", "conflict")
     made = S.consensus(*[F.col(c) for c in names])
     return j.select("seq", made.alias("s")).select("seq", F.col("s.mode").alias("mode"), F.round("s.confidence", 6).alias("confidence"), F.col("s.side").alias("side"), F.round("s.edge", 6).alias("edge"))
@@ -193,14 +201,15 @@ def _by_config(value: str) -> Column:
     return out
 
 
-def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def backtest(spark: SparkSession, sf_dir: str, strategy: str = "rule") -> DataFrame:
     """Entries of each configuration with profit, non-compounding.
 
     The first tick of a contract that passes the gates with enough edge enters
     (W15); of a period's entries in one direction the first few stay (W16); each
     is sized on the constant bankroll (P15) and settled (J2, P17).
     """
-    t = with_configs(apply_strategy(features(spark, sf_dir), "rule")).filter("reason = 'ok' and side is not null").filter(F.col("edge") >= _by_config("min_edge"))
+    results = settled(spark, sf_dir)
+    t = with_configs(apply_strategy(features(spark, sf_dir, results), strategy)).filter("reason = 'ok' and side is not null").filter(F.col("edge") >= _by_config("min_edge"))
     first = F.row_number().over(Window.partitionBy("config", "ticker").orderBy("us", "seq"))
     t = t.withColumn("_r", first).filter("_r = 1")
     capped = F.row_number().over(Window.partitionBy("config", "period_id", "side").orderBy("us", "seq"))
@@ -210,10 +219,32 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, c in S.RISK_CONFIGS.items():
         size = F.when(F.col("config") == name, S.kelly_size(F.col("edge"), price, F.col("mid"), F.lit(c["bankroll"]), F.lit(0.0), c)).otherwise(size)
     t = t.withColumn("_s", size).filter("_s.contracts > 0").withColumn("contracts", F.col("_s.contracts"))
-    t = t.join(settlements(ticks(spark, sf_dir)).select("ticker", "result", "settle_us"), "ticker")
+    t = t.join(results.select("ticker", "result", "settle_us"), "ticker")
     fee = F.when(F.col("config") == "live", S.taker_fee(F.col("contracts"), F.col("mid"))).otherwise(S.maker_fee(F.col("contracts"), F.col("mid")))
     t = t.withColumn("fee", fee)
-    return t.withColumn("pnl", S.binary_payoff(F.col("side"), F.col("result") == "YES", F.col("contracts"), F.col("mid"), F.col("fee")))
+    t = t.withColumn("pnl", S.binary_payoff(F.col("side"), F.col("result") == "YES", F.col("contracts"), F.col("mid"), F.col("fee")))
+    return until_stopped(staged(t.select("config", "seq", "us", "ticker", "side", "mid", "edge", "contracts", "fee", "settle_us", "pnl"), "trades"))
+
+
+def until_stopped(trades: DataFrame) -> DataFrame:
+    """Trades entered before their configuration's stop, with the bankroll after each (made) and its best so far (top).
+
+    A share of the start stops a configuration, or a trailing floor or a profit;
+    either is known once the breaching trade settles.
+    """
+    bank = running(trades, ["config"], ["settle_us", "us", "seq"], F.col("pnl"), "made", "top", F.call_function("div", F.col("settle_us"), F.lit(30 * DAY_US)))
+    stop = F.lit(False)
+    for name, c in S.RISK_CONFIGS.items():
+        made, top = F.col("made"), F.col("top")
+        hit = made < c["bankroll"] * (c["stop_share"] - 1) if "stop_share" in c else (made <= top - c["trail"]) | (made >= c["take"])
+        stop = F.when(F.col("config") == name, hit).otherwise(stop)
+    stops = bank.filter(stop).groupBy("config").agg(F.min("settle_us").alias("_stop"))
+    return bank.join(F.broadcast(stops), "config", "left").filter(F.col("_stop").isNull() | (F.col("us") < F.col("_stop"))).drop("_stop")  # a row for each configuration
+
+
+def _stop_sql() -> str:
+    cases = [f"WHEN '{n}' THEN " + (f"made < {c['bankroll'] * (c['stop_share'] - 1)}::DOUBLE" if "stop_share" in c else f"made <= top - {c['trail']}::DOUBLE OR made >= {c['take']}::DOUBLE") for n, c in S.RISK_CONFIGS.items()]
+    return "CASE config " + " ".join(cases) + " END"
 
 
 def _config_sql(value: str) -> str:
@@ -224,7 +255,9 @@ _BACKTEST = _GATED + f""", entered AS (SELECT * FROM gated WHERE reason = 'ok' A
 capped AS (SELECT *, CASE WHEN rside = 'YES' THEN mid ELSE 1 - mid END AS cp, {_config_sql('fee_rate')} AS rate FROM entered QUALIFY row_number() OVER (PARTITION BY config, period_id, rside ORDER BY us, seq) <= {_config_sql('max_same_direction')}),
 usd AS (SELECT *, greatest(least(least({_config_sql('bankroll')} * {_config_sql('kelly_fraction')} * (CASE WHEN (1 - cp) / nullif(cp, 0) > 0 THEN redge / ((1 - cp) / cp) ELSE 0.0 END), {_config_sql('bankroll')} * {_config_sql('max_per_trade')}), {_config_sql('bankroll')} * {_config_sql('max_exposure')} - 0.0), 0.0) AS usd FROM capped),
 n AS (SELECT *, CASE WHEN usd >= cp THEN floor(usd / cp) ELSE 0 END AS n FROM usd), f AS (SELECT *, CASE WHEN n > 0 AND mid > 0 AND mid < 1 THEN ceil(rate * n * mid * (1 - mid) * 100) / 100.0::DOUBLE ELSE 0.0 END AS fee FROM n),
-trades AS (SELECT f.*, s.settle_us, round((CASE WHEN rside = 'YES' THEN 1 ELSE -1 END) * (CASE WHEN s.result = 'YES' THEN n * (1 - mid) ELSE -n * mid END) - fee, 4) + 0.0 AS pnl FROM f JOIN settlements s USING (ticker) WHERE n > 0 AND redge - fee / n >= {_config_sql('net_edge_floor')})
+settling AS (SELECT f.*, s.settle_us, round((CASE WHEN rside = 'YES' THEN 1 ELSE -1 END) * (CASE WHEN s.result = 'YES' THEN n * (1 - mid) ELSE -n * mid END) - fee, 4) + 0.0 AS pnl FROM f JOIN settlements s USING (ticker) WHERE n > 0 AND redge - fee / n >= {_config_sql('net_edge_floor')}),
+made AS (SELECT *, sum(pnl) OVER w AS made FROM settling WINDOW w AS (PARTITION BY config ORDER BY settle_us, us, seq ROWS UNBOUNDED PRECEDING)), tops AS (SELECT *, greatest(0.0, max(made) OVER (PARTITION BY config ORDER BY settle_us, us, seq ROWS UNBOUNDED PRECEDING)) AS top FROM made),
+stops AS (SELECT config, min(settle_us) AS stop FROM tops WHERE {_stop_sql()} GROUP BY config), trades AS (SELECT t.* FROM tops t LEFT JOIN stops s USING (config) WHERE s.stop IS NULL OR t.us < s.stop)
 """
 
 
@@ -234,12 +267,11 @@ def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(spark, sf_dir).select("config", "seq", "ticker", "side", "contracts", "fee", "pnl")
 
 
-@query(_BACKTEST + ", e AS (SELECT *, 100.0 + sum(pnl) OVER w AS bank FROM trades WINDOW w AS (PARTITION BY config ORDER BY settle_us, us, seq ROWS UNBOUNDED PRECEDING)), q AS (SELECT *, greatest(100.0, max(bank) OVER (PARTITION BY config ORDER BY settle_us, us, seq ROWS UNBOUNDED PRECEDING)) AS peak FROM e) SELECT config, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, round(sum(pnl), 4) AS pnl, round(sum(fee), 4) AS fees, round(max((peak - bank) / peak), 6) AS max_drawdown FROM q GROUP BY config")
+@query(_BACKTEST + "SELECT config, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, round(sum(pnl), 4) AS pnl, round(sum(fee), 4) AS fees, round(max((top - made) / (100.0 + top)), 6) AS max_drawdown FROM trades GROUP BY config")
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C5 with W10 and W11 for each configuration."""
-    rows = running(backtest(spark, sf_dir), ["config"], ["settle_us", "us", "seq"], F.col("pnl"), "made", "top", F.call_function("div", F.col("settle_us"), F.lit(30 * DAY_US)))
+    """C5 with W10, W11 and the stops for each configuration."""
     drop = (F.col("top") - F.col("made")) / (100.0 + F.col("top"))
-    return rows.groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.sum("fee"), 4).alias("fees"), F.round(F.max(drop), 6).alias("max_drawdown"))
+    return backtest(spark, sf_dir).groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.sum("fee"), 4).alias("fees"), F.round(F.max(drop), 6).alias("max_drawdown"))
 
 
 # --- evaluation: the rule's probability against outcomes -------------------
@@ -248,8 +280,9 @@ _SCORED = _RULES + ", scored AS (SELECT r.*, CASE WHEN s.result = 'YES' THEN 1 E
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = apply_strategy(features(spark, sf_dir), "rule")
-    outcome = settlements(ticks(spark, sf_dir)).select("ticker", (F.col("result") == "YES").cast("int").alias("y"))
+    results = settled(spark, sf_dir)
+    t = apply_strategy(features(spark, sf_dir, results), "rule")
+    outcome = results.select("ticker", (F.col("result") == "YES").cast("int").alias("y"))
     return t.join(outcome, "ticker")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof
 from ..operators.ordered import DAY_US, previous_value, running
-from .bindings import LONG, SHORT, settled_sql, settlements, ticks, ticks_sql
+from .bindings import LONG, SHORT, settled, settled_sql, settlements, ticks, ticks_sql
 from .registry import query
 
 HORIZONS = (900, 1800, 3600)
@@ -181,8 +181,7 @@ _NOW = "last_value({c} IGNORE NULLS) OVER (PARTITION BY asset ORDER BY us, seq R
 def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change against the mid nearest to a horizon ago, three horizons."""
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "mid")
-    for h in HORIZONS:
-        t = asof.momentum(t, ["asset"], "mid", h * _MICRO, f"mom_{h}")
+    t = asof.momentum(t, ["asset"], "mid", {f"mom_{h}": h * _MICRO for h in HORIZONS})
     return t.select("seq", "asset", *[f"mom_{h}" for h in HORIZONS])
 
 
@@ -190,43 +189,47 @@ def momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percent change against the price a window ago, strict tolerance."""
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "real_price")
-    for h in (900, 1800):
-        t = asof.trend(t, ["asset"], "real_price", h * _MICRO, f"trend_{h}")
+    t = asof.trend(t, ["asset"], "real_price", {f"trend_{h}": h * _MICRO for h in (900, 1800)})
     return t.select("seq", "asset", *[F.round(f"trend_{h}", 6).alias(f"trend_{h}") for h in (900, 1800)])
 
 
 @query(ticks_sql() + ", now AS (SELECT seq, asset, us, " + _NOW.format(c="mid") + " AS cur, count(mid) OVER (PARTITION BY asset ORDER BY us RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS n FROM ticks) SELECT seq, asset, CASE WHEN n >= 5 THEN round(cur - m.v, 6) END AS mid_dir FROM now LEFT JOIN " + nearest_sql("mid", 1800, False) + " m USING (asset, us)")
 def mid_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of the mid, if at least five points lie in the last window."""
-    from ..operators.ordered import with_lookback
-
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "mid")
-    window = LONG * _MICRO
-    frame = Window.partitionBy("asset", "_b").orderBy("us").rangeBetween(-(window - 1), 0)
-    counted = with_lookback(t, window).withColumn("n", F.count("mid").over(frame)).filter("not _copy").drop("_b", "_copy")
-    moved = asof.momentum(counted, ["asset"], "mid", 1800 * _MICRO, "m", inclusive=False)
-    return moved.select("seq", "asset", F.when(F.col("n") >= 5, F.col("m")).alias("mid_dir"))
+    window, horizon = LONG * _MICRO, 1800 * _MICRO
+    counted = lambda rows, by: rows.withColumn("n", F.count("mid").over(by.orderBy("us").rangeBetween(-(window - 1), 0)))
+    looked = asof.over_time(t, ["asset"], window, [counted, asof.nearest("mid", horizon, "then", inclusive=False)], {"now": "mid"})
+    return looked.select("seq", "asset", F.when(F.col("n") >= 5, F.round(F.col("now") - F.col("then"), 6)).alias("mid_dir"))
 
 
 @query(ticks_sql(SHORT) + "SELECT asset, count(*) AS n" + "".join(f", count(m{h}.v) AS n_{h}, round(count(m{h}.v) / count(*) * 100, 6) AS pct_{h}" for h in HORIZONS) + " FROM ticks" + "".join(f" LEFT JOIN {nearest_sql('mid', h)} m{h} USING (asset, us)" for h in HORIZONS) + " GROUP BY asset")
 def momentum_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ticks have a neighbour at each horizon."""
     t = ticks(spark, sf_dir, SHORT).select("seq", "asset", "us", "mid")
-    for h in HORIZONS:
-        t = asof.nearest_before(t, ["asset"], "mid", h * _MICRO, f"v_{h}")
+    t = asof.over_time(t, ["asset"], asof.lookback(max(HORIZONS) * _MICRO), [asof.nearest("mid", h * _MICRO, f"v_{h}") for h in HORIZONS])
     return t.groupBy("asset").agg(F.count("*").alias("n"), *[x for h in HORIZONS for x in (F.count(f"v_{h}").alias(f"n_{h}"), F.round(F.count(f"v_{h}") / F.count("*") * 100, 6).alias(f"pct_{h}"))])
 
 
 VOL_WINDOW = 21_600
+VOL_HISTORY = 4 * VOL_WINDOW
+#: The least prices of the history, prices of the window, and returns.
+VOL_LEAST = (20, 15, 10)
+_VOL = f"""r AS (SELECT seq, asset, us, real_price, CASE WHEN lag(real_price) OVER w > 0 THEN (real_price - lag(real_price) OVER w) / lag(real_price) OVER w * 100 END AS r, lag(us) OVER w AS before_us FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY us, seq)),
+v AS (SELECT a.seq, count(b.real_price) AS n_held, count(b.real_price) FILTER (b.us > a.us - {VOL_WINDOW * _MICRO}) AS n_recent, count(b.r) FILTER (b.before_us > a.us - {VOL_WINDOW * _MICRO}) AS n, stddev_pop(b.r) FILTER (b.before_us > a.us - {VOL_WINDOW * _MICRO}) AS sd
+ FROM r a LEFT JOIN r b ON a.asset = b.asset AND b.us <= a.us AND b.us > a.us - {VOL_HISTORY * _MICRO} GROUP BY a.seq)"""
+VOL_SQL = f"CASE WHEN n_held >= {VOL_LEAST[0]} AND n_recent >= {VOL_LEAST[1]} AND n >= {VOL_LEAST[2]} THEN sd * sqrt(n * ({SHORT} / {VOL_WINDOW}::DOUBLE)) END"
+
+
+def tick_volatility(name: str = "vol") -> asof.Step:
+    return asof.volatility("real_price", VOL_WINDOW * _MICRO, SHORT * _MICRO, name, VOL_LEAST, VOL_HISTORY * _MICRO)
 
 
-@query(ticks_sql() + f""", r AS (SELECT seq, asset, us, CASE WHEN lag(real_price) OVER w > 0 THEN (real_price - lag(real_price) OVER w) / lag(real_price) OVER w * 100 END AS r, lag(us) OVER w AS before_us FROM ticks WINDOW w AS (PARTITION BY asset ORDER BY us, seq)),
-v AS (SELECT a.seq, count(b.r) AS n, stddev_pop(b.r) AS sd FROM r a LEFT JOIN r b ON a.asset = b.asset AND b.us <= a.us AND b.us > a.us - {VOL_WINDOW * _MICRO} AND b.before_us > a.us - {VOL_WINDOW * _MICRO} GROUP BY a.seq)
-SELECT seq, CASE WHEN n >= 3 THEN round(sd * sqrt(n * ({SHORT} / {VOL_WINDOW}::DOUBLE)), 6) END AS vol FROM v""")
+@query(ticks_sql() + f", {_VOL} SELECT seq, round({VOL_SQL}, 6) AS vol FROM v")
 def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviation of returns within the window, scaled to a period."""
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "real_price")
-    return asof.realized_volatility(t, ["asset"], "real_price", VOL_WINDOW * _MICRO, SHORT * _MICRO, "vol").select("seq", F.round("vol", 6).alias("vol"))
+    return asof.over_time(t, ["asset"], VOL_HISTORY * _MICRO, [tick_volatility()]).select("seq", F.round("vol", 6).alias("vol"))
 
 
 @query(ticks_sql() + """, d AS (SELECT seq, asset, us, CASE WHEN abs(real_price - lag(real_price) OVER (PARTITION BY asset ORDER BY us, seq)) > 0.001 THEN us END AS moved FROM ticks)
@@ -354,23 +357,27 @@ def settlement_states(s: DataFrame) -> DataFrame:
     flips = rows.withColumn("flip", F.when(F.col("y") != F.lag("y").over(by), 1).otherwise(0))
     osc = F.when(F.col("_n") < 3, 0.5).otherwise(F.sum("flip").over(by.rowsBetween(-6, 0)) / (F.least("_n", F.lit(8)) - 1))
     out = flips.withColumn("rate4", F.avg("y").over(by.rowsBetween(-3, 0))).withColumn("osc", osc)
-    return out.filter("_b = _own").drop("_one", "_n", "_own", "_b", "flip", "y")
+    return out.filter("_b = _own").drop("_one", "_own", "_b", "flip", "y").withColumnRenamed("_n", "n_settled")
+
+
+def latest_states(s: DataFrame) -> DataFrame:
+    """settle_us with the last of the states of that time: rate4, osc and n_settled."""
+    last = F.max_by(F.struct("rate4", "osc", "n_settled"), F.struct("asset", "ticker")).alias("s")
+    return settlement_states(s).groupBy("settle_us").agg(last).select("settle_us", "s.*")
 
 
 @query(settled_sql() + _HISTORY + "SELECT ticker, round(rate4, 6) AS rate4, round(osc, 6) AS osc, CASE WHEN osc > 0.6 THEN 'OSCILLATE' WHEN osc < 0.35 THEN 'TREND' ELSE 'MIXED' END AS regime FROM states")
 def oscillation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W6, W7, P41."""
-    states = settlement_states(settlements(ticks(spark, sf_dir)))
+    states = settlement_states(settled(spark, sf_dir))
     return states.select("ticker", F.round("rate4", 6).alias("rate4"), F.round("osc", 6).alias("osc"), S.regime(F.col("osc")).alias("regime"))
 
 
 @query(settled_sql() + _HISTORY + "SELECT t.seq, round(arg_max(s.rate4, s.r), 6) AS rate4, round(arg_max(s.osc, s.r), 6) AS osc FROM ticks t LEFT JOIN states s ON s.settle_us <= t.us GROUP BY t.seq")
 def asof_settlement_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest settlement state known at each tick."""
-    t = ticks(spark, sf_dir)
-    states = settlement_states(settlements(t))
-    latest = states.groupBy("settle_us").agg(F.max_by(F.struct("rate4", "osc"), F.struct("asset", "ticker")).alias("s")).select("settle_us", "s.*")
-    joined = asof.asof_join(t.select("seq", "us"), latest, "settle_us", [], ["rate4", "osc"], LONG * _MICRO)
+    latest = latest_states(settled(spark, sf_dir))
+    joined = asof.asof_join(ticks(spark, sf_dir).select("seq", "us"), latest, "settle_us", [], ["rate4", "osc"], LONG * _MICRO)
     return joined.select("seq", F.round("rate4", 6).alias("rate4"), F.round("osc", 6).alias("osc"))
 
 

@@ -11,7 +11,8 @@ from .bindings import fee_sql, ledger, ledger_sql
 from .registry import query
 
 START = 100_000.0
-ORDER = ["us", "id", "line"]
+#: A total order of trades: an order may repeat a line number, for other parts.
+ORDER = ["us", "id", "line", "part", "supp", "contracts", "price"]
 _L = ledger_sql()
 
 
@@ -34,17 +35,18 @@ def trade_payoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger(spark, sf_dir).select("id", "line", "side", "pnl", F.when(F.col("pnl") > 0, "WIN").when(F.col("pnl").isNotNull(), "LOSS").alias("outcome"), (F.round(marked, 6) + 0.0).alias("marked"))
 
 
-EDGE = 0.08
+EDGE, ROOM = 0.08, 1.5
 _CP = "(CASE WHEN side = 'YES' THEN price ELSE 1 - price END)"
 _ODDS = f"((1 - {_CP}) / nullif({_CP}, 0))"
 
 
 @query(_L + f"""SELECT id, line, {_CP} AS contract_price, {_ODDS} AS odds, CASE WHEN {_ODDS} > 0 THEN {EDGE}::DOUBLE / {_ODDS} ELSE 0.0 END AS kelly,
-CASE WHEN price <= 0.35 THEN 2 WHEN price > 0.65 AND {EDGE} < 0.03 THEN 0 ELSE 1 END AS tier FROM ledger""")
+CASE WHEN tier_n > 0 AND {EDGE}::DOUBLE - {fee_sql('tier_n', 'price', 0.07)} / nullif(tier_n, 0) >= 0.01 THEN CAST(tier_n AS BIGINT) ELSE 0 END AS tier
+FROM (SELECT *, least(CASE WHEN price <= 0.35 THEN 2 WHEN price > 0.65 AND {EDGE} < 0.03 THEN 0 ELSE 1 END, floor({ROOM}::DOUBLE / nullif(price, 0))) AS tier_n FROM ledger)""")
 def trade_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's price, its odds and the edge over them."""
+    """The contract's price, its odds and the edge over them, and the tiered size within the exposure that is left."""
     price = S.contract_price(F.col("side"), F.col("price"))
-    tier = F.when(F.col("price") <= 0.35, 2).when((F.col("price") > 0.65) & (F.lit(EDGE) < 0.03), 0).otherwise(1)
+    tier = S.tiered_size(F.lit(EDGE), F.col("price"), F.lit(ROOM))
     return ledger(spark, sf_dir).select("id", "line", price.alias("contract_price"), S.odds(price).alias("odds"), S.kelly_ratio(F.lit(EDGE), price).alias("kelly"), tier.alias("tier"))
 
 
@@ -68,12 +70,14 @@ def trade_stats(win: Column | None = None) -> list[Column]:
         F.count("*").alias("n"), F.count_if(pnl > 0).alias("wins"), F.count_if(pnl <= 0).alias("losses"), F.count_if(pnl.isNull()).alias("pending"),
         F.round(F.try_divide(F.count_if(pnl > 0), F.count(pnl)), 6).alias("win_rate"), F.round(F.sum(pnl), 4).alias("pnl"), F.round(F.sum(fees), 4).alias("fees"),
         F.round(F.sum(pnl + F.col("fee")), 4).alias("pnl_before_fees"), F.round(F.avg(F.when(pnl > 0, pnl)), 6).alias("avg_win"), F.round(F.avg(F.when(pnl <= 0, pnl)), 6).alias("avg_loss"),
+        F.round(F.sum("contracts"), 4).alias("contracts"), F.round(F.avg(pnl), 6).alias("mean_pnl"), F.round(F.coalesce(wins, F.lit(0.0)), 4).alias("gross_win"), F.round(F.coalesce(losses, F.lit(0.0)), 4).alias("gross_loss"),
         F.round(F.when(losses > 0, wins / losses).otherwise(99.0), 6).alias("profit_factor"), F.round(F.try_divide(F.sum(pnl), F.sum(cost)), 6).alias("roi"),
     ]
 
 
 _STATS = """count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, count(*) FILTER (WHERE pnl <= 0) AS losses, count(*) FILTER (WHERE pnl IS NULL) AS pending, round(count(*) FILTER (WHERE pnl > 0) / nullif(count(pnl), 0), 6) AS win_rate,
 round(sum(pnl), 4) AS pnl, round(sum(fee) FILTER (WHERE pnl IS NOT NULL), 4) AS fees, round(sum(pnl + fee), 4) AS pnl_before_fees, round(avg(pnl) FILTER (WHERE pnl > 0), 6) AS avg_win, round(avg(pnl) FILTER (WHERE pnl <= 0), 6) AS avg_loss,
+round(sum(contracts), 4) AS contracts, round(avg(pnl), 6) AS mean_pnl, round(coalesce(sum(pnl) FILTER (WHERE pnl > 0), 0), 4) AS gross_win, round(coalesce(-sum(pnl) FILTER (WHERE pnl <= 0), 0), 4) AS gross_loss,
 round(CASE WHEN -sum(pnl) FILTER (WHERE pnl <= 0) > 0 THEN sum(pnl) FILTER (WHERE pnl > 0) / -sum(pnl) FILTER (WHERE pnl <= 0) ELSE 99.0 END, 6) AS profit_factor, round(sum(pnl) / nullif(sum(contracts * price) FILTER (WHERE pnl IS NOT NULL), 0), 6) AS roi"""
 
 
@@ -105,7 +109,7 @@ def sharpe_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("asset").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev_samp("p"), 6).alias("std"), F.round(F.coalesce(F.try_divide(F.avg("p"), F.stddev_samp("p")), F.lit(0.0)), 6).alias("sharpe"))
 
 
-_EQ = _L + f", equity AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY asset ORDER BY us, id, line ROWS UNBOUNDED PRECEDING) AS bank FROM ledger WHERE pnl IS NOT NULL), peaks AS (SELECT *, greatest({START}, max(bank) OVER (PARTITION BY asset ORDER BY us, id, line ROWS UNBOUNDED PRECEDING)) AS peak FROM equity)\n"
+_EQ = _L + f", equity AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price ROWS UNBOUNDED PRECEDING) AS bank FROM ledger WHERE pnl IS NOT NULL), peaks AS (SELECT *, greatest({START}, max(bank) OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price ROWS UNBOUNDED PRECEDING)) AS peak FROM equity)\n"
 
 
 def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,10 +120,17 @@ def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EQ + "SELECT id, line, asset, round(bank, 4) AS bank, round(peak, 4) AS peak FROM peaks")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W10, L7."""
+    """W10."""
     return equity(spark, sf_dir).select("id", "line", "asset", F.round("bank", 4).alias("bank"), F.round("peak", 4).alias("peak"))
 
 
+@query(_EQ + "SELECT asset, CAST(row_number() OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price) AS BIGINT) AS number, id, line, side, pnl, round(bank, 4) AS bank FROM peaks")
+def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An asset's settled trades, numbered in order, with the bankroll after each."""
+    rows = running(equity(spark, sf_dir).select("asset", *ORDER, "side", "pnl", "bank"), ["asset"], ORDER, F.lit(1), "number", bucket=month())
+    return rows.select("asset", F.col("number").cast("long").alias("number"), "id", "line", "side", "pnl", F.round("bank", 4).alias("bank"))
+
+
 @query(_EQ + "SELECT asset, round(max((peak - bank) / peak), 6) AS max_drawdown, round(min(bank), 4) AS low, round(max(peak), 4) AS high FROM peaks GROUP BY asset")
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11, per trade."""
@@ -134,7 +145,7 @@ def period_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("asset").agg(F.round(F.max((F.col("top") - F.col("made")) / (START + F.col("top"))), 6).alias("max_drawdown"))
 
 
-@query(_L + """, w AS (SELECT *, pnl > 0 AS win, row_number() OVER (PARTITION BY asset ORDER BY us, id, line) - row_number() OVER (PARTITION BY asset, pnl > 0 ORDER BY us, id, line) AS island FROM ledger WHERE pnl IS NOT NULL), r AS (SELECT asset, win, island, count(*) AS run FROM w GROUP BY ALL)
+@query(_L + """, w AS (SELECT *, pnl > 0 AS win, row_number() OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price) - row_number() OVER (PARTITION BY asset, pnl > 0 ORDER BY us, id, line, part, supp, contracts, price) AS island FROM ledger WHERE pnl IS NOT NULL), r AS (SELECT asset, win, island, count(*) AS run FROM w GROUP BY ALL)
 SELECT asset, coalesce(max(run) FILTER (WHERE win), 0) AS win_streak, coalesce(max(run) FILTER (WHERE NOT win), 0) AS loss_streak FROM r GROUP BY asset""")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest runs of wins and of losses, pending trades passed over."""
@@ -146,7 +157,7 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 STOP_SHARE = 0.999
 
 
-@query(_EQ + f", breach AS (SELECT asset, min((us, id, line)) AS at FROM peaks WHERE bank < {START} * {STOP_SHARE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line) <= b.at")
+@query(_EQ + f", breach AS (SELECT asset, min((us, id, line, part, supp, contracts, price)) AS at FROM peaks WHERE bank < {START} * {STOP_SHARE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line, p.part, p.supp, p.contracts, p.price) <= b.at")
 def stop_loss_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades up to the first that takes the bankroll below a share of the start."""
     rows = equity(spark, sf_dir)
@@ -157,7 +168,7 @@ def stop_loss_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAIL, TAKE = 50.0, 500.0
 
 
-@query(_EQ + f", floors AS (SELECT *, greatest({START} - {TRAIL}, peak - {TRAIL}) AS floor FROM peaks), breach AS (SELECT asset, min((us, id, line)) AS at FROM floors WHERE bank <= floor OR bank - {START} >= {TAKE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line) <= b.at")
+@query(_EQ + f", floors AS (SELECT *, greatest({START} - {TRAIL}, peak - {TRAIL}) AS floor FROM peaks), breach AS (SELECT asset, min((us, id, line, part, supp, contracts, price)) AS at FROM floors WHERE bank <= floor OR bank - {START} >= {TAKE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line, p.part, p.supp, p.contracts, p.price) <= b.at")
 def trailing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades up to the first that meets the trailing floor or the profit to take."""
     rows = equity(spark, sf_dir)
@@ -166,10 +177,10 @@ def trailing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(breach, "asset", "left").filter(F.col("at").isNull() | (F.struct(*ORDER) <= F.col("at"))).select("id", "line", "asset")
 
 
-@query(_L + "SELECT id, line, asset, side, pnl FROM ledger ORDER BY us DESC, id DESC, line DESC LIMIT 25")
+@query(_L + "SELECT id, line, asset, side, pnl FROM ledger ORDER BY us DESC, id DESC, line DESC, part DESC, supp DESC, contracts DESC, price DESC LIMIT 25")
 def recent_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, L2: the last 25."""
-    return ledger(spark, sf_dir).orderBy(F.desc("us"), F.desc("id"), F.desc("line")).limit(25).select("id", "line", "asset", "side", "pnl")
+    return ledger(spark, sf_dir).orderBy(*[F.desc(c) for c in ORDER]).limit(25).select("id", "line", "asset", "side", "pnl")
 
 
 @query(_L + "SELECT period, side, count(*) AS n, round(sum(contracts * price), 4) AS cost FROM ledger WHERE pnl IS NULL GROUP BY period, side")
@@ -212,7 +223,7 @@ def record_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record(by, ["period"], "asset", "n", "counts")
 
 
-@query(_L + "SELECT id, line, r AS n_in_period FROM (SELECT id, line, row_number() OVER (PARTITION BY asset, period, side ORDER BY us, id, line) AS r FROM ledger) WHERE r <= 2")
+@query(_L + "SELECT id, line, r AS n_in_period FROM (SELECT id, line, row_number() OVER (PARTITION BY asset, period, side ORDER BY us, id, line, part, supp, contracts, price) AS r FROM ledger) WHERE r <= 2")
 def direction_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two entries of a direction in a period."""
     rank = F.row_number().over(Window.partitionBy("asset", "period", "side").orderBy(*ORDER))

@@ -29,6 +29,4 @@ def feature_rows(markets: DataFrame, books: DataFrame, prices: DataFrame, horizo
     rows = rows.withColumns({"mid": S.mid_price(bid, ask), "spread": S.spread(bid, ask), "floor_strike": strike_or_opening(rows)})
     closes = F.unix_micros(S.parse_close_time(F.col("close_time")))
     rows = rows.withColumns({"time_to_expiry": S.seconds_to_close(closes, F.col("us")), "pvs": S.price_vs_strike(F.col("real_price"), F.col("floor_strike"))})
-    for h in horizons_us:
-        rows = momentum(rows, ["asset"], "mid", h, f"mom_{h // 1_000_000}")
-    return rows
+    return momentum(rows, ["asset"], "mid", {f"mom_{h // 1_000_000}": h for h in horizons_us})
