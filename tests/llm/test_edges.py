@@ -26,8 +26,14 @@ def test_quality(docs):
     assert (by[1].n_words, by[1].kept, by[7].n_words, by[7].n_repeat_words, by[7].base_failed) == (0, False, 60_000, 60_000, True)
     assert quality.cross_document_lines(docs.limit(0)).count() == 0
     assert quality.clean_documents(docs).columns == docs.columns
-    with pytest.raises(ValueError, match="_hits"):
-        quality.cross_document_lines(docs.withColumn("_hits", F.lit(1)))
+    inner = {c: F.lit(7) for c in ("_hits", "_removed", "_words", "words", "_k1", "_host", "_line", "row")}
+    more = docs.sparkSession.createDataFrame([(50, " ".join(f"w{k}" for k in range(60)), "en", "a")], SCHEMA).union(docs)
+    for make in (quality.cross_document_lines, quality.clean_documents, quality.text_statistics):
+        assert make(more.withColumns(inner)).select(*inner).distinct().collect() == [(7,) * len(inner)]
+    for name in ("n_words", "Kept", "base_failed"):
+        with pytest.raises(ValueError, match=name.lower()):
+            quality.cross_document_lines(docs.withColumn(name, F.lit(1)))
+        assert quality.clean_documents(docs.withColumn(name, F.lit(7))).columns == [*docs.columns, name]
 
 
 def test_quality_removes_shared_lines_and_spares_copies(spark):
@@ -128,6 +134,10 @@ def test_mixing(docs):
     assert mixing.mixed_rows(docs).count() == sum(r.copies for r in rows)
     with pytest.raises(ValueError, match="target"):
         mixing.mix(docs.withColumn("target", F.lit(1)))
+    clash = {c: F.lit(7) for c in ("size", "target", "copies", "_n", "_part", "_tie", "_copy", "part", "start", "row", "rank")}
+    mixed = mixing.mixed_rows(docs.withColumns(clash))
+    assert mixed.columns == [*docs.columns, *clash] and mixed.select(*clash).distinct().collect() == [(7,) * len(clash)]
+    assert mixing.mixed_rows(docs.limit(0)).count() == 0
 
 
 def test_sharding(docs):
@@ -140,6 +150,10 @@ def test_sharding(docs):
     f = sharding.Feistel(len(rows))
     assert all((r.shard, r.slot) == (f(r.row_number) % 4, f(r.row_number) // 4) for r in rows)
     assert sharding.shard(keys.limit(0), 4, ["doc_id"]).count() == 0
+    clash = {c: F.lit(7) for c in ("_p", "part", "at", "start", "row", "tie", "key0")}
+    assert sharding.shard(keys.withColumns(clash), 4, ["doc_id"]).select(*clash).distinct().collect() == [(7,) * len(clash)]
+    with pytest.raises(ValueError, match="slot"):
+        sharding.shard(keys.withColumn("Slot", F.lit(1)), 4, ["doc_id"])
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 101, 1000, 4099])

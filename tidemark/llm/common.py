@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words are runs of characters outside these six ASCII spaces.
-SPACES = r"[\x20\x09-\x0D]+"
-
+from ..sources.staging import scratch, shared_dir
+from ..sources.staging import staged as written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["SPACES", "let", "row_numbers", "scratch", "shared_dir", "words", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of characters outside these six ASCII spaces.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,18 +32,19 @@ def row_numbers(df: DataFrame, order: list[Column | str], name: str = "row_numbe
     Rows are range-partitioned by the order, numbered within partitions, and
     moved up by the partitions before. Equal rows may take each other's numbers.
     The sorted rows are written once, so both passes see the same partitions.
+    df's columns travel in one struct, so their names don't matter but for ``name``.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    tagged = df.withColumns({f"_key{k}": c for k, c in enumerate(keys)}).withColumn("_tie", F.monotonically_increasing_id())
-    by = [*(f"_key{k}" for k in range(len(keys))), "_tie"]
+    tagged = df.select(F.struct("*").alias("row"), *[c.alias(f"key{k}") for k, c in enumerate(keys)], F.monotonically_increasing_id().alias("tie"))
+    by = [*(f"key{k}" for k in range(len(keys))), "tie"]
     ordered = tagged.repartitionByRange(*by).sortWithinPartitions(*by).select(
-        *df.columns,
-        F.spark_partition_id().alias("_part"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
+        "row",
+        F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"),
     )
     ordered = written(ordered, "ordered")
     # a row for each partition: its number is bounded by the shuffle's partitions
-    parts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return ordered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+    parts = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return ordered.join(F.broadcast(starts), "part").select("row.*", (F.col("start") + F.col("at")).alias(name))

@@ -14,7 +14,8 @@ times.
 
 Defined cases: null text has size 0; a null source is a source of its own; a
 source without words has target 0; equal documents may take each other's
-copies; an empty table gives an empty one.
+copies; an empty table gives an empty one. ``mix`` returns df's columns beside
+its own, whose names raise; ``mixed_rows`` takes any columns.
 """
 
 from __future__ import annotations
@@ -30,19 +31,19 @@ MAX_EPOCHS = 2
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """sources (_source: 's' and the name, or 't' for null; source_size) with target; sums alone come to the driver."""
-    ranked = row_numbers(sources, ["_source"], "_rank")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
-    ranked = written(ranked.withColumn("_weight", weight), "sources")
+    """sources (key: 's' and the name, or 't' for null; source_size) with target; sums alone come to the driver."""
+    ranked = row_numbers(sources, ["key"], "rank")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = written(ranked.withColumn("weight", weight), "sources")
     most = F.col("source_size") * max_epochs
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     share = 0.0
     while True:
-        above = most < F.col("_weight") * share
-        capped, free = ranked.agg(F.sum(F.when(above, most)), F.sum(F.when(~above, F.col("_weight")))).first()
+        above = most < F.col("weight") * share
+        capped, free = ranked.agg(F.sum(F.when(above, most)), F.sum(F.when(~above, F.col("weight")))).first()
         again = (budget * total - (capped or 0)) / free if free else share
         if again <= share:  # no further source is above
-            return ranked.withColumn("target", F.when(above, most.cast("double")).otherwise(F.col("_weight") * F.lit(share))).drop("_rank", "_weight")
+            return ranked.withColumn("target", F.when(above, most.cast("double")).otherwise(F.col("weight") * F.lit(share))).drop("rank", "weight")
         share = again
 
 
@@ -51,27 +52,39 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(source, F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+OWN = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(rows: DataFrame, seed: int, weights: tuple[int, ...], budget: float, max_epochs: int) -> DataFrame:
+    """rows (row, source, doc_id, size) with source_size, target, copies and taken."""
+    keyed = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")))
+    numbered = row_numbers(keyed, ["key", "size", "doc_id"], "n")
+    sources = numbered.groupBy("key").agg(F.sum("size").alias("source_size"), F.min("n").alias("first"))
+    targets = source_targets(sources, weights, budget, max_epochs)
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
+    at = F.col("n") - F.col("first")
+    crossed = F.floor(F.col("offset") + (at + 1) * F.col("rate")) - F.floor(F.col("offset") + at * F.col("rate"))
+    copies = F.greatest(F.lit(0), F.least(F.lit(max_epochs), crossed)).cast("long")  # a rate of exactly max_epochs may round up
+    joined = numbered.join(targets.withColumn("rate", rate).withColumn("offset", offset(F.col("key"), seed)), "key")
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+
+
 def mix(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, sizes: str | None = None) -> DataFrame:
     """df with size, source_size, target, copies (long, the times to take it) and taken (copies * size).
 
     sizes: a long column that already has the sizes; otherwise the text's words are counted.
     """
     size = F.col(sizes) if sizes else F.size(words(F.col("text"))).cast("long")
-    taken = {"_size", *([] if sizes == "size" else ["size"]), "source_size", "target", "copies", "taken", "_source", "_rank"} & {c.lower() for c in df.columns}
+    held = [c for c in df.columns if not (c == "size" and sizes == "size")]
+    taken = set(OWN) & {c.lower() for c in held}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are this operator's own")
-    sized = df.withColumn("size", size).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")))
-    numbered = row_numbers(sized, ["_source", "size", "doc_id"], "_n")
-    sources = numbered.groupBy("_source").agg(F.sum("size").alias("source_size"), F.min("_n").alias("_first"))
-    targets = source_targets(sources, weights, budget, max_epochs)
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    at = F.col("_n") - F.col("_first")
-    crossed = F.floor(F.col("_offset") + (at + 1) * F.col("_rate")) - F.floor(F.col("_offset") + at * F.col("_rate"))
-    joined = numbered.join(targets.withColumn("_rate", rate).withColumn("_offset", offset(F.col("_source"), seed)), "_source")
-    return joined.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_source", "_n", "_first", "_rate", "_offset")
+    rows = df.select(F.struct(*held).alias("row"), "source", "doc_id", size.alias("size"))
+    return _mixed(rows, seed, weights, budget, max_epochs).select("row.*", *OWN)
 
 
-def mixed_rows(df: DataFrame, seed: int = 0, **settings: float) -> DataFrame:
+def mixed_rows(df: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: df's columns, each row as often as it is taken."""
-    plan = mix(df, seed, **settings)
-    return plan.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*df.columns)
+    rows = df.select(F.struct("*").alias("row"), "source", "doc_id", F.size(words(F.col("text"))).cast("long").alias("size"))
+    plan = _mixed(rows, seed, weights, budget, max_epochs).filter("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

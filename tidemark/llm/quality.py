@@ -14,7 +14,9 @@ when over ``max_removed`` of its words went with them, or when a base rule fails
 
 Defined cases: null text counts as empty and fails the base rule; a null source
 is the host of that name ''; repeated rows get equal verdicts; other columns
-pass through untouched; an empty table gives an empty one.
+pass through untouched (``cross_document_lines`` and ``text_statistics`` raise on
+their own output's names; ``clean_documents`` takes any); an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -47,20 +49,35 @@ def _repeat_words(w: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
-def text_statistics(df: DataFrame) -> DataFrame:
-    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+VERDICT = (*STATISTICS, "n_removed_words", "kept")
+
+
+def _free(df: DataFrame, names: tuple[str, ...]) -> None:
+    taken = set(names) & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are this operator's own")
+
+
+def _with_statistics(df: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = df.withColumn("_words", words(F.col("text"))).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+    out = df.withColumn("words", words(F.col("text"))).withColumns({
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
         "n_symbols": (F.size(F.split(text, r"[#*$%&|<>]", -1)) - 1).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": let(F.col("_words"), _repeat_words),  # let: a filter that is pushed down may inline the words
-    }).drop("_words")
+        "n_repeat_words": let(F.col("words"), _repeat_words),  # let: a filter that is pushed down may inline the words
+    }).drop("words")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def text_statistics(df: DataFrame) -> DataFrame:
+    """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    _free(df, STATISTICS)
+    return _with_statistics(df.select(F.struct(*[c for c in df.columns if c != "text"]).alias("row"), "text")).select(*[F.col("text" if c == "text" else f"row.`{c}`") for c in df.columns], *STATISTICS)
+
+
 def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
@@ -116,28 +133,27 @@ def frequent_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = M
     return one.groupBy("_k1", "_k2").agg(F.first("_hits").alias("_hits"), F.first("_removed").alias("_removed"))
 
 
-def cross_document_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """df with the statistics, n_removed_words (in frequent lines), base_failed and kept."""
-    taken = {"_k1", "_k2", "_hits", "_removed"} & {c.lower() for c in df.columns}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are this operator's own")
-    found = frequent_lines(df, min_docs, max_share).drop("_hits")
-    stats = text_statistics(df.select("*", *_row_keys())).drop("text")
-    return _verdict(stats.join(found, ["_k1", "_k2"], "left"), max_removed).drop("_k1", "_k2")
-
-
-def _verdict(df: DataFrame, max_removed: float) -> DataFrame:
+def _judged(df: DataFrame, found: DataFrame, max_removed: float) -> DataFrame:
+    """row (df's columns but text), text, the statistics, _hits, n_removed_words and kept of every row."""
+    rows = df.select(F.struct(*[c for c in df.columns if c != "text"]).alias("row"), "text", *_row_keys())
+    joined = _with_statistics(rows).join(found, ["_k1", "_k2"], "left")
     removed = F.coalesce(F.col("_removed"), F.lit(0).cast("long"))
     # one comparison over both sides of the join: a condition on the statistics alone would be pushed below it and computed twice
     lost = removed + F.when(F.col("base_failed"), F.col("n_words") + 1).otherwise(0)
-    return df.withColumn("n_removed_words", removed).withColumn("kept", ~(lost > max_removed * F.col("n_words"))).drop("_removed")
+    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~(lost > max_removed * F.col("n_words")))
+
+
+def cross_document_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """df but its text with the statistics, n_removed_words (in frequent lines), base_failed and kept."""
+    _free(df, VERDICT)
+    return _judged(df, frequent_lines(df, min_docs, max_share), max_removed).select("row.*", *VERDICT)
 
 
 def clean_documents(df: DataFrame, **limits: float) -> DataFrame:
     """The kept rows with df's columns, frequent lines taken out of their text (and n_chars set anew where it is a column)."""
-    found = frequent_lines(df, **limits)
-    stats = text_statistics(df.select("*", *_row_keys()))
-    kept = _verdict(stats.join(found, ["_k1", "_k2"], "left"), MAX_REMOVED).filter("kept")
+    kept = _judged(df, frequent_lines(df, **limits), MAX_REMOVED).filter("kept")
     rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains(F.col("_hits"), F.xxhash64(_normal(x)))), "\n")
     text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(rest)
-    return kept.withColumn("text", text).select(*[F.length("text").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
+    cleaned = kept.select("row", text.alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.length("text")}
+    return cleaned.select(*[made[c].cast(df.schema[c].dataType).alias(c) if c in made else F.col(f"row.`{c}`") for c in df.columns])

@@ -86,8 +86,9 @@ def shard(df: DataFrame, n_shards: int, order: list[str], seed: str = "shuffle")
     if taken:
         raise ValueError(f"columns {sorted(taken)} are this operator's own")
     numbered = row_numbers(df, order)
-    permuted = Feistel(numbered.count(), seed).column(F.col("row_number"))
-    return numbered.withColumn("_p", permuted).withColumn("shard", (F.col("_p") % n_shards).cast("int")).withColumn("slot", F.expr(f"_p div {int(n_shards)}").cast("long")).drop("_p")
+    p = Feistel(numbered.count(), seed).column(F.col("row_number"))
+    placed = numbered.select(F.struct("*").alias("row"), p.alias("p"))
+    return placed.select("row.*", (F.col("p") % n_shards).cast("int").alias("shard"), F.expr(f"p div {int(n_shards)}").cast("long").alias("slot"))
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
