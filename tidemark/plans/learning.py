@@ -1,39 +1,49 @@
-"""Queries over models: features, trees, logistic regression, importances, walk-forward folds."""
+"""Queries over models: features, trees, logistic regression, importances, walk-forward folds, retraining."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bindings import LONG
+from ..sources.staging import staged
 from .registry import query
-from .signals import features, rule_strategy, scored
+from .signals import _SAMPLES, FEATURES, feature_samples, numbered_periods, rule_strategy, timed_parts
 
-#: The columns of a feature vector, and the folds' least sizes.
-FEATURES = ["mid", "spread", "tte", "tte_pct", "ob_imbalance", "pvs", "trend15", "trend30", "vol", "rate4", "mid_decisiveness"]
-FOLDS, LEAST_TRAIN, LEAST_TEST, SEED = 5, 30, 10, 7
+#: Trees of the two models, the folds' least sizes, the least settled contracts of a retraining.
+ROUNDS, SMALL_ROUNDS = 100, 50
+LEAST_TRAIN, LEAST_TEST, LEAST_SETTLED, SEED = 30, 10, 4, 7
+#: Periods that one model tests: 1 is a fold for each period, as many fits as there are periods. The registered
+#: queries refit after this many; FIT_AT_ONCE models are fitted side by side.
+PERIODS_PER_FOLD, FIT_AT_ONCE = 30, 4
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """Rows with a mid and a time to expiry; other missing features are 0."""
-    held = rows.na.drop(subset=["mid", "tte"]).withColumn("tte_pct", F.col("tte") / LONG).withColumn("mid_decisiveness", F.abs(F.col("mid") - 0.5))
-    return held.na.fill(0.0, FEATURES)
+    """M1: missing features are 0."""
+    return rows.na.fill(0.0, FEATURES)
 
 
 def assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=FEATURES, outputCol="features")
 
 
-def trees(rounds: int = 100, depth: int = 4, leaf: int = 1) -> Pipeline:
-    """M2, M3: boosted trees; columns are drawn for each node."""
+def trees(rounds: int = ROUNDS, depth: int = 4, leaf: int = 1) -> Pipeline:
+    """M2: boosted trees; columns are drawn for each node."""
     model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=leaf, seed=SEED)
     return Pipeline(stages=[assembler(), model])
 
 
+def small_trees() -> Pipeline:
+    """M3."""
+    return trees(SMALL_ROUNDS, 3, 10)
+
+
 def logistic(rows: int) -> Pipeline:
     """M4: scaled features, penalty of one over the number of rows."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
@@ -41,7 +51,7 @@ def logistic(rows: int) -> Pipeline:
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """M5: rows with prob; also on streams."""
+    """M5, ST11: rows with prob; the same on a stream."""
     return model.transform(rows).withColumn("prob", vector_to_array("probability")[1])
 
 
@@ -50,70 +60,119 @@ def two_classes(rows: DataFrame, least: int = LEAST_TRAIN) -> bool:
     return n >= least and low != high
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(vectors(feature_samples(spark, sf_dir)), "samples")
+
+
 def _training(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Earlier and later rows, cut at the four-fifths quantile of time."""
-    rows = vectors(scored(spark, sf_dir)).select("seq", "asset", "ticker", "period_id", "us", "y", *FEATURES).persist()
-    cut = rows.approxQuantile("us", [0.8], 0.001)[0]
-    return rows.filter(F.col("us") <= cut), rows.filter(F.col("us") > cut)
+    """The first four fifths of the rows by time, and the rest."""
+    rows = staged(timed_parts(samples(spark, sf_dir)), "parts")
+    return rows.filter("part = 'train'"), rows.filter("part = 'test'")
 
 
-def _report(scores: DataFrame) -> DataFrame:
+def _report() -> list[Column]:
     right = ((F.col("prob") >= 0.5) == (F.col("y") == 1)).cast("int")
-    return scores.agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.avg(F.pow(F.col("prob") - F.col("y"), 2)).alias("brier"))
+    return [F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_yes"), F.avg(right).alias("accuracy"), F.avg(F.pow(F.col("prob") - F.col("y"), 2)).alias("brier")]
 
 
 @query()
 def train_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2, M5, C4: predictions on the later rows."""
     train, test = _training(spark, sf_dir)
-    return score(trees(rounds=20).fit(train), test).select("seq", "asset", "y", "prob")
+    return score(trees().fit(train), test).select("seq", "asset", "y", "prob")
 
 
 @query()
 def train_gbt_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: the small model's accuracy and Brier score."""
+    """M3: the small model's accuracy and Brier score; no row below the least training rows or with one class."""
     train, test = _training(spark, sf_dir)
     if not two_classes(train):
-        return spark.createDataFrame([], "n long, accuracy double, brier double")
-    return _report(score(trees(10, 3, 10).fit(train), test))
+        return spark.createDataFrame([], "n long, n_yes long, accuracy double, brier double")
+    return score(small_trees().fit(train), test).agg(*_report())
 
 
 @query()
 def train_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: accuracy and Brier score."""
     train, test = _training(spark, sf_dir)
-    return _report(score(logistic(train.count()).fit(train), test))
+    return score(logistic(train.count()).fit(train), test).agg(*_report())
 
 
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6, L4: the ten largest importances, relative to the largest."""
     train, _ = _training(spark, sf_dir)
-    weights = trees(10, 3, 10).fit(train).stages[-1].featureImportances.toArray()
+    weights = small_trees().fit(train).stages[-1].featureImportances.toArray()
     most = max(weights) or 1.0
     return spark.createDataFrame([(n, float(w), float(w / most)) for n, w in zip(FEATURES, weights, strict=True)], "feature string, importance double, relative double").orderBy(F.desc("importance")).limit(10)
 
 
+_FOLDS = _SAMPLES + f""", folds AS (SELECT *, dense_rank() OVER (ORDER BY period_id) - 1 AS period FROM samples), stretches AS (SELECT *, (period - 2) // {PERIODS_PER_FOLD} AS fold FROM folds WHERE period >= 2),
+starts AS (SELECT fold, min(period) AS start FROM stretches GROUP BY fold), sizes AS (SELECT s.fold, count(*) AS n_train, count(DISTINCT f.ticker) AS settled, min(y) AS low, max(y) AS high FROM starts s JOIN folds f ON f.period < s.start GROUP BY s.fold),
+fold_rows AS (SELECT t.fold, any_value(n_train) AS n_train, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_yes FROM stretches t JOIN sizes z USING (fold) WHERE n_train >= {LEAST_TRAIN} AND settled >= {LEAST_SETTLED} AND low <> high GROUP BY t.fold HAVING count(*) >= {LEAST_TEST})
+"""
+
+
+def folds_of(rows: DataFrame, periods_per_fold: int) -> tuple[DataFrame, DataFrame]:
+    """Staged rows with their period's number, and (fold, start, stop, n_train, n, n_yes) of the folds that can be fitted and tested.
+
+    A fold is a stretch of periods from the third on; its model learns from all
+    periods before, whose contracts have settled by then.
+    """
+    periods = numbered_periods(rows).select("period_id", F.col("fold").alias("period"))
+    placed = staged(rows.join(periods, "period_id"), "placed")
+    per = placed.groupBy("period").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_yes"), F.countDistinct("ticker").alias("settled"), F.min("y").alias("low"), F.max("y").alias("high"))
+    fold = F.call_function("div", F.col("period") - 2, F.lit(periods_per_fold))
+    tested = per.filter("period >= 2").groupBy(fold.alias("fold")).agg(F.min("period").alias("start"), (F.max("period") + 1).alias("stop"), F.sum("n").alias("n"), F.sum("n_yes").alias("n_yes"))
+    before = tested.select("fold", "start").join(per, F.col("period") < F.col("start")).groupBy("fold").agg(F.sum("n").alias("n_train"), F.sum("settled").alias("settled"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fit = tested.join(before, "fold").filter(f"n >= {LEAST_TEST} and n_train >= {LEAST_TRAIN} and settled >= {LEAST_SETTLED} and low <> high")
+    return placed, fit.select("fold", "start", "stop", "n_train", "n", "n_yes")
+
+
+def walk_forward(rows: DataFrame, periods_per_fold: int = 1) -> DataFrame | None:
+    """M7, M8: rows of all folds with fold, n_train and the prob of a model of all periods before; None if no fold can be fitted.
+
+    As many models are fitted as there are folds: a number of periods, not of rows.
+    """
+    placed, folds = folds_of(rows, periods_per_fold)
+
+    def fitted(f) -> DataFrame:
+        model = small_trees().fit(placed.filter(F.col("period") < f.start))
+        test = placed.filter((F.col("period") >= f.start) & (F.col("period") < f.stop))
+        return score(model, test).select("seq", "asset", "period_id", "y", "prob", F.lit(f.fold).alias("fold"), F.lit(f.n_train).alias("n_train"))
+
+    with ThreadPoolExecutor(FIT_AT_ONCE) as pool:
+        scored = list(pool.map(fitted, folds.orderBy("fold").collect()))
+    return reduce(DataFrame.union, scored) if scored else None
+
+
+@query(_FOLDS + "SELECT fold, n_train, n, n_yes FROM fold_rows")
+def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds that are fitted, with their rows."""
+    return folds_of(samples(spark, sf_dir), PERIODS_PER_FOLD)[1].select("fold", "n_train", "n", "n_yes")
+
+
 @query()
 def walk_forward_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stretches of periods, each tested by a model of all before it; retraining at settlement is this with more folds."""
-    rows = vectors(scored(spark, sf_dir)).select("period_id", "y", *FEATURES).persist()
-    cuts = rows.approxQuantile("period_id", [k / (FOLDS + 1) for k in range(1, FOLDS + 1)], 0.001)
-    out = []
-    for k, (low, high) in enumerate(zip(cuts, [*cuts[1:], float("inf")], strict=True)):
-        train, test = rows.filter(F.col("period_id") < low), rows.filter((F.col("period_id") >= low) & (F.col("period_id") < high))
-        if two_classes(train) and test.count() >= LEAST_TEST:
-            out.append(_report(score(trees(5, 3, 10).fit(train), test)).withColumn("fold", F.lit(k)))
-    if not out:
-        return spark.createDataFrame([], "n long, accuracy double, brier double, fold int")
-    result = out[0]
-    for x in out[1:]:
-        result = result.union(x)
-    return result
+    """The scores of each fold, and of all of them (fold null)."""
+    scored = walk_forward(samples(spark, sf_dir), PERIODS_PER_FOLD)
+    if scored is None:
+        return spark.createDataFrame([], "fold long, n_train long, n long, n_yes long, accuracy double, brier double")
+    out = staged(scored, "fold-scores").groupingSets([[F.col("fold"), F.col("n_train")], []], F.col("fold"), F.col("n_train")).agg(*_report())
+    return out.select("fold", "n_train", "n", "n_yes", "accuracy", "brier")
+
+
+@query()
+def online_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: each row's probability by the model that was refitted last before it, on the contracts settled by then."""
+    scored = walk_forward(samples(spark, sf_dir), PERIODS_PER_FOLD)
+    if scored is None:
+        return spark.createDataFrame([], "seq long, fold long, y int, prob double")
+    return scored.select("seq", "fold", "y", "prob")
 
 
 def ml_strategy(model: PipelineModel):
-    """F2: a strategy that scores ticks with a model."""
+    """F2: a strategy that scores rows with the features by a model."""
 
     def apply(t: DataFrame) -> DataFrame:
         p = score(model, vectors(t))
@@ -124,10 +183,10 @@ def ml_strategy(model: PipelineModel):
 
 @query()
 def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model's side and edge on every tick."""
-    train, _ = _training(spark, sf_dir)
-    model = trees(5, 3, 10).fit(train)
-    return features(spark, sf_dir).transform(ml_strategy(model)).select("seq", "side", "edge", "prob")
+    """The model's side and edge on every tick that has a mid."""
+    rows = samples(spark, sf_dir)
+    train = timed_parts(rows).filter("part = 'train'")
+    return rows.transform(ml_strategy(small_trees().fit(train))).select("seq", "side", "edge", "prob")
 
 
 __all__ = ["FEATURES", "ml_strategy", "rule_strategy", "score", "trees", "vectors"]

@@ -11,7 +11,7 @@ from ..operators.ordered import DAY_US, running
 from ..sources.staging import staged
 from .bindings import LONG, SHORT, STANDS_FOR, fee_sql, settled, settled_sql, ticks
 from .registry import query
-from .ticks import _HISTORY, _MICRO, _NOW, _VOL, VOL_HISTORY, VOL_SQL, latest_states, nearest_sql, tick_volatility
+from .ticks import HORIZONS, LEADER, _HISTORY, _MICRO, _NOW, _VOL, VOL_HISTORY, VOL_SQL, latest_states, nearest_sql, tick_volatility, with_leader
 
 SLOT_US = 3600 * _MICRO
 SCALE = LONG / SHORT  # the gates' windows are for short periods
@@ -115,17 +115,19 @@ _AGREES = "coalesce(side = cside, false)"
 _CONF = f"least(0.45::DOUBLE, (CASE WHEN osc > 0.7 THEN 0.15::DOUBLE WHEN osc < 0.3 AND n_settled >= 6 THEN 0.35::DOUBLE ELSE 0.25::DOUBLE END) * (CASE WHEN n_valid < 3 THEN 0.5::DOUBLE WHEN agreement >= 0.99 THEN CASE WHEN {_AGREES} THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END WHEN agreement >= 0.74 THEN CASE WHEN {_AGREES} THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END ELSE 0.3::DOUBLE END))"
 
 
-@query(_MOMENTS + f""", j AS (SELECT m.*, c.n_valid, c.agreement, c.cside FROM moments m JOIN cons c USING (slot) WHERE valid), k AS (SELECT *, {_CONF} AS conf, n_valid >= 3 AND agreement >= 0.74 AND {_AGREES} AS strong FROM j),
+_MODES = _MOMENTS + f""", j AS (SELECT m.*, c.n_valid, c.agreement, c.cside FROM moments m JOIN cons c USING (slot) WHERE valid), k AS (SELECT *, {_CONF} AS conf, n_valid >= 3 AND agreement >= 0.74 AND {_AGREES} AS strong FROM j),
 b AS (SELECT *, conf * p + (1 - conf) * mid AS blended FROM k),
-modes AS (SELECT *, CASE WHEN conf < 0.01 THEN NULL WHEN conflict THEN 'conflict' WHEN strong AND NOT coalesce((cside = 'YES' AND mid > 0.80) OR (cside = 'NO' AND mid < 0.20), false) THEN 'consensus' WHEN NOT strong AND (blended > mid + 0.003 OR blended < mid - 0.003) THEN 'blend' END AS mode FROM b)
-SELECT seq, mode, round(conf, 6) AS confidence, CASE WHEN mode = 'consensus' THEN cside WHEN mode = 'blend' THEN CASE WHEN blended > mid THEN 'YES' ELSE 'NO' END END AS side,
-round(CASE WHEN mode = 'consensus' THEN CASE WHEN agreement >= 0.99 THEN 0.025 + least(0.03, 0.015 * abs(z)) ELSE 0.015 + least(0.02, 0.01 * abs(z)) END WHEN mode = 'blend' THEN abs(blended - mid) ELSE 0 END, 6) AS edge FROM modes""")
+modes AS (SELECT *, CASE WHEN conf < 0.01 THEN NULL WHEN conflict THEN 'conflict' WHEN strong AND NOT coalesce((cside = 'YES' AND mid > 0.80) OR (cside = 'NO' AND mid < 0.20), false) THEN 'consensus' WHEN NOT strong AND (blended > mid + 0.003 OR blended < mid - 0.003) THEN 'blend' END AS mode FROM b),
+rules AS (SELECT *, CASE WHEN mode = 'consensus' THEN cside WHEN mode = 'blend' THEN CASE WHEN blended > mid THEN 'YES' ELSE 'NO' END END AS rside,
+CASE WHEN mode = 'consensus' THEN CASE WHEN agreement >= 0.99 THEN 0.025 + least(0.03, 0.015 * abs(z)) ELSE 0.015 + least(0.02, 0.01 * abs(z)) END WHEN mode = 'blend' THEN abs(blended - mid) ELSE 0 END AS redge FROM modes)
+"""
+
+
+@query(_MODES + "SELECT seq, mode, round(conf, 6) AS confidence, rside AS side, round(redge, 6) AS edge FROM rules")
 def consensus_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid signals of each moment under its consensus."""
-    j = with_consensus(moments_of(asset_signals(features(spark, sf_dir)))).filter("valid")
-    names = ("osc", "n_settled", "n_valid", "agreement", "side", "cside", "p", "z", "mid", "conflict")
-    made = S.consensus(*[F.col(c) for c in names])
-    return j.select("seq", made.alias("s")).select("seq", F.col("s.mode").alias("mode"), F.round("s.confidence", 6).alias("confidence"), F.col("s.side").alias("side"), F.round("s.edge", 6).alias("edge"))
+    j = apply_strategy(features(spark, sf_dir), "consensus")
+    return j.select("seq", "mode", F.round("confidence", 6).alias("confidence"), "side", F.round("edge", 6).alias("edge"))
 
 
 _RULE = "(0.5::DOUBLE + 0.5::DOUBLE * tanh(coalesce(trend15, 0.0) * 5 + coalesce(trend30, 0.0) * 3 + pvs * (1 / greatest(tte / 900, 0.1::DOUBLE)) * 2 + coalesce((rate4 - 0.5) * 0.3, 0.0) + coalesce(ob_imbalance, 0.0) * 0.01))"
@@ -141,8 +143,15 @@ def rule_strategy(t: DataFrame) -> DataFrame:
     return held.withColumn("edge", F.abs(F.col("prob") - F.col("mid")) * S.sign_agreement(F.col("trend15"), F.col("pvs")))
 
 
-#: Strategies by name: DataFrame of features in, side, edge and prob added.
-STRATEGIES = {"rule": rule_strategy}
+def consensus_strategy(t: DataFrame) -> DataFrame:
+    """A strategy: the last valid signal of each asset and moment, under the moment's consensus."""
+    j = with_consensus(moments_of(asset_signals(t))).filter("valid")
+    made = S.consensus(*[F.col(c) for c in ("osc", "n_settled", "n_valid", "agreement", "side", "cside", "p", "z", "mid", "conflict")])
+    return j.withColumn("_s", made).withColumns({"side": F.col("_s.side"), "edge": F.col("_s.edge"), "mode": F.col("_s.mode"), "confidence": F.col("_s.confidence"), "prob": F.col("p")}).drop("_s")
+
+
+#: Strategies by name: DataFrame of features in, side, edge and prob added. A fitted model is one by learning.ml_strategy.
+STRATEGIES = {"rule": rule_strategy, "consensus": consensus_strategy}
 
 
 def apply_strategy(t: DataFrame, name: str) -> DataFrame:
@@ -171,13 +180,20 @@ def _gate_sql(name: str, side: str | None) -> str:
     return out + " ELSE 'ok' END"
 
 
+PARAMETERS = ("min_edge", "kelly_fraction", "max_per_trade", "max_exposure", "max_same_direction", "fee_rate", "net_edge_floor", "bankroll")
+
+
 def with_configs(t: DataFrame) -> DataFrame:
-    """Every row once for each risk configuration, with its gate's reason."""
-    cells = F.array(*[F.struct(F.lit(n).alias("config"), S.gate_reason(c, F.col("mid"), F.col("tte"), F.col("spread"), F.col("side"), SCALE).alias("reason")) for n, c in S.RISK_CONFIGS.items()])
-    return t.withColumn("_x", F.explode(cells)).select("*", "_x.*").drop("_x")
+    """Every row once for each risk configuration, with its parameters and its gate's reason."""
+    cells = [F.struct(F.lit(n).alias("config"), S.gate_reason(c, F.col("mid"), F.col("tte"), F.col("spread"), F.col("side"), SCALE).alias("reason"), *[F.lit(float(c[k])).alias(k) for k in PARAMETERS]) for n, c in S.RISK_CONFIGS.items()]
+    return t.withColumn("_x", F.explode(F.array(*cells))).select("*", "_x.*").drop("_x")
+
 
+def gated_sql(rules: str) -> str:
+    return rules + ", gated AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS config, {_gate_sql(n, 'rside')} AS reason FROM rules" for n in S.RISK_CONFIGS) + ")\n"
 
-_GATED = _RULES + ", gated AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS config, {_gate_sql(n, 'rside')} AS reason FROM rules" for n in S.RISK_CONFIGS) + ")\n"
+
+_GATED = gated_sql(_RULES)
 
 
 @query(_GATED + "SELECT seq, config, reason FROM gated")
@@ -186,6 +202,31 @@ def gate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_configs(apply_strategy(features(spark, sf_dir), "rule")).select("seq", "config", "reason")
 
 
+def _entry_sql(name: str) -> str:
+    c = S.RISK_CONFIGS[name]
+    return f"CASE WHEN held > 0 THEN 'in_position' WHEN reason <> 'ok' THEN reason WHEN n_open * {c['max_per_trade']}::DOUBLE >= {c['max_exposure']}::DOUBLE THEN 'exposure_limit' WHEN n_side >= {c['max_same_direction']} THEN 'max_same_direction' ELSE 'ok' END"
+
+
+@query(_GATED + """, h AS (SELECT *, count(*) FILTER (WHERE reason = 'ok' AND rside IS NOT NULL) OVER (PARTITION BY config, ticker ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM gated), e AS (SELECT *, CASE WHEN held = 0 AND reason = 'ok' AND rside IS NOT NULL THEN 1 ELSE 0 END AS entry FROM h),
+o AS (SELECT *, coalesce(sum(entry) OVER w, 0) AS n_open, coalesce(sum(CASE WHEN rside = 'YES' THEN entry ELSE 0 END) OVER w, 0) AS n_yes, coalesce(sum(CASE WHEN rside = 'NO' THEN entry ELSE 0 END) OVER w, 0) AS n_no FROM e WINDOW w AS (PARTITION BY config, period_id ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE WHEN rside = 'YES' THEN n_yes WHEN rside = 'NO' THEN n_no ELSE 0 END AS n_side FROM o) """ + f"SELECT config, seq, CASE config {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {_entry_sql(n)}' for n in S.RISK_CONFIGS)} END AS reason FROM s")
+def entry_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons that depend on what a configuration holds: each contract's first tick that passes opens a position of the largest size."""
+    t = with_configs(apply_strategy(features(spark, sf_dir), "rule"))
+    passes, before = (F.col("reason") == "ok") & F.col("side").isNotNull(), (Window.unboundedPreceding, -1)
+    t = t.withColumn("_held", F.count_if(passes).over(Window.partitionBy("config", "ticker").orderBy("us", "seq").rowsBetween(*before)))
+    entry = F.when((F.col("_held") == 0) & passes, 1).otherwise(0)
+    by = Window.partitionBy("config", "period_id").orderBy("us", "seq").rowsBetween(*before)
+    opened = lambda side=None: F.coalesce(F.sum(entry if side is None else F.when(F.col("side") == side, entry).otherwise(0)).over(by), F.lit(0))
+    t = t.withColumns({"_open": opened(), "_yes": opened("YES"), "_no": opened("NO")})
+    same = F.when(F.col("side") == "YES", F.col("_yes")).when(F.col("side") == "NO", F.col("_no")).otherwise(0)
+    reason = F.lit(None).cast("string")
+    for name, c in S.RISK_CONFIGS.items():
+        own = S.gate_reason(c, F.col("mid"), F.col("tte"), F.col("spread"), F.col("side"), SCALE, F.col("_held") > 0, F.col("_open") * c["max_per_trade"], same)
+        reason = F.when(F.col("config") == name, own).otherwise(reason)
+    return t.select("config", "seq", reason.alias("reason"))
+
+
 @query(_GATED + "SELECT config, reason, n FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY n DESC, reason) AS r FROM (SELECT config, reason, count(*) AS n FROM gated GROUP BY config, reason)) WHERE r <= 10")
 def skip_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent reasons of each configuration."""
@@ -194,13 +235,6 @@ def skip_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("r", rank).filter("r <= 10").drop("r")
 
 
-def _by_config(value: str) -> Column:
-    out = F.lit(None)
-    for name, c in S.RISK_CONFIGS.items():
-        out = F.when(F.col("config") == name, F.lit(float(c[value]))).otherwise(out)
-    return out
-
-
 def backtest(spark: SparkSession, sf_dir: str, strategy: str = "rule") -> DataFrame:
     """Entries of each configuration with profit, non-compounding.
 
@@ -209,19 +243,16 @@ def backtest(spark: SparkSession, sf_dir: str, strategy: str = "rule") -> DataFr
     is sized on the constant bankroll (P15) and settled (J2, P17).
     """
     results = settled(spark, sf_dir)
-    t = with_configs(apply_strategy(features(spark, sf_dir, results), strategy)).filter("reason = 'ok' and side is not null").filter(F.col("edge") >= _by_config("min_edge"))
+    t = with_configs(apply_strategy(features(spark, sf_dir, results), strategy)).filter("reason = 'ok' and side is not null and edge >= min_edge")
     first = F.row_number().over(Window.partitionBy("config", "ticker").orderBy("us", "seq"))
     t = t.withColumn("_r", first).filter("_r = 1")
     capped = F.row_number().over(Window.partitionBy("config", "period_id", "side").orderBy("us", "seq"))
-    t = t.withColumn("_r", capped).filter(F.col("_r") <= _by_config("max_same_direction")).drop("_r")
-    price = S.contract_price(F.col("side"), F.col("mid"))
-    size = F.lit(None).cast("struct<contracts:bigint,cost:double>")
-    for name, c in S.RISK_CONFIGS.items():
-        size = F.when(F.col("config") == name, S.kelly_size(F.col("edge"), price, F.col("mid"), F.lit(c["bankroll"]), F.lit(0.0), c)).otherwise(size)
-    t = t.withColumn("_s", size).filter("_s.contracts > 0").withColumn("contracts", F.col("_s.contracts"))
+    t = t.withColumn("_r", capped).filter("_r <= max_same_direction").drop("_r")
+    size = S.kelly_size(F.col("edge"), F.col("_price"), F.col("mid"), F.col("bankroll"), F.lit(0.0), {k: F.col(k) for k in PARAMETERS})
+    t = t.withColumn("_price", S.contract_price(F.col("side"), F.col("mid"))).withColumn("_s", size)
+    t = t.filter("_s.contracts > 0").withColumn("contracts", F.col("_s.contracts"))
     t = t.join(results.select("ticker", "result", "settle_us"), "ticker")
-    fee = F.when(F.col("config") == "live", S.taker_fee(F.col("contracts"), F.col("mid"))).otherwise(S.maker_fee(F.col("contracts"), F.col("mid")))
-    t = t.withColumn("fee", fee)
+    t = t.withColumn("fee", S.fee(F.col("contracts"), F.col("mid"), F.col("fee_rate")))
     t = t.withColumn("pnl", S.binary_payoff(F.col("side"), F.col("result") == "YES", F.col("contracts"), F.col("mid"), F.col("fee")))
     return until_stopped(staged(t.select("config", "seq", "us", "ticker", "side", "mid", "edge", "contracts", "fee", "settle_us", "pnl"), "trades"))
 
@@ -251,7 +282,8 @@ def _config_sql(value: str) -> str:
     return "CASE config " + " ".join(f"WHEN '{n}' THEN {float(c[value])}::DOUBLE" for n, c in S.RISK_CONFIGS.items()) + " END"
 
 
-_BACKTEST = _GATED + f""", entered AS (SELECT * FROM gated WHERE reason = 'ok' AND rside IS NOT NULL AND redge >= {_config_sql('min_edge')} QUALIFY row_number() OVER (PARTITION BY config, ticker ORDER BY us, seq) = 1),
+def backtest_sql(rules: str) -> str:
+    return gated_sql(rules) + f""", entered AS (SELECT * FROM gated WHERE reason = 'ok' AND rside IS NOT NULL AND redge >= {_config_sql('min_edge')} QUALIFY row_number() OVER (PARTITION BY config, ticker ORDER BY us, seq) = 1),
 capped AS (SELECT *, CASE WHEN rside = 'YES' THEN mid ELSE 1 - mid END AS cp, {_config_sql('fee_rate')} AS rate FROM entered QUALIFY row_number() OVER (PARTITION BY config, period_id, rside ORDER BY us, seq) <= {_config_sql('max_same_direction')}),
 usd AS (SELECT *, greatest(least(least({_config_sql('bankroll')} * {_config_sql('kelly_fraction')} * (CASE WHEN (1 - cp) / nullif(cp, 0) > 0 THEN redge / ((1 - cp) / cp) ELSE 0.0 END), {_config_sql('bankroll')} * {_config_sql('max_per_trade')}), {_config_sql('bankroll')} * {_config_sql('max_exposure')} - 0.0), 0.0) AS usd FROM capped),
 n AS (SELECT *, CASE WHEN usd >= cp THEN floor(usd / cp) ELSE 0 END AS n FROM usd), f AS (SELECT *, CASE WHEN n > 0 AND mid > 0 AND mid < 1 THEN ceil(rate * n * mid * (1 - mid) * 100) / 100.0::DOUBLE ELSE 0.0 END AS fee FROM n),
@@ -261,6 +293,9 @@ stops AS (SELECT config, min(settle_us) AS stop FROM tops WHERE {_stop_sql()} GR
 """
 
 
+_BACKTEST = backtest_sql(_RULES)
+
+
 @query(_BACKTEST + "SELECT config, seq, ticker, rside AS side, CAST(n AS BIGINT) AS contracts, fee, pnl FROM trades")
 def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trades of three configurations."""
@@ -274,6 +309,12 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest(spark, sf_dir).groupBy("config").agg(F.count("*").alias("n"), F.count_if(F.col("pnl") > 0).alias("wins"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.sum("fee"), 4).alias("fees"), F.round(F.max(drop), 6).alias("max_drawdown"))
 
 
+@query(backtest_sql(_MODES) + "SELECT config, seq, ticker, rside AS side, CAST(n AS BIGINT) AS contracts, fee, pnl FROM trades")
+def backtest_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the consensus strategy."""
+    return backtest(spark, sf_dir, "consensus").select("config", "seq", "ticker", "side", "contracts", "fee", "pnl")
+
+
 # --- evaluation: the rule's probability against outcomes -------------------
 
 _SCORED = _RULES + ", scored AS (SELECT r.*, CASE WHEN s.result = 'YES' THEN 1 ELSE 0 END AS y FROM rules r JOIN settlements s USING (ticker))\n"
@@ -324,23 +365,53 @@ def simulated_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).filter(F.abs(F.col("prob") - F.col("mid")) >= 0.05).agg(F.count("*").alias("n"), F.round(F.sum(made), 4).alias("pnl"), F.round(F.avg(made), 6).alias("per_trade"))
 
 
-@query(_SCORED + ", folds AS (SELECT *, dense_rank() OVER (ORDER BY period_id) - 1 AS fold FROM scored), sizes AS (SELECT fold, sum(count(*)) OVER (ORDER BY fold) - count(*) AS n_train FROM folds GROUP BY fold) " + f"SELECT fold, any_value(n_train) AS n_train, count(*) FILTER (WHERE y = 1) AS n_yes, {_ACC} FROM folds JOIN sizes USING (fold) WHERE fold >= 2 GROUP BY fold")
+@query(_SCORED + ", folds AS (SELECT *, dense_rank() OVER (ORDER BY period_id) - 1 AS fold FROM scored), sizes AS (SELECT fold, sum(count(*)) OVER (ORDER BY fold) - count(*) AS n_train FROM folds GROUP BY fold) " + f"SELECT fold, CASE WHEN fold IS NOT NULL THEN any_value(n_train) END AS n_train, count(*) FILTER (WHERE y = 1) AS n_yes, {_ACC} FROM folds JOIN sizes USING (fold) WHERE fold >= 2 GROUP BY ROLLUP (fold)")
 def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expanding folds, each tested on one period after all before it."""
-    rows = scored(spark, sf_dir)
-    periods = rows.groupBy("period_id").agg(F.count("*").alias("rows")).withColumn("_one", F.lit(0))
+    """Expanding folds, each tested on one period after all before it, and all folds pooled (fold null)."""
+    rows = staged(scored(spark, sf_dir).select("period_id", "prob", "y"), "scored")
+    folds = numbered_periods(rows).filter("fold >= 2")
+    stats = [F.first("n_train").alias("n_train"), F.count_if(F.col("y") == 1).alias("n_yes"), *score_stats()]
+    out = rows.join(folds, "period_id").groupingSets([[F.col("fold")], []], F.col("fold")).agg(*stats)
+    return out.withColumn("n_train", F.when(F.col("fold").isNotNull(), F.col("n_train")))
+
+
+def numbered_periods(rows: DataFrame) -> DataFrame:
+    """(period_id, fold, n_train): periods numbered from 0 in order, with the rows of all before."""
+    periods = staged(rows.groupBy("period_id").agg(F.count("*").alias("rows")), "periods").withColumn("_one", F.lit(0))
     bucket = F.call_function("div", F.col("period_id"), F.lit(1000))
     periods = running(periods, ["_one"], ["period_id"], F.lit(1), "k", bucket=bucket)
     periods = running(periods, ["_one"], ["period_id"], F.col("rows"), "upto", bucket=bucket)
-    folds = periods.select("period_id", (F.col("k") - 1).cast("int").alias("fold"), (F.col("upto") - F.col("rows")).cast("long").alias("n_train"))
-    return rows.join(folds.filter("fold >= 2"), "period_id").groupBy("fold").agg(F.first("n_train").alias("n_train"), F.count_if(F.col("y") == 1).alias("n_yes"), *score_stats())
+    return periods.select("period_id", (F.col("k") - 1).cast("int").alias("fold"), (F.col("upto") - F.col("rows")).cast("long").alias("n_train"))
+
+
+#: The columns of a feature vector, in order.
+FEATURES = ["mid", "spread", "tte", "tte_pct", "ob_imbalance", "pvs", "volume", "oi", "mom_900", "mom_1800", "mom_3600", "lead_mid", "lead", "mid_decisiveness"]
+_SAMPLES = (
+    settled_sql() + ", now AS (SELECT seq, asset, us, period_id, ticker, spread, tte, ob_imbalance, pvs, mid, user_id::DOUBLE AS volume, k::DOUBLE AS oi, " + _NOW.format(c="mid") + " AS cur FROM ticks), moved AS (SELECT now.*"
+    + "".join(f", round(cur - m{h}.v, 6) AS mom_{h}" for h in HORIZONS) + " FROM now" + "".join(f" LEFT JOIN {nearest_sql('mid', h)} m{h} USING (asset, us)" for h in HORIZONS) + f"""),
+leads AS (SELECT *, last_value(CASE WHEN asset = '{LEADER}' AND mid IS NOT NULL THEN {{'mid': mid, 'mom': mom_900}} END IGNORE NULLS) OVER (ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS leader FROM moved),
+samples AS (SELECT l.*, CASE WHEN asset <> '{LEADER}' THEN leader.mid END AS lead_mid, CASE WHEN asset <> '{LEADER}' THEN leader.mom - mom_900 END AS lead, abs(mid - 0.5) AS mid_decisiveness, tte / {LONG} AS tte_pct, CASE WHEN s.result = 'YES' THEN 1 ELSE 0 END AS y FROM leads l JOIN (SELECT ticker, result FROM settlements) s USING (ticker) WHERE mid IS NOT NULL AND tte IS NOT NULL)
+"""
+)
+
+
+def feature_samples(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+    """Ticks that have a mid, with the fourteen features (null where unknown) and their outcome y."""
+    t = with_leader(ticks(spark, sf_dir).withColumns({"volume": F.col("user_id").cast("double"), "oi": F.col("k").cast("double")}))
+    outcome = (settled(spark, sf_dir) if results is None else results).select("ticker", S.result_label(F.col("result")).alias("y"))
+    made = {"tte_pct": F.col("tte") / LONG, "mid_decisiveness": F.abs(F.col("mid") - 0.5)}
+    return t.na.drop(subset=["mid", "tte"]).withColumns(made).join(outcome, "ticker").select("seq", "asset", "ticker", "period_id", "us", "y", *FEATURES)
+
+
+def timed_parts(rows: DataFrame, share: float = 0.8) -> DataFrame:
+    """Staged rows with part: train for the first share of them by time, test for the rest."""
+    numbered = running(rows.withColumn("_one", F.lit(0)), ["_one"], ["us", "seq"], F.lit(1), "_r").drop("_one")
+    total = rows.agg(F.count("*").alias("_total"))
+    part = F.when(F.col("_r") <= F.floor(share * F.col("_total")), "train").otherwise("test")
+    return numbered.join(F.broadcast(total)).withColumn("part", part).drop("_r", "_total")  # one row is sent
 
 
-@query(_SCORED + ", n AS (SELECT *, row_number() OVER (ORDER BY us, seq) AS r, count(*) OVER () AS total FROM scored) SELECT seq, y, CASE WHEN r <= floor(0.8::DOUBLE * total) THEN 'train' ELSE 'test' END AS part, coalesce(trend15, 0.0) AS trend15, abs(mid - 0.5) AS mid_decisiveness, tte / 21600 AS tte_pct FROM n")
+@query(_SAMPLES + ", n AS (SELECT *, row_number() OVER (ORDER BY us, seq) AS r, count(*) OVER () AS total FROM samples) SELECT seq, y, CASE WHEN r <= floor(0.8::DOUBLE * total) THEN 'train' ELSE 'test' END AS part, " + ", ".join(FEATURES) + " FROM n")
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled rows in order of time, the first four fifths for training."""
-    rows = scored(spark, sf_dir).withColumn("_one", F.lit(0))
-    rows = running(rows, ["_one"], ["us", "seq"], F.lit(1), "r")
-    total = rows.agg(F.count("*").alias("total"))
-    cut = F.when(F.col("r") <= F.floor(0.8 * F.col("total")), "train").otherwise("test")
-    return rows.join(F.broadcast(total)).select("seq", "y", cut.alias("part"), F.coalesce("trend15", F.lit(0.0)).alias("trend15"), F.abs(F.col("mid") - 0.5).alias("mid_decisiveness"), (F.col("tte") / LONG).alias("tte_pct"))
+    """Labelled rows with all features, the first four fifths by time for training."""
+    return timed_parts(staged(feature_samples(spark, sf_dir), "samples")).select("seq", "y", "part", *FEATURES)

@@ -394,12 +394,28 @@ def deferred_settlement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.interval_join(rolls, late, ["ticker"], ["seq"], "us", "arrival_us", DEFERRED_SECONDS * _MICRO, ["result"]).select("seq", "ticker", "result")
 
 
-@query(ticks_sql() + "SELECT t.seq, CASE WHEN t.asset <> 'click' THEN c.mid END AS lead_mid FROM ticks t LEFT JOIN (SELECT period_id, arg_max(mid, (us, seq)) AS mid FROM ticks WHERE asset = 'click' AND mid IS NOT NULL GROUP BY period_id) c USING (period_id)")
+LEADER = "click"
+
+
+def with_leader(t: DataFrame) -> DataFrame:
+    """Ticks with the three momenta, and beside the other assets' rows the leading asset's last known mid and its momentum less their own.
+
+    The leader's rows reach all others by a window over time buckets, not by a join of times.
+    """
+    t = asof.momentum(t, ["asset"], "mid", {f"mom_{h}": h * _MICRO for h in HORIZONS})
+    leads = (F.col("asset") == LEADER) & F.col("mid").isNotNull()
+    t = asof.over_time(t.withColumn("_leads", F.when(leads, F.struct("mid", "mom_900"))), [], 0, [], {"_leader": "_leads"})
+    other = F.col("asset") != LEADER
+    return t.withColumns({"lead_mid": F.when(other, F.col("_leader.mid")), "lead": F.when(other, F.col("_leader.mom_900") - F.col("mom_900"))}).drop("_leads", "_leader")
+
+
+@query(ticks_sql() + ", now AS (SELECT seq, asset, us, mid, " + _NOW.format(c="mid") + f""" AS cur FROM ticks), moved AS (SELECT seq, asset, us, mid, round(cur - m.v, 6) AS mom FROM now LEFT JOIN {nearest_sql('mid', 900)} m USING (asset, us)),
+leads AS (SELECT *, last_value(CASE WHEN asset = '{LEADER}' AND mid IS NOT NULL THEN {{'mid': mid, 'mom': mom}} END IGNORE NULLS) OVER (ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS leader FROM moved)
+SELECT seq, CASE WHEN asset <> '{LEADER}' THEN leader.mid END AS lead_mid, CASE WHEN asset <> '{LEADER}' THEN round(leader.mom - mom, 6) END AS lead FROM leads""")
 def leader_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading asset's mid beside the others' rows of the same period."""
-    t = ticks(spark, sf_dir)
-    lead = t.filter("asset = 'click' and mid is not null").groupBy("period_id").agg(F.max_by("mid", F.struct("us", "seq")).alias("lead"))
-    return t.join(lead, "period_id", "left").select("seq", F.when(F.col("asset") != "click", F.col("lead")).alias("lead_mid"))
+    """The leading asset's mid beside the others' rows, and its momentum less theirs."""
+    t = with_leader(ticks(spark, sf_dir).select("seq", "asset", "us", "mid"))
+    return t.select("seq", "lead_mid", F.round("lead", 6).alias("lead"))
 
 
 @query(ticks_sql() + "SELECT asset, us // 86400000000 AS day, least(7, CAST(floor((last_mid - low) / nullif(high - low, 0) * 7.999) AS INTEGER)) AS level FROM (SELECT asset, us // 86400000000 AS d, max(us) AS us, arg_max(mid, (us, seq)) AS last_mid FROM ticks WHERE mid IS NOT NULL GROUP BY 1, 2) JOIN (SELECT asset, min(mid) AS low, max(mid) AS high FROM ticks GROUP BY asset) USING (asset)")
