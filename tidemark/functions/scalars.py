@@ -271,6 +271,11 @@ def readiness(rows: Column) -> Column:
     return F.when(rows >= 5400, "READY").when(rows >= 2700, "USABLE").otherwise("NEED")
 
 
+def final_status(rows: Column, gap_pct: Column) -> Column:
+    """What a collection run is good for."""
+    return F.when((rows >= 2700) & (gap_pct < 5), "OK").when(rows >= 1500, "PARTIAL").otherwise("INSUFFICIENT")
+
+
 def minutes_seconds(seconds: Column) -> Column:
     return F.format_string("%d:%02d", F.floor(seconds / 60).cast("long"), F.floor(seconds % 60).cast("long"))
 

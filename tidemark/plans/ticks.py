@@ -62,12 +62,14 @@ def reference_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ticks_sql(SHORT) + """SELECT seq, CASE WHEN mid > 0.55 THEN 'up' WHEN mid < 0.45 THEN 'down' ELSE 'flat' END AS mid_band, CASE WHEN pvs > 0 THEN 'above' WHEN pvs < 0 THEN 'below' ELSE 'at' END AS pvs_band,
 CASE WHEN ob_imbalance > 0.1 THEN 'bid' WHEN ob_imbalance < -0.1 THEN 'offer' ELSE 'even' END AS book_band, CASE WHEN tte < 120 THEN 'closing' WHEN tte < 300 THEN 'late' ELSE 'early' END AS tte_band,
-tte / 900 AS tte_pct, abs(mid - 0.5) AS mid_decisiveness, printf('%d:%02d', CAST(floor(tte / 60) AS BIGINT), CAST(floor(tte % 60) AS BIGINT)) AS clock, substr(ticker, 1, 8) AS short_ticker FROM ticks""")
+strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S') || printf('.%03dZ', (us // 1000) % 1000) AS iso, us / 1e6 AS epoch, strftime(make_timestamp(us), '%H:%M:%S') AS time_of_day, tte / 900 AS tte_pct, abs(mid - 0.5) AS mid_decisiveness, printf('%d:%02d', CAST(floor(tte / 60) AS BIGINT), CAST(floor(tte % 60) AS BIGINT)) AS clock, substr(ticker, 1, 8) AS short_ticker FROM ticks""")
 def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Categories, clock text, shares of the period."""
     t = ticks(spark, sf_dir, SHORT)
     made = S.bands(F.col("mid"), F.col("pvs"), F.col("ob_imbalance"), F.col("tte"))
-    return t.select("seq", *[c.alias(n) for n, c in made.items()], (F.col("tte") / 900).alias("tte_pct"), F.abs(F.col("mid") - 0.5).alias("mid_decisiveness"), S.minutes_seconds(F.col("tte")).alias("clock"), F.substring("ticker", 1, 8).alias("short_ticker"))
+    at = F.timestamp_micros(F.col("us"))
+    times = [F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("iso"), (F.col("us") / 1e6).alias("epoch"), F.date_format(at, "HH:mm:ss").alias("time_of_day")]
+    return t.select("seq", *[c.alias(n) for n, c in made.items()], *times, (F.col("tte") / 900).alias("tte_pct"), F.abs(F.col("mid") - 0.5).alias("mid_decisiveness"), S.minutes_seconds(F.col("tte")).alias("clock"), F.substring("ticker", 1, 8).alias("short_ticker"))
 
 
 @query(ticks_sql(SHORT) + "SELECT DISTINCT asset, ticker, split_part(ticker, '-', 1) AS series, split_part(ticker, '-', 2) AS time_key, split_part(ticker, '-', 2) || '-' || split_part(ticker, '-', 3) AS period_key FROM ticks")
@@ -137,8 +139,9 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir, SHORT).groupBy("asset").agg(F.count("*").alias("n_rows"), *[F.count(c).alias(n) for n, c in cols.items()], (F.count("*") - F.count("mid")).alias("n_error"))
 
 
+#: The edges of the histogram in seconds.
 TTE_EDGES = [0.0, 60.0, 180.0, 300.0, 450.0, 600.0, 750.0, 900.0]
-TTE_LABELS = ["0-1m", "1-3m", "3-5m", "5-7.5m", "7.5-10m", "10-12.5m", "12.5-15m"]
+TTE_LABELS = [f"{a / 60:g}-{b / 60:g}m" for a, b in zip(TTE_EDGES[:-1], TTE_EDGES[1:], strict=True)]
 _BIN = "CASE " + " ".join(f"WHEN tte >= {a} AND (tte < {b}{' OR tte = 900' if b == 900 else ''}) THEN '{n}'" for a, b, n in zip(TTE_EDGES[:-1], TTE_EDGES[1:], TTE_LABELS, strict=True)) + " END"
 
 
@@ -150,6 +153,12 @@ def tte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+@query(ticks_sql(SHORT) + "SELECT asset, min(tte) AS least, max(tte) AS most, round(avg(tte), 6) AS mean, round(stddev_samp(tte), 6) AS std FROM ticks GROUP BY asset")
+def tte_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: spread of the time to expiry."""
+    return ticks(spark, sf_dir, SHORT).groupBy("asset").agg(F.min("tte").alias("least"), F.max("tte").alias("most"), F.round(F.avg("tte"), 6).alias("mean"), F.round(F.stddev_samp("tte"), 6).alias("std"))
+
+
 @query(ticks_sql(SHORT) + "SELECT asset, ticker, n FROM (SELECT asset, ticker, count(*) AS n, row_number() OVER (PARTITION BY asset ORDER BY min(us), ticker) AS r FROM ticks GROUP BY asset, ticker) WHERE r <= 8")
 def ticker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: rows of the first eight tickers of each asset."""
@@ -242,34 +251,93 @@ def price_stale_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", "asset", F.coalesce((F.col("us") - F.coalesce("moved", "last_moved")) / 1e6, F.lit(999.0)).alias("stale_seconds"))
 
 
-@query()
+def anchored_sql(source: str, keys: str) -> str:
+    """A fold over source (seq, us, price and keys): the last accepted price (anchor) and its time (since) after each row."""
+    near = " AND ".join(f"n.{k} = f.{k}" for k in keys.split(", "))
+    mine = ", ".join(f"n.{k}" for k in keys.split(", "))
+    moves = f"n.price IS NOT NULL AND (f.anchor IS NULL OR abs(n.price - f.anchor) > {STALE_MOVE}::DOUBLE)"
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY us, seq) AS r FROM {source}),
+folded AS (SELECT {keys}, r, seq, us, price AS anchor, CASE WHEN price IS NOT NULL THEN us END AS since FROM numbered WHERE r = 1
+ UNION ALL SELECT {mine}, n.r, n.seq, n.us, CASE WHEN {moves} THEN n.price ELSE f.anchor END, CASE WHEN {moves} THEN n.us ELSE f.since END FROM folded f JOIN numbered n ON {near} AND n.r = f.r + 1)
+"""
+
+
+STALE_MOVE = 0.001
+
+
+@query(ticks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + ", rows AS (SELECT seq, asset, us, us // 86400000000 AS session_id, real_price AS price FROM ticks), " + anchored_sql("rows", "asset, session_id") + "SELECT seq, asset, session_id, coalesce((us - since) / 1e6, 999.0) AS stale_seconds FROM folded")
 def price_stale_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9, exact: the clock restarts only when the price has moved from the last accepted price; a sorted fold by asset and session."""
     from ..operators.folds import anchored_stale_seconds
 
     t = ticks(spark, sf_dir).withColumn("session_id", F.call_function("div", F.col("us"), F.lit(86_400_000_000)))
-    return anchored_stale_seconds(t.select("seq", "asset", "session_id", "us", "real_price"), ["asset", "session_id"], "real_price", 0.001)
+    return anchored_stale_seconds(t.select("seq", "asset", "session_id", "us", "real_price"), ["asset", "session_id"], "real_price", STALE_MOVE)
+
+
+SLOT_US = 300 * _MICRO
 
 
-@query(ticks_sql(SHORT) + "SELECT us // 300000000 AS slot, asset, count(*) AS n, count(mid) AS n_valid, bool_or(mid IS NULL) AS any_error, round(avg(mid), 6) AS mean_mid FROM ticks GROUP BY ALL")
+@query(ticks_sql(SHORT) + f""", g AS (SELECT *, (us - lag(us) OVER (PARTITION BY asset ORDER BY us, seq)) / 1e6 AS gap FROM ticks), span AS (SELECT min(us) AS a, max(us) AS b FROM ticks)
+SELECT us // {SLOT_US} AS slot, asset, count(*) AS n, count(mid) AS n_valid, bool_or(mid IS NULL) AS any_error, round(avg(mid), 6) AS mean_mid, count(*) FILTER (WHERE gap > {GAP_SECONDS}) AS n_gaps, round(coalesce(sum(gap) FILTER (WHERE gap > {GAP_SECONDS}), 0), 3) AS gap_seconds,
+round(least(100.0, ((us // {SLOT_US} + 1) * {SLOT_US} - any_value(a)) / (any_value(b) - any_value(a))::DOUBLE * 100), 6) AS pct_elapsed FROM g, span GROUP BY us // {SLOT_US}, asset""")
 def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, valid rows and errors in slots of 300 seconds."""
-    t = ticks(spark, sf_dir, SHORT).withColumn("slot", F.call_function("div", F.col("us"), F.lit(300_000_000)))
-    return t.groupBy("slot", "asset").agg(F.count("*").alias("n"), F.count("mid").alias("n_valid"), F.bool_or(F.col("mid").isNull()).alias("any_error"), F.round(F.avg("mid"), 6).alias("mean_mid"))
+    """Rows, valid rows, gaps and the share of the run that has passed, in slots of 300 seconds."""
+    t = ticks(spark, sf_dir, SHORT)
+    seen = previous_value(t, ["asset"], ["us", "seq"], F.col("us"), "before_us").withColumn("slot", F.call_function("div", F.col("us"), F.lit(SLOT_US)))
+    gap = (F.col("us") - F.col("before_us")) / 1e6
+    wide = F.when(gap > GAP_SECONDS, gap)
+    span = t.agg(F.min("us").alias("a"), F.max("us").alias("b"))
+    by = seen.groupBy("slot", "asset").agg(F.count("*").alias("n"), F.count("mid").alias("n_valid"), F.bool_or(F.col("mid").isNull()).alias("any_error"), F.round(F.avg("mid"), 6).alias("mean_mid"), F.count(wide).alias("n_gaps"), F.round(F.coalesce(F.sum(wide), F.lit(0.0)), 3).alias("gap_seconds"))
+    elapsed = F.least(F.lit(100.0), ((F.col("slot") + 1) * SLOT_US - F.col("a")) / (F.col("b") - F.col("a")) * 100)
+    return by.join(F.broadcast(span)).withColumn("pct_elapsed", F.round(elapsed, 6)).drop("a", "b")  # one row is sent
 
 
-@query(ticks_sql(SHORT) + """, m AS (SELECT count(*) AS n, (max(us) - min(us)) / 1e6 AS span, count(mid) / count(*) AS mid_share, count(pvs) / count(*) AS price_share, max(tte) AS tte_max, count(DISTINCT ticker) AS tickers FROM ticks)
-SELECT CASE WHEN n >= 5400 THEN 'READY' WHEN n >= 2700 THEN 'USABLE' ELSE 'NEED' END AS readiness, array_to_string([x FOR x IN [CASE WHEN n < 1500 THEN 'rows' END, CASE WHEN span < 3600 THEN 'span' END, CASE WHEN mid_share < 0.9 THEN 'mid' END, CASE WHEN price_share < 0.5 THEN 'price' END, CASE WHEN tte_max < 600 THEN 'tte' END, CASE WHEN tickers < 8 THEN 'tickers' END] IF x IS NOT NULL], ',') AS issues FROM m""")
-def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds over the one row of metrics."""
-    m = ticks(spark, sf_dir, SHORT).agg(F.count("*").alias("n"), ((F.max("us") - F.min("us")) / 1e6).alias("span"), (F.count("mid") / F.count("*")).alias("mid_share"), (F.count("pvs") / F.count("*")).alias("price_share"), F.max("tte").alias("tte_max"), F.countDistinct("ticker").alias("tickers"))
-    checks = {"rows": F.col("n") < 1500, "span": F.col("span") < 3600, "mid": F.col("mid_share") < 0.9, "price": F.col("price_share") < 0.5, "tte": F.col("tte_max") < 600, "tickers": F.col("tickers") < 8}
-    return m.select(S.readiness(F.col("n")).alias("readiness"), F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in checks.items()])), ",").alias("issues"))
+@query(ticks_sql(SHORT) + f"SELECT asset, count(*) AS polls, count(DISTINCT us // {SLOT_US}) AS cycles, count(DISTINCT CASE WHEN mid IS NULL THEN us // {SLOT_US} END) AS cycles_with_error FROM ticks GROUP BY asset")
+def poll_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls, and cycles with any error."""
+    cycle = F.call_function("div", F.col("us"), F.lit(SLOT_US))
+    by = ticks(spark, sf_dir, SHORT).groupBy("asset", cycle.alias("cycle")).agg(F.count("*").alias("n"), F.bool_or(F.col("mid").isNull()).alias("bad"))
+    return by.groupBy("asset").agg(F.sum("n").alias("polls"), F.count("*").alias("cycles"), F.count_if("bad").alias("cycles_with_error"))
+
+
+#: The limits of the verdict: rows, seconds, share of gaps (issue, warning), shares of mids and prices, seconds to expiry, contracts, settled ones.
+LEAST_ROWS, LEAST_SPAN, MOST_GAPS, SOME_GAPS, LEAST_MIDS, LEAST_PRICES, LEAST_TTE, LEAST_TICKERS, LEAST_SETTLED = 1500, 3600, 10.0, 5.0, 0.9, 0.5, 600, 8, 4
+_ISSUES = {"rows": f"n < {LEAST_ROWS}", "span": f"span < {LEAST_SPAN}", "gaps": f"gap_pct > {MOST_GAPS}"}
+_WARNINGS = {"gaps": f"gap_pct > {SOME_GAPS} AND gap_pct <= {MOST_GAPS}", "price": f"price_share < {LEAST_PRICES}", "tte": f"tte_max < {LEAST_TTE}", "tickers": f"tickers < {LEAST_TICKERS}", "settled": f"settled < {LEAST_SETTLED}"}
+
+
+def _listed(checks: dict[str, str]) -> str:
+    return "array_to_string([x FOR x IN [" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in checks.items()) + "] IF x IS NOT NULL], ',')"
+
+
+def _mid_checks() -> dict[str, str]:
+    return {f"mid {a}": f"mids_{a} < {LEAST_MIDS}" for a in ASSETS}
 
 
 ASSETS = ["click", "error", "purchase", "signup", "view"]
 
 
+@query(ticks_sql(SHORT) + f""", g AS (SELECT *, (us - lag(us) OVER (ORDER BY us, seq)) / 1e6 AS gap FROM ticks), m AS (SELECT count(*) AS n, (max(us) - min(us)) / 1e6 AS span, coalesce(sum(gap) FILTER (WHERE gap > {GAP_SECONDS}), 0) AS gap_seconds, count(pvs) / count(*) AS price_share, max(tte) AS tte_max, count(DISTINCT ticker) AS tickers,
+count(DISTINCT CASE WHEN us < (SELECT max(period_id) FROM ticks) * {SHORT * _MICRO} THEN ticker END) AS settled, {", ".join(f"count(CASE WHEN asset = '{a}' THEN mid END) / nullif(count(CASE WHEN asset = '{a}' THEN 1 END), 0)::DOUBLE AS mids_{a}" for a in ASSETS)} FROM g), q AS (SELECT *, gap_seconds / nullif(span, 0) * 100 AS gap_pct FROM m)
+SELECT n, round(gap_pct, 6) AS gap_pct, CASE WHEN n >= 5400 THEN 'READY' WHEN n >= 2700 THEN 'USABLE' ELSE 'NEED' END AS readiness, greatest(2700 - n, 0) * 2.0 AS eta_seconds, CASE WHEN n >= 2700 AND gap_pct < 5 THEN 'OK' WHEN n >= 1500 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status, {_listed(_ISSUES | _mid_checks())} AS issues, {_listed(_WARNINGS)} AS warnings FROM q""")
+def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readiness, final status, issues and warnings from one row of metrics."""
+    t = ticks(spark, sf_dir, SHORT)
+    seen = previous_value(t, [], ["us", "seq"], F.col("us"), "before_us")
+    gap = (F.col("us") - F.col("before_us")) / 1e6
+    mids = [F.try_divide(F.count(F.when(F.col("asset") == a, F.col("mid"))), F.count_if(F.col("asset") == a)).alias(f"mids_{a}") for a in ASSETS]
+    open_from = F.call_function("div", F.max("us"), F.lit(SHORT * _MICRO))
+    m = seen.agg(
+        F.count("*").alias("n"), ((F.max("us") - F.min("us")) / 1e6).alias("span"), F.coalesce(F.sum(F.when(gap > GAP_SECONDS, gap)), F.lit(0.0)).alias("gap_seconds"), (F.count("pvs") / F.count("*")).alias("price_share"),
+        F.max("tte").alias("tte_max"), F.countDistinct("ticker").alias("tickers"), F.countDistinct("asset", "period_id").alias("contracts"), open_from.alias("last"), *mids,
+    )
+    still_open = t.groupBy("period_id").agg(F.countDistinct("ticker").alias("open"))
+    m = m.join(still_open, F.col("last") == F.col("period_id"), "left").withColumn("settled", F.col("tickers") - F.coalesce("open", F.lit(0)))
+    m = m.withColumn("gap_pct", F.try_divide(F.col("gap_seconds"), F.col("span")) * 100)
+    listed = lambda checks: F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in checks.items()])), ",")
+    return m.select("n", F.round("gap_pct", 6).alias("gap_pct"), S.readiness(F.col("n")).alias("readiness"), (F.greatest(2700 - F.col("n"), F.lit(0)) * 2.0).alias("eta_seconds"), S.final_status(F.col("n"), F.col("gap_pct")).alias("status"), listed(_ISSUES | _mid_checks()).alias("issues"), listed(_WARNINGS).alias("warnings"))
+
+
 @query(ticks_sql() + "SELECT period_id" + "".join(f", max(CASE WHEN asset = '{a}' THEN mid END) AS {a}_mid, max(CASE WHEN asset = '{a}' THEN pvs END) AS {a}_pvs" for a in ASSETS) + ", count(DISTINCT CASE WHEN mid IS NOT NULL THEN asset END) AS n_valid FROM ticks GROUP BY period_id")
 def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wide row for each period."""
@@ -418,14 +486,21 @@ def leader_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", "lead_mid", F.round("lead", 6).alias("lead"))
 
 
-@query(ticks_sql() + "SELECT asset, us // 86400000000 AS day, least(7, CAST(floor((last_mid - low) / nullif(high - low, 0) * 7.999) AS INTEGER)) AS level FROM (SELECT asset, us // 86400000000 AS d, max(us) AS us, arg_max(mid, (us, seq)) AS last_mid FROM ticks WHERE mid IS NOT NULL GROUP BY 1, 2) JOIN (SELECT asset, min(mid) AS low, max(mid) AS high FROM ticks GROUP BY asset) USING (asset)")
+SPARKS = 50
+
+
+@query(ticks_sql() + f""", n AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY us, seq) - 1 AS r, count(*) OVER (PARTITION BY asset) AS total, min(mid) OVER (PARTITION BY asset) AS low, max(mid) OVER (PARTITION BY asset) AS high FROM ticks WHERE mid IS NOT NULL),
+k AS (SELECT *, CASE WHEN total <= {SPARKS} THEN r ELSE CAST(ceil(r * {SPARKS}::DOUBLE / total) AS BIGINT) END AS pos FROM n) SELECT asset, pos AS at, coalesce(least(7, CAST(floor((mid - low) / nullif(high - low, 0) * 7.999) AS INTEGER)), 0) AS level FROM k WHERE pos < {SPARKS} AND r = CASE WHEN total <= {SPARKS} THEN r ELSE CAST(floor(pos * total / {SPARKS}::DOUBLE) AS BIGINT) END""")
 def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A day's last mid on eight levels of the asset's range."""
-    t = ticks(spark, sf_dir).filter("mid is not null").withColumn("day", F.call_function("div", F.col("us"), F.lit(86_400_000_000)))
-    last = t.groupBy("asset", "day").agg(F.max_by("mid", F.struct("us", "seq")).alias("last_mid"))
-    span = t.groupBy("asset").agg(F.min("mid").alias("low"), F.max("mid").alias("high"))
-    level = F.floor((F.col("last_mid") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0)) * 7.999).cast("int")
-    return last.join(span, "asset").select("asset", "day", F.least(F.lit(7), level).alias("level"))
+    """An even sample of 50 of an asset's mids, on eight levels of their range."""
+    t = ticks(spark, sf_dir).filter("mid is not null").select("asset", "us", "seq", "mid")
+    numbered = running(t, ["asset"], ["us", "seq"], F.lit(1), "r").withColumn("r", F.col("r").cast("long") - 1)
+    span = t.groupBy("asset").agg(F.min("mid").alias("low"), F.max("mid").alias("high"), F.count("*").alias("total"))
+    few = F.col("total") <= SPARKS
+    sampled = numbered.join(span, "asset").withColumn("at", F.when(few, F.col("r")).otherwise(F.ceil(F.col("r") * float(SPARKS) / F.col("total"))))
+    sampled = sampled.filter(F.col("at") < SPARKS).filter(few | (F.col("r") == F.floor(F.col("at") * F.col("total") / float(SPARKS))))
+    level = F.floor(F.try_divide(F.col("mid") - F.col("low"), F.col("high") - F.col("low")) * 7.999).cast("int")
+    return sampled.select("asset", "at", F.coalesce(F.least(F.lit(7), level), F.lit(0)).alias("level"))
 
 
 @query(ticks_sql() + ", now AS (SELECT seq, asset, us, " + _NOW.format(c="mid") + " AS cur FROM ticks) SELECT t.seq, t.asset, t.mid, t.spread, t.pvs, t.ob_imbalance, t.tte AS time_to_expiry, round(n.cur - m.v, 6) AS mom_900 FROM ticks t JOIN now n USING (seq) LEFT JOIN " + nearest_sql("mid", 900) + " m ON m.asset = t.asset AND m.us = t.us")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.ordered import islands, running
 from .bindings import fee_sql, ledger, ledger_sql
-from .registry import query
+from .registry import ORACLES, query
 
 START = 100_000.0
 #: A total order of trades: an order may repeat a line number, for other parts.
@@ -228,3 +228,15 @@ def direction_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two entries of a direction in a period."""
     rank = F.row_number().over(Window.partitionBy("asset", "period", "side").orderBy(*ORDER))
     return ledger(spark, sf_dir).withColumn("n_in_period", rank).filter("n_in_period <= 2").select("id", "line", "n_in_period")
+
+
+_PARTS = {name: ORACLES[name] for name in ("max_drawdown", "streaks", "sharpe_period")}
+
+
+@query(f"SELECT * FROM ({_L} SELECT asset, {_STATS} FROM ledger GROUP BY asset) " + " ".join(f"LEFT JOIN ({sql}) USING (asset)" for sql in _PARTS.values()))
+def performance_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An asset's trades, drawdown, streaks and period returns in one row."""
+    out = ledger(spark, sf_dir).groupBy("asset").agg(*trade_stats())
+    for part in (max_drawdown, streaks, sharpe_period):
+        out = out.join(part(spark, sf_dir), "asset", "left")
+    return out
