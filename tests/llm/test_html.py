@@ -53,7 +53,7 @@ def test_templates_decide_on_the_given_pages(spark, sf_dir):
         page = html.Page(source or "")
         parsed[i] = html.groups_of(host)
         for g in parsed[i]:
-            for h in {*page.subtrees().values()}:
+            for h in {*page.subtrees.values()}:
                 seen[g, h].add("\n".join(b for _, b in page.blocks))
     pages_of = defaultdict(set)
     for i, gs in parsed.items():

@@ -9,7 +9,8 @@
    it is content that was published twice. Pages are copies if they share their least
    block that does not recur. Only a page with little text in such blocks (under half;
    under a seventh for a subtree on over half of the group's pages) goes by its least
-   recurring block elsewhere.
+   recurring block elsewhere. A page counts here for the subtrees that lie in no larger
+   recurring one, which goes or stays with all it holds.
 3. Template subtrees are deleted. What doesn't recur often enough to be counted goes by
    its role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
    comments): by tag, by the ``role`` attribute, or by a token of class or id that is such
@@ -34,6 +35,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +226,7 @@ class Page:
             self.dropped[k] = self.dropped[self.parents[k]] or self.own[k] and not spared
             self.article[k] = self.article[self.parents[k]] or marks[k] and not self.dropped[k]
 
+    @cached_property
     def subtrees(self) -> dict[int, int]:
         """Hash of each element that could be template and has text."""
         n = len(self.tags)
@@ -231,79 +234,104 @@ class Page:
         hashes: dict[int, int] = {}
         for k in range(n - 1, 0, -1):
             pieces[k].reverse()
-            whole = "\x01".join([self.tags[k], *self.parts[k], *pieces[k]])
-            digest = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-            filled = bool(self.parts[k] or pieces[k])
-            if filled:
-                pieces[self.parents[k]].append(digest.hex())
-            if filled and self.tags[k] in BLOCK and self.tags[k] not in ("html", "body", "article", "main") and not (self.article[k] and self.tags[k] in PARAGRAPHS):
+            if not (self.parts[k] or pieces[k]):
+                continue
+            digest = _digest("\x01".join([self.tags[k], *self.parts[k], *pieces[k]]))
+            pieces[self.parents[k]].append(digest.hex())
+            if self.tags[k] in BLOCK and self.tags[k] not in ("html", "body", "article", "main") and not (self.article[k] and self.tags[k] in PARAGRAPHS):
                 hashes[k] = int.from_bytes(digest, "big", signed=True)
         return hashes
 
+    @cached_property
+    def block_hashes(self) -> list[int]:
+        return [_hash(b) for _, b in self.blocks]
+
+    @cached_property
+    def items(self) -> set[int]:
+        """What is counted of the page."""
+        return {*self.subtrees.values(), *self.block_hashes}
+
+    @cached_property
+    def print(self) -> int:
+        """Pages of equal text count once."""
+        return _hash("\n".join(b for _, b in self.blocks))
+
     def text(self, template: Callable[[int], bool] | None = None) -> str:
         """The main text, with the subtrees whose hash is template deleted."""
         gone = list(self.dropped)
-        hashes = self.subtrees() if template else {}
+        hashes = self.subtrees if template else {}
         for k in range(1, len(gone)):
             gone[k] = gone[k] or gone[self.parents[k]] or (k in hashes and template(hashes[k]))
         marked = any(self.article[o] and not self.dropped[o] for o, _ in self.blocks)
         return "\n".join(b for o, b in self.blocks if not gone[o] and (self.article[o] or not marked))
 
 
-def _block_hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest()
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(_digest(text), "big", signed=True)
+
+
+@lru_cache(1 << 16)
 def groups_of(host: str) -> list[str]:
     """The groups whose pages are counted together: the host, and its site (in capitals, so that it is no host)."""
     labels = host.split(".")
     return [host, ".".join(labels[-2:]).upper()] if len(labels) > 2 else [host]
 
 
-def _items(page: Page) -> set[int]:
-    return {*page.subtrees().values()} | {_block_hash(b) for _, b in page.blocks}
-
-
-def _print(page: Page) -> int:
-    return _block_hash("\n".join(b for _, b in page.blocks))
-
-
 def _counted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, item, page) of each subtree and block, and one row without an item for the page itself."""
     for batch in batches:
         groups, items, prints = [], [], []
         for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             page = Page(html or "")
-            found = [None, *_items(page)]
+            found = [None, *page.items]
             for group in groups_of(host):
                 groups += [group] * len(found)
                 items += found
-                prints += [_print(page)] * len(found)
+                prints += [page.print] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(groups, pa.string()), pa.array(items, pa.int64()), pa.array(prints, pa.int64())], names=["group", "item", "page"])
 
 
 def _family_rows(page: Page, recurs: Callable[[int], bool]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(subtree, least own block, least recurring block elsewhere, parts, page) of each recurring subtree.
+    """(subtree, least own block, least recurring block elsewhere, parts, page) of each recurring subtree in no other one.
 
     parts is 2 if under half of the page's text is in own blocks, 7 if under a seventh is, else 0.
     """
-    hashes = {h: k for k, h in page.subtrees().items() if recurs(h)}
-    if not hashes:
+    found = {k for k, h in page.subtrees.items() if recurs(h)}
+    if not found:
         return
+    covered, hashes = [False] * len(page.tags), {}
+    for k in range(1, len(page.tags)):
+        covered[k] = covered[page.parents[k]] or page.parents[k] in found
+        if k in found and not covered[k]:
+            hashes[page.subtrees[k]] = k
     ends = list(range(len(page.tags)))
     for k in range(len(ends) - 1, 0, -1):
         ends[page.parents[k]] = max(ends[page.parents[k]], ends[k])
-    blocks = sorted((_block_hash(b), o, len(b)) for o, b in page.blocks)
-    own = [(b, n) for b, _, n in blocks if not recurs(b)]
-    shared = [(b, o) for b, o, _ in blocks if recurs(b)]
-    mine, whole = sum(n for _, n in own), sum(n for _, _, n in blocks)
+    least, mine, whole, shared = 0, 0, 0, []
+    for h, (owner, block) in zip(page.block_hashes, page.blocks, strict=True):
+        whole += len(block)
+        if recurs(h):
+            shared.append((h, owner))
+        else:
+            mine += len(block)
+            least = min(least, h) if mine > len(block) else h
+    shared.sort()
     parts = COPY_PARTS if COPY_PARTS * mine < whole else 2 if 2 * mine < whole else 0
     for subtree, k in hashes.items():
-        yield subtree, own[0][0] if own else 0, next((b for b, o in shared if not k <= o <= ends[k]), 0), parts, _print(page)
+        yield subtree, least, next((b for b, o in shared if not k <= o <= ends[k]), 0), parts, page.print
+
+
+@lru_cache(1 << 16)
+def _group_hash(group: str) -> int:
+    return _hash(group)
 
 
 def _key(group: str, item: int) -> int:
-    return _block_hash(f"{group}\x00{item}")
+    return _group_hash(group) ^ item
 
 
 def _page_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +339,7 @@ def _page_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, html, p1, p2 in zip(*(batch[c].to_pylist() for c in ("host", "html", "_p1", "_p2")), strict=True):
-            found = _items(Page(html or ""))
+            found = Page(html or "").items
             rows += [(p1, p2, g, i, _key(g, i)) for g in groups_of(host) for i in found]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
@@ -339,7 +367,12 @@ def _given(hosted: DataFrame, table: DataFrame, broadcast_rows: int) -> tuple[Da
 
     def test(own: list[int] | None) -> Callable[[str], Callable[[int], bool]]:
         known = frozenset(own) if own else sent.value
-        return lambda group: lambda item: bool(known) and _key(group, item) in known
+
+        def of(group: str) -> Callable[[int], bool]:
+            of_group = _group_hash(group)
+            return lambda item: item ^ of_group in known
+
+        return of
 
     return given, test
 

@@ -72,10 +72,15 @@ def _with_statistics(df: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
+def _packed(df: DataFrame) -> Column:
+    """df's columns but the text in one struct, so that their names don't matter."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("row")
+
+
 def text_statistics(df: DataFrame) -> DataFrame:
     """df with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     _free(df, STATISTICS)
-    return _with_statistics(df.select(F.struct(*[c for c in df.columns if c != "text"]).alias("row"), "text")).select(*[F.col("text" if c == "text" else f"row.`{c}`") for c in df.columns], *STATISTICS)
+    return _with_statistics(df.select(_packed(df), "text")).select(*[F.col("text" if c == "text" else f"row.`{c}`").alias(c) for c in df.columns], *STATISTICS)
 
 
 def _normal(line: Column) -> Column:
@@ -84,76 +89,73 @@ def _normal(line: Column) -> Column:
 
 def _row_keys() -> list[Column]:
     """Two hashes of what a verdict depends on, so that no 64-bit clash joins two rows."""
-    return [F.xxhash64("doc_id", "source", "text").alias("_k1"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("_k2")]
+    return [F.xxhash64("doc_id", "source", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "source", "doc_id").alias("k2")]
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """A row for each line of each text that is not empty, with its host and words."""
+def _measured(df: DataFrame, row: Column) -> DataFrame:
+    """All that is taken from the texts, in one pass over them that is written: row, k1, k2, host, held (text's hash; null for a null text), cells (line, words) and the statistics."""
     lines = F.filter(F.transform(F.split(F.col("text"), "\n"), _normal), lambda x: x != "")
-    cells = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("_line"), F.size(F.split(x, " ")).cast("long").alias("_words")))
-    # the row's number is taken before the lines are exploded
-    held = df.filter(F.col("text").isNotNull()).select(_host(), *_row_keys(), F.monotonically_increasing_id().alias("_row"), F.xxhash64("text").alias("_text"), cells.alias("_cells"))
-    return held.select("_host", "_k1", "_k2", "_row", "_text", F.explode("_cells").alias("_x")).select("_host", "_k1", "_k2", "_row", "_text", "_x.*")
-
-
-def _host() -> Column:
-    return F.coalesce(F.col("source"), F.lit("")).alias("_host")
-
-
-def frequent_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(_k1, _k2, line hashes, words removed) of the documents that hold frequent lines of their host."""
-    placed = _placed(df)
-    counted = placed.groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    sizes = df.filter(F.col("text").isNotNull()).select(_host(), F.xxhash64("text").alias("_text")).distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    cells = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")))
+    rows = df.select(row, "text", *_row_keys(), F.coalesce("source", F.lit("")).alias("host"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("held"), cells.alias("cells"))
+    return written(_with_statistics(rows).drop("text"), "measured")
+
+
+def _frequent(measured: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """(k1, k2, hits, removed): the frequent lines of their host that documents hold, with the words in them."""
+    full = measured.filter("held is not null")
+    # equal texts of a host count once
+    placed = full.select("host", "held", F.explode("cells").alias("cell")).select("host", "held", "cell.line", "cell.words")
+    counted = placed.groupBy("host", "line").agg(F.count("*").alias("n"))
+    sizes = full.select("host", "held").distinct().groupBy("host").agg(F.count("*").alias("texts"))
     # a line's number of texts is at most its number of places: this only narrows the exact count below
-    candidates = written(counted.filter(F.col("_n") >= min_docs).join(sizes, "_host").filter(F.col("_n") >= max_share * F.col("_texts")).select("_host", "_line", "_texts"), "line-candidates")
-    hits = written(placed.join(candidates, ["_host", "_line"]), "line-hits")
-    exact = hits.select("_host", "_line", "_texts", "_text").distinct().groupBy("_host", "_line", "_texts").agg(F.count("*").alias("_docs"))
-    recurring = written(exact.filter((F.col("_docs") >= min_docs) & (F.col("_docs") >= max_share * F.col("_texts"))), "recurring-lines")
+    candidates = written(counted.filter(F.col("n") >= min_docs).join(sizes, "host").filter(F.col("n") >= max_share * F.col("texts")).select("host", "line", "texts"), "line-candidates")
+    shared = placed.join(candidates, ["host", "line"]).select("host", "line", "texts", "held").distinct()
+    exact = shared.groupBy("host", "line", "texts").agg(F.count("*").alias("docs"))
+    recurring = written(exact.filter((F.col("docs") >= min_docs) & (F.col("docs") >= max_share * F.col("texts"))), "recurring-lines")
 
-    known = recurring.select("_host", "_line", F.lit(True).alias("_known"))
-    own = F.col("_known").isNull()
+    known = recurring.select("host", "line", F.lit(True).alias("known"))
+    own = F.col("known").isNull()
     texts = (
-        placed.join(known, ["_host", "_line"], "left").groupBy("_host", "_text")
-        .agg(F.min(F.when(own, F.col("_line"))).alias("_own"), F.sum(F.when(own, F.col("_words")).otherwise(0)).alias("_own_words"), F.sum("_words").alias("_all_words"))
-        .filter(F.col("_own_words") < F.col("_all_words"))
+        placed.join(known, ["host", "line"], "left").groupBy("host", "held")
+        .agg(F.min(F.when(own, F.col("line"))).alias("own"), F.sum(F.when(own, F.col("words")).otherwise(0)).alias("own_words"), F.sum("words").alias("all_words"))
+        .filter(F.col("own_words") < F.col("all_words"))
     )
-    shared = hits.select("_host", "_line", "_text").distinct().join(recurring, ["_host", "_line"])
-    least = shared.groupBy("_host", "_text").agg(F.array_sort(F.collect_set("_line")).alias("_s")).select("_host", "_text", F.get("_s", F.lit(0)).alias("_first"), F.get("_s", F.lit(1)).alias("_second"))
-    parts = F.when(2 * F.col("_docs") > F.col("_texts"), COPY_PARTS).otherwise(2)
-    other = F.when(parts * F.col("_own_words") < F.col("_all_words"), F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
+    shared = written(placed.join(recurring, ["host", "line"]).select("host", "line", "texts", "docs", "held").distinct(), "line-texts")
+    least = shared.groupBy("host", "held").agg(F.array_sort(F.collect_set("line")).alias("s")).select("host", "held", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"))
+    parts = F.when(2 * F.col("docs") > F.col("texts"), COPY_PARTS).otherwise(2)
+    other = F.when(parts * F.col("own_words") < F.col("all_words"), F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")))
     families = (
-        shared.join(least, ["_host", "_text"]).join(texts, ["_host", "_text"]).withColumn("_family", F.coalesce(other, F.col("_own")))
-        .groupBy("_host", "_line", "_docs", "_family").agg(F.count("*").alias("_n"))
-        .groupBy("_host", "_line", "_docs").agg(F.max("_n").alias("_largest"))
+        shared.join(least, ["host", "held"]).join(texts, ["host", "held"]).withColumn("family", F.coalesce(other, F.col("own")))
+        .groupBy("host", "line", "docs", "family").agg(F.count("*").alias("n"))
+        .groupBy("host", "line", "docs").agg(F.max("n").alias("largest"))
     )
-    frequent = families.filter(2 * F.col("_largest") <= F.col("_docs"))
-    one = hits.join(frequent.select("_host", "_line"), ["_host", "_line"]).groupBy("_k1", "_k2", "_row").agg(F.collect_set("_line").alias("_hits"), F.sum("_words").alias("_removed"))
+    frequent = families.filter(2 * F.col("largest") <= F.col("docs")).select("host", "line")
+    numbered = full.select("host", "k1", "k2", F.monotonically_increasing_id().alias("at"), "cells")  # before the lines are exploded
+    rows = numbered.select("host", "k1", "k2", "at", F.explode("cells").alias("cell")).select("host", "k1", "k2", "at", "cell.line", "cell.words")
+    one = rows.join(frequent, ["host", "line"]).groupBy("k1", "k2", "at").agg(F.collect_set("line").alias("hits"), F.sum("words").alias("removed"))
     # equal rows have equal entries
-    return one.groupBy("_k1", "_k2").agg(F.first("_hits").alias("_hits"), F.first("_removed").alias("_removed"))
+    return one.groupBy("k1", "k2").agg(F.first("hits").alias("hits"), F.first("removed").alias("removed"))
 
 
-def _judged(df: DataFrame, found: DataFrame, max_removed: float) -> DataFrame:
-    """row (df's columns but text), text, the statistics, _hits, n_removed_words and kept of every row."""
-    rows = df.select(F.struct(*[c for c in df.columns if c != "text"]).alias("row"), "text", *_row_keys())
-    joined = _with_statistics(rows).join(found, ["_k1", "_k2"], "left")
-    removed = F.coalesce(F.col("_removed"), F.lit(0).cast("long"))
-    # one comparison over both sides of the join: a condition on the statistics alone would be pushed below it and computed twice
-    lost = removed + F.when(F.col("base_failed"), F.col("n_words") + 1).otherwise(0)
-    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~(lost > max_removed * F.col("n_words")))
+def _judged(measured: DataFrame, min_docs: int, max_share: float, max_removed: float) -> DataFrame:
+    """measured with hits, n_removed_words and kept."""
+    joined = measured.drop("cells").join(_frequent(measured, min_docs, max_share), ["k1", "k2"], "left")
+    removed = F.coalesce(F.col("removed"), F.lit(0).cast("long"))
+    return joined.withColumn("n_removed_words", removed).withColumn("kept", ~(F.col("base_failed") | (removed > max_removed * F.col("n_words"))))
 
 
 def cross_document_lines(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
     """df but its text with the statistics, n_removed_words (in frequent lines), base_failed and kept."""
     _free(df, VERDICT)
-    return _judged(df, frequent_lines(df, min_docs, max_share), max_removed).select("row.*", *VERDICT)
+    return _judged(_measured(df, _packed(df)), min_docs, max_share, max_removed).select("row.*", *VERDICT)
 
 
-def clean_documents(df: DataFrame, **limits: float) -> DataFrame:
+def clean_documents(df: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
     """The kept rows with df's columns, frequent lines taken out of their text (and n_chars set anew where it is a column)."""
-    kept = _judged(df, frequent_lines(df, **limits), MAX_REMOVED).filter("kept")
-    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains(F.col("_hits"), F.xxhash64(_normal(x)))), "\n")
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(rest)
-    cleaned = kept.select("row", text.alias("text"))
+    verdicts = _judged(_measured(df, F.lit(0).alias("row")), min_docs, max_share, max_removed).filter("kept")
+    verdicts = verdicts.groupBy("k1", "k2").agg(F.first("hits").alias("hits"))
+    kept = df.select(_packed(df), "text", *_row_keys()).join(verdicts, ["k1", "k2"])
+    rest = F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x: ~F.array_contains(F.col("hits"), F.xxhash64(_normal(x)))), "\n")
+    cleaned = kept.select("row", F.when(F.col("hits").isNull(), F.col("text")).otherwise(rest).alias("text"))
     made = {"text": F.col("text"), "n_chars": F.length("text")}
-    return cleaned.select(*[made[c].cast(df.schema[c].dataType).alias(c) if c in made else F.col(f"row.`{c}`") for c in df.columns])
+    return cleaned.select(*[made[c].cast(df.schema[c].dataType).alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in df.columns])

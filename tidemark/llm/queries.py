@@ -135,9 +135,11 @@ win AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) s(k) GROUP BY doc_id),
 base AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
 lines AS (SELECT doc_id, host, text, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '')) AS line FROM d),
-firsts AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS f FROM lines GROUP BY doc_id), placed AS (SELECT l.*, CASE WHEN line = f[1] THEN f[2] ELSE f[1] END AS family FROM lines l JOIN firsts USING (doc_id)),
-fams AS (SELECT host, line, family, count(DISTINCT text) AS n FROM placed GROUP BY ALL), counts AS (SELECT host, line, sum(n) AS docs, max(n) AS largest FROM fams GROUP BY ALL), hosts AS (SELECT host, count(*) AS rows FROM d GROUP BY host),
-often AS (SELECT host, line FROM counts JOIN hosts USING (host) WHERE docs >= {q.MIN_DOCS} AND docs >= {q.MAX_SHARE}::DOUBLE * rows AND 2 * largest <= docs), gone AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN often USING (host, line) GROUP BY doc_id),
+texts AS (SELECT host, count(DISTINCT text) AS texts FROM d WHERE text IS NOT NULL GROUP BY host), recur AS (SELECT host, line, docs, texts FROM (SELECT host, line, count(DISTINCT text) AS docs FROM lines GROUP BY ALL) JOIN texts USING (host) WHERE docs >= {q.MIN_DOCS} AND docs >= {q.MAX_SHARE}::DOUBLE * texts),
+own AS (SELECT l.host, l.text, min(CASE WHEN r.line IS NULL THEN l.line END) AS own, sum(CASE WHEN r.line IS NULL THEN len(string_split(l.line, ' ')) ELSE 0 END) AS own_words, sum(len(string_split(l.line, ' '))) AS all_words FROM lines l LEFT JOIN recur r ON r.host = l.host AND r.line = l.line GROUP BY ALL),
+shared AS (SELECT DISTINCT host, line, docs, texts, text FROM lines JOIN recur USING (host, line)), least AS (SELECT host, text, list_sort(list(line)) AS s FROM shared GROUP BY ALL),
+placed AS (SELECT host, line, docs, text, coalesce(CASE WHEN (CASE WHEN 2 * docs > texts THEN {q.COPY_PARTS} ELSE 2 END) * own_words < all_words THEN CASE WHEN line = s[1] THEN s[2] ELSE s[1] END END, own) AS family FROM shared JOIN least USING (host, text) JOIN own USING (host, text)),
+often AS (SELECT host, line FROM (SELECT host, line, docs, family, count(*) AS n FROM placed GROUP BY ALL) GROUP BY host, line, docs HAVING 2 * max(n) <= docs), gone AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM lines JOIN often USING (host, line) GROUP BY doc_id),
 fin AS (SELECT base.*, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words FROM base LEFT JOIN gone USING (doc_id))
 SELECT *, NOT base_failed AND n_removed_words <= {q.MAX_REMOVED}::DOUBLE * n_words AS kept FROM fin"""
 
