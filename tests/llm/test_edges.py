@@ -236,13 +236,31 @@ def test_tokens(docs):
     want = sorted((len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for _, t, *_ in ROWS)
     assert sorted((r.n_bytes, r.n_tokens) for r in rows) == want and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
     assert tokens.token_counts(docs.limit(0), TOKENIZER).count() == 0
-    text = "It's a <|endoftext|>Straße, naïve éclair 123!! we'll see"
-    one = docs.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
-    counted = tokens.prefix_counts(one, TOKENIZER)
-    r = counted.withColumn("n", tokens.tokens_before(F.lit(12))).withColumn("c", tokens.chars_within(F.lit(6))).first()
-    for end, n in zip(r.piece_ends, r.piece_tokens, strict=True):
-        assert n == len(lib.encode(text[:end], add_special_tokens=False).ids)
-    assert r.n == max(n for e, n in zip(r.piece_ends, r.piece_tokens, strict=True) if e <= 12) and r.c == max(e for e, n in zip(r.piece_ends, r.piece_tokens, strict=True) if n <= 6)
+    with pytest.raises(ValueError, match="n_tokens"):
+        tokens.token_counts(docs.withColumn("n_tokens", F.lit(1)), TOKENIZER)
+    text = "It's a <|endoftext|>Straße, naïve e\u0301clair\tİx 123!! we'll  see<|endof\n汉字们"
+    one = docs.sparkSession.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    counted = tokens.prefix_counts(one.withColumn("piece", F.lit(7)), TOKENIZER)
+    r, none = counted.withColumn("n", tokens.tokens_before(F.lit(12))).withColumn("c", tokens.chars_within(F.lit(6))).orderBy("doc_id").collect()
+    want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    assert r.prefix_tokens == want and (r.n, r.piece) == (want[12], 7)
+    assert r.c == max(k for k, n in enumerate(want) if n <= 6)
+    assert none.prefix_tokens == [0] and (none.n, none.c) == (0, 0)
+
+
+def test_truncation_by_the_library(spark, sf_dir):
+    """Every prefix of the given texts, and the longest that fits a budget."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(TOKENIZER)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy(F.length("text")).limit(60)
+    held = {r.doc_id: r.text for r in texts.collect()}
+    rows = {r.doc_id: r for r in tokens.token_counts(texts, TOKENIZER, limit=40).collect()}
+    for r in tokens.prefix_counts(texts, TOKENIZER).collect():
+        text = held[r.doc_id]
+        assert r.prefix_tokens == [len(e.ids) for e in lib.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
+        assert rows[r.doc_id].n_tokens == r.prefix_tokens[-1]
+        assert rows[r.doc_id].fit_chars == max(k for k, n in enumerate(r.prefix_tokens) if n <= 40)
 
 
 def test_token_prefixes_inside_pieces():

@@ -8,26 +8,31 @@ one token more: the only vocabulary entry that ends there and stays apart from
 the token before it under the merge rules. So one pass over a piece gives the
 token count of each of its prefixes, as inner text and as a whole piece.
 
-``prefix_counts`` keeps, for every document, the exact cumulative count at each
-piece's end. Budget and truncation questions are then array lookups
-(``tokens_before``, ``chars_within``) and need no further encoding.
+``prefix_counts`` keeps, for every document, the exact count of each of its
+prefixes, inside words and special strings as well. Budget and truncation questions
+are then array lookups (``tokens_before``, ``chars_within``) and need no further
+encoding. ``token_counts`` returns the last of them, and for texts over the limit
+the longest prefix that keeps it.
 
 Defined cases: null text has no tokens; repeated rows repeat their counts; a
-very long text is handled whole; an empty table gives an empty one.
+very long text is handled whole; an empty table gives an empty one. Letters and
+case are those of the Unicode tables of Python and ``regex``: texts of code points
+that the library's tables know otherwise (unassigned or recent ones) may differ.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType
 
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE = 600_000  # entries that each of a worker's caches holds; a full one begins anew
@@ -60,11 +65,14 @@ class PieceCounter:
         self.joined = {pair: len(base) + k for k, pair in enumerate(self.halves[len(base) :])}
         self.longest = max(map(len, self.ids))
         self.symbols = _byte_symbols()
+        #: What every special string begins with: texts without it hold none.
+        self.hint = os.path.commonprefix([t["content"] for t in spec["added_tokens"]])
         self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart: dict[tuple[int, int], bool] = {}
         self.runs: dict[str, int] = {}
         self.counts: dict[str, int] = {}
+        self.inside: dict[str, list[int]] = {}
 
     def _stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the symbols of both gives just these two tokens.
@@ -144,7 +152,7 @@ class PieceCounter:
     def total(self, text: str) -> int:
         """Tokens of a text. No piece holds a space or line feed, so runs between them are counted apart."""
         known, total = self.runs, 0
-        for part, special in self.parts(text) if "<|" in text else ((text, False),):
+        for part, special in self.parts(text) if self.hint in text else ((text, False),):
             if special:
                 total += 1
                 continue
@@ -153,28 +161,53 @@ class PieceCounter:
                 total += self._run(run) if n is None else n
         return total
 
-    def cumulative(self, text: str) -> tuple[list[int], list[int]]:
-        """(code points of the text up to each piece's end, tokens up to there).
-
-        Where normalising changes a run's length, the ends of its inner pieces
-        are not places of the text, and the run is one entry.
-        """
-        ends, counts, at, total = [], [], 0, 0
+    def _piece_prefixes(self, piece: str) -> list[int]:
+        """Counts of a normalised piece's prefixes by code points, from one on."""
+        if piece[0] == "'" and len(piece) > 1:  # a contraction's prefixes are split otherwise
+            return [sum(map(self.count, self.piece.findall(piece[:k]))) for k in range(1, len(piece) + 1)]
+        whole, at, out = self.prefixes(piece)[1], 0, []
+        for c in piece:
+            at += len(c.encode())
+            out.append(whole[at])
+        return out
+
+    def run_prefixes(self, run: str) -> list[int]:
+        """Counts of all prefixes of a run without spaces, the empty one first."""
+        found = self.inside.get(run)
+        if found is not None:
+            return found
+        normal, out, total = self._normal(run), [0], 0
+        if len(normal) == len(run) and (run.isascii() or unicodedata.is_normalized("NFC", run)):
+            for m in self.piece.finditer(normal):
+                out += [total] * (m.start() + 1 - len(out))
+                out += [total + n for n in self._piece_prefixes(m[0])]
+                total = out[-1]
+            out += [total] * (len(run) + 1 - len(out))
+        else:  # a prefix is normalised otherwise than the run
+            out += [sum(map(self.count, self.piece.findall(self._normal(run[:k])))) for k in range(1, len(run) + 1)]
+        if len(self.inside) >= CACHE:
+            self.inside.clear()
+        self.inside[run] = out
+        return out
+
+    def every_prefix(self, text: str) -> np.ndarray:
+        """Token counts of text[:k] for k from 0 to its length."""
+        out, total, tail, before = [0], 0, "", 0
         for part, special in self.parts(text):
-            if special:
+            if special:  # a prefix that ends within it goes on with the run before it
+                out += [before + self._run(tail + part[:k]) for k in range(1, len(part))]
                 total += 1
-                ends.append(at + len(part))
-                counts.append(total)
-            for run in () if special else regex.finditer(r"[^ \n]+", part):
-                normal = self._normal(run[0])
-                pieces = list(self.piece.finditer(normal))
-                for k, m in enumerate(pieces):
-                    total += self.count(m[0])
-                    if len(normal) == len(run[0]) or k == len(pieces) - 1:
-                        ends.append(at + (run.start() + m.end() if len(normal) == len(run[0]) else run.end()))
-                        counts.append(total)
-            at += len(part)
-        return ends, counts
+                out.append(total)
+                tail, before = "", total
+                continue
+            for k, run in enumerate(part.replace("\n", " ").split(" ")):
+                if k:
+                    out.append(total)
+                counts = self.run_prefixes(run)
+                out += [total + n for n in counts[1:]] if total else counts[1:]
+                tail, before = run, total
+                total += counts[-1]
+        return np.array(out, np.int32)
 
 
 def counter(path: str) -> PieceCounter:
@@ -184,45 +217,52 @@ def counter(path: str) -> PieceCounter:
     return _counters[path]
 
 
-def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """df's columns but text, with n_bytes, n_tokens and over_limit."""
-    taken = {"n_bytes", "n_tokens", "over_limit"} & {c.lower() for c in df.columns}
+def fitting(counts: np.ndarray, limit: int) -> int:
+    """Code points of the longest prefix of at most so many tokens."""
+    return int(np.flatnonzero(counts <= limit)[-1])
+
+
+def _with_columns(df: DataFrame, path: str, made: dict[str, pa.DataType], types: list[DataType], values: Callable[[PieceCounter, str], tuple]) -> DataFrame:
+    """df's columns but text, with what values gives for each text."""
+    taken = set(made) & {c.lower() for c in df.columns}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are this operator's own")
-    at = df.columns.index("text")
-    schema = df.drop("text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    at, schema = df.columns.index("text"), df.drop("text").schema
+    for name, kind in zip(made, types, strict=True):
+        schema = schema.add(name, kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            n = np.array([c.total(t) for t in texts], np.int64)
+            rows = [values(c, t or "") for t in batch.column(at).to_pylist()]
             rest = [x for k, x in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)], names=schema.names)
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(made.values())]
+            yield pa.RecordBatch.from_arrays([*rest, *columns], names=schema.names)
 
-    return df.mapInArrow(count, schema)
+    return df.mapInArrow(run, schema)
 
 
-def prefix_counts(df: DataFrame, path: str) -> DataFrame:
-    """df's columns but text, with piece_ends (code points) and piece_tokens (cumulative token counts)."""
-    at = df.columns.index("text")
-    schema = df.drop("text").schema.add("piece_ends", ArrayType(IntegerType())).add("piece_tokens", ArrayType(IntegerType()))
+def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """df's columns but text, with n_bytes, n_tokens, over_limit and fit_chars (code points of the longest prefix within the limit)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for batch in batches:
-            both = [c.cumulative(t or "") for t in batch.column(at).to_pylist()]
-            rest = [x for k, x in enumerate(batch.columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*rest, *[pa.array([b[k] for b in both], pa.list_(pa.int32())) for k in (0, 1)]], names=schema.names)
+    def values(c: PieceCounter, text: str) -> tuple:
+        n = c.total(text)
+        return len(text.encode()), n, n > limit, fitting(c.every_prefix(text), limit) if n > limit else len(text)
+
+    made = {"n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "fit_chars": pa.int64()}
+    return _with_columns(df, path, made, [LongType(), LongType(), BooleanType(), LongType()], values)
 
-    return df.mapInArrow(count, schema)
+
+def prefix_counts(df: DataFrame, path: str) -> DataFrame:
+    """df's columns but text, with prefix_tokens: the token counts of the text's prefixes of 0, 1, 2, ... code points."""
+    return _with_columns(df, path, {"prefix_tokens": pa.list_(pa.int32())}, [ArrayType(IntegerType())], lambda c, text: (c.every_prefix(text),))
 
 
 def tokens_before(chars: Column) -> Column:
-    """Tokens of the longest whole-piece prefix of at most so many code points."""
-    return F.coalesce(F.array_max(F.transform(F.filter(F.arrays_zip("piece_ends", "piece_tokens"), lambda x: x["piece_ends"] <= chars), lambda x: x["piece_tokens"])), F.lit(0))
+    """Tokens of the text's first code points (of all of it, if it has fewer)."""
+    return F.element_at("prefix_tokens", F.least(chars + 1, F.size("prefix_tokens")).cast("int"))
 
 
 def chars_within(tokens: Column) -> Column:
-    """Code points of the longest whole-piece prefix of at most so many tokens."""
-    return F.coalesce(F.array_max(F.transform(F.filter(F.arrays_zip("piece_ends", "piece_tokens"), lambda x: x["piece_tokens"] <= tokens), lambda x: x["piece_ends"])), F.lit(0))
+    """Code points of the longest prefix of at most so many tokens."""
+    return F.array_max(F.filter(F.transform("prefix_tokens", lambda n, k: F.when(n <= tokens, k)), lambda k: k.isNotNull()))
