@@ -52,7 +52,7 @@ def test_late_settlements(spark, tmp_path):
     done = spark.createDataFrame([("A", ts(300), "YES"), ("B", ts(301), "NO"), ("Z", "2026-01-01 04:00:00", "NO")], "ticker string, t string, result string").select("ticker", F.col("t").cast("timestamp").alias("settle_ts"), "result")
     rolls.write.mode("overwrite").parquet(str(tmp_path / "r")), done.write.mode("overwrite").parquet(str(tmp_path / "s"))
     left, right = (spark.readStream.schema(d.schema).parquet(str(tmp_path / n)) for d, n in ((rolls, "r"), (done, "s")))
-    got = {r.ticker: r.result for r in market.run_available(market.settlement_join(left, right), str(tmp_path / "out")).collect()}
+    got = {r.ticker: r.result for r in market.run_available(spark, market.settlement_join(left, right), str(tmp_path / "out")).collect()}
     assert got == {"A": "YES", "B": None}
 
 

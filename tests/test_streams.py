@@ -20,6 +20,18 @@ def test_many_files_out_of_order(spark, sf_dir, tmp_path):
         to = split / "events.parquet" / f"{k:02}.parquet"
         file.rename(to)
         os.utime(to, (1_700_000_000 - 60 * k,) * 2)  # later events landed first
-    for name in ("stream_deduplicated", "stream_period_bars", "stream_sliding_momentum", "stream_throttled", "stream_sessions"):
+    for name in ("stream_deduplicated", "stream_period_bars", "stream_sliding_momentum", "stream_throttled", "stream_sessions", "stream_stateful_ticks", "stream_stale_alerts"):
         got, want = (plans.QUERIES[name](spark, d) for d in (str(split), sf_dir))
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+
+
+def test_frames_of_a_batch_are_put_in_order():
+    import pandas as pd
+
+    from tidemark.streaming.market import _accepted, _in_order
+
+    at = pd.Timestamp("2024-01-01")
+    frame = lambda rows: pd.DataFrame([(s, at + pd.Timedelta(microseconds=u), p) for s, u, p in rows], columns=["seq", "ts", "price"])
+    seq, us, price = _in_order(iter([frame([(5, 9, 1.0012), (4, 7, None)]), frame([(2, 3, 1.0), (3, 3, 1.0006)])]))
+    assert seq.tolist() == [2, 3, 4, 5] and (us - us[0]).tolist() == [0, 0, 4, 6]
+    assert [s - us[0] for _, s in _accepted(price, us, None, None, 0.001)] == [0, 0, 0, 6]

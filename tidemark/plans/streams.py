@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir
 from ..streaming import market
+from .bindings import LONG, settled, ticks
+from .learning import logistic_on, score
 from .registry import query
+from .ticks import STALE_MOVE, anchored_sql
 
-
-def _folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")).rstrip("/")
+#: Conf of the caller's session that a stream's own session takes over.
+KEPT = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions")
 
 
 def _run(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """Rows of a stream over all events. It runs in a session of its own: its state store is no setting of the caller's."""
+    folder, inner = shared_dir(spark), spark.newSession()
+    for name in KEPT:
+        if (value := spark.conf.get(name, None)) is not None:
+            inner.conf.set(name, value)
     # state on disk: one batch may hold all of the table's keys
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return market.run_available(make(market.events_stream(spark, f"{sf_dir}/events.parquet")), _folder(spark))
+    inner.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return market.run_available(spark, make(market.events_stream(inner, f"{sf_dir}/events.parquet")), folder)
 
 
 _E = "WITH e AS (SELECT event_id AS seq, ts, event_type AS asset, 100.0::DOUBLE + value AS price, (SELECT max(ts) - INTERVAL 5 MINUTE FROM events) AS mark FROM events)\n"
@@ -55,7 +61,42 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, lambda s: market.deduplicated(s.union(s)).select("seq", "asset"))
 
 
-@query("SELECT event_type AS asset, event_id AS seq, epoch_us(ts) // 21600000000 AS period, coalesce(epoch_us(ts) // 21600000000 <> lag(epoch_us(ts) // 21600000000) OVER (PARTITION BY event_type ORDER BY ts, event_id), false) AS rolled FROM events")
+_R = _E.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", rows AS (SELECT seq, asset, epoch_us(ts) AS us, price FROM e), " + anchored_sql("rows", "asset")
+
+
+@query(_R + f"SELECT f.asset, f.seq, f.us // {LONG * 1_000_000} AS period, coalesce(f.us // {LONG * 1_000_000} <> lag(f.us // {LONG * 1_000_000}) OVER (PARTITION BY f.asset ORDER BY f.us, f.seq), false) AS rolled, coalesce((f.us - f.since) / 1e6, 999.0) AS stale_seconds FROM folded f")
 def stream_stateful_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST5: roll-overs from state by asset."""
-    return _run(spark, sf_dir, market.stateful_ticks).drop("stale_seconds")
+    """ST5: roll-overs and the anchored price's age from state by asset."""
+    return _run(spark, sf_dir, market.stateful_ticks)
+
+
+STALE_SECONDS = 3600
+
+
+@query(_R.rstrip() + f", moves AS (SELECT asset, us AS since_us, lead(us) OVER (PARTITION BY asset ORDER BY us, seq) AS next FROM folded WHERE since = us) SELECT asset, since_us, since_us + {STALE_SECONDS * 1_000_000} AS alert_us FROM moves WHERE next - since_us > {STALE_SECONDS * 1_000_000} OR next IS NULL AND since_us + {STALE_SECONDS * 1_000_000} < (SELECT epoch_us(max(mark)) FROM e)")
+def stream_stale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST9: prices that stood for more than an hour."""
+    return _run(spark, sf_dir, lambda s: market.stale_alerts(s, STALE_SECONDS, STALE_MOVE))
+
+
+@query("""WITH e AS (SELECT event_id // 2 AS ticker, event_id % 2 AS part, ts FROM events), marks AS (SELECT least(max(ts) FILTER (WHERE part = 0), max(ts) FILTER (WHERE part = 1)) - INTERVAL 5 MINUTE AS mark FROM e), r AS (SELECT ticker, ts AS roll_ts FROM e WHERE part = 0), s AS (SELECT ticker, ts AS settle_ts FROM e WHERE part = 1)
+SELECT CAST(r.ticker AS BIGINT) AS ticker, roll_ts, settle_ts FROM r LEFT JOIN s ON s.ticker = r.ticker AND settle_ts >= roll_ts AND settle_ts <= roll_ts + INTERVAL 300 SECONDS, marks WHERE settle_ts IS NOT NULL OR roll_ts + INTERVAL 300 SECONDS < mark""")
+def stream_settlement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6: every second event is a roll-over, the one after it its result, which counts if it comes within 300 seconds."""
+
+    def make(s: DataFrame) -> DataFrame:
+        named = s.withColumn("ticker", F.call_function("div", F.col("seq"), F.lit(2)).cast("long")).withColumn("result", F.lit("YES"))
+        rolls = named.filter("seq % 2 = 0").select("ticker", F.col("ts").alias("roll_ts"))
+        return market.settlement_join(rolls, named.filter("seq % 2 = 1").select("ticker", F.col("ts").alias("settle_ts"), "result")).drop("result")
+
+    return _run(spark, sf_dir, make).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("roll_ts", "settle_ts")})
+
+
+@query()
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST11: a model of the price and the time to expiry, fitted on the settled contracts, scores the stream."""
+    price = F.col("price").alias("price")
+    left = F.lit(float(LONG)) - F.unix_micros("ts") % (LONG * 1_000_000) / 1e6
+    rows = ticks(spark, sf_dir).join(settled(spark, sf_dir).select("ticker", (F.col("result") == "YES").cast("int").alias("y")), "ticker")
+    model = logistic_on(rows.select(F.col("real_price").alias("price"), "tte", "y"), ["price", "tte"])
+    return _run(spark, sf_dir, lambda s: score(model, s.select("seq", price, left.alias("tte"))).select("seq", "price", "tte", "prob"))

@@ -10,16 +10,20 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _scratch: list[list[str]] = []
+#: Folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where a local session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        path = _local[context.applicationId]
     return path.rstrip("/")
 
 

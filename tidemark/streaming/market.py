@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,47 +64,110 @@ def settlement_join(rolls: DataFrame, settled: DataFrame, within: str = "300 sec
     return left.join(right, near, "leftOuter").select("r.ticker", "r.roll_ts", "s.settle_ts", "s.result")
 
 
+FRAME = 10_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seq, us, price) of a batch's rows of one key, by time: they come in several frames, in no order."""
+    frames = [f[["seq", "ts", "price"]] for f in rows]
+    whole = pd.concat(frames) if len(frames) > 1 else frames[0]
+    us = whole["ts"].to_numpy("datetime64[us]").astype(np.int64)
+    order = np.lexsort((whole["seq"], us))
+    return whole["seq"].to_numpy()[order], us[order], whole["price"].to_numpy(np.float64)[order]
+
+
+def _accepted(prices: np.ndarray, us: np.ndarray, anchor: float | None, since: int | None, threshold: float) -> Iterator[tuple[float | None, int | None]]:
+    """After each row: the last price that moved from the one accepted before it by more than threshold, and its time."""
+    for price, now in zip(prices.tolist(), us.tolist(), strict=True):
+        if price == price and (anchor is None or abs(price - anchor) > threshold):
+            anchor, since = price, now
+        yield anchor, since
+
+
 class AssetState(StatefulProcessor):
-    """ST5, ST9: last period and anchored price of an asset; emits roll-overs and how long the price has stood."""
+    """ST5: last period and anchored price of an asset; emits roll-overs and how long the price has stood."""
 
     def __init__(self, period_seconds: int, threshold: float) -> None:
-        self.period, self.threshold = period_seconds, threshold
+        self.period_us, self.threshold = period_seconds * 1_000_000, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "period long, anchor double, since double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = self.state.get() if self.state.exists() else (None, None, None)
-        period, anchor, since = held
-        out = []
-        for frame in rows:
-            for seq, ts, price in frame.sort_values(["ts", "seq"])[["seq", "ts", "price"]].itertuples(index=False):
-                now = ts.timestamp()
-                own = int(now // self.period)
-                if price is not None and price == price and (anchor is None or abs(price - anchor) > self.threshold):
-                    anchor, since = price, now
-                out.append((key[0], seq, own, period is not None and own != period, 999.0 if since is None else now - since))
-                period = own
-        self.state.update((period, anchor, since))
-        yield pd.DataFrame(out, columns=["asset", "seq", "period", "rolled", "stale_seconds"])
+        self.state = handle.getValueState("last", "period long, anchor double, since long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        period, anchor, since = self.state.get() if self.state.exists() else (None, None, None)
+        seq, us, prices = _in_order(rows)
+        stood = []
+        for now, (anchor, since) in zip(us.tolist(), _accepted(prices, us, anchor, since, self.threshold), strict=True):  # noqa: B020
+            stood.append(999.0 if since is None else (now - since) / 1e6)
+        periods = us // self.period_us
+        rolled = np.diff(periods, prepend=periods[0] if period is None else period) != 0
+        self.state.update((int(periods[-1]), anchor, since))
+        for at in range(0, len(seq), FRAME):
+            part = slice(at, at + FRAME)
+            yield pd.DataFrame({"asset": key[0], "seq": seq[part], "period": periods[part], "rolled": rolled[part], "stale_seconds": stood[part]})
 
     def close(self) -> None:
         pass
 
 
 def stateful_ticks(ticks: DataFrame, period_seconds: int = 21_600, threshold: float = 0.001) -> DataFrame:
-    """ST5, ST9: needs the RocksDB state store."""
+    """ST5: needs the RocksDB state store.
+
+    The state is an asset's, so one task orders its rows of a micro-batch (24 bytes
+    each in memory): the limit is an asset's rate for each batch, which the source's
+    maxBytesPerTrigger sets. Rows that come in a later batch than their successors
+    are taken as they come.
+    """
     return ticks.groupBy("asset").transformWithStateInPandas(statefulProcessor=AssetState(period_seconds, threshold), outputStructType="asset string, seq long, period long, rolled boolean, stale_seconds double", outputMode="append", timeMode="none")
 
 
-def stale_alerts(states: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """ST9."""
-    return states.filter(F.col("stale_seconds") > seconds)
+class StaleFeed(StatefulProcessor):
+    """ST9: an alert for each accepted price that stood longer than a limit, by a timer where no row ends it."""
+
+    def __init__(self, limit_seconds: float, threshold: float) -> None:
+        self.limit_us, self.threshold = int(limit_seconds * 1_000_000), threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "anchor double, since long, told boolean")
+
+    def _alerts(self, asset: str, times: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"asset": [asset] * len(times), "since_us": np.array(times, np.int64), "alert_us": np.array(times, np.int64) + self.limit_us})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        anchor, since, told = self.state.get() if self.state.exists() else (None, None, False)
+        _, us, prices = _in_order(rows)
+        stale = []
+        for moved, at in _accepted(prices, us, anchor, since, self.threshold):
+            if at != since:
+                if since is not None and at - since > self.limit_us and not told:
+                    stale.append(since)
+                since, told = at, False
+            anchor = moved
+        self.state.update((anchor, since, told))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if since is not None and not told:
+            self.handle.registerTimer(-(-(since + self.limit_us) // 1000) + 1)
+        yield self._alerts(key[0], stale)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        anchor, since, told = self.state.get()
+        due = since is not None and not told
+        self.state.update((anchor, since, True))
+        yield self._alerts(key[0], [since] if due else [])
+
+    def close(self) -> None:
+        pass
+
+
+def stale_alerts(ticks: DataFrame, seconds: float = 60.0, threshold: float = 0.001) -> DataFrame:
+    """ST9: asset, since_us, alert_us; in event time, so an asset that falls silent is told of by the others' progress."""
+    return ticks.withWatermark("ts", DELAY).groupBy("asset").transformWithStateInPandas(statefulProcessor=StaleFeed(seconds, threshold), outputStructType="asset string, since_us long, alert_us long", outputMode="append", timeMode="EventTime")
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """ST10: all that has landed, to Parquet below folder with a checkpoint; the written rows."""
-    spark = stream.sparkSession
+def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """ST10: all that has landed, to Parquet below folder with a checkpoint; the written rows, read by spark."""
     path = f"{folder}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     q.awaitTermination()
