@@ -180,13 +180,19 @@ def test_urls(spark):
     assert got[9][2:] == (None, "block") and got[10][2:] == (None, "block") and got[11][2] is None and got[12][2] is None
     assert urls.judge_urls(df.limit(0)).count() == 0
     assert urls.judge_urls(df, [], []).filter("verdict = 'block'").count() == 0
+    clash = {c: F.lit(7) for c in ("keys", "_keys", "found", "_found", "row")}
+    assert urls.judge_urls(df.withColumns(clash)).select(*clash).distinct().collect() == [(7,) * len(clash)]
+    with pytest.raises(ValueError, match="verdict"):
+        urls.judge_urls(df.withColumn("Verdict", F.lit(1)))
 
 
 def test_cascade_is_exact(spark):
     listed = spark.range(0, 300).selectExpr("concat('k', id) AS key")
     universe = spark.range(0, 20_000).selectExpr("concat('k', id) AS key")
-    cascade = urls.build_cascade(listed, universe)
-    assert universe.filter(cascade.has(F.col("key"))).count() == 300 == listed.filter(cascade.has(F.col("key"))).count()
+    for bits, parts in ((urls.MAX_BITS, 1), (1000, 4)):
+        cascade = urls.build_cascade(listed, universe, bits)
+        assert len(cascade.parts) >= parts
+        assert universe.filter(cascade.has(F.col("key"))).count() == 300 == listed.filter(cascade.has(F.col("key"))).count()
 
 
 def test_html(spark):
@@ -282,6 +288,31 @@ def test_language(docs, spark):
     assert got[3].held_out == (zlib.crc32(b"3") % 4 == 2)
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, score int").withColumns({c: F.lit(7) for c in ("_rank", "held_out", "lang_pred")})
+    assert {r.lang_pred for r in language.identify(df).collect()} == {"aa", "zz", "und"}
+    assert language.training_rows(df, 300, 10).groupBy("lang").count().agg(F.max("count")).first()[0] == 5
+    assert language.training_rows(df, 300, 0).count() == 2
+
+
+def test_clashes_of_the_rest(docs, spark):
+    clash = {c: F.lit(7) for c in ("item_id", "n_found", "containment", "key", "set")}
+    item = spark.createDataFrame([(1, "Word5 word6 WORD7 word8 word9")], "item_id long, text string")
+    assert contamination.contaminated_pairs(docs.withColumns(clash), item.withColumn("doc_id", F.lit(3))).count() == 2
+    assert contamination.decontaminated(docs.withColumns(clash), item).columns == [*docs.columns, *clash]
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string")
+    assert chat.conversation_digests(chat.rendered_turns(turns.withColumn("n_turns", F.lit(7)))).first().n_turns == 2
+
+
+def test_stages_take_any_columns_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    clash = {c: F.lit(7) for c in ("size", "copies", "_words", "kept", "row", "shard_", "component_id", "class", "_n", "n_words")}
+    for docs in (documents.withColumns(clash), documents.withColumns(clash).limit(0), documents.union(documents).withColumns(clash)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert name == "sharding" or out.columns == docs.columns, name
+            assert out.count() >= 0
 
 
 def test_chat(spark):

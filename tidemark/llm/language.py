@@ -7,8 +7,8 @@ training rows give Nyström features, on which one-versus-rest ridge regression
 is solved; all of that folds into one matrix over the landmarks' n-grams. A
 batch of texts is then scored by one matrix product of its presence matrix.
 
-The fit takes at most ``TRAIN_PER_LANGUAGE`` rows of each language, those of
-least hash, of which ``LANDMARKS_PER_LANGUAGE`` are landmarks: a fixed bound,
+The fit takes at most ``TRAIN_PER_LANGUAGE`` rows of each language and
+``TRAIN_ROWS`` in all (one of each language at least), those of least hash, of which ``LANDMARKS_PER_LANGUAGE`` are landmarks: a fixed bound,
 found by a top-k per task before anything is shuffled. Scoring covers every row
 and whole texts.
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRAIN_PER_LANGUAGE = 300
+TRAIN_ROWS = 30_000
 LANDMARKS_PER_LANGUAGE = 48
 RIDGE = 1e-2
 UNKNOWN = "und"
@@ -99,9 +100,11 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """text, lang of at most so many rows of each language, none of them held out."""
+def training_rows(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, most: int = TRAIN_ROWS) -> DataFrame:
+    """text, lang of at most so many rows of each language, and in all unless there are more languages; none of them held out."""
     open_rows = docs.filter(~F.coalesce(held_out(), F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    languages = open_rows.select("lang").distinct().count()
+    per_language = max(1, min(per_language, most // max(1, languages)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = open_rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_language).select("doc_id", "lang").distinct()
     # at most per_language ids a language

@@ -12,8 +12,9 @@ are literals of the expression. Their size depends on the list, since level 0's
 false positive rate is set from the two counts; ``MAX_BITS`` bounds it.
 
 Defined cases: null url or none with ``://``: empty host and path, no rule,
-verdict allow. Repeated rows and other columns pass through. An empty table
-gives an empty one. An empty list fits nothing.
+verdict allow. Repeated rows and other columns pass through (those named like the
+operator's four own raise). An empty table gives an empty one. An empty list fits
+nothing.
 """
 
 from __future__ import annotations
@@ -75,12 +76,15 @@ class Cascade:
         table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to a literal
         return reduce(lambda a, b: a & b, [F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1 for at in self._bits(key, level, bits, hashes)])
 
-    def add(self, keys: DataFrame, count: int, rate: float) -> None:
-        """One more level over the column key. Only the bit words come to the driver, at most MAX_BITS."""
+    @staticmethod
+    def shape(count: int, rate: float) -> tuple[int, int]:
+        """(bits, hashes) of a level."""
         hashes = max(1, round(-math.log2(rate)))
-        bits = max(64, 64 * math.ceil(count * hashes / math.log(2) / 64))
-        if bits > MAX_BITS:
-            raise ValueError(f"a level needs {bits} bits, more than {MAX_BITS}: split the list by host and use a cascade for each part")
+        return max(64, 64 * math.ceil(count * hashes / math.log(2) / 64)), hashes
+
+    def add(self, keys: DataFrame, count: int, rate: float) -> None:
+        """One more level over the column key. Only the bit words come to the driver."""
+        bits, hashes = self.shape(count, rate)
         at = keys.select(F.explode(F.array(*self._bits(F.col("key"), len(self.levels), bits, hashes))).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b")).collect()
         table = [0] * (bits // 64)
@@ -96,18 +100,39 @@ class Cascade:
         return result
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+class Cascades:
+    """Cascades by the keys' hash, each within MAX_BITS a level or so."""
+
+    def __init__(self, parts: list[Cascade]) -> None:
+        self.parts = parts
+
+    @staticmethod
+    def part(key: Column, parts: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+    def has(self, key: Column) -> Column:
+        result = self.parts[0].has(key)
+        for k, cascade in enumerate(self.parts[1:], 1):
+            result = F.when(self.part(key, len(self.parts)) == k, cascade.has(key)).otherwise(result)
+        return result
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascades:
     """listed, universe: distinct values of the column key. Exact for every key in either."""
-    cascade = Cascade()
-    inside, outside = listed, written(universe.join(F.broadcast(listed) if _small(listed) else listed, "key", "left_anti"), "url-universe")
-    n_in, n_out = inside.count(), outside.count()
-    if not n_in:
-        return cascade
-    rate = min(0.5, n_in / max(1.0, math.sqrt(2) * n_out))
+    outside = written(universe.join(F.broadcast(listed) if _small(listed) else listed, "key", "left_anti"), "url-universe")
+    n_in, n_out = listed.count(), outside.count()
+    rate = min(0.5, n_in / max(1.0, math.sqrt(2) * n_out)) if n_in else 0.5
+    parts = max(1, math.ceil(Cascade.shape(n_in, rate)[0] / max_bits))
+    own = lambda df, k: df if parts == 1 else df.filter(Cascades.part(F.col("key"), parts) == k)
+    return Cascades([_build(own(listed, k), own(outside, k), rate) for k in range(parts)])
+
+
+def _build(inside: DataFrame, outside: DataFrame, rate: float) -> Cascade:
+    cascade, n_in = Cascade(), inside.count()
     while n_in and len(cascade.levels) < MAX_LEVELS:
         cascade.add(inside, n_in, rate)
         passed = outside.filter(cascade._passes(F.col("key"), len(cascade.levels) - 1))
-        inside, outside, n_in, rate = (written(passed, "url-level"), inside, 0, 0.5)
+        inside, outside, rate = written(passed, "url-level"), inside, 0.5
         n_in = inside.count()
     if n_in:
         raise RuntimeError(f"keys are left after {MAX_LEVELS} levels")
@@ -125,26 +150,26 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, blocked
     verdict is a short literal map of the rules alone.
     """
     spark = df.sparkSession
-    taken = {"host", "path", "rule", "verdict", "_keys"} & {c.lower() for c in df.columns}
+    taken = {"host", "path", "rule", "verdict"} & {c.lower() for c in df.columns}
     if taken:
         raise ValueError(f"columns {sorted(taken)} are this operator's own")
     by_rule = {f"{h}{_SEPARATOR}{p}": (f"{h}{p}", v) for h, p, v in rules}
     blocked = [f"{h}{_SEPARATOR}" for h in blocked_hosts]
     entries = [(h, p) for h, p, _ in rules] + [(h, "") for h in blocked_hosts]
-    parts = url_parts(df).withColumn("_keys", candidate_keys(entries))
+    parts = url_parts(df.select(F.struct("*").alias("row"), "url")).withColumn("keys", candidate_keys(entries))
     universe = url_parts(df.select("url")).select(F.explode(F.transform(candidate_keys(entries), lambda x: x["key"])).alias("key")).distinct()
     keys = [(k,) for k in dict.fromkeys([*by_rule, *blocked])]
     listed = spark.createDataFrame(keys, "key string")
     cascade = build_cascade(listed, universe)
-    found = F.transform(F.filter("_keys", lambda x: cascade.has(x["key"])), lambda x: x["key"])
-    out = parts.withColumn("_found", found)
+    found = F.transform(F.filter("keys", lambda x: cascade.has(x["key"])), lambda x: x["key"])
+    out = parts.withColumn("found", found)
     rule, verdict, is_rule = F.lit(None).cast("string"), F.lit(None).cast("string"), None
     if by_rule:
         names = F.create_map(*[F.lit(x) for k, (n, _) in by_rule.items() for x in (k, n)])
         verdicts = F.create_map(*[F.lit(x) for n, v in by_rule.values() for x in (n, v)])
-        is_rule = F.get(F.filter("_found", lambda x: F.map_contains_key(names, x)), F.lit(0))
+        is_rule = F.get(F.filter("found", lambda x: F.map_contains_key(names, x)), F.lit(0))
         rule = F.try_element_at(names, is_rule)
         verdict = F.try_element_at(verdicts, F.col("rule"))
-    listed_host = F.exists("_found", lambda x: x.endswith(_SEPARATOR))
+    listed_host = F.exists("found", lambda x: x.endswith(_SEPARATOR))
     out = out.withColumn("rule", rule)
-    return out.withColumn("verdict", F.coalesce(verdict, F.when(listed_host, "block").otherwise("allow"))).drop("_keys", "_found")
+    return out.withColumn("verdict", F.coalesce(verdict, F.when(listed_host, "block").otherwise("allow"))).select("row.*", "host", "path", "rule", "verdict")
