@@ -83,3 +83,27 @@ def test_bins_close_at_the_end(spark):
 
     got = [r.b for r in spark.createDataFrame([(0.0,), (60.0,), (900.0,), (901.0,)], "v double").select(S.binned(F.col("v"), TTE_EDGES, TTE_LABELS).alias("b")).collect()]
     assert got == ["0-1m", "1-3m", "12.5-15m", None]
+
+
+def test_gates_by_position(spark):
+    c, mid, tte, spread, side = S.RISK_CONFIGS["backtest"], lit(0.5), lit(300), lit(0.02), F.lit("YES")
+    ask = lambda **more: one(spark, r=S.gate_reason(c, mid, tte, spread, side, **more)).r
+    assert ask() == "ok" == ask(held=F.lit(False), exposure=lit(0.1499), same_direction=lit(1, "int"))
+    assert ask(held=F.lit(True), exposure=lit(1.0)) == "in_position"
+    assert ask(exposure=lit(0.15), same_direction=lit(2, "int")) == "exposure_limit"
+    assert ask(same_direction=lit(2, "int")) == "max_same_direction"
+
+
+@pytest.mark.parametrize(("price", "edge", "room", "size"), [(0.35, 0.05, 9.0, 2), (0.36, 0.05, 9.0, 1), (0.7, 0.02, 9.0, 0), (0.7, 0.04, 9.0, 1), (0.3, 0.05, 0.5, 1), (0.3, 0.05, 0.2, 0), (0.5, 0.025, 9.0, 0)])
+def test_tiered_size(spark, price, edge, room, size):
+    assert one(spark, n=S.tiered_size(lit(edge), lit(price), lit(room))).n == size
+
+
+@pytest.mark.parametrize(("asset", "volatility"), [("btc", 0.15), ("sol", 0.35), ("none", 0.2), (None, 0.2)])
+def test_default_volatility(spark, asset, volatility):
+    assert one(spark, v=S.default_volatility(lit(asset, "string"))).v == volatility
+
+
+@pytest.mark.parametrize(("rows", "gaps", "status"), [(2700, 4.9, "OK"), (2700, 5.0, "PARTIAL"), (1500, 0.0, "PARTIAL"), (1499, 0.0, "INSUFFICIENT")])
+def test_final_status(spark, rows, gaps, status):
+    assert one(spark, s=S.final_status(lit(rows, "long"), lit(gaps))).s == status

@@ -28,7 +28,7 @@ def test_wide_schema_and_round_trip(spark, tmp_path):
     assert len(schema) == 67
     row = {f.name: None for f in schema} | {"ts": "t", "ts_unix": 1.0, "btc_ticker": "K", "btc_mid": 0.5, "eth_mid": float("nan"), "n_valid": 1}
     wide = spark.createDataFrame([tuple(row[n] for n in schema.names)], schema)
-    tables.export_csv(wide, str(tmp_path / "f.csv"), "ts_unix")
+    assert tables.export_csv(wide, str(tmp_path / "f.csv"), "ts_unix") == 1
     read = tables.resolve_source(spark, str(tmp_path / "none"), str(tmp_path / "f.csv"))
     first = read.first()
     assert (first.btc_mid, first.eth_mid, first.n_valid) == (0.5, None, 1)
@@ -63,3 +63,29 @@ def test_many_sinks(spark, sf_dir, tmp_path):
     everything = spark.read.parquet(str(tmp_path / "a"))
     assert everything.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert spark.read.parquet(str(tmp_path / "b")).count() == everything.filter("asset = 'view'").count()
+
+
+def test_landed_replies(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"markets": [{"ticker": "K", "yes_bid": 24}]}\nbroken\n')
+    rows = snapshots.read_landed(spark, str(tmp_path / "in"), snapshots.MARKETS).collect()
+    assert sorted((r.markets[0].ticker if r.markets else None, r._corrupt_record) for r in rows if r.markets) == [("K", None)]
+    assert [r._corrupt_record for r in rows if not r.markets] == ["broken"]
+    stream = snapshots.read_landed(spark, str(tmp_path / "in"), snapshots.MARKETS, stream=True)
+    assert stream.isStreaming and market.run_available(spark, stream, str(tmp_path / "out")).count() == 2
+
+
+def test_sinks(spark, tmp_path):
+    long = spark.createDataFrame([(0.0, "btc", 0.5), (86_400.0, "eth", 0.4)], "ts_unix double, asset string, mid double")
+    for _ in range(2):
+        tables.append_features(long, str(tmp_path / "f"))
+    back = spark.read.parquet(str(tmp_path / "f"))
+    assert back.count() == 4 and {(str(r.date), r.asset) for r in back.collect()} == {("1970-01-01", "btc"), ("1970-01-02", "eth")}
+    rolls = spark.createDataFrame([("t", "btc", "A", "B", 1.0)], tables.TRANSITIONS)
+    tables.append_transitions(rolls, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r")).select("old_ticker", "new_ticker", "asset").first() == ("A", "B", "btc")
+    tables.write_predictions(spark.createDataFrame([(0.25, 1, "x")], "prob double, y int, more string"), str(tmp_path / "p"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "p")).collect() == [("0.25", "1")]
+    state = spark.createDataFrame([(1, "btc", 2), (1, "eth", 3)], "k long, asset string, v long")
+    made = tables.record_ticks(state, ["k"], "asset", "v", "held")
+    assert tables.read_map(made, "held").first().held == {"btc": "2", "eth": "3"}

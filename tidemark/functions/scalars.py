@@ -189,7 +189,7 @@ def side_of(p: Column, market: Column) -> Column:
 
 
 def consensus(osc: Column, n_settled: Column, n_valid: Column, agreement: Column, side: Column, consensus_side: Column, p: Column, z: Column, mid: Column, in_conflict: Column) -> Column:
-    """struct(side, edge, mode, confidence) from a tick's own signal and its moment's consensus."""
+    """struct(side, edge, mode, confidence) from a tick's own signal and its moment's consensus. Its numbers are fixed values."""
     agrees = F.coalesce(side == consensus_side, F.lit(False))
     base = F.when(osc > 0.7, 0.15).when((osc < 0.3) & (n_settled >= 6), 0.35).otherwise(0.25)
     factor = (

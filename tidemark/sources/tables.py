@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ ASSET_COLUMNS = {
     "ticker": "string", "mid": "double", "spread": "double", "yes_bid": "integer", "yes_ask": "integer", "volume": "long", "oi": "long", "floor_strike": "double", "time_to_expiry": "double",
     "ob_imbalance": "double", "real_price": "double", "price_vs_strike_pct": "double", "mom_5s": "double", "mom_15s": "double", "mom_30s": "double", "error": "string",
 }
+#: The columns of the fact tables.
 TRADES = "id long, ts_unix double, ts_iso string, asset string, side string, contracts int, entry_price double, fee double, ticker string, edge double, z_score double, model_p double, confidence double, order_id string, order_status string, settled string, pnl double, bankroll_after double, consensus string, avg_z double, agreement double, tte_at_entry double, edge_mode string, bankroll_before double"
 SETTLEMENTS = "id long, ts_unix double, ts_iso string, asset string, ticker string, result string"
 TRANSITIONS = "ts string, asset string, old_ticker string, new_ticker string, new_floor_strike double"
@@ -93,9 +94,10 @@ def read_map(df: DataFrame, name: str, kind: str = "map<string,string>") -> Data
 
 
 def export_csv(df: DataFrame, path: str, order: str) -> int:
-    """Ordered CSV parts with a header; returns the number of rows."""
-    df.orderBy(order).write.mode("overwrite").option("header", True).csv(path)
-    return df.count()
+    """Ordered CSV parts with a header; returns the number of rows, counted as they are written."""
+    seen = Observation()
+    df.orderBy(order).observe(seen, F.count("*").alias("n")).write.mode("overwrite").option("header", True).csv(path)
+    return seen.get["n"]
 
 
 def write_predictions(scores: DataFrame, path: str) -> None:
