@@ -251,6 +251,8 @@ def test_tokens(docs):
     want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
     assert r.prefix_tokens == want and (r.n, r.piece) == (want[12], 7)
     assert r.c == max(k for k, n in enumerate(want) if n <= 6)
+    for limit in range(len(want)):
+        assert tokens.counter(TOKENIZER).fit(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
     assert none.prefix_tokens == [0] and (none.n, none.c) == (0, 0)
 
 

@@ -209,6 +209,24 @@ class PieceCounter:
                 total += counts[-1]
         return np.array(out, np.int32)
 
+    def fit(self, text: str, limit: int) -> int:
+        """Code points of the longest prefix of at most so many tokens.
+
+        A prefix has no fewer tokens than the runs that it holds, so the longest
+        ends within the first run that goes beyond the limit, or before it.
+        """
+        if self.hint in text and any(special for _, special in self.parts(text)):
+            return int(np.flatnonzero(self.every_prefix(text) <= limit)[-1])
+        total = at = 0
+        for run in text.replace("\n", " ").split(" "):
+            n = self.runs.get(run)
+            n = self._run(run) if n is None else n
+            if total + n > limit:
+                return at + max(k for k, count in enumerate(self.run_prefixes(run)) if total + count <= limit)
+            total += n
+            at += len(run) + 1
+        return len(text)
+
 
 def counter(path: str) -> PieceCounter:
     """The worker's counter of a file."""
@@ -217,11 +235,6 @@ def counter(path: str) -> PieceCounter:
     return _counters[path]
 
 
-def fitting(counts: np.ndarray, limit: int) -> int:
-    """Code points of the longest prefix of at most so many tokens."""
-    return int(np.flatnonzero(counts <= limit)[-1])
-
-
 def _with_columns(df: DataFrame, path: str, made: dict[str, pa.DataType], types: list[DataType], values: Callable[[PieceCounter, str], tuple]) -> DataFrame:
     """df's columns but text, with what values gives for each text."""
     taken = set(made) & {c.lower() for c in df.columns}
@@ -247,7 +260,7 @@ def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def values(c: PieceCounter, text: str) -> tuple:
         n = c.total(text)
-        return len(text.encode()), n, n > limit, fitting(c.every_prefix(text), limit) if n > limit else len(text)
+        return len(text.encode()), n, n > limit, c.fit(text, limit) if n > limit else len(text)
 
     made = {"n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "fit_chars": pa.int64()}
     return _with_columns(df, path, made, [LongType(), LongType(), BooleanType(), LongType()], values)
