@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, html, language, mixing, neardup, quality, sharding, tokens, urls
+from . import alignment, chat, contamination, html, language, mixing, neardup, quality, sharding, tokens, urls
 from .common import words, written
 
 
@@ -65,6 +65,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cross_document_lines(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.aligned_documents(docs, public_tokenizers.path(alignment.FILE_A), public_tokenizers.path(alignment.FILE_B))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
