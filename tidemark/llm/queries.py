@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, contamination, html, language, mixing, neardup, quality, sharding, tokens, urls
+from . import alignment, chat, clustering, contamination, fingerprints, html, language, mixing, neardup, quality, sharding, tokens, urls
 from .common import words, written
 
 
@@ -72,6 +72,14 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.aligned_documents(docs, public_tokenizers.path(alignment.FILE_A), public_tokenizers.path(alignment.FILE_B))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
@@ -151,6 +159,34 @@ fin AS (SELECT base.*, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_
 SELECT *, NOT base_failed AND n_removed_words <= {q.MAX_REMOVED}::DOUBLE * n_words AS kept FROM fin"""
 
 
+def _clustering_sql() -> str:
+    c, d = clustering, range(1, clustering.DIMENSIONS + 1)
+    near = lambda k: f"""a{k} AS MATERIALIZED (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT vec_id, v, c, {' + '.join(f'(v[{i}] - m[{i}]) * (v[{i}] - m[{i}])' for i in d)} AS d FROM kept, c{k}) GROUP BY vec_id, v)"""
+    mean = lambda i: f"(sum(v[{i}])::BIGINT - ((sum(v[{i}])::BIGINT % count(*)) + count(*)) % count(*)) // count(*)"
+    move = lambda k: f"c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{k} o LEFT JOIN (SELECT c, [{', '.join(map(mean, d))}] AS m FROM a{k} GROUP BY c) n USING (c))"
+    steps = ", ".join(f"{near(k)}, {move(k)}" for k in range(c.ROUNDS))
+    return f"""WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {c.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id)) - 1 AS c, v AS m FROM kept ORDER BY sha256('{c.SEED}:' || vec_id) LIMIT {c.CLUSTERS}), {steps}, {near(c.ROUNDS)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{c.ROUNDS} JOIN c{c.ROUNDS} USING (c)"""
+
+
+def _fingerprints_sql() -> str:
+    f = fingerprints
+    below = format(int(f.FRACTION * 16**f.HASH_DIGITS), f"0{f.HASH_DIGITS}x")
+
+    def kept(text: str) -> str:
+        w = _words_sql(f"lower({text})")
+        hashes = f"list_filter([md5(array_to_string(w[i:i + {f.SHINGLE_WORDS - 1}], ' ')) FOR i IN range(1, greatest(len(w) - {f.SHINGLE_WORDS - 2}, 2))], lambda h: h < '{below}')"
+        return f"(SELECT CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform({hashes}, lambda h: h[1:{f.HASH_DIGITS}]))) END FROM (SELECT {w} AS w))"
+
+    name = lambda text, hashes: f"CASE WHEN len({hashes}) > 0 THEN array_to_string({hashes}, ',') ELSE '=' || md5(array_to_string({_words_sql(f'lower({text})')}, ' '))[1:{f.HASH_DIGITS}] END"
+    alike = lambda p, x: f"CASE WHEN fingerprint = {p} THEN 1.0::DOUBLE ELSE coalesce(len(list_intersect(h, {x})) / nullif(len(h) + len({x}) - len(list_intersect(h, {x})), 0)::DOUBLE, 0) END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n_chars, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
+e AS (SELECT *, left(text, n_chars - n_chars // 4) || left(next_text, n_chars // 4) AS edited FROM n), k AS (SELECT *, {kept('text')} AS h, {kept('edited')} AS eh, {kept('next_text')} AS nh FROM e),
+p AS (SELECT *, {name('text', 'h')} AS fingerprint, {name('edited', 'eh')} AS edited_fingerprint, {name('next_text', 'nh')} AS next_fingerprint FROM k)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, {alike('edited_fingerprint', 'eh')} AS near_edited, {alike('next_fingerprint', 'nh')} AS near_next FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For doc_ids and page_ids that are unique, as the given tables have them."""
     return {
@@ -160,4 +196,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_benchmark_decontamination": _contamination_sql(),
         "op9_chat_formatting": _chat_sql(),
         "op10_quality_rules": _quality_sql(),
+        "op12_centroid_clustering": _clustering_sql(),
+        "op13_document_fingerprints": _fingerprints_sql(),
     }
