@@ -3,6 +3,11 @@
 What looks back in time is a step of ``over_time``: however many horizons a query
 asks for, the rows are shuffled once by key and time bucket, and a table with a
 row for each bucket carries the last known values across the borders.
+
+All frames grow: they begin with a bucket's first row (or its last, in descending
+order) and end at a distance from the current row. Spark takes each row into such
+a frame once, so work grows with the rows however many of them a window holds;
+what lies within a window is the difference of two growing sums.
 """
 
 from __future__ import annotations
@@ -44,36 +49,52 @@ def lookback(horizon_us: int) -> int:
     return horizon_us + horizon_us // 2
 
 
-def nearest(value: str, horizon_us: int, name: str, inclusive: bool = True) -> Step:
-    """The value whose time is nearest to us - horizon, within half a horizon; ties go to the earlier.
+def _until(by: WindowSpec, back_us: int) -> WindowSpec:
+    """The rows of the bucket at or before us - back."""
+    return by.orderBy("us").rangeBetween(Window.unboundedPreceding, -back_us)
+
+
+def _since(by: WindowSpec, back_us: int) -> WindowSpec:
+    """The rows of the bucket after us - back."""
+    return by.orderBy(F.col("us").desc()).rangeBetween(Window.unboundedPreceding, back_us - 1)
+
+
+def nearest(value: str, horizons_us: dict[str, int], inclusive: bool = True) -> Step:
+    """For each name and horizon the value whose time is nearest to us - horizon, within half a horizon; ties go to the earlier.
 
     The tolerance's edge counts if inclusive. Of rows at one time the first by
     seq that has a value is looked up.
     """
-    tolerance = horizon_us // 2 if inclusive else (horizon_us - 1) // 2
 
     def step(rows: DataFrame, by: WindowSpec) -> DataFrame:
-        at, known = by.orderBy("us"), F.col(value).isNotNull()
-        point = F.struct("us", F.col(value).alias("v"))
-        earlier = F.max_by(point, F.when(known, F.struct(F.col("us"), -F.col("seq")))).over(at.rangeBetween(-(horizon_us + tolerance), -horizon_us))
-        later = F.min_by(point, F.when(known, F.struct("us", "seq"))).over(at.rangeBetween(-horizon_us + 1, -(horizon_us - tolerance)))
-        target = F.col("us") - horizon_us
-        first = F.col("_l").isNull() | (target - F.col("_e.us") <= F.col("_l.us") - target)
-        looked = rows.withColumns({"_e": earlier, "_l": later})
-        return looked.withColumn(name, F.when(F.col("_e").isNotNull() & first, F.col("_e.v")).otherwise(F.col("_l.v"))).drop("_e", "_l")
+        known = F.col(value).isNotNull()
+        point, first_of_time = F.struct("us", F.col(value).alias("v")), F.when(known, F.struct(F.col("us"), -F.col("seq")))
+        earlier = {f"_e_{n}": F.max_by(point, first_of_time).over(_until(by, h)) for n, h in horizons_us.items()}
+        later = {f"_l_{n}": F.min_by(point, F.when(known, F.struct("us", "seq"))).over(_since(by, h)) for n, h in horizons_us.items()}
+        looked = rows.withColumns(earlier).withColumns(later)
+        for n, h in horizons_us.items():
+            e, later_one, target = F.col(f"_e_{n}"), F.col(f"_l_{n}"), F.col("us") - h
+            before, after = (F.when(x.between(0, h // 2 if inclusive else (h - 1) // 2), x) for x in (target - e["us"], later_one["us"] - target))
+            looked = looked.withColumn(n, F.when(before.isNotNull() & (after.isNull() | (before <= after)), e["v"]).when(after.isNotNull(), later_one["v"]))
+        return looked.drop(*earlier, *later)
 
     return step
 
 
+def within(counted: Column, window_us: int, by: WindowSpec) -> Column:
+    """Sum of counted over (us - window, us]."""
+    return F.coalesce(F.sum(counted).over(_until(by, 0)), F.lit(0)) - F.coalesce(F.sum(counted).over(_until(by, window_us)), F.lit(0))
+
+
 def nearest_before(df: DataFrame, keys: list[str], value: str, horizon_us: int, name: str, inclusive: bool = True) -> DataFrame:
     """df with the value nearest to a horizon ago."""
-    return over_time(df, keys, lookback(horizon_us), [nearest(value, horizon_us, name, inclusive)])
+    return over_time(df, keys, lookback(horizon_us), [nearest(value, {name: horizon_us}, inclusive)])
 
 
 def momentum(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int], inclusive: bool = True) -> DataFrame:
     """For each name and horizon: last known value minus the one a horizon ago, rounded to 6."""
-    steps = [nearest(value, h, f"_then_{n}", inclusive) for n, h in horizons_us.items()]
-    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), steps, {"_now": value})
+    then = nearest(value, {f"_then_{n}": h for n, h in horizons_us.items()}, inclusive)
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value})
     moved = looked.withColumns({n: F.round(F.col("_now") - F.col(f"_then_{n}"), 6) for n in horizons_us})
     return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
 
@@ -84,8 +105,8 @@ def percent_change(now: str, then: str) -> Column:
 
 def trend(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int]) -> DataFrame:
     """Change in percent against the value a horizon ago (strict tolerance), as of the last known value."""
-    steps = [nearest(value, h, f"_then_{n}", inclusive=False) for n, h in horizons_us.items()]
-    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), steps, {"_now": value})
+    then = nearest(value, {f"_then_{n}": h for n, h in horizons_us.items()}, inclusive=False)
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value})
     moved = looked.withColumns({n: percent_change("_now", f"_then_{n}") for n in horizons_us})
     return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
 
@@ -93,25 +114,24 @@ def trend(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int
 def volatility(value: str, window_us: int, period_us: int, name: str, least: tuple[int, int, int] = (0, 0, 3), history_us: int | None = None) -> Step:
     """Population deviation of the percent returns within the window, scaled to a period.
 
-    Both ends of a return lie in (now - window, now]: the frame's sums less its
-    first row's return. Null below the least values in (now - history, now], values
+    Both ends of a return lie in (now - window, now]: the window's sums less its
+    first value's return. Null below the least values in (now - history, now], values
     in the window, and returns; null as well where the row has no value.
     """
 
     def step(rows: DataFrame, by: WindowSpec) -> DataFrame:
-        v, ordered, at = F.col(value), by.orderBy("us", "seq"), by.orderBy("us")
+        v, ordered = F.col(value), by.orderBy("us", "seq")
         before = F.last(value, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
         rows = rows.withColumn("_before", before).withColumn("_r", F.when(v.isNotNull() & (F.col("_before") > 0), (v - F.col("_before")) / F.col("_before") * 100))
-        frame = at.rangeBetween(-(window_us - 1), 0)
-        first = F.min_by(F.struct("_r"), F.when(v.isNotNull(), F.struct("us", "seq"))).over(frame)["_r"]
-        r = F.col("_r")
-        sums = {"_n": F.count(r).over(frame), "_s": F.sum(r).over(frame), "_q": F.sum(r * r).over(frame), "_f": first, "_values": F.count(v).over(frame), "_held": F.count(v).over(at.rangeBetween(-((history_us or window_us) - 1), 0))}
-        rows = rows.withColumns(sums)
+        r, one = F.col("_r"), v.isNotNull().cast("int")
+        sums = {"_n": within(r.isNotNull().cast("int"), window_us, by), "_s": within(r, window_us, by), "_q": within(r * r, window_us, by), "_values": within(one, window_us, by), "_held": within(one, history_us or window_us, by)}
+        first = F.min_by(F.struct("_r"), F.when(v.isNotNull(), F.struct("us", "seq"))).over(_since(by, window_us))["_r"]
+        rows = rows.withColumns(sums).withColumn("_f", first)
         count, f = F.col("_n") - F.col("_f").isNotNull().cast("int"), F.coalesce("_f", F.lit(0.0))
         some = F.nullif(count, F.lit(0))
         variance = F.greatest((F.col("_q") - f * f) / some - F.pow((F.col("_s") - f) / some, 2), F.lit(0.0))
         enough = v.isNotNull() & (F.col("_held") >= least[0]) & (F.col("_values") >= least[1]) & (count >= least[2])
-        return rows.withColumn(name, F.when(enough, F.sqrt(variance) * F.sqrt(count * (period_us / window_us)))).drop(*sums, "_before", "_r")
+        return rows.withColumn(name, F.when(enough, F.sqrt(variance) * F.sqrt(count * (period_us / window_us)))).drop(*sums, "_f", "_before", "_r")
 
     return step
 
@@ -122,25 +142,24 @@ def realized_volatility(df: DataFrame, keys: list[str], value: str, window_us: i
 
 
 def asof_join(df: DataFrame, states: DataFrame, at: str, keys: list[str], columns: list[str], width_us: int, us: str = "us") -> DataFrame:
-    """df with the columns of the latest state at or before us, by an equi-join on time buckets.
+    """df with the columns of the latest state at or before us, by a merge of rows and states in time buckets.
 
-    A state is valid until the key's next one and stands in each bucket it
-    reaches; later rows meet the key's last bucket. states has one row for each
-    key and time, and far fewer rows than df, which is read once.
+    Rows and states of a key and bucket are sorted together, and each row takes
+    the last state that it meets; a table with a row for each bucket carries the
+    state of the buckets before. Neither side has to be the smaller one. states
+    has one row for each key and time. A null us meets no state.
     """
-    by = Window.partitionBy(*keys).orderBy("_at")
-    own = states.select(*keys, F.col(at).alias("_at"), F.struct(*columns).alias("_state")).withColumn("_next", F.lead("_at").over(by))
-    div = lambda c: F.call_function("div", c, F.lit(width_us))
-    reach = own.withColumn("_b", F.explode(F.sequence(div(F.col("_at")), div(F.coalesce(F.col("_next") - 1, F.col("_at"))))))
-    rows = df.withColumn("_one", F.lit(0)).withColumn("_b", div(F.col(us)))
-    ends = states.groupBy(*keys).agg(div(F.max(at)).alias("_last")).withColumn("_one", F.lit(0))
-    rows = rows.join(ends, [*keys, "_one"], "left").withColumn("_b", F.least("_b", "_last"))
-    reach = reach.select(*[F.col(c).alias(f"_of_{c}") for c in [*keys, "_b"]], "_at", "_next", "_state")
-    near = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) if c in keys else F.col(c) == F.col(f"_of_{c}") for c in [*keys, "_b"]]
-    fits = (F.col("_at") <= F.col(us)) & (F.col("_next").isNull() | (F.col(us) < F.col("_next")))
-    for condition in near:
-        fits = fits & condition
-    return rows.join(reach, fits, "left").select(*df.columns, *[F.col("_state")[c].alias(c) for c in columns])
+    left = df.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(us).alias("_at"), F.lit(1).alias("_kind"), F.struct(*df.columns).alias("_row"), F.lit(None).cast(states.select(F.struct(*columns)).schema[0].dataType).alias("_state"))
+    right = states.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.struct(*columns).alias("_state"))
+    both, by = left.unionByName(right).withColumn("_b", time_bucket("_at", width_us)), [f"_of_{k}" for k in keys]
+    carried = carried_values(both.select(*by, "_b", "_at", "_state"), by, ["_at"], {"_carried": F.col("_state")})
+    met = Window.partitionBy(*by, "_b").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_met", F.last("_state", ignorenulls=True).over(met)).filter("_kind = 1")
+    same = rows["_b"].eqNullSafe(carried["_b"])
+    for k in by:
+        same = same & rows[k].eqNullSafe(carried[k])
+    state = F.when(F.col("_at").isNotNull(), F.coalesce("_met", "_carried"))
+    return rows.join(carried, same).withColumn("_state", state).select("_row.*", *[F.col("_state")[c].alias(c) for c in columns])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], ids: list[str], left_us: str, right_us: str, within_us: int, columns: list[str]) -> DataFrame:

@@ -45,8 +45,8 @@ def features(spark: SparkSession, sf_dir: str, results: DataFrame | None = None)
     The ticks are read twice: once for all that looks back, once for the last
     prices that cross buckets. results: staged settlements.
     """
-    steps = [asof.nearest("real_price", h * _MICRO, f"_then{m}", inclusive=False) for m, h in ((15, 900), (30, 1800))]
-    t = asof.over_time(ticks(spark, sf_dir), ["asset"], VOL_HISTORY * _MICRO, [*steps, tick_volatility()], {"_now": "real_price"})
+    then = asof.nearest("real_price", {f"_then{m}": h * _MICRO for m, h in ((15, 900), (30, 1800))}, inclusive=False)
+    t = asof.over_time(ticks(spark, sf_dir), ["asset"], VOL_HISTORY * _MICRO, [then, tick_volatility()], {"_now": "real_price"})
     t = t.withColumns({f"trend{m}": asof.percent_change("_now", f"_then{m}") for m in (15, 30)}).drop("_now", "_then15", "_then30")
     states = latest_states(settled(spark, sf_dir) if results is None else results)
     t = asof.asof_join(t, states, "settle_us", [], ["rate4", "osc", "n_settled"], LONG * _MICRO)

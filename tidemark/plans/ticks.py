@@ -207,8 +207,8 @@ def mid_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of the mid, if at least five points lie in the last window."""
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "mid")
     window, horizon = LONG * _MICRO, 1800 * _MICRO
-    counted = lambda rows, by: rows.withColumn("n", F.count("mid").over(by.orderBy("us").rangeBetween(-(window - 1), 0)))
-    looked = asof.over_time(t, ["asset"], window, [counted, asof.nearest("mid", horizon, "then", inclusive=False)], {"now": "mid"})
+    counted = lambda rows, by: rows.withColumn("n", asof.within(F.col("mid").isNotNull().cast("int"), window, by))
+    looked = asof.over_time(t, ["asset"], window, [counted, asof.nearest("mid", {"then": horizon}, inclusive=False)], {"now": "mid"})
     return looked.select("seq", "asset", F.when(F.col("n") >= 5, F.round(F.col("now") - F.col("then"), 6)).alias("mid_dir"))
 
 
@@ -216,7 +216,7 @@ def mid_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def momentum_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ticks have a neighbour at each horizon."""
     t = ticks(spark, sf_dir, SHORT).select("seq", "asset", "us", "mid")
-    t = asof.over_time(t, ["asset"], asof.lookback(max(HORIZONS) * _MICRO), [asof.nearest("mid", h * _MICRO, f"v_{h}") for h in HORIZONS])
+    t = asof.over_time(t, ["asset"], asof.lookback(max(HORIZONS) * _MICRO), [asof.nearest("mid", {f"v_{h}": h * _MICRO for h in HORIZONS})])
     return t.groupBy("asset").agg(F.count("*").alias("n"), *[x for h in HORIZONS for x in (F.count(f"v_{h}").alias(f"n_{h}"), F.round(F.count(f"v_{h}") / F.count("*") * 100, 6).alias(f"pct_{h}"))])
 
 
@@ -465,14 +465,15 @@ def deferred_settlement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEADER = "click"
 
 
-def with_leader(t: DataFrame) -> DataFrame:
+def with_leader(t: DataFrame, width_us: int = 3600 * _MICRO) -> DataFrame:
     """Ticks with the three momenta, and beside the other assets' rows the leading asset's last known mid and its momentum less their own.
 
-    The leader's rows reach all others by a window over time buckets, not by a join of times.
+    The leader's rows reach all others by a window over time buckets of the given
+    width (what a task sorts at once), not by a join of times.
     """
     t = asof.momentum(t, ["asset"], "mid", {f"mom_{h}": h * _MICRO for h in HORIZONS})
     leads = (F.col("asset") == LEADER) & F.col("mid").isNotNull()
-    t = asof.over_time(t.withColumn("_leads", F.when(leads, F.struct("mid", "mom_900"))), [], 0, [], {"_leader": "_leads"})
+    t = asof.over_time(t.withColumn("_leads", F.when(leads, F.struct("mid", "mom_900"))), [], 0, [], {"_leader": "_leads"}, width_us)
     other = F.col("asset") != LEADER
     return t.withColumns({"lead_mid": F.when(other, F.col("_leader.mid")), "lead": F.when(other, F.col("_leader.mom_900") - F.col("mom_900"))}).drop("_leads", "_leader")
 
