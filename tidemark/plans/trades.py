@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.ordered import islands, running
+from ..operators.ordered import running
+from ..operators.summaries import before_buckets, bucket_summaries, summarised
+from ..sources.staging import staged
 from .bindings import fee_sql, ledger, ledger_sql
 from .registry import ORACLES, query
 
@@ -112,12 +116,43 @@ def sharpe_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EQ = _L + f", equity AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price ROWS UNBOUNDED PRECEDING) AS bank FROM ledger WHERE pnl IS NOT NULL), peaks AS (SELECT *, greatest({START}, max(bank) OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price ROWS UNBOUNDED PRECEDING)) AS peak FROM equity)\n"
 
 
-def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settled trades with the bankroll after each and its peak so far."""
-    rows = running(ledger(spark, sf_dir).filter("pnl is not null"), ["asset"], ORDER, F.col("pnl"), "made", "top", month())
+def settled_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled trades, written once: what follows reads them more than once."""
+    return staged(ledger(spark, sf_dir).filter("pnl is not null").select("asset", *ORDER, "side", "pnl"), "settled-trades")
+
+
+def with_bank(rows: DataFrame) -> DataFrame:
+    """Settled trades with the bankroll after each and its peak so far."""
+    rows = running(rows, ["asset"], ORDER, F.col("pnl"), "made", "top", month())
     return rows.withColumn("bank", START + F.col("made")).withColumn("peak", START + F.col("top"))
 
 
+def equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10."""
+    return with_bank(settled_trades(spark, sf_dir))
+
+
+#: Sums that are taken in another order may differ by this.
+SLACK = 1e-6
+
+
+def until_breach(rows: DataFrame, summaries: DataFrame, meets: Callable[[float], Column], breach: Column) -> DataFrame:
+    """Settled trades up to each asset's first breach, that one included.
+
+    meets(slack), over a bucket's summary s and the sums before it, tells whether
+    a breach lies in the bucket, with some slack. Only trades of buckets that may
+    hold the first one are ordered and tested by breach (over bank and peak).
+    """
+    state = before_buckets(summaries, ["asset"]).select("asset", "_b", "before", meets(SLACK).alias("_may"), meets(-SLACK).alias("_sure"))
+    surely = state.groupBy("asset").agg(F.min(F.when(F.col("_sure"), F.col("_b"))).alias("_until"))
+    tested = state.filter("_may").join(surely, "asset").filter("_until is null or _b <= _until").select("asset", "_b", "before")
+    upto = Window.partitionBy("asset", "_b").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_b", month()).join(tested, ["asset", "_b"]).withColumn("made", F.col("before.total") + F.sum("pnl").over(upto))
+    inside = inside.withColumn("peak", START + F.greatest(F.col("before.top"), F.max("made").over(upto))).withColumn("bank", START + F.col("made"))
+    first = inside.filter(breach).groupBy("asset").agg(F.min(F.struct(*ORDER)).alias("_at"))
+    return rows.join(first, "asset", "left").filter(F.col("_at").isNull() | (F.struct(*ORDER) <= F.col("_at"))).select(*rows.columns)
+
+
 @query(_EQ + "SELECT id, line, asset, round(bank, 4) AS bank, round(peak, 4) AS peak FROM peaks")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W10."""
@@ -145,13 +180,27 @@ def period_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("asset").agg(F.round(F.max((F.col("top") - F.col("made")) / (START + F.col("top"))), 6).alias("max_drawdown"))
 
 
+def ledger_summaries(rows: DataFrame) -> DataFrame:
+    """A summary of each asset and month: runs of wins and losses, and the running profit."""
+    return bucket_summaries(rows, ["asset"], ORDER, month(), F.col("pnl") > 0, F.col("pnl"))
+
+
 @query(_L + """, w AS (SELECT *, pnl > 0 AS win, row_number() OVER (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price) - row_number() OVER (PARTITION BY asset, pnl > 0 ORDER BY us, id, line, part, supp, contracts, price) AS island FROM ledger WHERE pnl IS NOT NULL), r AS (SELECT asset, win, island, count(*) AS run FROM w GROUP BY ALL)
 SELECT asset, coalesce(max(run) FILTER (WHERE win), 0) AS win_streak, coalesce(max(run) FILTER (WHERE NOT win), 0) AS loss_streak FROM r GROUP BY asset""")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest runs of wins and of losses, pending trades passed over."""
-    runs = islands(ledger(spark, sf_dir), ["asset"], ORDER, F.when(F.col("pnl").isNotNull(), F.col("pnl") > 0), month())
-    longest = lambda c: F.coalesce(F.max(F.when(c, F.col("run"))), F.lit(0).cast("long"))
-    return runs.groupBy("asset").agg(longest(F.col("flag")).alias("win_streak"), longest(~F.col("flag")).alias("loss_streak"))
+    runs = summarised(ledger_summaries(ledger(spark, sf_dir)), ["asset"])
+    return runs.select("asset", F.col("s.longest_true").alias("win_streak"), F.col("s.longest_false").alias("loss_streak"))
+
+
+@query(_L + """, e AS (SELECT *, sum(pnl) OVER w AS made, row_number() OVER w AS r, row_number() OVER (PARTITION BY asset, pnl > 0 ORDER BY us, id, line, part, supp, contracts, price) AS k FROM ledger WHERE pnl IS NOT NULL WINDOW w AS (PARTITION BY asset ORDER BY us, id, line, part, supp, contracts, price ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT *, greatest(0, max(made) OVER (PARTITION BY asset ORDER BY r)) AS top FROM e), runs AS (SELECT asset, pnl > 0 AS win, count(*) AS run, max(r) AS last FROM e GROUP BY asset, pnl > 0, r - k)
+SELECT q.asset, count(*) AS n, round(arg_max(made, r), 4) AS pnl, round(max(top), 4) AS high, round(least(0, min(made)), 4) AS low, round(max(top - made), 4) AS worst_drop, any_value(c.win) AS current_win, any_value(c.run) AS current_run FROM q JOIN (SELECT asset, arg_max(win, last) AS win, arg_max(run, last) AS run FROM runs GROUP BY asset) c USING (asset) GROUP BY q.asset""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, high, low and worst drop of the running profit in money, and the run that goes on, all from one pass."""
+    s = summarised(ledger_summaries(ledger(spark, sf_dir)), ["asset"])
+    rounded = {"pnl": "total", "high": "top", "low": "low", "worst_drop": "drop"}
+    return s.select("asset", F.col("s.n").alias("n"), *[F.round(f"s.{c}", 4).alias(n) for n, c in rounded.items()], F.col("s.last_flag").alias("current_win"), F.col("s.last_run").alias("current_run"))
 
 
 STOP_SHARE = 0.999
@@ -160,9 +209,8 @@ STOP_SHARE = 0.999
 @query(_EQ + f", breach AS (SELECT asset, min((us, id, line, part, supp, contracts, price)) AS at FROM peaks WHERE bank < {START} * {STOP_SHARE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line, p.part, p.supp, p.contracts, p.price) <= b.at")
 def stop_loss_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades up to the first that takes the bankroll below a share of the start."""
-    rows = equity(spark, sf_dir)
-    breach = rows.filter(F.col("bank") < START * STOP_SHARE).groupBy("asset").agg(F.min(F.struct(*ORDER)).alias("at"))
-    return rows.join(breach, "asset", "left").filter(F.col("at").isNull() | (F.struct(*ORDER) <= F.col("at"))).select("id", "line", "asset")
+    rows, floor = settled_trades(spark, sf_dir), START * STOP_SHARE
+    return until_breach(rows, ledger_summaries(rows), lambda slack: START + F.col("before.total") + F.col("s.low") < floor + slack, F.col("bank") < floor).select("id", "line", "asset")
 
 
 TRAIL, TAKE = 50.0, 500.0
@@ -171,10 +219,11 @@ TRAIL, TAKE = 50.0, 500.0
 @query(_EQ + f", floors AS (SELECT *, greatest({START} - {TRAIL}, peak - {TRAIL}) AS floor FROM peaks), breach AS (SELECT asset, min((us, id, line, part, supp, contracts, price)) AS at FROM floors WHERE bank <= floor OR bank - {START} >= {TAKE} GROUP BY asset) SELECT p.id, p.line, p.asset FROM peaks p LEFT JOIN breach b USING (asset) WHERE b.at IS NULL OR (p.us, p.id, p.line, p.part, p.supp, p.contracts, p.price) <= b.at")
 def trailing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades up to the first that meets the trailing floor or the profit to take."""
-    rows = equity(spark, sf_dir)
+    rows, before = settled_trades(spark, sf_dir), F.col("before")
+    drop = F.greatest(F.col("s.drop"), before["top"] - (before["total"] + F.col("s.low")))
+    meets = lambda slack: (drop >= TRAIL - slack) | (before["total"] + F.col("s.top") >= TAKE - slack)
     hit = (F.col("bank") <= F.col("peak") - TRAIL) | (F.col("bank") - START >= TAKE)
-    breach = rows.filter(hit).groupBy("asset").agg(F.min(F.struct(*ORDER)).alias("at"))
-    return rows.join(breach, "asset", "left").filter(F.col("at").isNull() | (F.struct(*ORDER) <= F.col("at"))).select("id", "line", "asset")
+    return until_breach(rows, ledger_summaries(rows), meets, hit).select("id", "line", "asset")
 
 
 @query(_L + "SELECT id, line, asset, side, pnl FROM ledger ORDER BY us DESC, id DESC, line DESC, part DESC, supp DESC, contracts DESC, price DESC LIMIT 25")
