@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
-from tidemark.operators.folds import anchored_stale_seconds
+from tidemark.operators.folds import accepted, anchored_stale_seconds
 from tidemark.operators.ordered import islands, previous_value, running
 
 US = 1_000_000
@@ -107,6 +108,38 @@ def test_anchored_clock(spark):
     assert got == {0: 0, 1: 10, 2: 0, 3: 10, 4: 999}
 
 
+@pytest.mark.parametrize("width", [50 * US, 3000 * US, 10**15])
+@pytest.mark.parametrize("step", [0.0004, 0.0011, 0.003])
+def test_anchored_clock_across_buckets(spark, width, step):
+    """Prices that creep, jump and rest, in buckets of any width."""
+    rnd, rows, price, want = random.Random(step), [], 5.0, {}
+    for k in range(600):
+        price += rnd.choice([-1, 0, 0, 1]) * step
+        rows.append((k, rnd.choice(["a", "b", None]), k * 7 * US, None if rnd.random() < 0.1 else price if rnd.random() < 0.9 else 9.0))
+    state = {}
+    for seq, a, us, v in rows:
+        anchor, since = state.get(a, (None, None))
+        if v is not None and (anchor is None or abs(v - anchor) > 0.001):
+            anchor, since = v, us
+        state[a] = anchor, since
+        want[seq] = 999.0 if since is None else (us - since) / US
+    df = spark.createDataFrame(rows, "seq long, asset string, us long, p double").withColumn("more", F.lit("x"))
+    got = anchored_stale_seconds(df, ["asset"], "p", 0.001, width_us=width)
+    assert got.columns == [*df.columns, "stale_seconds"]
+    assert {r.seq: r.stale_seconds for r in got.collect()} == want
+    assert anchored_stale_seconds(df.limit(0), ["asset"], "p", 0.001).count() == 0
+
+
+def test_accepted_values_of_long_rests():
+    values = np.concatenate([np.full(5000, 1.0), np.full(5000, 1.0009), [1.0011], np.linspace(2, 3, 4000)])
+    anchor, want = None, []
+    for k, v in enumerate(values):
+        if anchor is None or abs(v - anchor) > 0.001:
+            anchor = v
+            want.append(k)
+    assert accepted(values, None, 0.001).tolist() == want
+
+
 def test_empty(spark, frame):
     none = frame.limit(0)
     assert asof.nearest_before(none, ["asset"], "v", 10 * US, "n").count() == 0

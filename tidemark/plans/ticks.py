@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import asof
+from ..operators.folds import anchored_stale_seconds
 from ..operators.ordered import DAY_US, previous_value, running
 from .bindings import LONG, SHORT, settled, settled_sql, settlements, ticks, ticks_sql
 from .registry import query
@@ -265,13 +266,11 @@ folded AS (SELECT {keys}, r, seq, us, price AS anchor, CASE WHEN price IS NOT NU
 STALE_MOVE = 0.001
 
 
-@query(ticks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + ", rows AS (SELECT seq, asset, us, us // 86400000000 AS session_id, real_price AS price FROM ticks), " + anchored_sql("rows", "asset, session_id") + "SELECT seq, asset, session_id, coalesce((us - since) / 1e6, 999.0) AS stale_seconds FROM folded")
+@query(ticks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + ", rows AS (SELECT seq, asset, us, real_price AS price FROM ticks), " + anchored_sql("rows", "asset") + "SELECT seq, asset, coalesce((us - since) / 1e6, 999.0) AS stale_seconds FROM folded")
 def price_stale_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W9, exact: the clock restarts only when the price has moved from the last accepted price; a sorted fold by asset and session."""
-    from ..operators.folds import anchored_stale_seconds
-
-    t = ticks(spark, sf_dir).withColumn("session_id", F.call_function("div", F.col("us"), F.lit(86_400_000_000)))
-    return anchored_stale_seconds(t.select("seq", "asset", "session_id", "us", "real_price"), ["asset", "session_id"], "real_price", STALE_MOVE)
+    """W9, exact: the clock restarts only when the price has moved from the last accepted price, over all of an asset's ticks."""
+    t = ticks(spark, sf_dir).select("seq", "asset", "us", "real_price")
+    return anchored_stale_seconds(t, ["asset"], "real_price", STALE_MOVE).select("seq", "asset", "stale_seconds")
 
 
 SLOT_US = 300 * _MICRO
