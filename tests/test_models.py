@@ -1,5 +1,6 @@
 """Models on small tables whose answers are known, and on the given ones."""
 
+import math
 import random
 
 import pytest
@@ -33,14 +34,56 @@ def test_sizes_of_the_models():
 
 
 def test_walk_forward_has_a_fold_for_each_period(rows, monkeypatch):
-    monkeypatch.setattr(learning, "SMALL_ROUNDS", 5)
-    _, folds = learning.folds_of(rows, 1)
-    assert sorted(map(tuple, folds.select("fold", "start", "stop", "n_train", "n").collect())) == [(k, k + 2, k + 3, 80 + 40 * k, 40) for k in range(4)]
-    scored = learning.walk_forward(rows, 2).collect()
-    assert sorted({(r.fold, r.n_train) for r in scored}) == [(0, 80), (1, 160)] and len(scored) == 160
+    monkeypatch.setattr(learning, "SMALL_ROUNDS", 8)
+    _, folds = learning.folds_of(rows)
+    assert sorted(map(tuple, folds.collect())) == [(k, 40 * k, 40, rows.filter(F.col("period_id") == k).filter("y = 1").count()) for k in range(2, 6)]
+    scored = learning.walk_forward(rows).collect()
+    assert sorted({(r.fold, r.n_train) for r in scored}) == [(k, 40 * k) for k in range(2, 6)] and len(scored) == 160
     assert sum((r.prob > 0.5) == (r.y == 1) for r in scored) > 150
-    assert learning.walk_forward(rows.filter("y = 1"), 1) is None
-    assert learning.walk_forward(rows.filter("period_id < 2"), 1) is None
+    assert learning.walk_forward(rows.filter("y = 1")) is None
+    assert learning.walk_forward(rows.filter("period_id < 2")) is None
+
+
+def test_a_fold_knows_nothing_of_its_own_period(spark, rows, monkeypatch):
+    """Other outcomes of the last period change no probability; those of an earlier one do."""
+    monkeypatch.setattr(learning, "SMALL_ROUNDS", 2)
+    flipped = lambda p: learning.staged(rows.withColumn("y", F.when(F.col("period_id") == p, 1 - F.col("y")).otherwise(F.col("y"))), "flipped")
+    probs = lambda x: {r.seq: r.prob for r in learning.walk_forward(x).collect()}
+    base, last, early = probs(rows), probs(flipped(5)), probs(flipped(3))
+    assert base == last
+    assert {k: base[k] for k in range(80, 160)} == {k: early[k] for k in range(80, 160)} and any(base[k] != early[k] for k in range(160, 240))
+
+
+def test_continued_trees_against_plain_sums(spark):
+    """One tree of depth one on two columns, by hand; and exclusive or, which needs two levels."""
+    from tidemark.operators import boosting
+
+    draw = random.Random(5)
+    made = [(round(draw.random(), 2), round(draw.random(), 2)) for _ in range(400)]
+    df = spark.createDataFrame([(a, b, int(a > 0.5), int((a > 0.5) != (b > 0.5)), k % 2) for k, (a, b) in enumerate(made)], "a double, b double, y int, x int, stretch int").repartition(3)
+    model = boosting.continued(boosting.begin(df, ["a", "b"], "y", depth=1, least=1), df, "y", 0)
+    (tree,) = model.trees
+    edge = model.edges[0][tree.cuts[0]]
+    p = 1 / (1 + math.exp(-model.base))
+    sides = [[a > 0.5 for a, _ in made if (a > edge) == right] for right in (False, True)]
+    assert tree.features[0] == 0 and abs(edge - 0.5) < 0.05
+    assert tree.values.tolist() == pytest.approx([-0.1 * sum(p - y for y in s) / (len(s) * p * (1 - p) + 1) for s in sides])
+    model = boosting.continued(boosting.begin(df, ["a", "b"], "x"), df, "x", 1, 40)
+    scored = boosting.scored(model, df, "stretch").collect()
+    assert all((r.prob > 0.5) == (r.x == 1) for r in scored if r.stretch == 1 and abs(r.a - 0.5) > 0.05 and abs(r.b - 0.5) > 0.05)
+    assert all(r.prob == pytest.approx(1 / (1 + math.exp(-model.base))) for r in scored if r.stretch == 0)
+
+
+@pytest.mark.parametrize("name", ["walk_forward_cv", "online_retrain", "train_gbt", "ml_signal"])
+def test_registered_models_at_full_size(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).collect()
+    if name == "walk_forward_cv":
+        folds = QUERIES["walk_forward_folds"](spark, sf_dir).collect()
+        assert sorted((r.fold, r.n_train, r.n, r.n_yes) for r in got if r.fold is not None) == sorted(map(tuple, folds)) and len(folds) > 20
+        (whole,) = (r for r in got if r.fold is None)
+        assert whole.n == sum(r.n for r in folds) and 0 < whole.brier < 0.3
+    else:
+        assert got and all(0 < r.prob < 1 for r in got)
 
 
 def test_scores_by_hand(spark):

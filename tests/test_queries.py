@@ -12,7 +12,7 @@ MODELS = {"train_gbt", "train_gbt_small", "train_logreg", "feature_importance",
 #: Queries whose rows depend on a total order: small tables hold too few ties.
 ORDERED = ["equity_curve", "trade_log", "streaks", "stop_loss_cut", "trailing_stop", "direction_cap", "max_drawdown", "backtest_summary"]
 #: Most scans of a file and exchanges of the whole plan, the staged tables that it reads among them.
-BOUNDS = {"momentum": (3, 6), "price_trend": (3, 6), "realized_vol": (2, 3), "rule_signal": (10, 24), "consensus_signal": (10, 26), "backtest_summary": (10, 16), "fold_stats": (8, 16), "training_set": (8, 12)}
+BOUNDS = {"momentum": (3, 6), "price_trend": (3, 6), "realized_vol": (2, 3), "rule_signal": (10, 24), "consensus_signal": (10, 22), "backtest_summary": (10, 16), "fold_stats": (8, 16), "training_set": (8, 12)}
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,5 @@ def test_plans_stay_linear(spark, sf_dir, name):
     assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= exchanges
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - MODELS))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_queries_without_sql_are_tested_elsewhere():
+    assert set(QUERIES) - set(ORACLES) == MODELS

@@ -2,9 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import plans
+from tidemark.operators.folds import anchored_stale_seconds
+from tidemark.operators.ordered import previous_value
+from tidemark.streaming import market
 
 
 def test_many_files_out_of_order(spark, sf_dir, tmp_path):
@@ -25,13 +29,43 @@ def test_many_files_out_of_order(spark, sf_dir, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
 
 
-def test_frames_of_a_batch_are_put_in_order():
-    import pandas as pd
+@pytest.fixture
+def unordered(spark, sf_dir, tmp_path):
+    """Events dealt to 24 files by hash, so that each spans all of the time, and a last file long after them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = tmp_path / "unordered"
+    folder.mkdir()
+    late = events.orderBy("ts").limit(1).withColumns({"ts": F.expr("ts + INTERVAL 200 DAYS"), "event_type": F.lit("sentinel"), "event_id": F.lit(-1).cast("long")})
+    for k in range(25):
+        rows = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(24)) == k) if k < 24 else late
+        rows.coalesce(1).write.parquet(str(tmp_path / f"u{k}"))
+        (file,) = (tmp_path / f"u{k}").glob("*.parquet")
+        to = folder / f"{k:02}.parquet"
+        file.rename(to)
+        os.utime(to, (1_700_000_000 + 60 * k,) * 2)
+    return str(folder)
+
 
-    from tidemark.streaming.market import _accepted, _in_order
+def replayed(spark, folder, tmp_path, make):
+    inner = spark.newSession()
+    inner.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    inner.conf.set("spark.sql.shuffle.partitions", "3")
+    return market.run_available(spark, make(market.events_stream(inner, folder, files_per_batch=6)), f"file://{tmp_path}/out").collect()
 
-    at = pd.Timestamp("2024-01-01")
-    frame = lambda rows: pd.DataFrame([(s, at + pd.Timedelta(microseconds=u), p) for s, u, p in rows], columns=["seq", "ts", "price"])
-    seq, us, price = _in_order(iter([frame([(5, 9, 1.0012), (4, 7, None)]), frame([(2, 3, 1.0), (3, 3, 1.0006)])]))
-    assert seq.tolist() == [2, 3, 4, 5] and (us - us[0]).tolist() == [0, 0, 4, 6]
-    assert [s - us[0] for _, s in _accepted(price, us, None, None, 0.001)] == [0, 0, 0, 6]
+
+def test_state_by_slot_over_batches_in_any_order(spark, sf_dir, unordered, tmp_path):
+    """Files of any order over many batches give what one batch over all rows gives."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = events.select(F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").alias("asset"), (F.lit(100.0) + F.col("value")).alias("price"))
+    batch = anchored_stale_seconds(rows, ["asset"], "price", 0.5)
+    batch = previous_value(batch.withColumn("period", F.call_function("div", F.col("us"), F.lit(21_600_000_000))), ["asset"], ["us", "seq"], F.col("period"), "before")
+    want = {r.seq: (r.asset, r.period, r.before is not None and r.before != r.period, r.stale_seconds) for r in batch.collect()}
+    got = replayed(spark, unordered, tmp_path, lambda s: market.stateful_ticks(s, threshold=0.5, slot_seconds=7200, delay="60 days"))
+    assert {r.seq: (r.asset, r.period, r.rolled, r.stale_seconds) for r in got} == want and len(got) == len(want)
+    limit, moves = 3600, {}
+    for r in sorted(batch.collect(), key=lambda r: (r.us, r.seq)):
+        if r.stale_seconds == 0:
+            moves.setdefault(r.asset, []).append(r.us)
+    stale = {(a, t) for a, times in moves.items() for t, after in zip(times, [*times[1:], None], strict=True) if after is None or after - t > limit * 10**6}
+    got = replayed(spark, unordered, tmp_path, lambda s: market.stale_alerts(s, limit, 0.5, slot_seconds=7200, delay="60 days"))
+    assert {(r.asset, r.since_us) for r in got} == stale and len(got) == len(stale)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..sources.staging import staged
 from .ordered import DAY_US, time_bucket
@@ -125,5 +126,5 @@ def anchored_stale_seconds(df: DataFrame, keys: list[str], price: str, threshold
         stale = np.where((last >= 0) | (since is not None), (us - begun) / 1e6, never)
         return table.drop_columns(["_b", "_anchor", "_since"]).append_column(name, pa.array(stale))
 
-    schema = placed.drop("_b", "_anchor", "_since").schema.add(name, "double")
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
     return placed.groupBy(*keys, "_b").applyInArrow(run, schema)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.boosting import begin, continued, scored
 from ..sources.staging import staged
 from .registry import query
 from .signals import _SAMPLES, FEATURES, feature_samples, numbered_periods, rule_strategy, timed_parts
@@ -19,9 +17,8 @@ from .signals import _SAMPLES, FEATURES, feature_samples, numbered_periods, rule
 #: Trees of the two models, the folds' least sizes, the least settled contracts of a retraining.
 ROUNDS, SMALL_ROUNDS = 100, 50
 LEAST_TRAIN, LEAST_TEST, LEAST_SETTLED, SEED = 30, 10, 4, 7
-#: Periods that one model tests: 1 is a fold for each period, as many fits as there are periods. The registered
-#: queries refit after this many; FIT_AT_ONCE models are fitted side by side.
-PERIODS_PER_FOLD, FIT_AT_ONCE = 30, 4
+#: Trees that each later fold adds to the model of the fold before.
+ROUNDS_PER_FOLD = 1
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -112,68 +109,70 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, float(w), float(w / most)) for n, w in zip(FEATURES, weights, strict=True)], "feature string, importance double, relative double").orderBy(F.desc("importance")).limit(10)
 
 
-_FOLDS = _SAMPLES + f""", folds AS (SELECT *, dense_rank() OVER (ORDER BY period_id) - 1 AS period FROM samples), stretches AS (SELECT *, (period - 2) // {PERIODS_PER_FOLD} AS fold FROM folds WHERE period >= 2),
-starts AS (SELECT fold, min(period) AS start FROM stretches GROUP BY fold), sizes AS (SELECT s.fold, count(*) AS n_train, count(DISTINCT f.ticker) AS settled, min(y) AS low, max(y) AS high FROM starts s JOIN folds f ON f.period < s.start GROUP BY s.fold),
-fold_rows AS (SELECT t.fold, any_value(n_train) AS n_train, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_yes FROM stretches t JOIN sizes z USING (fold) WHERE n_train >= {LEAST_TRAIN} AND settled >= {LEAST_SETTLED} AND low <> high GROUP BY t.fold HAVING count(*) >= {LEAST_TEST})
+_FOLDS = _SAMPLES + f""", folds AS (SELECT *, dense_rank() OVER (ORDER BY period_id) - 1 AS period FROM samples), starts AS (SELECT DISTINCT period AS start FROM folds WHERE period >= 2),
+sizes AS (SELECT s.start, count(*) AS n_train, count(DISTINCT f.ticker) AS settled, min(y) AS low, max(y) AS high FROM starts s JOIN folds f ON f.period < s.start GROUP BY s.start),
+fold_rows AS (SELECT t.period AS fold, any_value(n_train) AS n_train, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_yes FROM folds t JOIN sizes z ON z.start = t.period WHERE n_train >= {LEAST_TRAIN} AND settled >= {LEAST_SETTLED} AND low <> high GROUP BY t.period HAVING count(*) >= {LEAST_TEST})
 """
 
 
-def folds_of(rows: DataFrame, periods_per_fold: int) -> tuple[DataFrame, DataFrame]:
-    """Staged rows with their period's number, and (fold, start, stop, n_train, n, n_yes) of the folds that can be fitted and tested.
+def folds_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Staged rows with their period's number, and (fold, n_train, n, n_yes) of every period that can be learned for and tested.
 
-    A fold is a stretch of periods from the third on; its model learns from all
-    periods before, whose contracts have settled by then.
+    A fold is a period from the third on; its model learns from all periods
+    before, whose contracts have settled by then: counts of one period each,
+    added up in order.
     """
     periods = numbered_periods(rows).select("period_id", F.col("fold").alias("period"))
-    placed = staged(rows.join(periods, "period_id"), "placed")
-    per = placed.groupBy("period").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_yes"), F.countDistinct("ticker").alias("settled"), F.min("y").alias("low"), F.max("y").alias("high"))
-    fold = F.call_function("div", F.col("period") - 2, F.lit(periods_per_fold))
-    tested = per.filter("period >= 2").groupBy(fold.alias("fold")).agg(F.min("period").alias("start"), (F.max("period") + 1).alias("stop"), F.sum("n").alias("n"), F.sum("n_yes").alias("n_yes"))
-    before = tested.select("fold", "start").join(per, F.col("period") < F.col("start")).groupBy("fold").agg(F.sum("n").alias("n_train"), F.sum("settled").alias("settled"), F.min("low").alias("low"), F.max("high").alias("high"))
-    fit = tested.join(before, "fold").filter(f"n >= {LEAST_TEST} and n_train >= {LEAST_TRAIN} and settled >= {LEAST_SETTLED} and low <> high")
-    return placed, fit.select("fold", "start", "stop", "n_train", "n", "n_yes")
+    placed = staged(rows.join(periods, "period_id"), "placed", by="period")
+    per = placed.groupBy("period").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("n_yes"), F.countDistinct("ticker").alias("settled"))
+    before = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, -1)  # a row for each period
+    sums = per.select("period", "n", "n_yes", *[F.sum(c).over(before).alias(f"_{c}") for c in ("n", "n_yes", "settled")])
+    fit = sums.filter(f"period >= 2 and n >= {LEAST_TEST} and _n >= {LEAST_TRAIN} and _settled >= {LEAST_SETTLED} and _n_yes > 0 and _n_yes < _n")
+    return placed, fit.select(F.col("period").alias("fold"), F.col("_n").alias("n_train"), "n", "n_yes")
 
 
-def walk_forward(rows: DataFrame, periods_per_fold: int = 1) -> DataFrame | None:
-    """M7, M8: rows of all folds with fold, n_train and the prob of a model of all periods before; None if no fold can be fitted.
+def walk_forward(rows: DataFrame) -> DataFrame | None:
+    """M7, M8: the rows of all folds with fold, n_train and the prob of a model of the periods before; None if there is no fold.
 
-    As many models are fitted as there are folds: a number of periods, not of rows.
+    The first fold's model is M3 on the periods before it; each later one is the
+    fold's before, continued on the periods that have settled since. So a fold
+    costs its own periods, and one pass scores every row by the model of its fold.
     """
-    placed, folds = folds_of(rows, periods_per_fold)
-
-    def fitted(f) -> DataFrame:
-        model = small_trees().fit(placed.filter(F.col("period") < f.start))
-        test = placed.filter((F.col("period") >= f.start) & (F.col("period") < f.stop))
-        return score(model, test).select("seq", "asset", "period_id", "y", "prob", F.lit(f.fold).alias("fold"), F.lit(f.n_train).alias("n_train"))
-
-    with ThreadPoolExecutor(FIT_AT_ONCE) as pool:
-        scored = list(pool.map(fitted, folds.orderBy("fold").collect()))
-    return reduce(DataFrame.union, scored) if scored else None
+    placed, folds = folds_of(rows)
+    starts = [r.fold for r in folds.select("fold").orderBy("fold").collect()]  # a number for each period
+    if not starts:
+        return None
+    first = placed.filter(F.col("period") < starts[0])
+    model = continued(begin(first, FEATURES, "y"), first, "y", starts[0], SMALL_ROUNDS)
+    for before, start in zip(starts, starts[1:], strict=False):
+        model = continued(model, placed.filter((F.col("period") >= before) & (F.col("period") < start)), "y", start, ROUNDS_PER_FOLD)
+    tested = placed.join(F.broadcast(folds.select(F.col("fold").alias("period"), "n_train")), "period")
+    return scored(model, tested.select("seq", "asset", "period_id", "period", "n_train", "y", *FEATURES), "period").withColumnRenamed("period", "fold").drop(*FEATURES)
 
 
 @query(_FOLDS + "SELECT fold, n_train, n, n_yes FROM fold_rows")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folds that are fitted, with their rows."""
-    return folds_of(samples(spark, sf_dir), PERIODS_PER_FOLD)[1].select("fold", "n_train", "n", "n_yes")
+    """The folds, one for each period that can be tested, with their rows."""
+    return folds_of(samples(spark, sf_dir))[1]
 
 
 @query()
 def walk_forward_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores of each fold, and of all of them (fold null)."""
-    scored = walk_forward(samples(spark, sf_dir), PERIODS_PER_FOLD)
-    if scored is None:
-        return spark.createDataFrame([], "fold long, n_train long, n long, n_yes long, accuracy double, brier double")
-    out = staged(scored, "fold-scores").groupingSets([[F.col("fold"), F.col("n_train")], []], F.col("fold"), F.col("n_train")).agg(*_report())
+    rows = walk_forward(samples(spark, sf_dir))
+    if rows is None:
+        return spark.createDataFrame([], "fold int, n_train long, n long, n_yes long, accuracy double, brier double")
+    out = rows.groupingSets([[F.col("fold"), F.col("n_train")], []], F.col("fold"), F.col("n_train")).agg(*_report())
     return out.select("fold", "n_train", "n", "n_yes", "accuracy", "brier")
 
 
 @query()
 def online_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M8: each row's probability by the model that was refitted last before it, on the contracts settled by then."""
-    scored = walk_forward(samples(spark, sf_dir), PERIODS_PER_FOLD)
-    if scored is None:
-        return spark.createDataFrame([], "seq long, fold long, y int, prob double")
-    return scored.select("seq", "fold", "y", "prob")
+    """M8: each row's probability by the model that was retrained at the last settlement before it."""
+    rows = walk_forward(samples(spark, sf_dir))
+    if rows is None:
+        return spark.createDataFrame([], "seq long, fold int, y int, prob double")
+    return rows.select("seq", "fold", "y", "prob")
 
 
 def ml_strategy(model: PipelineModel):

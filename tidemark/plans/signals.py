@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import asof
+from ..operators.folds import anchored_stale_seconds
 from ..operators.ordered import DAY_US, running
 from ..sources.staging import staged
 from .bindings import LONG, SHORT, STANDS_FOR, fee_sql, settled, settled_sql, ticks
 from .registry import query
-from .ticks import HORIZONS, LEADER, _HISTORY, _MICRO, _NOW, _VOL, VOL_HISTORY, VOL_SQL, latest_states, nearest_sql, tick_volatility, with_leader
+from .ticks import HORIZONS, LEADER, _HISTORY, _MICRO, _NOW, _VOL, VOL_HISTORY, VOL_SQL, anchored_sql, latest_states, nearest_sql, tick_volatility, with_leader
 
 SLOT_US = 3600 * _MICRO
 SCALE = LONG / SHORT  # the gates' windows are for short periods
@@ -31,22 +32,30 @@ def norm_cdf_sql(z: str) -> str:
     return f"(CASE WHEN {z} IS NOT NULL THEN 0.5 * (1 + CASE WHEN {z} < 0 THEN -{erf} ELSE {erf} END) END)"
 
 
-_FEATURES = settled_sql() + _HISTORY + f""", now AS (SELECT *, {_NOW.format(c='real_price')} AS cur FROM ticks),
+#: The move of a price that restarts its clock; the given prices lie far apart, live ones move by thousandths.
+SIGNAL_MOVE = 1.0
+_FEATURES = settled_sql().replace("WITH ", "WITH RECURSIVE ", 1) + _HISTORY + f""", prices AS (SELECT seq, asset, us, real_price AS price FROM ticks), {anchored_sql('prices', 'asset', SIGNAL_MOVE)}, now AS (SELECT *, {_NOW.format(c='real_price')} AS cur FROM ticks),
 trends AS (SELECT now.*, CASE WHEN a.v > 0 THEN (cur - a.v) / a.v * 100 END AS trend15, CASE WHEN b.v > 0 THEN (cur - b.v) / b.v * 100 END AS trend30 FROM now LEFT JOIN {nearest_sql('real_price', 900, False)} a USING (asset, us) LEFT JOIN {nearest_sql('real_price', 1800, False)} b USING (asset, us)),
 {_VOL},
 st AS (SELECT t.seq, arg_max(s.rate4, s.r) AS rate4, arg_max(s.osc, s.r) AS osc, max(s.r) AS n_settled FROM ticks t LEFT JOIN states s ON s.settle_us <= t.us GROUP BY t.seq),
-feats AS (SELECT t.*, {VOL_SQL} AS vol, rate4, osc, coalesce(n_settled, 0) AS n_settled FROM trends t JOIN v USING (seq) JOIN st USING (seq))
+feats AS (SELECT t.*, {VOL_SQL} AS vol, rate4, osc, coalesce(n_settled, 0) AS n_settled, coalesce((t.us - f.since) / 1e6, 999.0) AS stale FROM trends t JOIN v USING (seq) JOIN st USING (seq) JOIN folded f USING (seq))
 """
 
 
-def features(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
+def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks with stale, the exact seconds since their price last moved (W9), written once."""
+    return staged(anchored_stale_seconds(ticks(spark, sf_dir), ["asset"], "real_price", SIGNAL_MOVE, name="stale"), "clocked-ticks")
+
+
+def features(spark: SparkSession, sf_dir: str, results: DataFrame | None = None, clock: bool = False) -> DataFrame:
     """Ticks with trend15, trend30, vol, and the settlement state known at the time (rate4, osc, n_settled).
 
     The ticks are read twice: once for all that looks back, once for the last
-    prices that cross buckets. results: staged settlements.
+    prices that cross buckets. results: staged settlements. clock adds stale,
+    which asset_signals asks for.
     """
     then = asof.nearest("real_price", {f"_then{m}": h * _MICRO for m, h in ((15, 900), (30, 1800))}, inclusive=False)
-    t = asof.over_time(ticks(spark, sf_dir), ["asset"], VOL_HISTORY * _MICRO, [then, tick_volatility()], {"_now": "real_price"})
+    t = asof.over_time(clocked(spark, sf_dir) if clock else ticks(spark, sf_dir), ["asset"], VOL_HISTORY * _MICRO, [then, tick_volatility()], {"_now": "real_price"})
     t = t.withColumns({f"trend{m}": asof.percent_change("_now", f"_then{m}") for m in (15, 30)}).drop("_now", "_then15", "_then30")
     states = latest_states(settled(spark, sf_dir) if results is None else results)
     t = asof.asof_join(t, states, "settle_us", [], ["rate4", "osc", "n_settled"], LONG * _MICRO)
@@ -58,23 +67,23 @@ _Z = f"(pvs / (greatest(coalesce(vol, {_DEFAULT}), 0.03::DOUBLE) / sqrt(900.0::D
 _P1 = clamp_sql(f"({norm_cdf_sql('z')} + {clamp_sql('(coalesce(trend15, 0.0) * 0.05::DOUBLE)', -0.02, 0.02)})", 0.02, 0.98)
 _P = clamp_sql(f"({_P1} + {clamp_sql('(coalesce(ob_imbalance, 0.0) * 0.015::DOUBLE)', -0.01, 0.01)})", 0.02, 0.98)
 _SIGNALS = _FEATURES + f""", zs AS (SELECT *, {_Z} AS z FROM feats), ps AS (SELECT *, {_P} AS p FROM zs),
-signals AS (SELECT *, coalesce(pvs IS NOT NULL AND tte >= 60 AND mid BETWEEN 0.10::DOUBLE AND 0.90::DOUBLE, false) AS valid, (p > 0.5 AND mid < 0.45::DOUBLE) OR (NOT p > 0.5 AND mid > 0.55::DOUBLE) AS conflict, CASE WHEN p > 0.5 THEN 'YES' WHEN p < 0.5 THEN 'NO' END AS side FROM ps)
+signals AS (SELECT *, coalesce(pvs IS NOT NULL AND tte >= 60 AND mid BETWEEN 0.10::DOUBLE AND 0.90::DOUBLE AND stale <= 60, false) AS valid, (p > 0.5 AND mid < 0.45::DOUBLE) OR (NOT p > 0.5 AND mid > 0.55::DOUBLE) AS conflict, CASE WHEN p > 0.5 THEN 'YES' WHEN p < 0.5 THEN 'NO' END AS side FROM ps)
 """
 
 
 def asset_signals(t: DataFrame) -> DataFrame:
-    """Features with z, p, valid, conflict and side. Stale time is 0 here: each tick of the binding has a price of its own."""
+    """Features, stale among them, with z, p, valid, conflict and side."""
     traded = F.create_map(*[F.lit(x) for pair in STANDS_FOR.items() for x in pair])[F.col("asset")]
     vol = F.coalesce(F.col("vol"), S.default_volatility(traded))
     t = t.withColumn("z", S.zscore(F.col("pvs"), F.col("tte"), vol))
     t = t.withColumn("p", S.model_probability(F.col("z"), F.col("trend15"), F.col("ob_imbalance")))
-    return t.withColumns({"valid": S.signal_valid(F.col("mid"), F.col("pvs"), F.col("tte"), F.lit(0.0)), "conflict": S.conflict(F.col("p"), F.col("mid")), "side": S.side_of(F.col("p"), F.lit(0.5))})
+    return t.withColumns({"valid": S.signal_valid(F.col("mid"), F.col("pvs"), F.col("tte"), F.col("stale")), "conflict": S.conflict(F.col("p"), F.col("mid")), "side": S.side_of(F.col("p"), F.lit(0.5))})
 
 
-@query(_SIGNALS + "SELECT seq, round(z, 6) AS z, round(p, 6) AS p, valid, conflict, side FROM signals")
+@query(_SIGNALS + "SELECT seq, round(z, 6) AS z, round(p, 6) AS p, stale, valid, conflict, side FROM signals")
 def model_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated probability of every tick."""
-    return asset_signals(features(spark, sf_dir)).select("seq", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), "valid", "conflict", "side")
+    return asset_signals(features(spark, sf_dir, clock=True)).select("seq", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), "stale", "valid", "conflict", "side")
 
 
 _MOMENTS = _SIGNALS + f""", slots AS (SELECT *, us // {SLOT_US} AS slot FROM signals), moments AS (SELECT * FROM slots QUALIFY row_number() OVER (PARTITION BY asset, slot ORDER BY us DESC, seq DESC) = 1),
@@ -107,7 +116,7 @@ def moments_of(signals: DataFrame) -> DataFrame:
 def consensus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12."""
     made = consensus_stats_of(lambda c: c)
-    c = moments_of(asset_signals(features(spark, sf_dir))).groupBy("slot").agg(*[c.alias(n) for n, c in made.items()])
+    c = moments_of(asset_signals(features(spark, sf_dir, clock=True))).groupBy("slot").agg(*[c.alias(n) for n, c in made.items()])
     return c.select("slot", "n_valid", "n_yes", "n_no", F.round("avg_z", 6).alias("avg_z"), F.round("agreement", 6).alias("agreement"), "cside", F.concat(F.col("n_yes").cast("string"), F.lit("Y"), F.col("n_no").cast("string"), F.lit("N")).alias("label"))
 
 
@@ -126,7 +135,7 @@ CASE WHEN mode = 'consensus' THEN CASE WHEN agreement >= 0.99 THEN 0.025 + least
 @query(_MODES + "SELECT seq, mode, round(conf, 6) AS confidence, rside AS side, round(redge, 6) AS edge FROM rules")
 def consensus_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid signals of each moment under its consensus."""
-    j = apply_strategy(features(spark, sf_dir), "consensus")
+    j = apply_strategy(features(spark, sf_dir, clock=True), "consensus")
     return j.select("seq", "mode", F.round("confidence", 6).alias("confidence"), "side", F.round("edge", 6).alias("edge"))
 
 
@@ -243,7 +252,7 @@ def backtest(spark: SparkSession, sf_dir: str, strategy: str = "rule") -> DataFr
     is sized on the constant bankroll (P15) and settled (J2, P17).
     """
     results = settled(spark, sf_dir)
-    t = with_configs(apply_strategy(features(spark, sf_dir, results), strategy)).filter("reason = 'ok' and side is not null and edge >= min_edge")
+    t = with_configs(apply_strategy(features(spark, sf_dir, results, clock=strategy == "consensus"), strategy)).filter("reason = 'ok' and side is not null and edge >= min_edge")
     first = F.row_number().over(Window.partitionBy("config", "ticker").orderBy("us", "seq"))
     t = t.withColumn("_r", first).filter("_r = 1")
     capped = F.row_number().over(Window.partitionBy("config", "period_id", "side").orderBy("us", "seq"))

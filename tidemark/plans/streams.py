@@ -61,10 +61,13 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, lambda s: market.deduplicated(s.union(s)).select("seq", "asset"))
 
 
+_SLOT_US = market.SLOT_SECONDS * 1_000_000
+#: Whether the watermark has passed the slot of a time.
+_PASSED = f"(({{us}}) // {_SLOT_US} + 1) * {_SLOT_US} <= (SELECT epoch_us(max(mark)) FROM e)"
 _R = _E.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", rows AS (SELECT seq, asset, epoch_us(ts) AS us, price FROM e), " + anchored_sql("rows", "asset")
 
 
-@query(_R + f"SELECT f.asset, f.seq, f.us // {LONG * 1_000_000} AS period, coalesce(f.us // {LONG * 1_000_000} <> lag(f.us // {LONG * 1_000_000}) OVER (PARTITION BY f.asset ORDER BY f.us, f.seq), false) AS rolled, coalesce((f.us - f.since) / 1e6, 999.0) AS stale_seconds FROM folded f")
+@query(_R + f"SELECT f.asset, f.seq, f.us // {LONG * 1_000_000} AS period, coalesce(f.us // {LONG * 1_000_000} <> lag(f.us // {LONG * 1_000_000}) OVER (PARTITION BY f.asset ORDER BY f.us, f.seq), false) AS rolled, coalesce((f.us - f.since) / 1e6, 999.0) AS stale_seconds FROM folded f WHERE {_PASSED.format(us='f.us')}")
 def stream_stateful_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: roll-overs and the anchored price's age from state by asset."""
     return _run(spark, sf_dir, market.stateful_ticks)
@@ -73,7 +76,7 @@ def stream_stateful_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 STALE_SECONDS = 3600
 
 
-@query(_R.rstrip() + f", moves AS (SELECT asset, us AS since_us, lead(us) OVER (PARTITION BY asset ORDER BY us, seq) AS next FROM folded WHERE since = us) SELECT asset, since_us, since_us + {STALE_SECONDS * 1_000_000} AS alert_us FROM moves WHERE next - since_us > {STALE_SECONDS * 1_000_000} OR next IS NULL AND since_us + {STALE_SECONDS * 1_000_000} < (SELECT epoch_us(max(mark)) FROM e)")
+@query(_R.rstrip() + f", moves AS (SELECT asset, us AS since_us, lead(us) OVER (PARTITION BY asset ORDER BY us, seq) AS next FROM folded WHERE since = us) SELECT asset, since_us, since_us + {STALE_SECONDS * 1_000_000} AS alert_us FROM moves WHERE (next IS NULL OR next - since_us > {STALE_SECONDS * 1_000_000}) AND {_PASSED.format(us=f'since_us + {STALE_SECONDS * 1_000_000}')}")
 def stream_stale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST9: prices that stood for more than an hour."""
     return _run(spark, sf_dir, lambda s: market.stale_alerts(s, STALE_SECONDS, STALE_MOVE))

@@ -252,21 +252,21 @@ def price_stale_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", "asset", F.coalesce((F.col("us") - F.coalesce("moved", "last_moved")) / 1e6, F.lit(999.0)).alias("stale_seconds"))
 
 
-def anchored_sql(source: str, keys: str) -> str:
+STALE_MOVE = 0.001
+
+
+def anchored_sql(source: str, keys: str, move: float = 0.001) -> str:
     """A fold over source (seq, us, price and keys): the last accepted price (anchor) and its time (since) after each row."""
     near = " AND ".join(f"n.{k} = f.{k}" for k in keys.split(", "))
     mine = ", ".join(f"n.{k}" for k in keys.split(", "))
-    moves = f"n.price IS NOT NULL AND (f.anchor IS NULL OR abs(n.price - f.anchor) > {STALE_MOVE}::DOUBLE)"
+    moves = f"n.price IS NOT NULL AND (f.anchor IS NULL OR abs(n.price - f.anchor) > {move}::DOUBLE)"
     return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY us, seq) AS r FROM {source}),
 folded AS (SELECT {keys}, r, seq, us, price AS anchor, CASE WHEN price IS NOT NULL THEN us END AS since FROM numbered WHERE r = 1
  UNION ALL SELECT {mine}, n.r, n.seq, n.us, CASE WHEN {moves} THEN n.price ELSE f.anchor END, CASE WHEN {moves} THEN n.us ELSE f.since END FROM folded f JOIN numbered n ON {near} AND n.r = f.r + 1)
 """
 
 
-STALE_MOVE = 0.001
-
-
-@query(ticks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + ", rows AS (SELECT seq, asset, us, real_price AS price FROM ticks), " + anchored_sql("rows", "asset") + "SELECT seq, asset, coalesce((us - since) / 1e6, 999.0) AS stale_seconds FROM folded")
+@query(ticks_sql().replace("WITH ", "WITH RECURSIVE ", 1) + ", rows AS (SELECT seq, asset, us, real_price AS price FROM ticks), " + anchored_sql("rows", "asset", STALE_MOVE) + "SELECT seq, asset, coalesce((us - since) / 1e6, 999.0) AS stale_seconds FROM folded")
 def price_stale_sec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9, exact: the clock restarts only when the price has moved from the last accepted price, over all of an asset's ticks."""
     t = ticks(spark, sf_dir).select("seq", "asset", "us", "real_price")

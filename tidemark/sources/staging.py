@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written as Parquet to the shared folder (in a folder for each value of ``by``, large ones split) and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance", by) if by else df).write.parquet(path, partitionBy=by)
     if _scratch:
         _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import accepted
+
 DELAY = "5 minutes"
 
 
-def events_stream(spark: SparkSession, path: str) -> DataFrame:
+def events_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """ST1: the events table as a file stream with event time ts.
 
-    Files have no order in event time, so all that have landed are one batch: a
-    watermark from some of them would drop the others' rows as late.
+    Files have no order in event time, so all that have landed are one batch,
+    unless files_per_batch is given: then a watermark's delay has to cover their
+    disorder, or it drops rows as late.
     """
     schema = spark.read.parquet(path).schema
     # a pattern: a stream takes no plain path of a single file
-    raw = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    source = spark.readStream.schema(schema)
+    raw = (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("asset"), "user_id", (F.lit(100.0) + F.col("value")).alias("price"))
 
 
@@ -65,105 +69,152 @@ def settlement_join(rolls: DataFrame, settled: DataFrame, within: str = "300 sec
 
 
 FRAME = 10_000
+SLOT_SECONDS = 21_600
+#: Rows of one slot, as arrays: a frame's part of it.
+PART = "seq array<long>, us array<long>, price array<double>"
+CARRY = "period long, anchor double, since long, told boolean"
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seq, us, price) of a batch's rows of one key, by time: they come in several frames, in no order."""
-    frames = [f[["seq", "ts", "price"]] for f in rows]
-    whole = pd.concat(frames) if len(frames) > 1 else frames[0]
-    us = whole["ts"].to_numpy("datetime64[us]").astype(np.int64)
-    order = np.lexsort((whole["seq"], us))
-    return whole["seq"].to_numpy()[order], us[order], whole["price"].to_numpy(np.float64)[order]
-
-
-def _accepted(prices: np.ndarray, us: np.ndarray, anchor: float | None, since: int | None, threshold: float) -> Iterator[tuple[float | None, int | None]]:
-    """After each row: the last price that moved from the one accepted before it by more than threshold, and its time."""
-    for price, now in zip(prices.tolist(), us.tolist(), strict=True):
-        if price == price and (anchor is None or abs(price - anchor) > threshold):
-            anchor, since = price, now
-        yield anchor, since
-
+class SlotState(StatefulProcessor):
+    """An asset's rows, held by time slot until the watermark has passed the slot, then worked in order.
 
-class AssetState(StatefulProcessor):
-    """ST5: last period and anchored price of an asset; emits roll-overs and how long the price has stood."""
+    Rows may come in any order and over any batches that the watermark's delay
+    spans. What a frame holds of a slot is one entry of a map in the state store,
+    so that no batch and no asset is gathered: a task holds a frame, or the rows
+    of one slot. One carry row goes from slot to slot.
+    """
 
-    def __init__(self, period_seconds: int, threshold: float) -> None:
-        self.period_us, self.threshold = period_seconds * 1_000_000, threshold
+    def __init__(self, slot_seconds: int) -> None:
+        self.slot_us = slot_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "period long, anchor double, since long")
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "slot long, part long", PART)
+        self.counts = handle.getMapState("counts", "slot long", "n long")
+        self.carry = handle.getValueState("carry", CARRY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        period, anchor, since = self.state.get() if self.state.exists() else (None, None, None)
-        seq, us, prices = _in_order(rows)
-        stood = []
-        for now, (anchor, since) in zip(us.tolist(), _accepted(prices, us, anchor, since, self.threshold), strict=True):  # noqa: B020
-            stood.append(999.0 if since is None else (now - since) / 1e6)
-        periods = us // self.period_us
-        rolled = np.diff(periods, prepend=periods[0] if period is None else period) != 0
-        self.state.update((int(periods[-1]), anchor, since))
-        for at in range(0, len(seq), FRAME):
-            part = slice(at, at + FRAME)
-            yield pd.DataFrame({"asset": key[0], "seq": seq[part], "period": periods[part], "rolled": rolled[part], "stale_seconds": stood[part]})
+        for frame in rows:
+            us = frame["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            slots = us // self.slot_us
+            for slot in np.unique(slots).tolist():
+                at = slots == slot
+                n = self.counts.getValue((slot,))[0] if self.counts.containsKey((slot,)) else 0
+                if not n:
+                    self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
+                columns = frame["seq"].to_numpy()[at], us[at], frame["price"].to_numpy(np.float64)[at]
+                self.parts.updateValue((slot, n), tuple(c.tolist() for c in columns))
+                self.counts.updateValue((slot,), (n + 1,))
+        yield from ()
+
+    def _taken(self, slot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seq, us, price) of a slot in order, which the state then forgets."""
+        (n,) = self.counts.getValue((slot,))
+        parts = [self.parts.getValue((slot, k)) for k in range(n)]
+        for k in range(n):
+            self.parts.removeKey((slot, k))
+        self.counts.removeKey((slot,))
+        seq, us, price = (np.concatenate([np.array(p[c], kind) for p in parts]) for c, kind in enumerate((np.int64, np.int64, np.float64)))
+        order = np.lexsort((seq, us))
+        return seq[order], us[order], price[order]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot_us  # the first timer of a batch settles all that is due
+        carry = tuple(self.carry.get()) if self.carry.exists() else (None, None, None, False)
+        for slot in sorted(s for (s,) in self.counts.keys() if s < until):  # a few: those that wait
+            frames, carry = self.settle(key[0], *self._taken(slot), carry)
+            yield from frames
+        frames, carry = self.passed(key[0], until, carry)
+        yield from frames
+        self.carry.update(carry)
+
+    def settle(self, asset: str, seq: np.ndarray, us: np.ndarray, price: np.ndarray, carry: tuple) -> tuple[list[pd.DataFrame], tuple]:
+        """What a slot's rows give after all rows before them, and the carry after it."""
+        raise NotImplementedError
+
+    def passed(self, asset: str, until: int, carry: tuple) -> tuple[list[pd.DataFrame], tuple]:
+        """What the watermark's passing of all slots below until gives by itself."""
+        return [], carry
 
     def close(self) -> None:
         pass
 
 
-def stateful_ticks(ticks: DataFrame, period_seconds: int = 21_600, threshold: float = 0.001) -> DataFrame:
-    """ST5: needs the RocksDB state store.
+def _accepted(us: np.ndarray, price: np.ndarray, anchor: float | None, threshold: float) -> np.ndarray:
+    """Places of the rows whose price moved from the one accepted before it by more than threshold."""
+    known = np.flatnonzero(~np.isnan(price))
+    return known[accepted(price[known], anchor, threshold)] if len(known) else known
 
-    The state is an asset's, so one task orders its rows of a micro-batch (24 bytes
-    each in memory): the limit is an asset's rate for each batch, which the source's
-    maxBytesPerTrigger sets. Rows that come in a later batch than their successors
-    are taken as they come.
-    """
-    return ticks.groupBy("asset").transformWithStateInPandas(statefulProcessor=AssetState(period_seconds, threshold), outputStructType="asset string, seq long, period long, rolled boolean, stale_seconds double", outputMode="append", timeMode="none")
 
+class AssetState(SlotState):
+    """ST5: roll-overs of an asset and how long its price has stood."""
+
+    def __init__(self, slot_seconds: int, period_seconds: int, threshold: float) -> None:
+        super().__init__(slot_seconds)
+        self.period_us, self.threshold = period_seconds * 1_000_000, threshold
 
-class StaleFeed(StatefulProcessor):
-    """ST9: an alert for each accepted price that stood longer than a limit, by a timer where no row ends it."""
+    def settle(self, asset, seq, us, price, carry):
+        period, anchor, since, told = carry
+        taken = _accepted(us, price, anchor, self.threshold)
+        last = np.full(len(us), -1)
+        last[taken] = taken
+        last = np.maximum.accumulate(last)
+        begun = np.where(last >= 0, us[np.maximum(last, 0)], since or 0)
+        stood = np.where((last >= 0) | (since is not None), (us - begun) / 1e6, 999.0)
+        periods = us // self.period_us
+        rolled = np.diff(periods, prepend=periods[0] if period is None else period) != 0
+        whole = pd.DataFrame({"asset": asset, "seq": seq, "period": periods, "rolled": rolled, "stale_seconds": stood})
+        if len(taken):
+            anchor, since = float(price[taken[-1]]), int(us[taken[-1]])
+        return [whole[at : at + FRAME] for at in range(0, len(whole), FRAME)], (int(periods[-1]), anchor, since, told)
 
-    def __init__(self, limit_seconds: float, threshold: float) -> None:
-        self.limit_us, self.threshold = int(limit_seconds * 1_000_000), threshold
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("last", "anchor double, since long, told boolean")
+def stateful_ticks(ticks: DataFrame, period_seconds: int = 21_600, threshold: float = 0.001, slot_seconds: int = SLOT_SECONDS, delay: str = DELAY) -> DataFrame:
+    """ST5: every row of the slots that the watermark has passed; needs the RocksDB state store.
 
-    def _alerts(self, asset: str, times: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"asset": [asset] * len(times), "since_us": np.array(times, np.int64), "alert_us": np.array(times, np.int64) + self.limit_us})
+    Rows later than the delay are dropped, as in any stream with a watermark; a
+    replay of unordered files takes a delay that covers their disorder.
+    """
+    return ticks.withWatermark("ts", delay).groupBy("asset").transformWithStateInPandas(statefulProcessor=AssetState(slot_seconds, period_seconds, threshold), outputStructType="asset string, seq long, period long, rolled boolean, stale_seconds double", outputMode="append", timeMode="EventTime")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        anchor, since, told = self.state.get() if self.state.exists() else (None, None, False)
-        _, us, prices = _in_order(rows)
-        stale = []
-        for moved, at in _accepted(prices, us, anchor, since, self.threshold):
-            if at != since:
-                if since is not None and at - since > self.limit_us and not told:
-                    stale.append(since)
-                since, told = at, False
-            anchor = moved
-        self.state.update((anchor, since, told))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if since is not None and not told:
-            self.handle.registerTimer(-(-(since + self.limit_us) // 1000) + 1)
-        yield self._alerts(key[0], stale)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        anchor, since, told = self.state.get()
-        due = since is not None and not told
-        self.state.update((anchor, since, True))
-        yield self._alerts(key[0], [since] if due else [])
+class StaleFeed(SlotState):
+    """ST9: an alert for each accepted price that stood longer than a limit, by a timer where no row ends it.
 
-    def close(self) -> None:
-        pass
+    An alert is due once all rows up to its limit are known: when the watermark
+    passes the slot that the limit lies in.
+    """
 
+    def __init__(self, slot_seconds: int, limit_seconds: float, threshold: float) -> None:
+        super().__init__(slot_seconds)
+        self.limit_us, self.threshold = int(limit_seconds * 1_000_000), threshold
 
-def stale_alerts(ticks: DataFrame, seconds: float = 60.0, threshold: float = 0.001) -> DataFrame:
+    def _alerts(self, asset: str, times: np.ndarray) -> list[pd.DataFrame]:
+        return [pd.DataFrame({"asset": [asset] * len(times), "since_us": times, "alert_us": times + self.limit_us})] if len(times) else []
+
+    def settle(self, asset, seq, us, price, carry):
+        period, anchor, since, told = carry
+        taken = _accepted(us, price, anchor, self.threshold)
+        if not len(taken):
+            return [], carry
+        times = us[taken] if since is None or told else np.append(since, us[taken])
+        stale = times[:-1][np.diff(times) > self.limit_us]
+        return self._alerts(asset, stale), (period, float(price[taken[-1]]), int(times[-1]), False)
+
+    def passed(self, asset, until, carry):
+        period, anchor, since, told = carry
+        if since is None or told:
+            return [], carry
+        due = (since + self.limit_us) // self.slot_us + 1
+        if due > until:
+            self.handle.registerTimer(due * self.slot_us // 1000)
+            return [], carry
+        return self._alerts(asset, np.array([since])), (period, anchor, since, True)
+
+
+def stale_alerts(ticks: DataFrame, seconds: float = 60.0, threshold: float = 0.001, slot_seconds: int = SLOT_SECONDS, delay: str = DELAY) -> DataFrame:
     """ST9: asset, since_us, alert_us; in event time, so an asset that falls silent is told of by the others' progress."""
-    return ticks.withWatermark("ts", DELAY).groupBy("asset").transformWithStateInPandas(statefulProcessor=StaleFeed(seconds, threshold), outputStructType="asset string, since_us long, alert_us long", outputMode="append", timeMode="EventTime")
+    return ticks.withWatermark("ts", delay).groupBy("asset").transformWithStateInPandas(statefulProcessor=StaleFeed(slot_seconds, seconds, threshold), outputStructType="asset string, since_us long, alert_us long", outputMode="append", timeMode="EventTime")
 
 
 def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
