@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat, contamination, html, language, mixing, neardup, quality, sharding, tokens, urls
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
-TOKENIZER = public_tokenizers.path(tokens.DEFAULT_FILE)
+try:
+    import public_tokenizers
+except ImportError:  # only the token tests need it
+    public_tokenizers = None
+TOKENIZER = public_tokenizers.path(tokens.DEFAULT_FILE) if public_tokenizers else ""
 LONG = " ".join(f"word{k % 977}" for k in range(60_000))
 ROWS = [(1, None, "en", "a"), (2, "", None, None), (3, " \n\t", "en", "a"), (4, "one two", "en", "b"), (4, "one two", "en", "b"), (None, "one two three four five six", "de", "b"), (7, LONG, "en", "a"), (8, LONG, "en", None), (9, "\x00 é ß İ", "fr", "")]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -330,3 +333,16 @@ def test_chat(spark):
         loss = "".join(t for _, r, t in own if r == "assistant")
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.conversation_digests(chat.rendered_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_contamination_sends_one_block_at_a_time(spark):
+    """Many blocks of items: no plan holds more than the pass that ran last, and the rows are those of one block."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(40)]
+    docs = spark.createDataFrame([(k, f"start {texts[k]} end") for k in range(0, 40, 2)] + [(100, "nothing of it at all in here")], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    many, one = (contamination.decontaminated(docs, items, block_words=w) for w in (150, 10**6))
+    assert many.collect() == one.collect() and [r.doc_id for r in many.collect()] == [100]
+    assert "MapInArrow" not in many._jdf.queryExecution().executedPlan().toString()
+    pairs = contamination.contaminated_pairs(docs, items, block_words=150)
+    assert sorted((r.doc_id, r.item_id) for r in pairs.collect()) == [(k, k) for k in range(0, 40, 2)]
+    assert "MapInArrow" not in pairs._jdf.queryExecution().executedPlan().toString()

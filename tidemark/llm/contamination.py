@@ -10,9 +10,11 @@ candidate if any of 64 min-hash values of a block is its own; a true one is
 missed with probability (1 - 0.17) ** 64 < 1e-5. Candidates are then counted
 exactly on the document's whole shingle set.
 
-Items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, one pass over
-the documents for each block, so what is broadcast is bounded; documents are
-never shuffled.
+Items go to the tasks in blocks of about ``BLOCK_WORDS`` words, one pass over the
+documents for each block. If there are several, each pass is a job of its own
+whose rows are written and whose index is given back before the next one's is
+sent: executors hold one block at a time, however many items there are.
+Documents are never shuffled.
 
 Defined cases: null or blank texts have no shingles, find nothing and are
 never found; a text of fewer than five words is one shingle; repeated rows and
@@ -25,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words as word_list
+from .common import written
 from .shingles import mix, shingle_sets, shingles, texts, words
 
 SHINGLE = 5
@@ -110,21 +114,28 @@ def _batch_hits(column: pa.Array, index: ItemIndex, least: float) -> Iterator[tu
                 yield at + int(rows[k]), index.ids[i], len(index.sets[i]), common
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[ItemIndex]:
-    """Indexes of the items, block by block; a block's texts pass through the driver, no more at once."""
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[tuple[ItemIndex, bool]]:
+    """Indexes of the items, block by block, and whether there are several; a block's texts pass through the driver, no more at once. Equal items are dealt by their ids."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.size(word_list(F.col("text"))))).first()[0] or 0
     blocks = -(-total // block_words)
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toArrow()
-        yield ItemIndex(part["item_id"].to_pylist(), [s for _, s in shingle_sets(part["text"], SHINGLE)])
+        yield ItemIndex(part["item_id"].to_pylist(), [s for _, s in shingle_sets(part["text"], SHINGLE)]), blocks > 1
+
+
+def _settled(rows: DataFrame, sent: Broadcast, name: str) -> DataFrame:
+    """rows, written, after which no executor needs what was sent."""
+    out = written(rows, name)
+    sent.unpersist()
+    return out
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every item found in a document."""
     schema = "doc_id long, item_id long, n_shingles long, n_found long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in item_blocks(benchmark, block_words):
+    for index, several in item_blocks(benchmark, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def hits(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -133,13 +144,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: float = CON
                 rows, *rest = zip(*found, strict=True) if found else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], names=["doc_id", "item_id", "n_shingles", "n_found"])
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, schema))
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(hits, schema)
+        out = out.union(_settled(found, sent, "item-pairs") if several else found)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs in which no item is found, all columns as they are."""
-    for index in item_blocks(benchmark, block_words):
+    for index, several in item_blocks(benchmark, block_words):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
@@ -149,4 +161,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAIN
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        docs = _settled(docs, sent, "free-of-items") if several else docs
     return docs
