@@ -93,8 +93,25 @@ def test_scores_by_hand(spark):
 
 def test_strategy_of_a_model(rows):
     model = learning.trees(3, 3).fit(rows)
-    out = learning.ml_strategy(model)(rows).collect()
-    assert all(r.side == ("YES" if r.prob > r.mid else "NO" if r.prob < r.mid else None) and r.edge == abs(r.prob - r.mid) for r in out)
+    out = learning.ml_strategy(model).apply(rows).collect()
+    assert all(r.side == ("YES" if r.prob > r.mid else "NO" if r.prob < r.mid else None) and r.edge == abs(r.prob - r.mid) and r.info == {"model_p": r.prob} for r in out)
+
+
+def test_the_retrained_model_is_a_strategy(rows, monkeypatch):
+    """Only rows of folds are decided, by probabilities that walk_forward gives."""
+    from tidemark.plans.signals import apply_strategy
+
+    monkeypatch.setattr(learning, "SMALL_ROUNDS", 3)
+    want = {r.seq: r.prob for r in learning.walk_forward(rows).collect()}
+    assert {r.seq: r.prob for r in apply_strategy(rows, "model").collect()} == want and len(want) == 160
+    assert apply_strategy(rows.filter("period_id < 2"), "model").count() == 0
+
+
+def test_backtest_of_the_model(spark, sf_dir):
+    """Trades are those that the gates let through: one for each contract and configuration at most, sized and settled."""
+    got = QUERIES["backtest_model"](spark, sf_dir).collect()
+    assert len({(r.config, r.ticker) for r in got}) == len(got)
+    assert all(r.side in ("YES", "NO") and r.contracts > 0 and r.fee >= 0 and r.pnl is not None for r in got)
 
 
 def test_two_classes(rows):
@@ -121,15 +138,28 @@ def test_stream_scores_are_the_batch_scores(spark, sf_dir):
     assert (higher[0].prob < higher[-1].prob) or (higher[0].prob > higher[-1].prob)
 
 
-def test_consensus_and_rule_are_strategies(spark, sf_dir):
-    from tidemark.plans.signals import STRATEGIES, apply_strategy, features
+def test_strategies_keep_the_contract(spark, sf_dir):
+    import pandas as pd
+
+    from tidemark.plans.signals import CONTRACT, STRATEGIES, Strategy, apply_strategy, features, pandas_strategy
 
-    t = features(spark, sf_dir)
-    for name in STRATEGIES:
-        assert {"side", "edge", "prob"} <= set(apply_strategy(t, name).columns)
-    STRATEGIES["bad"] = lambda x: x.select("seq", F.lit("YES").alias("side"))
+    t = learning.staged(features(spark, sf_dir, clock=True), "strategy-features")
+    for name in ("rule", "consensus"):
+        assert set(CONTRACT) <= set(apply_strategy(t, name).columns)
+    fade = lambda f: pd.DataFrame({"side": ["NO" if x > 0 else "YES" for x in f["ob_imbalance"]], "edge": f["ob_imbalance"].abs(), "prob": 0.5, "info": [{"imbalance": x} for x in f["ob_imbalance"]]})
+    bad = [lambda x: x.select("seq", F.lit("YES").alias("side")), lambda x: x.withColumns({"side": F.lit("YES"), "edge": F.lit(1), "prob": F.lit(0.5), "info": F.create_map(F.lit("a"), F.lit(1.0))})]
+    STRATEGIES["fade"] = pandas_strategy(fade)
     try:
-        with pytest.raises(ValueError, match="edge"):
-            apply_strategy(t, "bad")
+        got = apply_strategy(t.filter("ob_imbalance is not null"), "fade").collect()
+        assert len(got) > 900 and all(r.side == ("NO" if r.ob_imbalance > 0 else "YES") and r.edge == abs(r.ob_imbalance) and r.info == {"imbalance": r.ob_imbalance} for r in got)
+        for f in bad:
+            STRATEGIES["bad"] = Strategy(f)
+            with pytest.raises(ValueError, match="edge"):
+                apply_strategy(t, "bad")
     finally:
-        del STRATEGIES["bad"]
+        STRATEGIES.pop("fade"), STRATEGIES.pop("bad", None)
+
+
+def test_a_stale_price_invalidates_a_tick(spark, sf_dir):
+    got = QUERIES["model_signals"](spark, sf_dir).collect()
+    assert sum(r.stale > 60 for r in got) > 5 and not any(r.valid for r in got if r.stale > 60)

@@ -8,7 +8,7 @@ import pytest
 from tidemark.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-MODELS = {"train_gbt", "train_gbt_small", "train_logreg", "feature_importance", "walk_forward_cv", "online_retrain", "ml_signal", "stream_scores"}
+MODELS = {"train_gbt", "train_gbt_small", "train_logreg", "feature_importance", "walk_forward_cv", "online_retrain", "ml_signal", "backtest_model", "stream_scores"}
 #: Queries whose rows depend on a total order: small tables hold too few ties.
 ORDERED = ["equity_curve", "trade_log", "streaks", "stop_loss_cut", "trailing_stop", "direction_cap", "max_drawdown", "backtest_summary"]
 #: Most scans of a file and exchanges of the whole plan, the staged tables that it reads among them.

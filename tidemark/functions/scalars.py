@@ -46,7 +46,9 @@ def spread(bid: Column, ask: Column) -> Column:
 
 
 def seconds_to_close(close_us: Column, us: Column) -> Column:
-    return F.greatest((close_us - us) / 1e6, F.lit(0.0))
+    """Null where either is: greatest() alone passes nulls over."""
+    left = (close_us - us) / 1e6
+    return F.when(left.isNotNull(), F.greatest(left, F.lit(0.0)))
 
 
 def parse_close_time(text: Column) -> Column:

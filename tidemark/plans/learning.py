@@ -9,10 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators.boosting import begin, continued, scored
 from ..sources.staging import staged
 from .registry import query
-from .signals import _SAMPLES, FEATURES, feature_samples, numbered_periods, rule_strategy, timed_parts
+from .signals import _SAMPLES, FEATURES, STRATEGIES, Strategy, backtest, feature_samples, info, numbered_periods, timed_parts
 
 #: Trees of the two models, the folds' least sizes, the least settled contracts of a retraining.
 ROUNDS, SMALL_ROUNDS = 100, 50
@@ -175,14 +176,27 @@ def online_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "fold", "y", "prob")
 
 
-def ml_strategy(model: PipelineModel):
+def market_side(scored_rows: DataFrame) -> DataFrame:
+    """Rows with prob and mid to a strategy's columns."""
+    edge = F.abs(F.col("prob") - F.col("mid"))
+    return scored_rows.withColumns({"side": S.side_of(F.col("prob"), F.col("mid")), "edge": edge, "info": info(model_p=F.col("prob"))})
+
+
+def ml_strategy(model: PipelineModel) -> Strategy:
     """F2: a strategy that scores rows with the features by a model."""
+    return Strategy(lambda t: market_side(score(model, vectors(t))), feature_samples)
+
 
-    def apply(t: DataFrame) -> DataFrame:
-        p = score(model, vectors(t))
-        return p.withColumn("side", F.when(F.col("prob") > F.col("mid"), "YES").when(F.col("prob") < F.col("mid"), "NO")).withColumn("edge", F.abs(F.col("prob") - F.col("mid")))
+def retrained(t: DataFrame) -> DataFrame:
+    """F2, M8: feature samples of the folds, by the model that was retrained at the last settlement before each."""
+    rows = staged(t, "strategy-rows")
+    scored_rows = walk_forward(vectors(rows))
+    if scored_rows is None:
+        scored_rows = rows.limit(0).withColumn("prob", F.lit(0.5))
+    return market_side(rows.join(scored_rows.select("seq", "prob"), "seq"))
 
-    return apply
+
+STRATEGIES["model"] = Strategy(retrained, feature_samples)
 
 
 @query()
@@ -190,7 +204,10 @@ def ml_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's side and edge on every tick that has a mid."""
     rows = samples(spark, sf_dir)
     train = timed_parts(rows).filter("part = 'train'")
-    return rows.transform(ml_strategy(small_trees().fit(train))).select("seq", "side", "edge", "prob")
+    return ml_strategy(small_trees().fit(train)).apply(rows).select("seq", "side", "edge", "prob")
 
 
-__all__ = ["FEATURES", "ml_strategy", "rule_strategy", "score", "trees", "vectors"]
+@query()
+def backtest_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of three configurations on the retrained model's signals."""
+    return backtest(spark, sf_dir, "model").select("config", "seq", "ticker", "side", "contracts", "fee", "pnl")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,34 +148,79 @@ _RULES = _FEATURES + f""", rule0 AS (SELECT *, {_RULE} AS rp FROM feats WHERE mi
 """
 
 
+#: What a strategy adds to its rows, info being whatever it wants to log.
+CONTRACT = {"side": "string", "edge": "double", "prob": "double", "info": "map<string,double>"}
+
+
+def info(**values: Column) -> Column:
+    """A strategy's diagnostics by name; unknown ones are left out."""
+    made = F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v.cast("double"))])
+    return F.map_filter(made, lambda _, v: v.isNotNull())
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """apply: rows with features to rows that have CONTRACT's columns as well; rows: the features that it asks for."""
+
+    apply: Callable[[DataFrame], DataFrame]
+    rows: Callable[[SparkSession, str, DataFrame | None], DataFrame] = features
+
+
+def pandas_strategy(decide: Callable[[pd.DataFrame], pd.DataFrame], rows: Callable[[SparkSession, str, DataFrame | None], DataFrame] = features) -> Strategy:
+    """A strategy from a function of a frame of feature rows to a frame of side, edge, prob and info (dicts), row by row; it sees Arrow batches, in no order."""
+
+    def apply(t: DataFrame) -> DataFrame:
+        columns = [c for c in t.columns if c not in CONTRACT]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                made = decide(frame)
+                yield pd.concat([frame.reset_index(drop=True), made[list(CONTRACT)].reset_index(drop=True)], axis=1)
+
+        kept = t.select(*columns)
+        return kept.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{n} {kind}" for n, kind in CONTRACT.items())]))
+
+    return Strategy(apply, rows)
+
+
 def rule_strategy(t: DataFrame) -> DataFrame:
-    """A strategy: ticks with features, plus side, edge and prob."""
+    """Ticks with a mid and a distance to the strike."""
     held = t.filter("mid is not null and pvs is not null")
     p = S.rule_probability(*[F.col(c) for c in ("trend15", "trend30", "pvs", "tte", "rate4", "ob_imbalance")])
     held = held.withColumn("prob", p).withColumn("side", S.side_of(F.col("prob"), F.col("mid")))
-    return held.withColumn("edge", F.abs(F.col("prob") - F.col("mid")) * S.sign_agreement(F.col("trend15"), F.col("pvs")))
+    held = held.withColumn("edge", F.abs(F.col("prob") - F.col("mid")) * S.sign_agreement(F.col("trend15"), F.col("pvs")))
+    return held.withColumn("info", info(trend15=F.col("trend15"), trend30=F.col("trend30"), settle_rate=F.col("rate4")))
 
 
 def consensus_strategy(t: DataFrame) -> DataFrame:
-    """A strategy: the last valid signal of each asset and moment, under the moment's consensus."""
+    """The last valid signal of each asset and moment, under the moment's consensus."""
     j = with_consensus(moments_of(asset_signals(t))).filter("valid")
     made = S.consensus(*[F.col(c) for c in ("osc", "n_settled", "n_valid", "agreement", "side", "cside", "p", "z", "mid", "conflict")])
-    return j.withColumn("_s", made).withColumns({"side": F.col("_s.side"), "edge": F.col("_s.edge"), "mode": F.col("_s.mode"), "confidence": F.col("_s.confidence"), "prob": F.col("p")}).drop("_s")
+    out = j.withColumn("_s", made).withColumns({"side": F.col("_s.side"), "edge": F.col("_s.edge").cast("double"), "mode": F.col("_s.mode"), "confidence": F.col("_s.confidence"), "prob": F.col("p")}).drop("_s")
+    return out.withColumn("info", info(z_score=F.col("z"), confidence=F.col("confidence"), agreement=F.col("agreement"), stale=F.col("stale")))
 
 
-#: Strategies by name: DataFrame of features in, side, edge and prob added. A fitted model is one by learning.ml_strategy.
-STRATEGIES = {"rule": rule_strategy, "consensus": consensus_strategy}
+#: F2: strategies by name. learning adds "model".
+STRATEGIES = {"rule": Strategy(rule_strategy), "consensus": Strategy(consensus_strategy, lambda spark, sf_dir, results=None: features(spark, sf_dir, results, clock=True))}
 
 
 def apply_strategy(t: DataFrame, name: str) -> DataFrame:
-    """a registered strategy, held to its schema."""
-    out = t.transform(STRATEGIES[name])
-    missing = {"side", "edge", "prob"} - set(out.columns)
-    if missing:
-        raise ValueError(f"strategy {name} lacks {sorted(missing)}")
+    """a registered strategy, held to its contract."""
+    out = t.transform(STRATEGIES[name].apply)
+    found = {f.name: f.dataType.simpleString() for f in out.schema}
+    wrong = sorted(n for n, kind in CONTRACT.items() if found.get(n) != kind)
+    if wrong:
+        raise ValueError(f"strategy {name} lacks {wrong} of the right types")
     return out
 
 
+@query(_RULES + " UNION ALL ".join(f"SELECT seq, '{n}' AS name, round({c}, 6) AS value FROM rules WHERE {c} IS NOT NULL" for n, c in (("trend15", "trend15"), ("trend30", "trend30"), ("settle_rate", "rate4"))))
+def strategy_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what the rule strategy logs beside its signals."""
+    t = apply_strategy(features(spark, sf_dir), "rule")
+    return t.select("seq", F.explode("info").alias("name", "value")).select("seq", "name", F.round("value", 6).alias("value"))
+
+
 @query(_RULES + "SELECT seq, round(rp, 6) AS prob, rside AS side, round(redge, 6) AS edge FROM rules")
 def rule_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P29."""
@@ -252,7 +301,7 @@ def backtest(spark: SparkSession, sf_dir: str, strategy: str = "rule") -> DataFr
     is sized on the constant bankroll (P15) and settled (J2, P17).
     """
     results = settled(spark, sf_dir)
-    t = with_configs(apply_strategy(features(spark, sf_dir, results, clock=strategy == "consensus"), strategy)).filter("reason = 'ok' and side is not null and edge >= min_edge")
+    t = with_configs(apply_strategy(STRATEGIES[strategy].rows(spark, sf_dir, results), strategy)).filter("reason = 'ok' and side is not null and edge >= min_edge")
     first = F.row_number().over(Window.partitionBy("config", "ticker").orderBy("us", "seq"))
     t = t.withColumn("_r", first).filter("_r = 1")
     capped = F.row_number().over(Window.partitionBy("config", "period_id", "side").orderBy("us", "seq"))

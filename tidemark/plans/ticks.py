@@ -9,6 +9,8 @@ from ..functions import scalars as S
 from ..operators import asof
 from ..operators.folds import anchored_stale_seconds
 from ..operators.ordered import DAY_US, previous_value, running
+from ..sources.staging import staged
+from ..sources.tables import ASSET_COLUMNS
 from .bindings import LONG, SHORT, settled, settled_sql, settlements, ticks, ticks_sql
 from .registry import query
 
@@ -517,3 +519,40 @@ def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = t.select("cycle", "asset", F.to_json(F.struct(book.alias("orderbook"))).alias("payload"))
     rows = feature_rows(markets, books, t.select("cycle", "asset", F.col("real_price").alias("price")), [900 * _MICRO])
     return rows.select("seq", "asset", "mid", "spread", "pvs", "ob_imbalance", "time_to_expiry", "mom_900")
+
+
+POLL_US = 900 * _MICRO
+_POLLED = ticks_sql() + f""", polled AS (SELECT *, us // {POLL_US} AS cycle, k % 7 <> 0 AS ok, round(1 / (1 / real_price), 4) AS price FROM ticks QUALIFY row_number() OVER (PARTITION BY asset, us // {POLL_US} ORDER BY us DESC, seq DESC) = 1),
+replies AS (SELECT cycle, asset, seq, us, price, CASE WHEN ok THEN ticker END AS ticker, CASE WHEN ok THEN yes_bid END AS yes_bid, CASE WHEN ok THEN yes_ask END AS yes_ask, CASE WHEN ok THEN mid END AS mid, CASE WHEN ok THEN spread END AS spread, CASE WHEN ok THEN user_id ELSE 0 END AS volume, CASE WHEN ok THEN k ELSE 0 END AS oi,
+CASE WHEN ok AND k % 3 <> 0 THEN floor_strike END AS strike, CASE WHEN ok THEN tte END AS time_to_expiry, ob_imbalance, CASE WHEN NOT ok THEN 'no_market' END AS error FROM polled WHERE cycle IN (SELECT cycle FROM polled WHERE ok)),
+opened AS (SELECT *, coalesce(strike, first_value(price) OVER (PARTITION BY asset, ticker ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS floor_strike, {_NOW.format(c='mid')} AS cur FROM replies),
+rows AS (SELECT s.*, price AS real_price, CASE WHEN floor_strike > 0 THEN round((price - floor_strike) / floor_strike * 100, 4) END AS price_vs_strike_pct, """ + ", ".join(f"round(cur - m{h}.v, 6) AS mom_{h}" for h in HORIZONS) + " FROM opened s" + "".join(f" LEFT JOIN {nearest_sql('mid', h).replace('FROM ticks', 'FROM replies')} m{h} USING (asset, us)" for h in HORIZONS) + ")\n"
+_WIDE = [(c, {"mom_5s": "mom_900", "mom_15s": "mom_1800", "mom_30s": "mom_3600"}.get(c, c)) for c in ASSET_COLUMNS]
+
+
+@query(_POLLED + "SELECT cycle, max(us) AS us, " + ", ".join(f"max(CASE WHEN asset = '{a}' THEN {c} END) AS {a}_{name}" for a in ASSETS for name, c in _WIDE) + ", CAST(count(*) FILTER (WHERE mid IS NOT NULL AND error IS NULL) AS INTEGER) AS n_valid FROM rows GROUP BY cycle")
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One poll of all assets a cycle: JSON markets (some empty), books and one reply of rates, to the wide row with three momenta."""
+    from ..sources.features import feature_rows, wide_rows
+    from ..sources.snapshots import rate_rows
+
+    t = ticks(spark, sf_dir).withColumn("cycle", F.call_function("div", F.col("us"), F.lit(POLL_US)))
+    rank = F.row_number().over(Window.partitionBy("asset", "cycle").orderBy(F.desc("us"), F.desc("seq")))
+    t = staged(t.withColumn("_r", rank).filter("_r = 1").drop("_r"), "polls")
+    closes = F.date_format(F.timestamp_micros((F.col("period_id") + 1) * LONG * _MICRO), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    market = F.struct("ticker", F.lit("active").alias("status"), "yes_bid", "yes_ask", F.col("user_id").alias("volume"), F.col("k").alias("open_interest"), F.when(F.col("k") % 3 != 0, F.col("floor_strike")).alias("floor_strike"), closes.alias("close_time"))
+    listed = F.filter(F.array(market), lambda _: F.col("k") % 7 != 0)
+    markets = t.select("cycle", "asset", "seq", "us", F.to_json(F.struct(listed.alias("markets"))).alias("payload"))
+    k = F.col("k").cast("double")
+    book = F.struct(F.array(F.array(F.lit(1.0), k)).alias("yes"), F.array(F.array(F.lit(1.0), 99 - k)).alias("no"))
+    books = t.select("cycle", "asset", F.to_json(F.struct(book.alias("orderbook"))).alias("payload"))
+    rates = t.groupBy("cycle").agg(F.map_from_entries(F.collect_list(F.struct("asset", (1 / F.col("real_price")).cast("string").alias("rate")))).alias("rates"))  # an entry for each asset
+    prices = rate_rows(rates.select("cycle", F.to_json(F.struct("rates")).alias("payload")), ASSETS)
+    return wide_rows(feature_rows(markets, books, prices, [h * _MICRO for h in HORIZONS]), ASSETS, [f"mom_{h}" for h in HORIZONS])
+
+
+@query(ticks_sql() + """SELECT seq, side, CAST(least(99, greatest(1, coalesce(CASE side WHEN 'YES' THEN yes_ask ELSE yes_bid END, floor(mid * 100)))) AS INTEGER) AS limit_cents FROM ticks, (VALUES ('YES'), ('NO')) s(side) WHERE mid IS NOT NULL""")
+def limit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an order on either side of each quote would ask: the other side's price, or the mid where nobody offers."""
+    t = ticks(spark, sf_dir).filter("mid is not null").withColumn("side", F.explode(F.array(F.lit("YES"), F.lit("NO"))))
+    return t.select("seq", "side", S.limit_price_cents(F.col("side"), F.col("yes_ask"), 100 - F.col("yes_bid"), F.col("mid")).alias("limit_cents"))

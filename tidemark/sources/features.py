@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.asof import momentum
 from . import snapshots
+from .tables import ASSET_COLUMNS
 
 
 def strike_or_opening(df: DataFrame, strike: str = "floor_strike", price: str = "real_price") -> Column:
@@ -30,3 +31,18 @@ def feature_rows(markets: DataFrame, books: DataFrame, prices: DataFrame, horizo
     closes = F.unix_micros(S.parse_close_time(F.col("close_time")))
     rows = rows.withColumns({"time_to_expiry": S.seconds_to_close(closes, F.col("us")), "pvs": S.price_vs_strike(F.col("real_price"), F.col("floor_strike"))})
     return momentum(rows, ["asset"], "mid", {f"mom_{h // 1_000_000}": h for h in horizons_us})
+
+
+#: The columns of feature_rows that a wide row names otherwise.
+RENAMED = {"price_vs_strike_pct": "pvs"}
+
+
+def wide_rows(rows: DataFrame, assets: Sequence[str], momenta: Sequence[str]) -> DataFrame:
+    """A row for each cycle: every asset's columns side by side, in the order of the wide schema, and the number of valid assets.
+
+    momenta: the columns of rows that stand for the schema's momenta, shortest horizon first.
+    """
+    of = {**{c: RENAMED.get(c, c) for c in ASSET_COLUMNS}, **dict(zip([c for c in ASSET_COLUMNS if c.startswith("mom_")], momenta, strict=True))}
+    cells = [F.first(F.when(F.col("asset") == a, F.col(c)), ignorenulls=True).cast(ASSET_COLUMNS[name]).alias(f"{a}_{name}") for a in assets for name, c in of.items()]
+    valid = F.count_if(F.col("mid").isNotNull() & F.col("error").isNull() & F.col("asset").isin(*assets)).cast("int")
+    return rows.groupBy("cycle").agg(F.max("us").alias("us"), *cells, valid.alias("n_valid"))
