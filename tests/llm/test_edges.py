@@ -238,6 +238,7 @@ def test_templates_of_many_blocks_go(spark):
 
 
 def test_tokens(docs):
+    pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(TOKENIZER)
@@ -254,27 +255,58 @@ def test_tokens(docs):
     want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
     assert r.prefix_tokens == want and (r.n, r.piece) == (want[12], 7)
     assert r.c == max(k for k, n in enumerate(want) if n <= 6)
-    for limit in range(len(want)):
-        assert tokens.counter(TOKENIZER).fit(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
+    for limit in (0, 1, 5, 17, len(want)):
+        fit = {r.doc_id: r.fit_chars for r in tokens.token_counts(one, TOKENIZER, limit).collect()}
+        assert fit == {1: max(k for k, n in enumerate(want) if n <= limit), 2: 0}
     assert none.prefix_tokens == [0] and (none.n, none.c) == (0, 0)
 
 
 def test_truncation_by_the_library(spark, sf_dir):
     """Every prefix of the given texts, and the longest that fits a budget."""
+    pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(TOKENIZER)
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy(F.length("text")).limit(60)
     held = {r.doc_id: r.text for r in texts.collect()}
     rows = {r.doc_id: r for r in tokens.token_counts(texts, TOKENIZER, limit=40).collect()}
+    stored = tokens.written(tokens.prefix_tables(texts, TOKENIZER, limit=40), "stored")
+    from_runs = {r.doc_id: r.prefix_tokens for r in tokens.stored_prefixes(stored).collect()}
     for r in tokens.prefix_counts(texts, TOKENIZER).collect():
+        assert from_runs[r.doc_id] == r.prefix_tokens
         text = held[r.doc_id]
         assert r.prefix_tokens == [len(e.ids) for e in lib.encode_batch([text[:k] for k in range(len(text) + 1)], add_special_tokens=False)]
         assert rows[r.doc_id].n_tokens == r.prefix_tokens[-1]
         assert rows[r.doc_id].fit_chars == max(k for k, n in enumerate(r.prefix_tokens) if n <= 40)
 
 
+def test_stored_prefixes_in_blocks_of_any_size(docs, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    want = sorted((r.doc_id or -1, r.prefix_tokens) for r in tokens.prefix_counts(docs, TOKENIZER).collect())
+    for size in (1, 40, tokens.BLOCK_BYTES):
+        monkeypatch.setattr(tokens, "BLOCK_BYTES", size)
+        stored = tokens.written(tokens.prefix_tables(docs.coalesce(2), TOKENIZER), "stored")
+        assert stored.filter("first is null").select("doc_id", "lang", "source").count() == len(ROWS)
+        assert sorted((r.doc_id or -1, r.prefix_tokens) for r in tokens.stored_prefixes(stored).collect()) == want
+
+
+def test_token_counts_of_random_strings(spark):
+    """Whole ranges of code points, unassigned ones among them, counted as the library counts them."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    rnd = __import__("random").Random(4)
+    ranges = [(32, 127), (0x80, 0x250), (0x370, 0x600), (0x900, 0xE00), (0x1E00, 0x2100), (0x3040, 0xA000), (0xAC00, 0xD7A4), (0xFB00, 0xFE00), (0x10000, 0x1F000)]
+    make = lambda: "".join(rnd.choice(" \n'") if rnd.random() < 0.15 else chr(rnd.randrange(*rnd.choice(ranges))) for _ in range(rnd.randrange(1, 14)))
+    texts = [make() for _ in range(20_000)]
+    lib = Tokenizer.from_file(TOKENIZER)
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    got = {r.k: r.n_tokens for r in tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), TOKENIZER).collect()}
+    assert [k for k, n in enumerate(want) if got[k] != n] == []
+
+
 def test_token_prefixes_inside_pieces():
+    pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     lib, c = Tokenizer.from_file(TOKENIZER), tokens.counter(TOKENIZER)

@@ -8,16 +8,19 @@ one token more: the only vocabulary entry that ends there and stays apart from
 the token before it under the merge rules. So one pass over a piece gives the
 token count of each of its prefixes, as inner text and as a whole piece.
 
-``prefix_counts`` keeps, for every document, the exact count of each of its
-prefixes, inside words and special strings as well. Budget and truncation questions
-are then array lookups (``tokens_before``, ``chars_within``) and need no further
-encoding. ``token_counts`` returns the last of them, and for texts over the limit
-the longest prefix that keeps it.
+``prefix_tables`` stores the exact count of every prefix of every document,
+inside words and special strings as well. A task deals its rows to blocks of
+``BLOCK_BYTES`` of text; a document holds the numbers of its runs between white
+space, and each distinct run of the block stands once, with the counts of all its
+prefixes. A prefix's count is the sum of the runs before its last one plus that
+run's own entry: ``token_counts`` reads a document's count and the longest prefix
+within the limit from there, and ``stored_prefixes`` gives any document's counts
+back as one array, none of them by encoding. ``tokens_before`` and
+``chars_within`` are then lookups.
 
 Defined cases: null text has no tokens; repeated rows repeat their counts; a
-very long text is handled whole; an empty table gives an empty one. Letters and
-case are those of the Unicode tables of Python and ``regex``: texts of code points
-that the library's tables know otherwise (unassigned or recent ones) may differ.
+very long text is a block of its own; an empty table gives an empty one. Runs
+that are not plain ASCII are normalised and split by the library's own objects.
 """
 
 from __future__ import annotations
@@ -25,17 +28,25 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType
 
+from .common import written
+
 DEFAULT_FILE = "word_bpe_49k.json"
-CACHE = 600_000  # entries that each of a worker's caches holds; a full one begins anew
+CACHE = 300_000  # entries that each of a worker's caches holds; a full one begins anew
+SHARED_CHARS = 24  # words share what is known of their beginnings up to this length
+BLOCK_BYTES = 16 << 20
+LISTED = 8192  # runs of a block's table that one row carries
 
 _counters: dict[str, PieceCounter] = {}
 
@@ -70,9 +81,11 @@ class PieceCounter:
         self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart: dict[tuple[int, int], bool] = {}
-        self.runs: dict[str, int] = {}
+        self.begun: dict[str, tuple[int, int, int]] = {}
         self.counts: dict[str, int] = {}
         self.inside: dict[str, list[int]] = {}
+        self.path = path
+        self.library: tuple | None = None
 
     def _stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the symbols of both gives just these two tokens.
@@ -110,19 +123,23 @@ class PieceCounter:
                 return start, token
         raise ValueError("the file lacks a byte's symbol")
 
-    def prefixes(self, piece: str, all_whole: bool = True) -> tuple[list[int], list[int]]:
+    def prefixes(self, piece: str) -> tuple[list[int], list[int]]:
         """Token counts of each byte prefix of a normalised piece: (inside a longer piece, as a whole piece)."""
         text = "".join([self.symbols[b] for b in piece.encode()])
-        n = len(text)
-        inner, whole, last = [0], [0], [-1]
-        for end in range(1, n + 1):
-            if all_whole or end == n:
+        begun, inner, whole, last = self.begun, [0], [0], [-1]
+        for end in range(1, len(text) + 1):
+            found = begun.get(text[:end]) if end <= SHARED_CHARS else None
+            if found is None:  # it depends on the prefix alone
                 start, _ = self._step(text, end, self.end, last)
-                whole.append(inner[start] + 1)
-            if all_whole or end < n:
-                start, token = self._step(text, end, "", last)
-                inner.append(inner[start] + 1)
-                last.append(token)
+                inside, token = self._step(text, end, "", last)
+                found = inner[inside] + 1, token, inner[start] + 1
+                if end <= SHARED_CHARS:
+                    if len(begun) >= CACHE:
+                        begun.clear()
+                    begun[text[:end]] = found
+            inner.append(found[0])
+            last.append(found[1])
+            whole.append(found[2])
         return inner, whole
 
     def count(self, piece: str) -> int:
@@ -130,7 +147,7 @@ class PieceCounter:
         if n is None:
             if len(self.counts) >= CACHE:
                 self.counts.clear()
-            n = self.counts[piece] = self.prefixes(piece, all_whole=False)[1][-1]
+            n = self.counts[piece] = self.prefixes(piece)[1][-1]
         return n
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -139,26 +156,25 @@ class PieceCounter:
             if part:
                 yield part, bool(k % 2)
 
-    @staticmethod
-    def _normal(text: str) -> str:
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    def _pieces(self, run: str) -> tuple[str, list[tuple[int, int]]]:
+        """The normalised run and where its pieces lie."""
+        if run.isascii():
+            normal = run.lower()
+            return normal, [m.span() for m in self.piece.finditer(normal)]
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-    def _run(self, run: str) -> int:
-        if len(self.runs) >= CACHE:
-            self.runs.clear()
-        n = self.runs[run] = sum(map(self.count, self.piece.findall(self._normal(run))))
-        return n
+            lib = Tokenizer.from_file(self.path)
+            self.library = lib.normalizer, lib.pre_tokenizer
+        normal = self.library[0].normalize_str(run)
+        return normal, [at for _, at in self.library[1].pre_tokenize_str(normal)]
 
-    def total(self, text: str) -> int:
-        """Tokens of a text. No piece holds a space or line feed, so runs between them are counted apart."""
-        known, total = self.runs, 0
-        for part, special in self.parts(text) if self.hint in text else ((text, False),):
-            if special:
-                total += 1
-                continue
-            for run in part.replace("\n", " ").split(" "):
-                n = known.get(run)
-                total += self._run(run) if n is None else n
+    def _run(self, run: str) -> int:
+        """Tokens of a text without special strings."""
+        total = 0
+        for part in run.replace("\n", " ").split(" "):
+            normal, pieces = self._pieces(part)
+            total += sum(self.count(normal[a:b]) for a, b in pieces)
         return total
 
     def _piece_prefixes(self, piece: str) -> list[int]:
@@ -176,15 +192,15 @@ class PieceCounter:
         found = self.inside.get(run)
         if found is not None:
             return found
-        normal, out, total = self._normal(run), [0], 0
+        (normal, pieces), out, total = self._pieces(run), [0], 0
         if len(normal) == len(run) and (run.isascii() or unicodedata.is_normalized("NFC", run)):
-            for m in self.piece.finditer(normal):
-                out += [total] * (m.start() + 1 - len(out))
-                out += [total + n for n in self._piece_prefixes(m[0])]
+            for a, b in pieces:
+                out += [total] * (a + 1 - len(out))
+                out += [total + n for n in self._piece_prefixes(normal[a:b])]
                 total = out[-1]
             out += [total] * (len(run) + 1 - len(out))
         else:  # a prefix is normalised otherwise than the run
-            out += [sum(map(self.count, self.piece.findall(self._normal(run[:k])))) for k in range(1, len(run) + 1)]
+            out += [self._run(run[:k]) for k in range(1, len(run) + 1)]
         if len(self.inside) >= CACHE:
             self.inside.clear()
         self.inside[run] = out
@@ -209,24 +225,6 @@ class PieceCounter:
                 total += counts[-1]
         return np.array(out, np.int32)
 
-    def fit(self, text: str, limit: int) -> int:
-        """Code points of the longest prefix of at most so many tokens.
-
-        A prefix has no fewer tokens than the runs that it holds, so the longest
-        ends within the first run that goes beyond the limit, or before it.
-        """
-        if self.hint in text and any(special for _, special in self.parts(text)):
-            return int(np.flatnonzero(self.every_prefix(text) <= limit)[-1])
-        total = at = 0
-        for run in text.replace("\n", " ").split(" "):
-            n = self.runs.get(run)
-            n = self._run(run) if n is None else n
-            if total + n > limit:
-                return at + max(k for k, count in enumerate(self.run_prefixes(run)) if total + count <= limit)
-            total += n
-            at += len(run) + 1
-        return len(text)
-
 
 def counter(path: str) -> PieceCounter:
     """The worker's counter of a file."""
@@ -255,15 +253,106 @@ def _with_columns(df: DataFrame, path: str, made: dict[str, pa.DataType], types:
     return df.mapInArrow(run, schema)
 
 
-def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
-    """df's columns but text, with n_bytes, n_tokens, over_limit and fit_chars (code points of the longest prefix within the limit)."""
+class Block:
+    """Rows of a task until they hold BLOCK_BYTES of text."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.size = number, 0
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.units: list[np.ndarray] = []
+        self.lengths: list[int] = []
+        self.rest: list[pa.RecordBatch] = []
+
+    def add(self, c: PieceCounter, text: str) -> None:
+        if c.hint in text and any(special for _, special in c.parts(text)):
+            runs = ["\n" + text]  # no run holds a line feed: this is a whole text with special strings
+        else:
+            runs = text.replace("\n", " ").split(" ")
+        self.units.append(np.fromiter(map(self.known.__getitem__, runs), np.int32, len(runs)))
+        self.lengths.append(len(text.encode()))
+        self.size += len(text)
+
+    def rows(self, c: PieceCounter, limit: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The documents, then the table of the block's runs."""
+        tables = [c.every_prefix(run[1:]).tolist() if run[:1] == "\n" else c.run_prefixes(run) for run in self.known]
+        last, chars = np.array([t[-1] for t in tables]), np.array([len(t) for t in tables])
+        totals, fits = [], []
+        for u in self.units:
+            ends = np.cumsum(last[u])
+            totals.append(int(ends[-1]))
+            over = int(np.searchsorted(ends, limit, side="right"))  # the first run that goes beyond the limit
+            if over == len(u):
+                fits.append(int(chars[u].sum()) - 1)
+            else:
+                before = int(ends[over - 1]) if over else 0
+                fits.append(int(chars[u[:over]].sum()) + max(k for k, n in enumerate(tables[u[over]]) if before + n <= limit))
+        rest = pa.Table.from_batches(self.rest).combine_chunks()
+        made = {"n_bytes": self.lengths, "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_chars": fits, "block": [self.number] * len(totals), "units": self.units}
+        yield from pa.Table.from_arrays([rest[f.name] if f.name in rest.column_names else pa.array(made[f.name], f.type) if f.name in made else pa.nulls(len(totals), f.type) for f in schema], schema=schema).to_batches()
+        for at in range(0, len(tables), LISTED):
+            made = {"block": [self.number], "first": [at], "prefixes": [tables[at : at + LISTED]]}
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(1, f.type) for f in schema], schema=schema)
+
 
-    def values(c: PieceCounter, text: str) -> tuple:
-        n = c.total(text)
-        return len(text.encode()), n, n > limit, c.fit(text, limit) if n > limit else len(text)
+OWN = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean", "fit_chars": "long", "block": "long", "units": "array<int>", "first": "int", "prefixes": "array<array<int>>"}
 
-    made = {"n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "fit_chars": pa.int64()}
-    return _with_columns(df, path, made, [LongType(), LongType(), BooleanType(), LongType()], values)
+
+def prefix_tables(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """A row for each of df's (its columns but text, n_bytes, n_tokens, over_limit, fit_chars, and its runs' numbers in its block), and rows with first and prefixes: a block's runs from that number on."""
+    taken = set(OWN) & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} are this operator's own")
+    kept = df.drop("text")
+    out = kept.select("*", *[F.lit(None).cast(kind).alias(n) for n, kind in OWN.items()])
+    at, names = df.columns.index("text"), kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, block, schema = counter(path), Block(TaskContext.get().partitionId() << 32), None
+        for batch in batches:
+            rest, begin = pa.RecordBatch.from_arrays([x for k, x in enumerate(batch.columns) if k != at], names=names), 0
+            schema = schema or pa.schema([*rest.schema, *(pa.field(n, kind) for n, kind in _KINDS.items())])
+            for k, text in enumerate(batch.column(at)):
+                block.add(c, text.as_py() or "")
+                if block.size >= BLOCK_BYTES:
+                    block.rest.append(rest.slice(begin, k + 1 - begin))
+                    yield from block.rows(c, limit, schema)
+                    block, begin = Block(block.number + 1), k + 1
+            if begin < batch.num_rows:
+                block.rest.append(rest.slice(begin))
+        if block.units:
+            yield from block.rows(c, limit, schema)
+
+    return df.mapInArrow(run, out.schema)
+
+
+_KINDS = {"n_bytes": pa.int64(), "n_tokens": pa.int64(), "over_limit": pa.bool_(), "fit_chars": pa.int64(), "block": pa.int64(), "units": pa.list_(pa.int32()), "first": pa.int32(), "prefixes": pa.list_(pa.list_(pa.int32()))}
+
+
+def token_counts(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
+    """df's columns but text, with n_bytes, n_tokens, over_limit and fit_chars (code points of the longest prefix within the limit), from stored prefix counts."""
+    stored = written(prefix_tables(df, path, limit), "token-prefixes")
+    return stored.filter(F.col("first").isNull()).drop("block", "units", "first", "prefixes")
+
+
+def stored_prefixes(stored: DataFrame) -> DataFrame:
+    """The documents of prefix_tables with prefix_tokens, the token counts of their prefixes of 0, 1, 2, ... code points, put together from the stored runs."""
+    docs = stored.filter(F.col("first").isNull()).drop("first", "prefixes")
+    tables = stored.filter(F.col("first").isNotNull()).select(F.col("block").alias("of_block"), "first", "prefixes")
+    kept = docs.drop("block", "units")
+    out, names = kept.withColumn("prefix_tokens", F.lit(None).cast("array<int>")), kept.columns
+
+    def joined(rows: pa.Table, block: pa.Table) -> pa.Table:
+        runs = [np.array(x) for part in block.sort_by("first")["prefixes"].to_pylist() for x in part]
+        counts = []
+        for units in rows["units"].to_pylist():
+            total, parts = 0, []
+            for k in units:
+                parts.append(runs[k] + total)
+                total += int(runs[k][-1])
+            counts.append(np.concatenate(parts))
+        return rows.select(names).append_column("prefix_tokens", pa.array(counts, pa.list_(pa.int32())))
+
+    return docs.groupBy("block").cogroup(tables.groupBy("of_block")).applyInArrow(joined, out.schema)
 
 
 def prefix_counts(df: DataFrame, path: str) -> DataFrame:
