@@ -129,13 +129,17 @@ def test_registered_models(spark, sf_dir, monkeypatch, name):
 
 
 def test_stream_scores_are_the_batch_scores(spark, sf_dir):
-    got = {r.seq: r for r in streams.stream_scores(spark, sf_dir).collect()}
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    assert len(got) == events.count() and all(0 < r.prob < 1 for r in got.values())
-    price = {r.event_id: r.value + 100 for r in events.collect()}
-    assert all(got[k].price == pytest.approx(p) for k, p in price.items())
-    higher = sorted(got.values(), key=lambda r: r.price)
-    assert (higher[0].prob < higher[-1].prob) or (higher[0].prob > higher[-1].prob)
+    """Every row of the slots that have closed, with the batch's features and score."""
+    rows = learning.samples(spark, sf_dir)
+    model = learning.logistic(rows.count()).fit(rows)
+    want = {r.seq: r.prob for r in learning.score(model, rows).filter(F.col("us") < closed_until(spark, sf_dir)).collect()}
+    got = {r.seq: r.prob for r in streams.stream_scores(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and len(got) > 900 and all(got[k] == pytest.approx(p, rel=1e-9) for k, p in want.items())
+
+
+def closed_until(spark, sf_dir, slot_us=21_600_000_000):
+    top = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return (top - 300_000_000) // slot_us * slot_us
 
 
 def test_strategies_keep_the_contract(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.operators.folds import anchored_stale_seconds
 from tidemark.operators.ordered import previous_value
+from tidemark.plans import learning, streams
 from tidemark.streaming import market
 
 
@@ -69,3 +70,25 @@ def test_state_by_slot_over_batches_in_any_order(spark, sf_dir, unordered, tmp_p
     stale = {(a, t) for a, times in moves.items() for t, after in zip(times, [*times[1:], None], strict=True) if after is None or after - t > limit * 10**6}
     got = replayed(spark, unordered, tmp_path, lambda s: market.stale_alerts(s, limit, 0.5, slot_seconds=7200, delay="60 days"))
     assert {(r.asset, r.since_us) for r in got} == stale and len(got) == len(stale)
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_scores_over_batches(spark, sf_dir, unordered, tmp_path, ordered):
+    """Features that look over slots and batches, the leader's among them: each row as the batch operators give it."""
+    rows = learning.samples(spark, sf_dir)
+    model = learning.logistic(rows.count()).fit(rows)
+    if ordered:  # slots close batch by batch
+        events, folder = spark.read.parquet(f"{sf_dir}/events.parquet").repartitionByRange(8, "ts").sortWithinPartitions("ts"), tmp_path / "ordered"
+        folder.mkdir()
+        for k in range(8):
+            events.filter(F.spark_partition_id() == k).coalesce(1).write.parquet(str(tmp_path / f"o{k}"))
+            (file,) = (tmp_path / f"o{k}").glob("*.parquet")
+            file.rename(folder / f"{k}.parquet")
+            os.utime(folder / f"{k}.parquet", (1_700_000_000 + 60 * k,) * 2)
+    stream = market.raw_stream(spark, str(folder) if ordered else unordered, files_per_batch=2 if ordered else 9)
+    got = streams.streamed_scores(stream, model, f"file://{tmp_path}/scores", 300_000_000 if ordered else 60 * 86_400_000_000).filter("seq >= 0").collect()
+    top = max(r.us for r in got)
+    want = {r.seq: r for r in learning.score(model, rows).filter(F.col("us") <= top).collect()}
+    assert len(got) == len(want) > 900
+    for r in got:
+        assert all(r[c] == pytest.approx(want[r.seq][c]) for c in [*learning.FEATURES, "prob"]), r

@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ticks(spark: SparkSession, sf_dir: str, period: int = LONG) -> DataFrame:
     """events as long ticks: one row for each moment and asset."""
+    return ticks_of(table(spark, sf_dir, "events"), period)
+
+
+def ticks_of(events: DataFrame, period: int = LONG) -> DataFrame:
+    """Rows of events as ticks; a period's rows have to be there together, since its first price is its strike."""
     micros = period * 1_000_000
     k = F.get_json_object("props", "$.k").cast("int")
-    base = table(spark, sf_dir, "events").select(
+    base = events.select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("asset"), "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.when(k > 0, k).alias("yes_bid"), F.when((k > 0) & (F.col("event_id") % 10 != 0), F.least(F.lit(99), k + 1 + (F.col("user_id") % 5).cast("int"))).alias("yes_ask"), k.alias("k"),
         S.nan_to_null(F.lit(100.0) + F.col("value")).alias("real_price"),

@@ -48,11 +48,6 @@ def logistic(rows: int) -> Pipeline:
     return Pipeline(stages=[assembler(), scaler, LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=1000, regParam=1 / max(rows, 1))])
 
 
-def logistic_on(rows: DataFrame, columns: list[str]) -> PipelineModel:
-    """A model of y by the columns alone."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(labelCol="y", maxIter=100)]).fit(rows)
-
-
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """M5, ST11: rows with prob; the same on a stream."""
     return model.transform(rows).withColumn("prob", vector_to_array("probability")[1])

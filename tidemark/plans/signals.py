@@ -453,12 +453,17 @@ samples AS (SELECT l.*, CASE WHEN asset <> '{LEADER}' THEN leader.mid END AS lea
 )
 
 
+def feature_vectors(t: DataFrame) -> DataFrame:
+    """Ticks that have a mid, with the fourteen features (null where unknown)."""
+    t = with_leader(t.withColumns({"volume": F.col("user_id").cast("double"), "oi": F.col("k").cast("double")}))
+    made = {"tte_pct": F.col("tte") / LONG, "mid_decisiveness": F.abs(F.col("mid") - 0.5)}
+    return t.na.drop(subset=["mid", "tte"]).withColumns(made)
+
+
 def feature_samples(spark: SparkSession, sf_dir: str, results: DataFrame | None = None) -> DataFrame:
-    """Ticks that have a mid, with the fourteen features (null where unknown) and their outcome y."""
-    t = with_leader(ticks(spark, sf_dir).withColumns({"volume": F.col("user_id").cast("double"), "oi": F.col("k").cast("double")}))
+    """Feature vectors with their outcome y."""
     outcome = (settled(spark, sf_dir) if results is None else results).select("ticker", S.result_label(F.col("result")).alias("y"))
-    made = {"tte_pct": F.col("tte") / LONG, "mid_decisiveness": F.abs(F.col("mid") - 0.5)}
-    return t.na.drop(subset=["mid", "tte"]).withColumns(made).join(outcome, "ticker").select("seq", "asset", "ticker", "period_id", "us", "y", *FEATURES)
+    return feature_vectors(ticks(spark, sf_dir)).join(outcome, "ticker").select("seq", "asset", "ticker", "period_id", "us", "y", *FEATURES)
 
 
 def timed_parts(rows: DataFrame, share: float = 0.8) -> DataFrame:

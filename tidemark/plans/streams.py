@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_dir
 from ..streaming import market
-from .bindings import LONG, settled, ticks
-from .learning import logistic_on, score
+from .bindings import LONG, ticks_of
+from .learning import FEATURES, logistic, samples, score, vectors
 from .registry import query
-from .ticks import STALE_MOVE, anchored_sql
+from .signals import feature_vectors
+from .ticks import HORIZONS, STALE_MOVE, anchored_sql
 
 #: Conf of the caller's session that a stream's own session takes over.
 KEPT = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions")
@@ -95,11 +99,31 @@ def stream_settlement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, make).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("roll_ts", "settle_ts")})
 
 
+#: How far back a feature looks: one and a half of the longest horizon, and the hour whose leader it may take.
+LOOKBACK_US = (3 * max(HORIZONS) // 2 + 3600) * 1_000_000
+
+
+def streamed_scores(stream: DataFrame, model: PipelineModel, folder: str, delay_us: int = 300_000_000) -> DataFrame:
+    """ST11: raw events, once their slot has closed, with the fourteen features and the prob of a fitted model.
+
+    The same functions as in batch see a slot's rows, a lookback before them and
+    each asset's last quoted row. A leader silent for longer than the lookback
+    has a mid, but no momentum.
+    """
+
+    def make(known: DataFrame) -> DataFrame:
+        t = feature_vectors(ticks_of(known.drop("us", "seq")))
+        return score(model, vectors(t.select("seq", "asset", "us", *FEATURES))).select("seq", "asset", "us", *FEATURES, "prob")
+
+    raw = stream.withColumns({"us": F.unix_micros(F.col("ts").cast("timestamp")), "seq": F.col("event_id")})
+    quoted = "cast(get_json_object(props, '$.k') as int) > 0"
+    return market.SlotBatches(folder, make, "event_type", quoted, LONG * 1_000_000, LOOKBACK_US, delay_us).run_available(raw)
+
+
 @query()
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST11: a model of the price and the time to expiry, fitted on the settled contracts, scores the stream."""
-    price = F.col("price").alias("price")
-    left = F.lit(float(LONG)) - F.unix_micros("ts") % (LONG * 1_000_000) / 1e6
-    rows = ticks(spark, sf_dir).join(settled(spark, sf_dir).select("ticker", (F.col("result") == "YES").cast("int").alias("y")), "ticker")
-    model = logistic_on(rows.select(F.col("real_price").alias("price"), "tte", "y"), ["price", "tte"])
-    return _run(spark, sf_dir, lambda s: score(model, s.select("seq", price, left.alias("tte"))).select("seq", "price", "tte", "prob"))
+    """ST11: the stream of events scored by a model of all features that is fitted on the settled contracts."""
+    rows = samples(spark, sf_dir)
+    model = logistic(rows.count()).fit(rows)
+    made = streamed_scores(market.raw_stream(spark, f"{sf_dir}/events.parquet"), model, f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}")
+    return made.select("seq", "asset", "prob")

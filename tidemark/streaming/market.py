@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -225,6 +226,63 @@ def run_available(spark: SparkSession, stream: DataFrame, folder: str, mode: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def raw_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The events table as a file stream, all columns as they are."""
+    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+@dataclass(frozen=True)
+class SlotBatches:
+    """A sink that applies a batch operator to the time slots that the watermark has passed, each once and whole.
+
+    Rows (seq, us and a key among them) land in a table by slot. When slots close,
+    ``make`` gets their rows, those of the lookback before them, and each key's last
+    row with a value, however old, and returns the closed slots' rows. What a
+    batch writes (landed rows, results, carry, progress) stands in folders under
+    its number, so a batch that is run again writes the same again. Rows of slots
+    that are closed already are late and left out.
+    """
+
+    folder: str
+    make: Callable[[DataFrame], DataFrame]
+    key: str
+    value: str
+    slot_us: int
+    lookback_us: int
+    delay_us: int
+
+    def _before(self, spark: SparkSession, name: str, number: int, schema: str) -> DataFrame:
+        """What the last batch before this one wrote of a kind."""
+        return spark.read.schema(schema).parquet(f"{self.folder}/{name}/batch={number - 1}") if number else spark.createDataFrame([], schema)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        spark, kind = batch.sparkSession, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        last = self._before(spark, "progress", number, "until long, mark long").head()
+        begun, mark = last or (None, None)
+        slot = F.call_function("div", F.col("us"), F.lit(self.slot_us))
+        rows = batch.withColumn("slot", slot)
+        (rows if begun is None else rows.filter(F.col("slot") >= begun)).write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/landed/batch={number}")
+        landed = spark.read.schema(f"{kind}, slot long, batch int").parquet(f"{self.folder}/landed").filter(F.col("batch") <= number)
+        top = landed.filter(F.col("batch") == number).agg(F.max("us")).first()[0]
+        mark = max(x for x in (mark, top and top - self.delay_us, 0) if x is not None)
+        until = mark // self.slot_us
+        closing = F.lit(True) if begun is None else F.col("slot") >= begun
+        reach = F.lit(True) if begun is None else F.col("slot") >= (begun * self.slot_us - self.lookback_us) // self.slot_us
+        carry = self._before(spark, "carry", number, kind)
+        known = landed.filter((F.col("slot") < until) & reach).drop("slot", "batch").unionByName(carry).dropDuplicates(["seq"])
+        self.make(known).withColumn("slot", slot).filter(closing & (F.col("slot") < until)).drop("slot").write.mode("overwrite").parquet(f"{self.folder}/made/batch={number}")
+        latest = F.max_by(F.struct(*batch.columns), F.when(F.expr(self.value), F.struct("us", "seq"))).alias("r")
+        known.groupBy(self.key).agg(latest).filter("r is not null").select("r.*").write.mode("overwrite").parquet(f"{self.folder}/carry/batch={number}")
+        spark.createDataFrame([(until, mark)], "until long, mark long").write.mode("overwrite").parquet(f"{self.folder}/progress/batch={number}")
+
+    def run_available(self, stream: DataFrame) -> DataFrame:
+        """All that has landed, batch by batch; the rows that were made."""
+        q = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return stream.sparkSession.read.parquet(f"{self.folder}/made").drop("batch")
+
+
 def many_sinks(stream: DataFrame, checkpoint: str, sinks: dict[str, tuple], once: bool = True):
     """ST10: each micro-batch to several tables: name -> (path, function of the batch). A batch's folder is overwritten if it is run again."""
 
