@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import asof
+from tidemark.operators.ordered import bucket_width
 from tidemark.operators.summaries import before_buckets, bucket_summaries, summarised
 
 
@@ -54,3 +55,12 @@ def test_asof_join_has_no_constant_key(spark):
     got = {r.us: r.s for r in asof.asof_join(rows, states, "at", [], ["s"], 64).collect()}
     assert got == {us: max([k for k in range(400) if k * 3 + 7 <= us], default=None) for us in range(0, 500, 10)}
     assert asof.asof_join(rows, states.limit(0), "at", [], ["s"], 64).filter("s is null").count() == 50
+
+
+def test_width_from_row_counts(spark):
+    """Any width gives the same rows; a denser key makes it narrower."""
+    df = spark.range(400).select(F.col("id").alias("seq"), F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("asset"), (F.col("id") * 10).alias("us"), (F.col("id") % 17).cast("double").alias("v"))
+    width = bucket_width(df, ["asset"], 30)
+    assert width == pytest.approx(4000 / 300 * 30, rel=0.02) and bucket_width(df, ["asset"], 30, 10**6) == 10**6 and bucket_width(df.limit(0), ["asset"], 30) > 0
+    momenta = [{(r.seq, r.m) for r in asof.momentum(df, ["asset"], "v", {"m": 60}, width_us=w).collect()} for w in (width, 90, 10**9)]
+    assert momenta[0] == momenta[1] == momenta[2]

@@ -91,10 +91,10 @@ def nearest_before(df: DataFrame, keys: list[str], value: str, horizon_us: int,
     return over_time(df, keys, lookback(horizon_us), [nearest(value, {name: horizon_us}, inclusive)])
 
 
-def momentum(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int], inclusive: bool = True) -> DataFrame:
-    """For each name and horizon: last known value minus the one a horizon ago, rounded to 6."""
+def momentum(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int], inclusive: bool = True, width_us: int | None = None) -> DataFrame:
+    """For each name and horizon: last known value minus the one a horizon ago, rounded to 6. width_us: as for over_time; ordered.bucket_width gives one."""
     then = nearest(value, {f"_then_{n}": h for n, h in horizons_us.items()}, inclusive)
-    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value})
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value}, width_us)
     moved = looked.withColumns({n: F.round(F.col("_now") - F.col(f"_then_{n}"), 6) for n in horizons_us})
     return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
 
@@ -103,10 +103,10 @@ def percent_change(now: str, then: str) -> Column:
     return F.when(F.col(then) > 0, (F.col(now) - F.col(then)) / F.col(then) * 100)
 
 
-def trend(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int]) -> DataFrame:
+def trend(df: DataFrame, keys: list[str], value: str, horizons_us: dict[str, int], width_us: int | None = None) -> DataFrame:
     """Change in percent against the value a horizon ago (strict tolerance), as of the last known value."""
     then = nearest(value, {f"_then_{n}": h for n, h in horizons_us.items()}, inclusive=False)
-    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value})
+    looked = over_time(df, keys, max(map(lookback, horizons_us.values())), [then], {"_now": value}, width_us)
     moved = looked.withColumns({n: percent_change("_now", f"_then_{n}") for n in horizons_us})
     return moved.drop("_now", *[f"_then_{n}" for n in horizons_us])
 
@@ -136,9 +136,9 @@ def volatility(value: str, window_us: int, period_us: int, name: str, least: tup
     return step
 
 
-def realized_volatility(df: DataFrame, keys: list[str], value: str, window_us: int, period_us: int, name: str, least: tuple[int, int, int] = (0, 0, 3), history_us: int | None = None) -> DataFrame:
+def realized_volatility(df: DataFrame, keys: list[str], value: str, window_us: int, period_us: int, name: str, least: tuple[int, int, int] = (0, 0, 3), history_us: int | None = None, width_us: int | None = None) -> DataFrame:
     """df with the volatility; what lies outside the window and the history isn't read."""
-    return over_time(df, keys, max(window_us, history_us or 0), [volatility(value, window_us, period_us, name, least, history_us)])
+    return over_time(df, keys, max(window_us, history_us or 0), [volatility(value, window_us, period_us, name, least, history_us)], width_us=width_us)
 
 
 def asof_join(df: DataFrame, states: DataFrame, at: str, keys: list[str], columns: list[str], width_us: int, us: str = "us") -> DataFrame:

@@ -18,6 +18,13 @@ def time_bucket(us: str = "us", width: int = DAY_US) -> Column:
     return F.call_function("div", F.col(us), F.lit(width))
 
 
+def bucket_width(df: DataFrame, keys: list[str], rows: int, lookback_us: int = 0, us: str = "us") -> int:
+    """A bucket's width with which the busiest key has about so many rows a bucket, but no less than the lookback."""
+    most = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(us).alias("a"), F.max(us).alias("b"))
+    width = most.agg(F.min((F.col("b") - F.col("a") + 1) * rows / F.col("n"))).first()[0]
+    return max(int(width or DAY_US), lookback_us, 1)
+
+
 def carried_values(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """(keys, _b, names): for each bucket of rows the last non-null values of the buckets before; one row for each bucket."""
     ends = rows.groupBy(*keys, "_b").agg(*[F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(n) for n, v in values.items()])
