@@ -86,12 +86,17 @@ def group_containment(sketches: DataFrame, key: str, text_hashes: Column) -> Dat
     return found.withColumn("containment", F.try_divide(F.col("n_found"), F.size(text_hashes)))
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """An array that the optimizer folds to one literal, however many values it has."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _range_of(value: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at or below value; looks at about two roots of them."""
     step = isqrt(len(bounds)) + 1
     below = lambda at: F.size(F.filter(at, lambda b: b <= value))
-    longs = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
-    return let(F.greatest(below(longs(bounds[::step])) - 1, F.lit(0)) * step, lambda start: start + below(F.slice(longs(bounds), start + 1, F.lit(step))))
+    coarse, fine = _numbers(bounds[::step], "bigint"), _numbers(bounds, "bigint")
+    return let(F.greatest(below(coarse) - 1, F.lit(0)) * step, lambda start: start + below(F.slice(fine, start + 1, F.lit(step))))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.shiftrightunsigned(F.xxhash64("text"), 1))
     ranges = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).head()[0]
+    bounds = rows.agg(F.percentile_approx("doc_id", _numbers([k / ranges for k in range(1, ranges)], "double"), 10 * ranges)).head()[0]
     bounds = sorted(set(bounds or []))
     null_range = F.shiftrightunsigned("tie", 57).cast("int") + len(bounds) + 1
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), null_range).otherwise(_range_of(F.col("doc_id"), bounds) if bounds else F.lit(0)))

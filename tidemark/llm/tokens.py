@@ -44,7 +44,9 @@ from .common import written
 
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE = 300_000  # entries that each of a worker's caches holds; a full one begins anew
-SHARED_CHARS = 24  # words share what is known of their beginnings up to this length
+RECENT_RUNS = 450_000  # runs of a generation; a worker knows those of two
+SHARED_CHARS = 8  # words share what is known of their beginnings up to this length, ...
+BEGINNINGS = 700_000  # ... of which a worker keeps so many
 BLOCK_BYTES = 16 << 20
 LISTED = 8192  # runs of a block's table that one row carries
 
@@ -81,9 +83,10 @@ class PieceCounter:
         self.special = regex.compile("(" + "|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) + ")")
         self.piece = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart: dict[tuple[int, int], bool] = {}
-        self.begun: dict[str, tuple[int, int, int]] = {}
+        self.begun: dict[str, int] = {}
         self.counts: dict[str, int] = {}
         self.inside: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
         self.path = path
         self.library: tuple | None = None
 
@@ -132,14 +135,17 @@ class PieceCounter:
             if found is None:  # it depends on the prefix alone
                 start, _ = self._step(text, end, self.end, last)
                 inside, token = self._step(text, end, "", last)
-                found = inner[inside] + 1, token, inner[start] + 1
+                inner.append(inner[inside] + 1)
+                whole.append(inner[start] + 1)
+                last.append(token)
                 if end <= SHARED_CHARS:
-                    if len(begun) >= CACHE:
+                    if len(begun) >= BEGINNINGS:
                         begun.clear()
-                    begun[text[:end]] = found
-            inner.append(found[0])
-            last.append(found[1])
-            whole.append(found[2])
+                    begun[text[:end]] = token << 8 | inner[-1] << 4 | whole[-1]  # both counts are below 16
+            else:
+                inner.append(found >> 4 & 15)
+                whole.append(found & 15)
+                last.append(found >> 8)
         return inner, whole
 
     def count(self, piece: str) -> int:
@@ -190,6 +196,11 @@ class PieceCounter:
     def run_prefixes(self, run: str) -> list[int]:
         """Counts of all prefixes of a run without spaces, the empty one first."""
         found = self.inside.get(run)
+        if found is not None:
+            return found
+        if len(self.inside) >= RECENT_RUNS:
+            self.before, self.inside = self.inside, {}
+        found = self.before.get(run)
         if found is not None:
             return found
         (normal, pieces), out, total = self._pieces(run), [0], 0
@@ -201,8 +212,6 @@ class PieceCounter:
             out += [total] * (len(run) + 1 - len(out))
         else:  # a prefix is normalised otherwise than the run
             out += [self._run(run[:k]) for k in range(1, len(run) + 1)]
-        if len(self.inside) >= CACHE:
-            self.inside.clear()
         self.inside[run] = out
         return out
 
