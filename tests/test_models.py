@@ -27,7 +27,7 @@ def test_missing_features_are_zero(spark):
     assert tuple(row) == (0.5, *[0.0] * 13) and len(learning.FEATURES) == 14
 
 
-def test_sizes_of_the_models():
+def test_sizes_of_the_models(spark):
     large, small = (p.getStages()[-1] for p in (learning.trees(), learning.small_trees()))
     assert (large.getMaxIter(), large.getMaxDepth(), large.getStepSize(), large.getSubsamplingRate()) == (100, 4, 0.1, 0.8)
     assert (small.getMaxIter(), small.getMaxDepth(), small.getMinInstancesPerNode()) == (50, 3, 10)
