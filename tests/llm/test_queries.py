@@ -11,7 +11,7 @@ from tidemark.llm import queries
 from tidemark.llm.contamination import CONTAINMENT
 from tidemark.llm.shingles import shingle_sets
 
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
