@@ -92,3 +92,14 @@ def test_scores_over_batches(spark, sf_dir, unordered, tmp_path, ordered):
     assert len(got) == len(want) > 900
     for r in got:
         assert all(r[c] == pytest.approx(want[r.seq][c]) for c in [*learning.FEATURES, "prob"]), r
+
+
+def test_alerts_of_the_last_slot(spark, tmp_path):
+    """Prices that stood too long are told of up to the last row, not only in slots that the watermark has passed."""
+    at = lambda minutes: f"timestamp_ntz '2024-01-01 00:00:00' + INTERVAL {minutes} MINUTES"
+    moves = [("a", 10, 1.0), ("a", 20, 2.0), ("a", 90, 3.0), ("a", 170, 4.0), ("b", 30, 1.0), ("b", 40, 1.0), ("c", 100, 1.0), ("c", 177, 2.0)]
+    events = " UNION ALL ".join(f"SELECT cast({k} as long) AS event_id, {at(m)} AS ts, cast(1 as long) AS user_id, '{a}' AS event_type, cast({v} as double) AS value, '{{\"k\": 5}}' AS props" for k, (a, m, v) in enumerate(moves))
+    spark.sql(events).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.QUERIES["stream_stale_alerts"](spark, str(tmp_path)).collect()
+    start = 1_704_067_200
+    assert sorted((r.asset, (r.since_us // 10**6 - start) // 60, (r.alert_us - r.since_us) // 10**6) for r in got) == [("a", 20, 3600), ("a", 90, 3600), ("b", 30, 3600), ("c", 100, 3600)]
