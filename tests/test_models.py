@@ -74,6 +74,24 @@ def test_continued_trees_against_plain_sums(spark):
     assert all(r.prob == pytest.approx(1 / (1 + math.exp(-model.base))) for r in scored if r.stretch == 0)
 
 
+def test_a_level_is_one_job_over_bins(spark, rows):
+    """Rows binned once give the trees that their columns give; each level of a tree is one job."""
+    from tidemark.operators import boosting
+
+    model = boosting.begin(rows, learning.FEATURES, "y")
+    held = learning.staged(boosting.binned(model, rows.select("seq", "period_id", "y", *learning.FEATURES)), "held")
+    assert held.columns == ["seq", "period_id", "y", boosting.BINS]
+    spark.sparkContext.setJobGroup("levels", "levels")
+    grown = boosting.continued(model, held, "y", 2, 3)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("levels")) == 9
+    plain = boosting.continued(model, rows, "y", 2, 3)
+    for a, b in zip(grown.trees, plain.trees, strict=True):
+        assert (a.features == b.features).all() and (a.cuts == b.cuts).all() and a.values == pytest.approx(b.values)
+    of_bins, of_columns = ({r.seq: r.prob for r in boosting.scored(grown, t, "period_id").collect()} for t in (held, rows))
+    assert of_bins == of_columns and len({p for k, p in of_bins.items() if k < 80}) == 1 < len(set(of_bins.values()))
+
+
 @pytest.mark.parametrize("name", ["walk_forward_cv", "online_retrain", "train_gbt", "ml_signal"])
 def test_registered_models_at_full_size(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir).collect()
