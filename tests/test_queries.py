@@ -65,3 +65,8 @@ def test_plans_stay_linear(spark, sf_dir, name):
 
 def test_queries_without_sql_are_tested_elsewhere():
     assert set(QUERIES) - set(ORACLES) == MODELS
+
+
+def test_the_dashboard_joins_its_ledger_once(spark, sf_dir):
+    plan = QUERIES["performance_dashboard"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "orders.parquet" not in plan  # what the parts read is the staged ledger

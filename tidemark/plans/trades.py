@@ -109,7 +109,11 @@ def recent_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_L + "SELECT asset, round(avg(pnl), 6) AS mean, round(stddev_samp(pnl), 6) AS std, round(coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0), 6) AS sharpe FROM (SELECT asset, period, sum(pnl) AS pnl FROM ledger WHERE pnl IS NOT NULL GROUP BY asset, period) GROUP BY asset")
 def sharpe_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean over deviation of a period's profit."""
-    by = ledger(spark, sf_dir).filter("pnl is not null").groupBy("asset", "period").agg(F.sum("pnl").alias("p"))
+    return sharpes(ledger(spark, sf_dir))
+
+
+def sharpes(rows: DataFrame) -> DataFrame:
+    by = rows.filter("pnl is not null").groupBy("asset", "period").agg(F.sum("pnl").alias("p"))
     return by.groupBy("asset").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev_samp("p"), 6).alias("std"), F.round(F.coalesce(F.try_divide(F.avg("p"), F.stddev_samp("p")), F.lit(0.0)), 6).alias("sharpe"))
 
 
@@ -169,7 +173,12 @@ def trade_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_EQ + "SELECT asset, round(max((peak - bank) / peak), 6) AS max_drawdown, round(min(bank), 4) AS low, round(max(peak), 4) AS high FROM peaks GROUP BY asset")
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W11, per trade."""
-    return equity(spark, sf_dir).groupBy("asset").agg(F.round(F.max((F.col("peak") - F.col("bank")) / F.col("peak")), 6).alias("max_drawdown"), F.round(F.min("bank"), 4).alias("low"), F.round(F.max("peak"), 4).alias("high"))
+    return drawdowns(settled_trades(spark, sf_dir))
+
+
+def drawdowns(rows: DataFrame) -> DataFrame:
+    """Of settled trades, written before: they are read twice."""
+    return with_bank(rows).groupBy("asset").agg(F.round(F.max((F.col("peak") - F.col("bank")) / F.col("peak")), 6).alias("max_drawdown"), F.round(F.min("bank"), 4).alias("low"), F.round(F.max("peak"), 4).alias("high"))
 
 
 @query(_L + f", p AS (SELECT asset, period, min(us) AS us, sum(pnl) AS pnl FROM ledger WHERE pnl IS NOT NULL GROUP BY asset, period), e AS (SELECT *, {START} + sum(pnl) OVER (PARTITION BY asset ORDER BY us) AS bank FROM p), q AS (SELECT *, greatest({START}, max(bank) OVER (PARTITION BY asset ORDER BY us)) AS peak FROM e) SELECT asset, round(max((peak - bank) / peak), 6) AS max_drawdown FROM q GROUP BY asset")
@@ -189,7 +198,11 @@ def ledger_summaries(rows: DataFrame) -> DataFrame:
 SELECT asset, coalesce(max(run) FILTER (WHERE win), 0) AS win_streak, coalesce(max(run) FILTER (WHERE NOT win), 0) AS loss_streak FROM r GROUP BY asset""")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Longest runs of wins and of losses, pending trades passed over."""
-    runs = summarised(ledger_summaries(ledger(spark, sf_dir)), ["asset"])
+    return longest_runs(ledger(spark, sf_dir))
+
+
+def longest_runs(rows: DataFrame) -> DataFrame:
+    runs = summarised(ledger_summaries(rows), ["asset"])
     return runs.select("asset", F.col("s.longest_true").alias("win_streak"), F.col("s.longest_false").alias("loss_streak"))
 
 
@@ -284,8 +297,9 @@ _PARTS = {name: ORACLES[name] for name in ("max_drawdown", "streaks", "sharpe_pe
 
 @query(f"SELECT * FROM ({_L} SELECT asset, {_STATS} FROM ledger GROUP BY asset) " + " ".join(f"LEFT JOIN ({sql}) USING (asset)" for sql in _PARTS.values()))
 def performance_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An asset's trades, drawdown, streaks and period returns in one row."""
-    out = ledger(spark, sf_dir).groupBy("asset").agg(*trade_stats())
-    for part in (max_drawdown, streaks, sharpe_period):
-        out = out.join(part(spark, sf_dir), "asset", "left")
+    """An asset's trades, drawdown, streaks and period returns in one row, all from a ledger that is joined and written once."""
+    rows = staged(ledger(spark, sf_dir).select("asset", *ORDER, "side", "period", "fee", "pnl"), "ledger")
+    out = rows.groupBy("asset").agg(*trade_stats())
+    for part in (drawdowns(rows.filter("pnl is not null").select("asset", *ORDER, "pnl")), longest_runs(rows), sharpes(rows)):
+        out = out.join(part, "asset", "left")
     return out
