@@ -132,6 +132,14 @@ def test_backtest_of_the_model(spark, sf_dir):
     assert all(r.side in ("YES", "NO") and r.contracts > 0 and r.fee >= 0 and r.pnl is not None for r in got)
 
 
+def test_training_rows_are_dealt_by_their_number(rows, monkeypatch):
+    monkeypatch.setattr(learning, "PART_ROWS", 50)
+    held = learning.dealt(rows.coalesce(1))
+    assert held.rdd.getNumPartitions() == 5 and sorted(r.seq for r in held.collect()) == list(range(240))
+    monkeypatch.setattr(learning, "PART_ROWS", 240)
+    assert learning.dealt(rows.coalesce(1)).rdd.getNumPartitions() == 1
+
+
 def test_two_classes(rows):
     assert learning.two_classes(rows) and not learning.two_classes(rows.filter("y = 0")) and not learning.two_classes(rows.limit(29))
 
