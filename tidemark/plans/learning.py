@@ -19,7 +19,7 @@ from .signals import _SAMPLES, FEATURES, STRATEGIES, Strategy, backtest, feature
 ROUNDS, SMALL_ROUNDS = 100, 50
 LEAST_TRAIN, LEAST_TEST, LEAST_SETTLED, SEED = 30, 10, 4, 7
 #: Rows of a partition that MLlib's trees and regressions keep and read again for each level or step.
-PART_ROWS = 200_000
+PART_ROWS = 100_000
 #: Trees that each later fold adds to the model of the fold before.
 ROUNDS_PER_FOLD = 1
 
