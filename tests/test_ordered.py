@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof
 from tidemark.operators.folds import accepted, anchored_stale_seconds
-from tidemark.operators.ordered import islands, previous_value, running
+from tidemark.operators.ordered import bucket_parts, islands, previous_value, running
 
 US = 1_000_000
 
@@ -145,3 +145,24 @@ def test_empty(spark, frame):
     assert asof.nearest_before(none, ["asset"], "v", 10 * US, "n").count() == 0
     assert previous_value(none, ["asset"], ["us", "seq"], F.col("v"), "p").count() == 0
     assert running(none, ["asset"], ["us", "seq"], F.col("v"), "t").count() == 0
+
+
+def test_look_backs_share_sorts(spark, frame):
+    """All that looks back sorts a bucket's rows twice, forwards and backwards, in as many partitions as asked for."""
+    steps = [asof.nearest("v", {"a": 10 * US, "b": 60 * US}), asof.volatility("v", 600 * US, 60 * US, "vol", history_us=7200 * US)]
+    looked = asof.over_time(frame, ["asset"], 7200 * US, steps, {"now": "v"}, parts=7)
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "us#" in line for line in plan.split("\n")) == 2
+    assert ", 7), REPARTITION_BY_NUM" in plan and looked.count() == frame.count()
+
+
+def test_buckets_follow_the_rows(spark):
+    """Denser rows get narrower buckets, down to one lookback, and more partitions."""
+    day, got = 24 * 3600 * US, []
+    for n in (720, 15_000, 72_000):
+        df = spark.range(n).select((F.col("id") * 30 * day / n).cast("long").alias("us"), F.lit("a").alias("asset"))
+        got.append(bucket_parts(df, ["asset"], day, 1000))
+    widths, parts = zip(*got, strict=True)
+    assert widths[0] == 4 * day and widths[1] == pytest.approx(2 * day, rel=1e-3) and widths[2] == day
+    assert parts[0] == 2 and 45 <= parts[1] <= 46 and parts[2] == 289
+    assert bucket_parts(df.limit(0), ["asset"], day) == (4 * day, 1)
