@@ -315,6 +315,24 @@ def test_token_prefixes_inside_pieces():
         assert whole == [len(lib.encode(piece[:k], add_special_tokens=False).ids) for k in range(len(piece) + 1)]
 
 
+def test_new_pieces_are_counted_together(monkeypatch):
+    """A block's short pieces cost no step each; all prefixes of runs count as the library counts them, in parts of any size."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib, rnd = Tokenizer.from_file(TOKENIZER), random.Random(4)
+    runs = ["", "a", "isn't", "x" * tokens.TOGETHER_BYTES, "\u00e9t\u00e9,", "na\u00efve-2024", "e\u0301t", "\u65e5\u672c\u8a9e"]
+    runs += list({"".join(rnd.choice("aeinrst" if k % 2 else "abcXYZ019.,\u00fc\u00df") for _ in range(rnd.randint(1, 18))) for k in range(400)})
+    want = [[len(e.ids) for e in lib.encode_batch([r[:k] for k in range(len(r) + 1)], add_special_tokens=False)] for r in runs]
+    for size in (3, tokens.TOGETHER):
+        monkeypatch.setattr(tokens, "TOGETHER", size)
+        assert [list(t) for t in tokens.PieceCounter(TOKENIZER).tables(runs)] == want
+    c, long = tokens.PieceCounter(TOKENIZER), "thein" * 30
+    assert list(c.tables([long])[0]) == [0, *c.prefixes(long)[1][1:]]
+    monkeypatch.setattr(tokens.PieceCounter, "_step", None)
+    assert [list(t) for t in tokens.PieceCounter(TOKENIZER).tables(["inter", "\u00e9t\u00e9,", "2024"])] == [[len(lib.encode(r[:k], add_special_tokens=False).ids) for k in range(len(r) + 1)] for r in ("inter", "\u00e9t\u00e9,", "2024")]
+
+
 def test_language(docs, spark):
     rnd = __import__("random").Random(2)
     make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(20))

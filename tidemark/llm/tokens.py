@@ -6,7 +6,8 @@ states them. Every piece is a run of byte symbols of which the last carries the
 word-end mark. The tokens of a piece's prefix are those of a shorter prefix and
 one token more: the only vocabulary entry that ends there and stays apart from
 the token before it under the merge rules. So one pass over a piece gives the
-token count of each of its prefixes, as inner text and as a whole piece.
+token count of each of its prefixes, as inner text and as a whole piece. The new
+pieces of a block are taken together, a byte of each at a time (``Together``).
 
 ``prefix_tables`` stores the exact count of every prefix of every document,
 inside words and special strings as well. A task deals its rows to blocks of
@@ -29,7 +30,7 @@ import json
 import os
 import unicodedata
 from collections import defaultdict
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -49,6 +50,8 @@ SHARED_CHARS = 8  # words share what is known of their beginnings up to this len
 BEGINNINGS = 600_000  # ... of which a worker keeps so many
 BLOCK_BYTES = 16 << 20
 LISTED = 8192  # runs of a block's table that one row carries
+TOGETHER = 65_536  # pieces that are counted together, ...
+TOGETHER_BYTES = 32  # ... of at most so many bytes each
 
 _counters: dict[str, PieceCounter] = {}
 
@@ -60,6 +63,98 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Together:
+    """The same counts for many short pieces at once, by an automaton of all entries.
+
+    Its state after a byte names the longest entry that ends there, and every
+    entry the next shorter one: the candidates of ``_step``, longest first.
+    """
+
+    def __init__(self, c: PieceCounter) -> None:
+        self.c, byte = c, {s: b for b, s in enumerate(c.symbols)}
+        children: list[dict[int, int]] = [{}]
+        ends: tuple[dict[int, int], dict[int, int]] = {}, {}  # inner entries, those with the word-end mark
+        for text, token in c.ids.items():
+            for kind, stem in enumerate([text, text.removesuffix(c.end)]):
+                if not stem or (kind and not text.endswith(c.end)) or any(x not in byte for x in stem):
+                    continue
+                at = 0
+                for x in stem:
+                    nxt = children[at].get(byte[x])
+                    if nxt is None:
+                        nxt = children[at][byte[x]] = len(children)
+                        children.append({})
+                    at = nxt
+                ends[kind][at] = token
+        n = len(children)
+        self.table, fail = np.zeros((n, 256), np.int32), np.zeros(n, np.int32)
+        self.out, self.shorter = np.full((2, n), -1, np.int32), np.full((2, len(c.ids)), -1, np.int32)
+        self.size = np.zeros((2, len(c.ids)), np.int32)
+        level, depth = [0], 0
+        while level:
+            edges = np.array([(s, b, t) for s in level for b, t in children[s].items()], np.int32).reshape(-1, 3)
+            if depth:
+                self.table[level] = self.table[fail[level]]
+                fail[edges[:, 2]] = self.table[edges[:, 0], edges[:, 1]]
+            self.table[edges[:, 0], edges[:, 1]] = edges[:, 2]
+            for kind in (0, 1):
+                self.out[kind, level] = self.out[kind, fail[level]] if depth else -1
+                for s in level:
+                    if (token := ends[kind].get(s)) is not None:
+                        self.shorter[kind, token], self.size[kind, token], self.out[kind, s] = self.out[kind, s], depth, token
+            level, depth = edges[:, 2].tolist(), depth + 1
+        self.keys, self.values = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_stays_apart of pairs; the last answer of each slot is known."""
+        key = left.astype(np.int64) << 32 | right
+        slot = (left.astype(np.int64) * 1_000_003 + right) * 2_654_435_761 >> 12 & (len(self.keys) - 1)
+        found, known = self.values[slot], self.keys[slot] == key
+        if not known.all():
+            new, of = np.unique(key[~known], return_inverse=True)
+            answers = np.array([self.c._stays_apart(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            found[~known] = answers[of]
+            # Of new pairs in one slot the first stays: key and answer have to be of one pair.
+            at, first = np.unique(slot[~known], return_index=True)
+            self.keys[at], self.values[at] = key[~known][first], found[~known][first]
+        return found
+
+    def _last(self, kind: int, state: np.ndarray, end: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ids) of the tokens that end the prefixes of so many bytes."""
+        token = self.out[kind, state]
+        open_ = np.arange(len(token))
+        while len(open_):
+            if (token[open_] < 0).any():
+                raise ValueError("the file lacks a byte's symbol")
+            start = end - self.size[kind, token[open_]]
+            open_, start = open_[start > 0], start[start > 0]
+            open_ = open_[~self._apart(last[open_, start], token[open_])]
+            token[open_] = self.shorter[kind, token[open_]]
+        return end - self.size[kind, token], token
+
+    def counts(self, pieces: Collection[str]) -> dict[str, bytes]:
+        """Of each piece the token counts of its byte prefixes, from one on, as whole pieces; long pieces are left out."""
+        coded = sorted(((b, p) for p in pieces if 0 < len(b := p.encode()) <= TOGETHER_BYTES), key=lambda x: -len(x[0]))
+        out: dict[str, bytes] = {}
+        for at in range(0, len(coded), TOGETHER):
+            part = coded[at : at + TOGETHER]
+            lengths = np.array([len(b) for b, _ in part])
+            width = int(lengths[0])
+            text = np.frombuffer(b"".join([b.ljust(width) for b, _ in part]), np.uint8).reshape(len(part), width)
+            inner, last = np.zeros((len(part), width + 1), np.uint8), np.full((len(part), width + 1), -1, np.int32)
+            whole, state = np.zeros((len(part), width), np.uint8), np.zeros(len(part), np.int32)
+            for end in range(1, width + 1):
+                rows = np.arange(int(np.searchsorted(-lengths, -end, side="right")))
+                state = self.table[state[: len(rows)], text[: len(rows), end - 1]]
+                start, _ = self._last(1, state, end, last)
+                whole[rows, end - 1] = inner[rows, start] + 1
+                start, token = self._last(0, state, end, last)
+                inner[rows, end], last[rows, end] = inner[rows, start] + 1, token
+            counts = whole.tobytes()
+            out.update((p, counts[k * width : k * width + len(b)]) for k, (b, p) in enumerate(part))
+        return out
+
+
 class PieceCounter:
     """Counts for the pieces of one tokenizer file."""
 
@@ -89,6 +184,7 @@ class PieceCounter:
         self.before: dict[str, Sequence[int]] = {}
         self.path = path
         self.library: tuple | None = None
+        self.together: Together | None = None
 
     def _stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the symbols of both gives just these two tokens.
@@ -183,18 +279,26 @@ class PieceCounter:
             total += sum(self.count(normal[a:b]) for a, b in pieces)
         return total
 
-    def _piece_prefixes(self, piece: str) -> list[int]:
-        """Counts of a normalised piece's prefixes by code points, from one on."""
+    def _piece_prefixes(self, piece: str, known: dict[str, bytes]) -> Sequence[int]:
+        """Counts of a normalised piece's prefixes by code points, from one on; known: those by bytes."""
         if piece[0] == "'" and len(piece) > 1:  # a contraction's prefixes are split otherwise
             return [sum(map(self.count, self.piece.findall(piece[:k]))) for k in range(1, len(piece) + 1)]
-        whole, at, out = self.prefixes(piece)[1], 0, []
+        whole = known.get(piece)
+        if whole is None:
+            whole = self.prefixes(piece)[1][1:]
+        if len(whole) == len(piece):
+            return whole
+        at, out = -1, []
         for c in piece:
             at += len(c.encode())
             out.append(whole[at])
         return out
 
-    def run_prefixes(self, run: str) -> Sequence[int]:
-        """Counts of all prefixes of a run without spaces, the empty one first; as bytes where they fit, which takes a third of a list."""
+    def run_prefixes(self, run: str, known: dict[str, bytes] | None = None, split: tuple[str, list[tuple[int, int]]] | None = None) -> Sequence[int]:
+        """Counts of all prefixes of a run without spaces, the empty one first; as bytes where they fit, which takes a third of a list.
+
+        known: counts of pieces; split: what _pieces gives.
+        """
         found = self.inside.get(run)
         if found is not None:
             return found
@@ -203,11 +307,12 @@ class PieceCounter:
         found = self.before.get(run)
         if found is not None:
             return found
-        (normal, pieces), out, total = self._pieces(run), [0], 0
-        if len(normal) == len(run) and (run.isascii() or unicodedata.is_normalized("NFC", run)):
+        (normal, pieces), out, total = split or self._pieces(run), [0], 0
+        if self._kept(run, normal):
             for a, b in pieces:
                 out += [total] * (a + 1 - len(out))
-                out += [total + n for n in self._piece_prefixes(normal[a:b])]
+                counts = self._piece_prefixes(normal[a:b], known or {})
+                out += [total + n for n in counts] if total else counts
                 total = out[-1]
             out += [total] * (len(run) + 1 - len(out))
         else:  # a prefix is normalised otherwise than the run
@@ -215,6 +320,18 @@ class PieceCounter:
         found = self.inside[run] = bytes(out) if max(out) < 256 else out
         return found
 
+    def _kept(self, run: str, normal: str) -> bool:
+        """Whether the run's prefixes are normalised as it is, one code point to one."""
+        return len(normal) == len(run) and (run.isascii() or unicodedata.is_normalized("NFC", run))
+
+    def tables(self, runs: Collection[str]) -> list[Sequence[int]]:
+        """run_prefixes of each run, or every_prefix of what follows a line feed; new pieces are counted together."""
+        split = {r: self._pieces(r) for r in runs if r[:1] != "\n" and r not in self.inside and r not in self.before}
+        if self.together is None:
+            self.together = Together(self)
+        known = self.together.counts({normal[a:b] for r, (normal, spans) in split.items() if self._kept(r, normal) for a, b in spans})
+        return [self.every_prefix(r[1:]).tolist() if r[:1] == "\n" else self.run_prefixes(r, known, split.get(r)) for r in runs]
+
     def every_prefix(self, text: str) -> np.ndarray:
         """Token counts of text[:k] for k from 0 to its length."""
         out, total, tail, before = [0], 0, "", 0
@@ -283,7 +400,7 @@ class Block:
 
     def rows(self, c: PieceCounter, limit: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """The documents, then the table of the block's runs."""
-        tables = [c.every_prefix(run[1:]).tolist() if run[:1] == "\n" else c.run_prefixes(run) for run in self.known]
+        tables = c.tables(self.known)
         last, chars = np.array([t[-1] for t in tables]), np.array([len(t) for t in tables])
         totals, fits = [], []
         for u in self.units:
@@ -299,8 +416,11 @@ class Block:
         made = {"n_bytes": self.lengths, "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_chars": fits, "block": [self.number] * len(totals), "units": self.units}
         yield from pa.Table.from_arrays([rest[f.name] if f.name in rest.column_names else pa.array(made[f.name], f.type) if f.name in made else pa.nulls(len(totals), f.type) for f in schema], schema=schema).to_batches()
         for at in range(0, len(tables), LISTED):
-            made = {"block": [self.number], "first": [at], "prefixes": [list(map(list, tables[at : at + LISTED]))]}
-            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(1, f.type) for f in schema], schema=schema)
+            part = tables[at : at + LISTED]
+            values = np.frombuffer(b"".join(part), np.uint8) if all(isinstance(t, bytes) for t in part) else np.concatenate([np.array(list(t)) for t in part])
+            listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(chars[at : at + LISTED])), pa.int32()), pa.array(values.astype(np.int32)))
+            made = {"block": pa.array([self.number]), "first": pa.array([at], pa.int32()), "prefixes": pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), listed)}
+            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(1, f.type) for f in schema], schema=schema)
 
 
 OWN = {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean", "fit_chars": "long", "block": "long", "units": "array<int>", "first": "int", "prefixes": "array<array<int>>"}
