@@ -45,12 +45,12 @@ from .common import written
 
 DEFAULT_FILE = "word_bpe_49k.json"
 CACHE = 300_000  # entries that each of a worker's caches holds; a full one begins anew
-RECENT_RUNS = 450_000  # runs of a generation; a worker knows those of two
+RECENT_RUNS = 150_000  # runs of a generation; a worker knows those of two
 SHARED_CHARS = 8  # words share what is known of their beginnings up to this length, ...
 BEGINNINGS = 600_000  # ... of which a worker keeps so many
 BLOCK_BYTES = 16 << 20
 LISTED = 8192  # runs of a block's table that one row carries
-TOGETHER = 65_536  # pieces that are counted together, ...
+TOGETHER = 65_536  # runs whose new pieces are counted together, and pieces at a time, ...
 TOGETHER_BYTES = 32  # ... of at most so many bytes each
 
 _counters: dict[str, PieceCounter] = {}
@@ -75,8 +75,10 @@ class Together:
         children: list[dict[int, int]] = [{}]
         ends: tuple[dict[int, int], dict[int, int]] = {}, {}  # inner entries, those with the word-end mark
         for text, token in c.ids.items():
-            for kind, stem in enumerate([text, text.removesuffix(c.end)]):
-                if not stem or (kind and not text.endswith(c.end)) or any(x not in byte for x in stem):
+            kinds = (0, 1) if not c.end else (1,) if text.endswith(c.end) else (0,)
+            for kind in kinds:
+                stem = text.removesuffix(c.end) if kind else text
+                if not stem or any(x not in byte for x in stem):
                     continue
                 at = 0
                 for x in stem:
@@ -87,16 +89,24 @@ class Together:
                     at = nxt
                 ends[kind][at] = token
         n = len(children)
-        self.table, fail = np.zeros((n, 256), np.int32), np.zeros(n, np.int32)
+        # Bytes that only begin entries lead to one state from anywhere; the others have a column.
+        inner = sorted({b for made in children[1:] for b in made})
+        self.column, self.root = np.full(256, -1, np.int16), np.zeros(256, np.int32)
+        self.column[inner] = range(len(inner))
+        self.root[list(children[0])] = list(children[0].values())
+        self.table, fail = np.zeros((n, len(inner)), np.int32), np.zeros(n, np.int32)
         self.out, self.shorter = np.full((2, n), -1, np.int32), np.full((2, len(c.ids)), -1, np.int32)
         self.size = np.zeros((2, len(c.ids)), np.int32)
         level, depth = [0], 0
         while level:
             edges = np.array([(s, b, t) for s in level for b, t in children[s].items()], np.int32).reshape(-1, 3)
+            columns = self.column[edges[:, 1]]
             if depth:
                 self.table[level] = self.table[fail[level]]
-                fail[edges[:, 2]] = self.table[edges[:, 0], edges[:, 1]]
-            self.table[edges[:, 0], edges[:, 1]] = edges[:, 2]
+                fail[edges[:, 2]] = self.table[edges[:, 0], columns]
+                self.table[edges[:, 0], columns] = edges[:, 2]
+            else:
+                self.table[0] = self.root[inner]
             for kind in (0, 1):
                 self.out[kind, level] = self.out[kind, fail[level]] if depth else -1
                 for s in level:
@@ -112,7 +122,7 @@ class Together:
         found, known = self.values[slot], self.keys[slot] == key
         if not known.all():
             new, of = np.unique(key[~known], return_inverse=True)
-            answers = np.array([self.c._stays_apart(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            answers = np.array([self.c._merged_apart(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
             found[~known] = answers[of]
             # Of new pairs in one slot the first stays: key and answer have to be of one pair.
             at, first = np.unique(slot[~known], return_index=True)
@@ -133,8 +143,8 @@ class Together:
         return end - self.size[kind, token], token
 
     def counts(self, pieces: Collection[str]) -> dict[str, bytes]:
-        """Of each piece the token counts of its byte prefixes, from one on, as whole pieces; long pieces are left out."""
-        coded = sorted(((b, p) for p in pieces if 0 < len(b := p.encode()) <= TOGETHER_BYTES), key=lambda x: -len(x[0]))
+        """Of each piece the token counts of its byte prefixes, from one on, as whole pieces; long pieces, and those that spell the mark, are left out."""
+        coded = sorted(((b, p) for p in pieces if 0 < len(b := p.encode()) <= TOGETHER_BYTES and not (self.c.end and self.c.end in p)), key=lambda x: -len(x[0]))
         out: dict[str, bytes] = {}
         for at in range(0, len(coded), TOGETHER):
             part = coded[at : at + TOGETHER]
@@ -145,7 +155,9 @@ class Together:
             whole, state = np.zeros((len(part), width), np.uint8), np.zeros(len(part), np.int32)
             for end in range(1, width + 1):
                 rows = np.arange(int(np.searchsorted(-lengths, -end, side="right")))
-                state = self.table[state[: len(rows)], text[: len(rows), end - 1]]
+                byte = text[: len(rows), end - 1]
+                column = self.column[byte]
+                state = np.where(column < 0, self.root[byte], self.table[state[: len(rows)], column])
                 start, _ = self._last(1, state, end, last)
                 whole[rows, end - 1] = inner[rows, start] + 1
                 start, token = self._last(0, state, end, last)
@@ -194,25 +206,26 @@ class PieceCounter:
         time, the later one first.
         """
         key = (left, right)
-        if (found := self.apart.get(key)) is not None:
-            return found
+        found = self.apart.get(key)
+        if found is None:
+            if len(self.apart) >= CACHE:
+                self.apart.clear()
+            found = self.apart[key] = self._merged_apart(left, right)
+        return found
+
+    def _merged_apart(self, left: int, right: int) -> bool:
+        """_stays_apart, worked out."""
         before = len(self.halves)  # the border's next merge must come before this one
         while True:
             if self.joined.get((left, right), before) < before:
-                found = False
-                break
+                return False
             a, b = self.halves[left][1], self.halves[right][0]
             if a == left and b == right:
-                found = True
-                break
+                return True
             if b == right or (a != left and left > right):
                 before, left = left, a
             else:
                 before, right = right + 1, b
-        if len(self.apart) >= CACHE:
-            self.apart.clear()
-        self.apart[key] = found
-        return found
 
     def _step(self, text: str, end: int, mark: str, last: list[int]) -> tuple[int, int]:
         """(start, id) of the token that ends the prefix text[:end]."""
@@ -325,12 +338,16 @@ class PieceCounter:
         return len(normal) == len(run) and (run.isascii() or unicodedata.is_normalized("NFC", run))
 
     def tables(self, runs: Collection[str]) -> list[Sequence[int]]:
-        """run_prefixes of each run, or every_prefix of what follows a line feed; new pieces are counted together."""
-        split = {r: self._pieces(r) for r in runs if r[:1] != "\n" and r not in self.inside and r not in self.before}
+        """run_prefixes of each run, or every_prefix of what follows a line feed; new pieces of many runs are counted together."""
         if self.together is None:
             self.together = Together(self)
-        known = self.together.counts({normal[a:b] for r, (normal, spans) in split.items() if self._kept(r, normal) for a, b in spans})
-        return [self.every_prefix(r[1:]).tolist() if r[:1] == "\n" else self.run_prefixes(r, known, split.get(r)) for r in runs]
+        runs, out = list(runs), []
+        for at in range(0, len(runs), TOGETHER):
+            part = runs[at : at + TOGETHER]
+            split = {r: self._pieces(r) for r in part if r[:1] != "\n" and r not in self.inside and r not in self.before}
+            known = self.together.counts({normal[a:b] for r, (normal, spans) in split.items() if self._kept(r, normal) for a, b in spans})
+            out += [self.every_prefix(r[1:]).tolist() if r[:1] == "\n" else self.run_prefixes(r, known, split.get(r)) for r in part]
+        return out
 
     def every_prefix(self, text: str) -> np.ndarray:
         """Token counts of text[:k] for k from 0 to its length."""
