@@ -334,6 +334,26 @@ def test_new_pieces_are_counted_together(monkeypatch):
     assert [list(t) for t in tokens.PieceCounter(TOKENIZER).tables(["inter", "\u00e9t\u00e9,", "2024"])] == [[len(lib.encode(r[:k], add_special_tokens=False).ids) for k in range(len(r) + 1)] for r in ("inter", "\u00e9t\u00e9,", "2024")]
 
 
+def test_words_with_signs_are_not_split_apart(monkeypatch):
+    """Runs of letters, with signs behind them, are put together from pieces counted once; what looks like them goes the way of all others."""
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib, rnd = Tokenizer.from_file(TOKENIZER), random.Random(7)
+    count = lambda texts: [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    runs = ["a'", "a's", "a'S!", "don't", "\u00aa\u00ba", "\u00d7a\u00f7", "\u0130x", "</w>", "a</w>", "\u00e9" * 16, "\u00e9" * 17, "a" + "!" * 33, "x" * 40 + "?"]
+    runs += ["".join(rnd.choice("aZ\u00e9\u00c9\u00df\u00ff\u00c0\u00d7\u00b51'.,!<>\u017f") for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    assert [list(t) for t in tokens.PieceCounter(TOKENIZER).tables(runs)] == [count([r[:k] for k in range(len(r) + 1)]) for r in runs]
+    block, texts = tokens.Block(0), ["", "Z\u00fcrich,\nici  l\u00e0", "a <|endoftext|> b", "ici"]
+    for t in texts:
+        block.add(tokens.counter(TOKENIZER), t)
+    found, units, starts = block.runs()
+    assert [[found[u] for u in units[a:b]] for a, b in zip(starts, starts[1:])] == [[""], ["Z\u00fcrich,", "ici", "", "l\u00e0"], ["\na <|endoftext|> b"], ["ici"]]
+    monkeypatch.setattr(tokens.PieceCounter, "_pieces", None)
+    words = ["inter", "Stra\u00dfe...", "\u00c9T\u00c9,", "x*()"]
+    assert [list(t) for t in tokens.PieceCounter(TOKENIZER).tables(words)] == [count([r[:k] for k in range(len(r) + 1)]) for r in words]
+
+
 def test_language(docs, spark):
     rnd = __import__("random").Random(2)
     make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(20))

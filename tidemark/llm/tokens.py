@@ -26,15 +26,16 @@ that are not plain ASCII are normalised and split by the library's own objects.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Callable, Collection, Iterator, Sequence
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -53,6 +54,11 @@ LISTED = 8192  # runs of a block's table that one row carries
 TOGETHER = 65_536  # runs whose new pieces are counted together, and pieces at a time, ...
 TOGETHER_BYTES = 32  # ... of at most so many bytes each
 
+#: Runs that any file of this kind takes for one piece of letters and one of other signs, each code point's lower case being one.
+_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+#: Tables that add a number to each byte.
+_ADDED = [bytes(min(255, k + n) for k in range(256)) for n in range(TOGETHER_BYTES + 1)]
+
 _counters: dict[str, PieceCounter] = {}
 
 
@@ -142,8 +148,8 @@ class Together:
             token[open_] = self.shorter[kind, token[open_]]
         return end - self.size[kind, token], token
 
-    def counts(self, pieces: Collection[str]) -> dict[str, bytes]:
-        """Of each piece the token counts of its byte prefixes, from one on, as whole pieces; long pieces, and those that spell the mark, are left out."""
+    def counts(self, pieces: Collection[str], chars: bool = False) -> dict[str, bytes]:
+        """Of each piece the token counts of its byte prefixes (chars: of those that end a code point), from one on, as whole pieces; long pieces, and those that spell the mark, are left out."""
         coded = sorted(((b, p) for p in pieces if 0 < len(b := p.encode()) <= TOGETHER_BYTES and not (self.c.end and self.c.end in p)), key=lambda x: -len(x[0]))
         out: dict[str, bytes] = {}
         for at in range(0, len(coded), TOGETHER):
@@ -162,8 +168,11 @@ class Together:
                 whole[rows, end - 1] = inner[rows, start] + 1
                 start, token = self._last(0, state, end, last)
                 inner[rows, end], last[rows, end] = inner[rows, start] + 1, token
-            counts = whole.tobytes()
-            out.update((p, counts[k * width : k * width + len(b)]) for k, (b, p) in enumerate(part))
+            kept = np.arange(width) < lengths[:, None]
+            if chars:  # the byte after it is no continuation
+                kept[:, :-1] &= text[:, 1:] & 0xC0 != 0x80
+            counts, ends = whole[kept].tobytes(), np.cumsum(kept.sum(axis=1)).tolist()
+            out.update((p, counts[a:b]) for (_, p), a, b in zip(part, [0, *ends], ends, strict=False))
         return out
 
 
@@ -343,10 +352,25 @@ class PieceCounter:
             self.together = Together(self)
         runs, out = list(runs), []
         for at in range(0, len(runs), TOGETHER):
-            part = runs[at : at + TOGETHER]
-            split = {r: self._pieces(r) for r in part if r[:1] != "\n" and r not in self.inside and r not in self.before}
-            known = self.together.counts({normal[a:b] for r, (normal, spans) in split.items() if self._kept(r, normal) for a, b in spans})
-            out += [self.every_prefix(r[1:]).tolist() if r[:1] == "\n" else self.run_prefixes(r, known, split.get(r)) for r in part]
+            out += self._tables(runs[at : at + TOGETHER])
+        return out
+
+    def _tables(self, runs: list[str]) -> list[Sequence[int]]:
+        """tables of so many runs; those of a word and signs behind it are put together from these two pieces."""
+        words = [m and (m[1].lower(), m[2]) for m in map(_WORD.fullmatch, runs)]
+        known = self.together.counts({x for w in words if w for x in w if x}, chars=True)
+        made: list = [known.get(w[0]) if w and (not w[1] or w[1] in known) else None for w in words]
+        rest = [r for r, counts in zip(runs, made, strict=True) if counts is None and r[:1] != "\n"]
+        split = {r: self._pieces(r) for r in rest if r not in self.inside and r not in self.before}
+        pieces = self.together.counts({normal[a:b] for r, (normal, spans) in split.items() if self._kept(r, normal) for a, b in spans})
+        out: list[Sequence[int]] = []
+        for r, w, counts in zip(runs, words, made, strict=True):
+            if counts is None:
+                out.append(self.every_prefix(r[1:]).tolist() if r[:1] == "\n" else self.run_prefixes(r, pieces, split.get(r)))
+            elif w[1]:
+                out.append(b"\0" + counts + known[w[1]].translate(_ADDED[counts[-1]]))
+            else:
+                out.append(b"\0" + counts)
         return out
 
     def every_prefix(self, text: str) -> np.ndarray:
@@ -401,26 +425,39 @@ class Block:
 
     def __init__(self, number: int) -> None:
         self.number, self.size = number, 0
-        self.known: dict[str, int] = defaultdict(count().__next__)
-        self.units: list[np.ndarray] = []
-        self.lengths: list[int] = []
+        self.texts: list[str] = []
+        self.whole: list[int] = []  # texts with special strings
         self.rest: list[pa.RecordBatch] = []
 
     def add(self, c: PieceCounter, text: str) -> None:
         if c.hint in text and any(special for _, special in c.parts(text)):
-            runs = ["\n" + text]  # no run holds a line feed: this is a whole text with special strings
-        else:
-            runs = text.replace("\n", " ").split(" ")
-        self.units.append(np.fromiter(map(self.known.__getitem__, runs), np.int32, len(runs)))
-        self.lengths.append(len(text.encode()))
+            self.whole.append(len(self.texts))
+        self.texts.append(text)
         self.size += len(text)
 
+    def runs(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct runs, the number of each run of the texts, and where each text's begin (and the last one's end)."""
+        plain = pa.array(self.texts, pa.large_string())
+        if self.whole:
+            mask = np.zeros(len(plain), bool)
+            mask[self.whole] = True
+            plain = pc.if_else(pa.array(mask), "", plain)
+        split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        units, starts, runs = coded.indices.to_numpy().copy(), split.offsets.to_numpy(), coded.dictionary.to_pylist()
+        for k in self.whole:  # no run holds a line feed: this is a whole text with special strings
+            units[starts[k]] = len(runs)
+            runs.append("\n" + self.texts[k])
+        return runs, units, starts
+
     def rows(self, c: PieceCounter, limit: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """The documents, then the table of the block's runs."""
-        tables = c.tables(self.known)
+        runs, units, starts = self.runs()
+        tables = c.tables(runs)
         last, chars = np.array([t[-1] for t in tables]), np.array([len(t) for t in tables])
         totals, fits = [], []
-        for u in self.units:
+        for begin, end in itertools.pairwise(starts.tolist()):
+            u = units[begin:end]
             ends = np.cumsum(last[u])
             totals.append(int(ends[-1]))
             over = int(np.searchsorted(ends, limit, side="right"))  # the first run that goes beyond the limit
@@ -430,8 +467,11 @@ class Block:
                 before = int(ends[over - 1]) if over else 0
                 fits.append(int(chars[u[:over]].sum()) + max(k for k, n in enumerate(tables[u[over]]) if before + n <= limit))
         rest = pa.Table.from_batches(self.rest).combine_chunks()
-        made = {"n_bytes": self.lengths, "n_tokens": totals, "over_limit": [n > limit for n in totals], "fit_chars": fits, "block": [self.number] * len(totals), "units": self.units}
-        yield from pa.Table.from_arrays([rest[f.name] if f.name in rest.column_names else pa.array(made[f.name], f.type) if f.name in made else pa.nulls(len(totals), f.type) for f in schema], schema=schema).to_batches()
+        made = {
+            "n_bytes": pa.array([len(t.encode()) for t in self.texts]), "n_tokens": pa.array(totals), "over_limit": pa.array([n > limit for n in totals]), "fit_chars": pa.array(fits),
+            "block": pa.array([self.number] * len(totals)), "units": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(units)),
+        }
+        yield from pa.Table.from_arrays([rest[f.name] if f.name in rest.column_names else made[f.name].cast(f.type) if f.name in made else pa.nulls(len(totals), f.type) for f in schema], schema=schema).to_batches()
         for at in range(0, len(tables), LISTED):
             part = tables[at : at + LISTED]
             values = np.frombuffer(b"".join(part), np.uint8) if all(isinstance(t, bytes) for t in part) else np.concatenate([np.array(list(t)) for t in part])
@@ -465,7 +505,7 @@ def prefix_tables(df: DataFrame, path: str, limit: int = 2048) -> DataFrame:
                     block, begin = Block(block.number + 1), k + 1
             if begin < batch.num_rows:
                 block.rest.append(rest.slice(begin))
-        if block.units:
+        if block.texts:
             yield from block.rows(c, limit, schema)
 
     return df.mapInArrow(run, out.schema)
