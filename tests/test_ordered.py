@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import asof
 from tidemark.operators.folds import accepted, anchored_stale_seconds
-from tidemark.operators.ordered import bucket_parts, islands, previous_value, running
+from tidemark.operators.ordered import bucket_parts, islands, previous_value, row_parts, running
+from tidemark.plans import signals
 
 US = 1_000_000
 
@@ -166,3 +168,12 @@ def test_buckets_follow_the_rows(spark):
     assert widths[0] == 4 * day and widths[1] == pytest.approx(2 * day, rel=1e-3) and widths[2] == day
     assert parts[0] == 2 and 45 <= parts[1] <= 46 and parts[2] == 289
     assert bucket_parts(df.limit(0), ["asset"], day) == (4 * day, 1)
+
+
+def test_entry_reasons_are_dealt_by_rows(spark, tmp_path):
+    """What a configuration holds is counted in as many partitions as the rows ask for, not in those that Spark makes of shuffled bytes."""
+    columns = [F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 40}').alias("props")]
+    spark.range(60_000).select(*columns).write.parquet(f"{tmp_path}/events.parquet")
+    plan = signals.entry_reason(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert [len(re.findall(rf"hashpartitioning\(config#\d+, {of}#\d+L?, 4\), REPARTITION_BY_NUM", plan)) for of in ("ticker", "period_id")] == [1, 1]
+    assert [row_parts(n) for n in (0, 49_999, 180_000, 18_000_000)] == [1, 1, 4, 361]
