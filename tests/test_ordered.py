@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof
 from tidemark.operators.folds import accepted, anchored_stale_seconds
 from tidemark.operators.ordered import bucket_parts, islands, previous_value, row_parts, running
-from tidemark.plans import signals
+from tidemark.plans import bindings, signals
 
 US = 1_000_000
 
@@ -177,3 +177,13 @@ def test_entry_reasons_are_dealt_by_rows(spark, tmp_path):
     plan = signals.entry_reason(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert [len(re.findall(rf"hashpartitioning\(config#\d+, {of}#\d+L?, 4\), REPARTITION_BY_NUM", plan)) for of in ("ticker", "period_id")] == [1, 1]
     assert [row_parts(n) for n in (0, 49_999, 180_000, 18_000_000)] == [1, 1, 4, 361]
+
+
+def test_ticks_are_dealt_by_rows(spark, tmp_path):
+    """More rows than the session's partitions hold well get more partitions; fewer are left to Spark."""
+    for n, found in ((60_000, 0), (300_000, 1)):
+        columns = [F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 40}').alias("props")]
+        spark.range(n).select(*columns).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        t = bindings.ticks(spark, f"{tmp_path}/{n}")
+        plan = t._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(", 7), REPARTITION_BY_NUM") == found and plan.count("Exchange hashpartitioning") == 1 and t.count() == n
