@@ -117,3 +117,16 @@ def test_a_fold_is_fitted_to_all_periods_before(samples, monkeypatch):
 
 def learning_placed(rows):
     return learning.staged(rows.withColumn("period", rows["period_id"].cast("int")), "placed", by="period")
+
+
+def test_retraining_scores_all_rows_since_the_first_model(spark, samples, monkeypatch):
+    """Periods of a few rows and the second period have a model too, if four contracts with both outcomes and thirty rows lie before; only a test asks for more."""
+    monkeypatch.setattr(learning, "SMALL_ROUNDS", 2)
+    few = samples.filter("seq % 5 = 0").withColumn("ticker", learning.F.concat("ticker", learning.F.expr("seq % 2")))  # eight rows and six contracts a period
+    monkeypatch.setattr(learning, "samples", lambda spark, sf_dir: few)
+    got = learning.online_retrain(spark, "").collect()
+    assert sorted((r.seq, r.fold) for r in got) == [(k, k // 40) for k in range(160, 480, 5)] and all(0 < r.prob < 1 for r in got)
+    many = samples.withColumn("ticker", learning.F.concat("ticker", learning.F.expr("seq % 2")))
+    monkeypatch.setattr(learning, "samples", lambda spark, sf_dir: many)
+    assert {r.fold for r in learning.online_retrain(spark, "").collect()} == set(range(1, 12))
+    assert {r.fold for r in learning.walk_forward_cv(spark, "").collect()} == {None, *range(2, 12)}
